@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .chat_format import op7_chat_formatting
 from .html_extract import op3_html_extraction
+from .lang_id import op2_language_id
 from .license_scan import op10_license_scans
 from .media import op6_media_columns
+from .mixing import op4_mix_sources
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_html_extraction": op3_html_extraction,
+    "op4_mix_sources": op4_mix_sources,
     "op6_media_columns": op6_media_columns,
     "op7_chat_formatting": op7_chat_formatting,
     "op10_license_scans": op10_license_scans,
