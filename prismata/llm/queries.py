@@ -8,6 +8,7 @@ from .lang_id import op2_language_id
 from .license_scan import op10_license_scans
 from .media import op6_media_columns
 from .mixing import op4_mix_sources
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op2_language_id": op2_language_id,
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op6_media_columns": op6_media_columns,
     "op7_chat_formatting": op7_chat_formatting,
+    "op9_toxicity": op9_toxicity,
     "op10_license_scans": op10_license_scans,
 }
 
