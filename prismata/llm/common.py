@@ -86,6 +86,16 @@ def ascii_lower() -> np.ndarray:
     return t
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the capitals of the Latin-1 range lowered."""
+    out = ascii_lower()[data]
+    if len(out) > 1:
+        after = np.flatnonzero(data[:-1] == 0xC3) + 1
+        capital = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
+        out[capital] += 0x20
+    return out
+
+
 def space_bytes() -> np.ndarray:
     """True for the bytes 0x20 and 0x09 to 0x0D."""
     t = np.zeros(256, bool)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import op7_chat_formatting
+from .decontaminate import op1_decontamination
 from .html_extract import op3_html_extraction
 from .lang_id import op2_language_id
 from .license_scan import op10_license_scans
@@ -11,6 +12,7 @@ from .mixing import op4_mix_sources
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
     "op3_html_extraction": op3_html_extraction,
     "op4_mix_sources": op4_mix_sources,
