@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to Python; texts may be long.
 BATCH_ROWS = 2000
+#: A side of at most so many narrow rows is broadcast, a longer one is joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 #: Bytes of text that one numpy pass works on (a longer text is a pass of its own).
 CHUNK_BYTES = 1 << 20
 
@@ -55,6 +57,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def small_side(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The side (of narrow rows) with a broadcast hint if a count finds few of them, else as it is."""
+    return F.broadcast(side) if side.count() <= most else side
+
+
 def residue(column: str, by: int):
     """crc32 of an id's decimal text modulo ``by``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % by

@@ -9,6 +9,7 @@ from .lang_id import op2_language_id
 from .license_scan import op10_license_scans
 from .media import op6_media_columns
 from .mixing import op4_mix_sources
+from .quality import op8_quality_classifier
 from .toxicity import op9_toxicity
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op6_media_columns": op6_media_columns,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_license_scans": op10_license_scans,
 }
