@@ -5,6 +5,8 @@ from __future__ import annotations
 from .chat_format import op7_chat_formatting
 from .decontaminate import op1_decontamination
 from .html_extract import op3_html_extraction
+from .jaccard_join import ORACLE_SQL as JACCARD_SQL
+from .jaccard_join import op5_ngram_jaccard_join
 from .lang_id import op2_language_id
 from .license_scan import op10_license_scans
 from .media import op6_media_columns
@@ -17,6 +19,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_html_extraction": op3_html_extraction,
     "op4_mix_sources": op4_mix_sources,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_media_columns": op6_media_columns,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_classifier": op8_quality_classifier,
@@ -24,4 +27,4 @@ QUERIES = {
     "op10_license_scans": op10_license_scans,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard_join": JACCARD_SQL}
