@@ -62,6 +62,18 @@ def small_side(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.count() <= most else side
 
 
+def carrying(docs: DataFrame, needs, carry, work, schema: str) -> DataFrame:
+    """``mapInArrow`` over the needed columns ("name type" each) and, last, a struct of those in ``carry``.
+
+    The struct passes through as column ``carried``, so that its names clash with nothing.
+    """
+    cols = [F.col(x.split()[0]).cast(x.split()[1]).alias(x.split()[0]) for x in needs]
+    if not carry:
+        return docs.select(*cols).mapInArrow(work, schema)
+    rows = docs.select(*cols, F.struct(*carry).alias("carried"))
+    return rows.mapInArrow(work, f"{schema}, carried {rows.schema['carried'].dataType.simpleString()}")
+
+
 def residue(column: str, by: int):
     """crc32 of an id's decimal text modulo ``by``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % by

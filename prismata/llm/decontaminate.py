@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, chunks, lower_latin, mix, small_batches, table, texts_of
+from .common import WordHasher, carrying, chunks, lower_latin, mix, small_batches, table, texts_of
 
 #: Words in a seed; an item of fewer words has itself as only seed.
 SEED_WORDS = 3
@@ -162,8 +162,8 @@ def copies_in(items: Items, words: np.ndarray, places: np.ndarray, hashes: np.nd
     return out
 
 
-def find_copies(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, score (0 to 1), start_word, end_word and seeds: each document's best passage for each item it copies.
+def find_copies(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, carry=()) -> DataFrame:
+    """doc_id, item_id, score (0 to 1), start_word, end_word and seeds: each document's best passage for each item it copies; carried, a struct of the columns in ``carry``.
 
     Every row of ``docs`` is read whole.  Items go in blocks of at most about
     ``block_bytes`` of text, one pass of the documents to count a block's n-grams
@@ -173,7 +173,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESH
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.col("text").cast("string"))
     tests = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").distinct()
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     documents = rows.count()
@@ -183,7 +183,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESH
         own = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         items = Items([r[0] for r in own], [r[1] for r in own])
         items.keep_rare(count_seeds(rows, items), documents)
-        part = align_block(rows, items, threshold)
+        part = align_block(docs, items, threshold, carry)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -212,8 +212,8 @@ def count_seeds(rows: DataFrame, items: Items) -> np.ndarray:
     return out
 
 
-def align_block(rows: DataFrame, items: Items, threshold: float) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+def align_block(docs: DataFrame, items: Items, threshold: float, carry=()) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def work(batches):
         items, make = shared.value, hasher()
@@ -221,18 +221,21 @@ def align_block(rows: DataFrame, items: Items, threshold: float) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
         for b in batches:
             data, offsets = texts_of(b.column(1))
-            ids, out = b.column(0).to_pylist(), []
+            ids, at, out = b.column(0).to_pylist(), [], []
             for low, high in chunks(offsets):
                 words, owner, _, _ = make(lower_latin(data[offsets[low] : offsets[high]]), offsets[low : high + 1] - offsets[low])
                 places, hashes = seed_hits(words, owner, items.seeds, items.sizes)
                 ends = np.searchsorted(owner, np.arange(high - low + 1))
                 for t in np.unique(owner[places]).tolist():
                     own = owner[places] == t
-                    out += [(ids[low + t], *c) for c in copies_in(items, words[ends[t] : ends[t + 1]], places[own] - ends[t], hashes[own], threshold)]
+                    found = copies_in(items, words[ends[t] : ends[t + 1]], places[own] - ends[t], hashes[own], threshold)
+                    out += [(ids[low + t], *c) for c in found]
+                    at += [low + t] * len(found)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                made = [pa.array(c, t) for c, t in zip(zip(*out), types)] + [c.take(pa.array(at)) for c in b.columns[2:]]
+                yield pa.RecordBatch.from_arrays(made, [*names, "carried"][: len(made)])
 
-    return rows.mapInArrow(work, "doc_id long, item_id long, score double, start_word long, end_word long, seeds long")
+    return carrying(docs, ("doc_id long", "text string"), carry, work, "doc_id long, item_id long, score double, start_word long, end_word long, seeds long")
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
