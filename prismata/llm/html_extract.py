@@ -169,9 +169,10 @@ def second_pass(kinds: list[str], regions: list[int]) -> list[bool]:
     """Ambiguous blocks take the label of the nearest decided neighbours in their region.
 
     Where both neighbours exist and differ, the nearer one counts; at equal
-    distance a ``near`` block is content and a ``short`` one is not.  A block
-    without decided neighbours is content in an article only.  Blocks ruled
-    out by their container are no neighbours.
+    distance a ``near`` block is content and a ``short`` one is not.  In an
+    article a block is content unless both neighbours are boilerplate; outside,
+    a block without decided neighbours is not.  Blocks ruled out by their
+    container are no neighbours.
     """
     n = len(kinds)
     before: list = [None] * n
@@ -186,8 +187,10 @@ def second_pass(kinds: list[str], regions: list[int]) -> list[bool]:
     for i, (kind, region, left, right) in enumerate(zip(kinds, regions, before, after)):
         if kind in ("good", "bad", "out"):
             out.append(kind == "good")
-        elif region and "good" in (kinds[x] for x in (left, right) if x is not None) or left is None and right is None:
-            out.append(region > 0)
+        elif region:
+            out.append(left is None or right is None or "good" in (kinds[left], kinds[right]))
+        elif left is None and right is None:
+            out.append(False)
         elif left is None or right is None:
             out.append(kinds[right if left is None else left] == "good")
         elif kinds[left] == kinds[right] or i - left != right - i:
