@@ -12,9 +12,13 @@ their first ``n - need(n) + k`` tokens share at least ``k`` (extended prefixes).
    with one comparison a set or two.
 3. What could still link two different components must share tokens between
    components, and ``need(n)`` of them.  Of these, in order of frequency, each
-   set indexes its first ones singly where they are rare, and in pairs (one
-   token more) where they are frequent; equal index entries of different
-   components are candidates, and all of them are verified.
+   set indexes its first ones singly where they are rare.  Frequent ones are
+   indexed in pairs: the prefix is extended until a partner shares GROUPS + 1
+   of its tokens, two of which must fall into one of GROUPS hash groups, so
+   pairs within a group are enough.
+4. Sets connected by index entries form families.  Blocks of a family are
+   verified by counting shared tokens along inverted lists; only links that
+   join components leave the block.
 
 Equal sets are one node, so copies are never compared.  Nodes and tokens are
 64-bit hashes.
@@ -36,8 +40,12 @@ SHINGLE, PERCENT = 5, 80
 PACK = 1_500_000
 #: Token ranges per shuffle partition; bytes of text for a range, at most about.
 RANGES, RANGE_BYTES = 2, 64 << 20
-#: Sets that may hold a token indexed singly; more frequent ones are indexed in pairs.
-FREQUENT = 32
+#: Sets that may hold a token indexed singly; more frequent ones are indexed in pairs within GROUPS hash groups.
+FREQUENT, GROUPS = 256, 3
+#: Sets of a family that are verified together; a larger family is verified by pairs of blocks.
+BLOCK = 4096
+#: Rows for each partition of small tables (edges).
+SMALL_ROWS = 200_000
 
 _PASS1 = "kind int, id long, n long, node long, leader long, part int, tokens binary, nodes binary, flags binary"
 
@@ -211,24 +219,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) for all nodes of the edges (a, b), by alternating stars."""
-    now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc")
-    before = None
+    """node, component (its least node) for all nodes of the edges (a, b), by alternating stars.
+
+    Every round's edges are written; their number sets how many partitions the next one takes.
+    """
+    now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().coalesce(16), "cc")
+    before, parts = None, 16
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.greatest("b", "m").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(parts)
+        least = both.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts).distinct().coalesce(parts)
+        least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts)
+        small = large.join(least, "a").select(F.greatest("b", "m").alias("a"), F.col("m").alias("b")).coalesce(parts)
+        small = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").coalesce(parts).distinct().coalesce(parts)
         after = stash(small, "cc")
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         unstash(now)
-        now = after
+        now, parts = after, max(1, -(-state[0] // SMALL_ROWS))
         if state == before:
             break
         before = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).coalesce(parts)
 
 
 def cross_tokens(sets: DataFrame, share: str) -> DataFrame:
@@ -243,16 +254,62 @@ def cross_tokens(sets: DataFrame, share: str) -> DataFrame:
     return sets.join(own, "node").where(f"size(own) >= {share}")
 
 
-def candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets in different components that share an index entry; hits counts the entries."""
+def index_entries(sets: DataFrame, percent: int) -> DataFrame:
+    """node, entry: rare tokens of each set's prefix, and pairs of frequent ones of the longer prefix within a hash group."""
     first = F.size("own") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
     singly = F.transform(F.filter(F.slice("own", F.lit(1), first), lambda x: x["df"] <= FREQUENT), lambda x: x["token"])
-    often = F.filter(F.slice("own", F.lit(1), first + 1), lambda x: x["df"] > FREQUENT)
-    pairs = F.flatten(F.transform(often, lambda x, i: F.transform(F.slice(often, i + 2, F.size(often)), lambda y: F.xxhash64(x["token"], y["token"]))))
-    rows = sets.select("node", "component", F.explode(F.array_distinct(F.concat(singly, pairs))).alias("entry"))
-    left = rows.select("entry", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = rows.select("entry", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return left.join(right, "entry").where("a < b AND ca <> cb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"))
+    often = F.transform(F.filter(F.slice("own", F.lit(1), first + GROUPS), lambda x: x["df"] > FREQUENT), lambda x: x["token"])
+    group = lambda x: F.pmod(F.xxhash64(F.lit("group"), x), F.lit(GROUPS))
+    pairs = F.flatten(F.transform(often, lambda x, i: F.transform(F.filter(F.slice(often, i + 2, F.size(often)), lambda y: group(y) == group(x)), lambda y: F.xxhash64(x, y))))
+    return sets.select("node", F.explode(F.array_distinct(F.concat(singly, pairs))).alias("entry"))
+
+
+def families(entries: DataFrame) -> DataFrame:
+    """node, family: sets that index entries connect."""
+    least = entries.groupBy("entry").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("entry", "b")
+    edges = entries.join(least, "entry").select(F.col("node").alias("a"), "b").distinct()
+    return components(edges).withColumnRenamed("component", "family")
+
+
+def family_links(sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) that join components (column component) within each family.
+
+    Tokens that only one component has are not in ``own``, so shared counts are
+    exact between components.  A family of more than BLOCK sets is cut into
+    blocks by hash, and each pair of blocks is a group.
+    """
+    blocks = named.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    rows = sets.select("node", "n", "component", F.transform("own", lambda x: x["token"]).alias("tokens")).join(named, "node").join(blocks, "family")
+    mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("mine", mine)
+    rows = rows.select("family", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node", "n", "component", "tokens")
+
+    def verify(pdf):
+        import pandas as pd
+
+        node, n = pdf["node"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+        sizes = np.array([len(x) for x in pdf["tokens"]])
+        tokens = np.concatenate([np.asarray(x, np.int64) for x in pdf["tokens"]])
+        _, ids, df = np.unique(tokens, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(node)), sizes)
+        posting = owner[np.argsort(ids, kind="stable")]
+        start = np.cumsum(df) - df
+        names, root, count = np.unique(pdf["component"].to_numpy(np.int64), return_inverse=True, return_counts=True)
+        root = root.copy()  # component of each set, merged as links are found
+        most, out = int(count.argmax()), []
+        ends = np.cumsum(sizes)
+        for x in np.flatnonzero(root != most).tolist():  # of two components one is not the largest
+            own = ids[ends[x] - sizes[x] : ends[x]]
+            d = df[own]
+            at = np.repeat(start[own] - np.cumsum(d) + d, d) + np.arange(d.sum())
+            shared = np.bincount(posting[at], minlength=len(node))
+            for y in np.flatnonzero((shared * (100 + percent) >= percent * (n + n[x])) & (root != root[x])).tolist():
+                if root[y] != root[x]:
+                    out.append((node[x], node[y]))
+                    root[root == root[y]] = root[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("family", "low", "high").applyInPandas(verify, "a long, b long")
 
 
 def labelled(sets: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -281,8 +338,11 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
 
     path = f"{shared_dir(spark)}/jaccard-{uuid.uuid4().hex}"
     prefix_pass(docs, parts, size, percent).write.partitionBy("kind").parquet(path)
+    read = lambda kind: spark.read.schema(_PASS1.split(", ", 1)[1]).parquet(f"{path}/kind={kind}")
     one = spark.read.schema(_PASS1).parquet(path)
-    rows = one.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "node")
+    if one.where("kind = 0").isEmpty():
+        return docs.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    rows = read(0).select(F.col("id").alias("doc_id"), "n", "node")
     nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"))
 
     found = count_ranges(one.where("kind = 1")).unionByName(one.where("kind = 2").select("node", "leader", "n"))
@@ -292,6 +352,9 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     few = best.join(nodes, "node").where(F.col("shared") >= bar)
     chosen = F.slice(F.filter("leads", lambda x: x["leader"] != F.col("node")), 1, 2)
     few = stash(few.select("node", "n", "least", F.transform(chosen, lambda x: x["leader"]).alias("leads")), "jaccard-few")
+    for kind in (1, 2):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     side = small_side(few.select(F.col("least").alias("id")).distinct())
     own = docs.join(side, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
@@ -299,32 +362,24 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     sets = stash(sets.join(few.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
 
     stars = few.select(F.col("node").alias("a"), F.explode("leads").alias("b"))
-    edges = stash(verified(stars, sets, percent), "jaccard-links")
+    edges = stash(verified(stars, sets, percent).coalesce(16), "jaccard-links")
     parts_ = components(edges)
 
     # what may still link components: first by prefixes, then by whole sets
     reach = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + F.greatest(F.lit(2), F.floor(F.col("n") / 10))
     short = labelled(sets.select("node", "n", F.slice("tokens", F.lit(1), reach.cast("int")).alias("tokens")), parts_)
-    left = stash(cross_tokens(short, f"greatest(2, floor(ceil(n * {percent} / 100) / 10))").select("node"), "jaccard-left")
+    left = stash(cross_tokens(short, f"greatest(2, floor(ceil(n * {percent} / 100) / 10))").select("node").coalesce(16), "jaccard-left")
     rest = labelled(sets.join(left, "node", "left_semi"), parts_)
     rest = stash(cross_tokens(rest, f"ceil(n * {percent} / 100)").select("node", "n", "component", "own"), "jaccard-rest")
-    pairs = stash(candidates(rest, percent), "jaccard-pairs")
-
-    # the most promising pair of each set first, as it may settle the others
-    top = pairs.groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b")).unionByName(pairs.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")).distinct()
-    edges = stash(edges.unionByName(verified(top, sets, percent)), "jaccard-links")
-    parts_ = components(edges)
-    named = parts_.withColumnRenamed("component", "c")
-    open_ = pairs.join(top, ["a", "b"], "left_anti")
-    open_ = open_.join(named.withColumnRenamed("node", "a").withColumnRenamed("c", "ca"), "a", "left").join(named.withColumnRenamed("node", "b").withColumnRenamed("c", "cb"), "b", "left")
-    open_ = open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = stash(verified(open_, sets, percent), "jaccard-links")
-    if not more.isEmpty():
-        parts_ = components(edges.unionByName(more))
+    named = families(index_entries(rest, percent))
+    more = stash(family_links(rest, named, percent).coalesce(16), "jaccard-links")
+    parts_ = components(edges.unionByName(more))
 
     named = nodes.join(parts_, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = stash(named.join(ids, "component").select("node", "component_id"), "jaccard-ids")
+    for done in (few, sets, left, rest):
+        unstash(done)
     out = rows.join(ids, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
