@@ -15,7 +15,7 @@ BATCH_ROWS = 2000
 #: A side of at most so many narrow rows is broadcast, a longer one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Bytes of text that one numpy pass works on (a longer text is a pass of its own).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
