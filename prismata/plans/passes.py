@@ -1,7 +1,7 @@
 """The passes of a profile.
 
-First pass: one aggregate with counts, extremes, sums and sketches (or exact
-distinct counts) of all columns.  Second pass: centred power sums and the
+First pass: one aggregate with counts, extremes, sums and sketches of all
+columns; where distinct counts must be exact, a narrow job for each column.  Second pass: centred power sums and the
 histogram of all numeric columns, as one grouped aggregate over (column, bin),
 which is combined on the map side to at most 16 rows a column.  Correlations:
 centred cross products, in chunks of expressions.  Distinct values: only for
@@ -11,6 +11,7 @@ columns that the sketch says are small.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,9 +55,7 @@ def first_pass(df: DataFrame, fields: list[Field], exact: bool) -> dict:
             out.append(F.count_if(f.bad).alias(f"bad{i}"))
         if f.kind != "unknown":
             value = f.value.cast("int") if f.kind == "bool" else f.value
-            if exact:
-                out.append(F.count_distinct(value).alias(f"u{i}"))
-            else:
+            if not exact:
                 key = value.cast("long") if f.kind in ("int", "bool") else F.xxhash64(value) if f.kind == "float" else value.cast("string")
                 out.append(F.hll_sketch_estimate(F.hll_sketch_agg(F.when(value.isNotNull(), key), F.lit(SKETCH))).alias(f"u{i}"))
         if f.number is not None:
@@ -67,7 +66,21 @@ def first_pass(df: DataFrame, fields: list[Field], exact: bool) -> dict:
         elif f.kind == "str":
             size = F.octet_length(f.value)
             out += [F.min(size).alias(f"short{i}"), F.max(size).alias(f"long{i}"), F.avg(size).alias(f"size{i}")]
-    return df.agg(*out).first().asDict()
+    found = df.agg(*out).first().asDict()
+    if exact and found["rows"]:
+        found |= {f"u{i}": n for i, n in distinct_counts(df, fields, [i for i, f in enumerate(fields) if f.kind != "unknown"]).items()}
+    return found
+
+
+def distinct_counts(df: DataFrame, fields: list[Field], chosen: list[int]) -> dict[int, int]:
+    """Exact distinct counts, one narrow job a column and a few at a time.
+
+    Each job reads one column and combines on the map side; one aggregate over
+    all columns would multiply the rows by their number first.
+    """
+    count = lambda i: df.select(fields[i].value.alias("v")).where("v IS NOT NULL").distinct().count()
+    with ThreadPoolExecutor(4) as pool:
+        return dict(zip(chosen, pool.map(count, chosen)))
 
 
 def second_pass(df: DataFrame, fields: list[Field], first: dict) -> dict[int, dict]:
@@ -123,15 +136,12 @@ def small_sets(df: DataFrame, fields: list[Field], first: dict, exact: bool) ->
         elif not exact and u <= NUMBER_DISTINCT * 1.1:
             counted.append(i)
     out: dict[int, tuple[int, list]] = {}
-    aggs = [F.collect_set(fields[i].value.cast("string")).alias(f"v{i}") for i in gathered] + [F.count_distinct(fields[i].number).alias(f"c{i}") for i in counted]
-    if aggs:
-        row = df.agg(*aggs).first()
+    if gathered:
+        row = df.agg(*[F.collect_set(fields[i].value.cast("string")).alias(f"v{i}") for i in gathered]).first()
         for i in gathered:
             values = sorted(row[f"v{i}"])
             out[i] = (len(values), values if len(values) <= STRING_DISTINCT else [])
-        for i in counted:
-            out[i] = (row[f"c{i}"], [])
-    return out
+    return out | {i: (n, []) for i, n in distinct_counts(df, fields, counted).items()}
 
 
 def pearson(df: DataFrame, fields: list[Field], first: dict) -> list[tuple[int, int, float]]:
