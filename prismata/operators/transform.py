@@ -18,8 +18,8 @@ from ..sources.sinks import backup, restore, write_audit, write_table
 from .issues import collect_warnings, is_outlier, quality_score
 from .profile import DatasetProfile, profile_dataset
 
-#: Distinct values up to which category codes are broadcast; more are joined by shuffle.
-BROADCAST_VALUES = 1_000_000
+#: Distinct values that one window numbers, about, and the most buckets that more are cut into.
+BUCKET_VALUES, MOST_BUCKETS = 1_000_000, 1000
 
 
 @dataclass
@@ -104,18 +104,34 @@ def _filled(name: str, kind: str, stats: dict) -> Column:
     return c if fill is None else F.coalesce(c, F.lit(fill))
 
 
-def encode(df: DataFrame, name: str) -> DataFrame:
-    """Replaces values by their rank among the distinct ones (from 0, ascending); null by -1.
+def ranks(values: DataFrame, per_bucket: int = BUCKET_VALUES) -> DataFrame:
+    """value, code: the distinct values (column ``value``, no null) numbered from 0 in ascending order.
 
-    Ranks of all distinct values come from a range-partitioned sort: each
-    partition's offset is a running total of the sizes before it.
+    Up to ``per_bucket`` values are numbered in one window.  More are cut into
+    buckets at values that a hash picks (at most MOST_BUCKETS), each bucket has
+    its own window, and the buckets' sizes give the offsets.
     """
-    values = df.select(quoted(name).alias("__value")).where("__value IS NOT NULL").distinct()
-    ranked = values.repartitionByRange("__value").sortWithinPartitions("__value").withColumn("__part", F.spark_partition_id())
-    at = F.row_number().over(Window.partitionBy("__part").orderBy("__value"))
-    sizes = ranked.groupBy("__part").count()
-    before = sizes.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    codes = ranked.withColumn("__at", at).join(F.broadcast(before), "__part").select("__value", (F.col("__before") + F.col("__at") - 1).cast("int").alias("__code"))
+    count = values.count()
+    buckets = min(MOST_BUCKETS, count // per_bucket)
+    if buckets < 2:
+        return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
+    bounds = sorted(r[0] for r in values.where(F.pmod(F.xxhash64("value"), F.lit(count // buckets)) == 0).collect())
+    marks = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array()
+    placed = values.withColumn("bucket", F.size(F.filter(marks, lambda b: b <= F.col("value"))) if bounds else F.lit(0))
+    sizes = {r[0]: r[1] for r in placed.groupBy("bucket").count().collect()}
+    before, total = [], 0
+    for i in range(len(bounds) + 1):
+        before.append(total)
+        total += sizes.get(i, 0)
+    offset = F.array(*[F.lit(x) for x in before])[F.col("bucket")]
+    at = F.row_number().over(Window.partitionBy("bucket").orderBy("value"))
+    return placed.select("value", (offset + at - 1).alias("code"))
+
+
+def encode(df: DataFrame, name: str) -> DataFrame:
+    """Replaces values by their rank among the distinct ones (from 0, ascending); null by -1."""
+    values = df.select(quoted(name).alias("value")).where("value IS NOT NULL").distinct()
+    codes = ranks(values).select(F.col("value").alias("__value"), F.col("code").cast("int").alias("__code"))
     joined = df.join(codes, quoted(name) == F.col("__value"), "left")
     return joined.select(*[F.coalesce("__code", F.lit(-1)).alias(c) if c == name else quoted(c) for c in df.columns])
 

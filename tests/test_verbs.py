@@ -9,7 +9,7 @@ import prismata as pr
 from prismata.cli import main
 from prismata.operators.drift import psi, training_verdict, wasserstein
 from prismata.operators.profile import ColumnProfile
-from prismata.operators.transform import encode
+from prismata.operators.transform import encode, ranks
 
 
 def write(path, frame):
@@ -66,6 +66,12 @@ def test_encode_ranks_and_nulls(spark):
     assert sorted(r.v for r in encode(df, "v").collect()) == [-1, 0, 0, 1, 2]
 
 
+def test_ranks_in_buckets(spark):
+    values = spark.range(3000).selectExpr("'v' || id AS value")
+    for per in (10_000, 100, 7):
+        assert {r.value: r.code for r in ranks(values, per).collect()} == {v: i for i, v in enumerate(sorted(f"v{i}" for i in range(3000)))}
+
+
 def test_compare(spark, tmp_path, capsys):
     rng = np.random.default_rng(0)
     a = write(tmp_path / "a.csv", pd.DataFrame({"score": rng.normal(50, 10, 1000).round().astype(int), "kind": ["x", "y"] * 500}))
