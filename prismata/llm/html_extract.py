@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +47,13 @@ BOILER_NAME = re.compile(
     r"(?:^|[\s_\-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|disqus|consent|cookies?|copyright|disclaimer|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|contentinfo|complementary|search|login|signup)(?:$|[\s_\-\d])",
     re.I,
 )
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>", re.S)
+#: Quoted values are followed this far, so that a lost quote can't make every tag scan the whole page.
+_QUOTED = 20_000
+_PIECE = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+    rf"|</?[a-zA-Z](?:[^<>\"']++|\"[^\"]{{0,{_QUOTED}}}+\"|'[^']{{0,{_QUOTED}}}+'){{0,500}}+>|</?[a-zA-Z][^<>]*+>",
+    re.S,
+)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
 _HIDDEN = re.compile(r"\shidden(?:[\s=>]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -65,6 +72,7 @@ def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
     parts: list[str] = []
     linked = links = breaks = regions = 0
     stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, region
+    opened: Counter[str] = Counter()
     boiler = inside = 0
     tag = ""
 
@@ -77,6 +85,14 @@ def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
             parts.clear()
         linked = 0
 
+    def leave() -> str:
+        nonlocal boiler, inside
+        name, bad, region = stack.pop()
+        opened[name] -= 1
+        boiler -= bad
+        inside -= region
+        return name
+
     at, n = 0, len(page)
     while at < n:
         m = _PIECE.search(page, at)
@@ -119,28 +135,24 @@ def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
         flush()
         links = breaks = 0
         if closing:
-            if any(x[0] == name for x in stack):
-                while stack:
-                    last = stack.pop()
-                    boiler -= last[1]
-                    inside -= last[2]
-                    if last[0] == name:
-                        break
+            while opened[name]:  # closes what is open inside, too
+                last = leave()
+                if last == name:
+                    break
             tag = stack[-1][0] if stack else ""
             continue
         tag = name
         if name in _VOID or piece.endswith("/>"):
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            last = stack.pop()
-            boiler -= last[1]
-            inside -= last[2]
+            leave()
         names = " ".join(x[1].strip("\"'") for x in _ATTRIBUTE.findall(piece)) if "=" in piece else ""
         bad = name in BOILER_TAGS and not (name == "header" and inside) or bool(names and BOILER_NAME.search(names) and name not in ("body", "html")) or bool(_HIDDEN.search(piece))
         region = name in REGION_TAGS
         if region and not inside:
             regions += 1
         stack.append((name, bad, region))
+        opened[name] += 1
         boiler += bad
         inside += region
     flush()

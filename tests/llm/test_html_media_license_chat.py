@@ -3,6 +3,7 @@ import html
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -33,6 +34,13 @@ def test_odd_pages(page):
     assert main_text(page) in ("", "<", "&", "\0", "<p")
 
 
+@pytest.mark.parametrize("page", ["<a '" * 20_000, '<p class="x' * 20_000, "<div>" * 50_000 + "</p>" * 50_000, "<!-" * 50_000, "<article>" + "<p>a" * 30_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 20
+
+
 def test_plain_page_by_density():
     good = "<p>" + "it was the best of times and it was the worst of times for all of us " * 5 + "</p>"
     links = "<p>" + "<a href=x>word word</a> " * 20 + "</p>"
