@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 
 from ..functions.columns import NUMERIC
-from ..plans.passes import fields_of, first_pass, pearson, second_pass, shape, small_sets
+from ..plans.passes import exact_extremes, fields_of, first_pass, pearson, second_pass, shape, small_sets
 from ..session import session
 from ..sources.readers import Dataset, resolve
 
@@ -149,7 +149,9 @@ def profile_dataset(data: Dataset, correlate: bool = False, exact: bool = False,
     if correlations and not skipped and rows:
         pairs = [Correlation(fields[a].name, fields[b].name, r) for a, b, r in pearson(df, fields, first)]
         found = sorted((c for c in pairs if abs(c.r) >= REPORT), key=lambda c: -abs(c.r))
-    cells, nulls = rows * len(fields), sum(c.null_count for c in columns)
+    if data.whole is not None:
+        _override(columns, exact_extremes(data.whole))
+    cells, nulls = sum(c.total_count for c in columns), sum(c.null_count for c in columns)
     n_numeric = sum(f.kind in (*NUMERIC, "bool") for f in fields)
     return DatasetProfile(
         data.path or "", data.name, rows, len(fields), n_numeric, len(fields) - n_numeric, 100 * nulls / cells if cells else 0.0, nulls, cells,
@@ -157,6 +159,18 @@ def profile_dataset(data: Dataset, correlate: bool = False, exact: bool = False,
     )
 
 
+def _override(columns: list[ColumnProfile], whole: dict) -> None:
+    """Nulls and extremes of a sampled Parquet table, from all its rows; other statistics stay the sample's."""
+    for i, c in enumerate(columns):
+        c.total_count, c.non_null_count = whole["rows"], whole[f"n{i}"]
+        c.null_count = c.total_count - c.non_null_count
+        c.null_pct = 100 * c.null_count / c.total_count if c.total_count else 0.0
+        c.has_high_nulls = c.null_pct > 20
+        if whole.get(f"low{i}") is not None:
+            c.val_min, c.val_max = float(whole[f"low{i}"]), float(whole[f"high{i}"])
+            c.range = c.val_max - c.val_min
+
+
 def _column(i: int, f, rows: int, first: dict, small: dict, second: dict, exact: bool) -> ColumnProfile:
     c = ColumnProfile(f.name, f.kind, total_count=rows)
     c.non_null_count = first[f"n{i}"]

@@ -72,6 +72,16 @@ def first_pass(df: DataFrame, fields: list[Field], exact: bool) -> dict:
     return found
 
 
+def exact_extremes(whole: DataFrame) -> dict:
+    """rows, and for each field number its count and extremes over all rows (cheap: min, max and count only)."""
+    out = [F.count(F.lit(1)).alias("rows")]
+    for i, f in enumerate(fields_of(whole)):
+        out.append(F.count(f.value).alias(f"n{i}"))
+        if f.number is not None:
+            out += [F.min(f.number).alias(f"low{i}"), F.max(f.number).alias(f"high{i}")]
+    return whole.agg(*out).first().asDict()
+
+
 def distinct_counts(df: DataFrame, fields: list[Field], chosen: list[int]) -> dict[int, int]:
     """Exact distinct counts, one narrow job a column and a few at a time.
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections import OrderedDict
 from dataclasses import dataclass, field
 from pathlib import PurePath
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ class Dataset:
     path: str | None = None
     misfits: dict[str, Column] = field(default_factory=dict)  # by column: whether a cell did not fit the inferred type
     sampled: bool = False
+    whole: DataFrame | None = None  # what a Parquet sample was drawn from
 
     @property
     def columns(self) -> list[str]:
@@ -71,6 +74,30 @@ def file_bytes(path: str) -> int:
     return fs.getContentSummary(at).getLength()
 
 
+_COUNTS: OrderedDict[tuple, int] = OrderedDict()
+_COUNTS_LOCK = Lock()
+#: Row counts that are remembered, by path, size and time of change.
+COUNTS_KEPT = 100
+
+
+def row_count(df: DataFrame, path: str | None) -> int:
+    """Rows of the frame; those of a file are remembered while it doesn't change."""
+    if path is None:
+        return df.count()
+    fs, at = _hadoop(session(), path)
+    key = (path, fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime())
+    with _COUNTS_LOCK:
+        if key in _COUNTS:
+            _COUNTS.move_to_end(key)
+            return _COUNTS[key]
+    n = df.count()
+    with _COUNTS_LOCK:
+        _COUNTS[key] = n
+        while len(_COUNTS) > COUNTS_KEPT:
+            _COUNTS.popitem(last=False)
+    return n
+
+
 def infer_types(raw: DataFrame, rows: int = INFER_ROWS) -> dict[str, str]:
     """Type of each string column (null markers already null), from its first rows: one conditional aggregate."""
     counts = []
@@ -131,8 +158,9 @@ def resolve(data, sample_size: int | None = None, allowed_dir: str | None = None
     if sample_size is not None:
         if sample_size < 1:
             raise PrismataError("sample_size must be positive")
-        rows = found.df.count()
+        rows = row_count(found.df, found.path)
         if rows > sample_size:
+            found.whole = found.df if found.path and not found.path.lower().endswith(".csv") else None
             share = min(1.0, 1.1 * sample_size / rows + 1e-3)
             found.df, found.sampled = found.df.sample(share, seed).limit(sample_size), True
     return found

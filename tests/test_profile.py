@@ -101,6 +101,15 @@ def test_sampling(spark):
     assert not pr.scan(spark.range(100), sample_size=500).is_sampled
 
 
+def test_sampled_parquet_has_exact_nulls_and_extremes(spark, tmp_path):
+    path = str(tmp_path / "big.parquet")
+    spark.range(20_000).selectExpr("id", "CASE WHEN id % 4 = 0 THEN NULL ELSE id END AS v").write.parquet(path)
+    for _ in range(2):
+        p = pr.scan(path, sample_size=1000)
+        assert p.is_sampled and p.num_rows == 1000
+        assert (p.column("id").val_min, p.column("id").val_max, p.column("v").null_pct, p.overall_null_pct) == (0, 19_999, 25, 12.5)
+
+
 def test_exact_and_sketched_distinct(spark):
     df = spark.range(300_000).selectExpr("id", "id % 50 AS few", "CAST(id AS STRING) AS s")
     p = pr.scan(df)
