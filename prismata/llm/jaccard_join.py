@@ -37,9 +37,9 @@ from .common import MULT, WordHasher, ascii_lower, chunks, mix, shared_dir, smal
 
 SHINGLE, PERCENT = 5, 80
 #: Prefix tokens that a task gathers before it packs them.
-PACK = 1_500_000
-#: Token ranges per shuffle partition; bytes of text for a range, at most about.
-RANGES, RANGE_BYTES = 2, 64 << 20
+PACK = 400_000
+#: Token ranges at least; bytes of text for a range beyond that.
+RANGES, RANGE_BYTES = 48, 32 << 20
 #: Sets that may hold a token indexed singly; more frequent ones are indexed in pairs within GROUPS hash groups.
 FREQUENT, GROUPS = 256, 3
 #: Sets of a family that are verified together; a larger family is verified by pairs of blocks.
@@ -334,7 +334,7 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    parts = max(RANGES, -(-total // RANGE_BYTES))
 
     path = f"{shared_dir(spark)}/jaccard-{uuid.uuid4().hex}"
     prefix_pass(docs, parts, size, percent).write.partitionBy("kind").parquet(path)
