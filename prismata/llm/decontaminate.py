@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word pairs as seeds, then Smith-Waterman alignment.
 
-The n-grams of all test items are counted in the training documents.  Each
-item keeps its rare ones as seeds.  Passages around seeds are aligned word by
-word with their item; the score tells how much of the item the passage covers,
-edits included.
+Passages that share so many word pairs with a test item as a copy must (the
+q-gram lemma) are aligned word by word with the item; the score tells how much
+of the item the passage covers, edits included.  No passage that scores enough
+is left out.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import WordHasher, carrying, chunks, lower_latin, mix, small_batches, table, texts_of
 
-#: Words in a seed; an item of fewer words has itself as only seed.
-SEED_WORDS = 3
-#: A seed is rare if at most this share of the documents has it (or 3 documents); an item keeps at least LEAST_SEEDS, its rarest.
-RARE, LEAST_SEEDS = 0.0005, 6
+#: Seeds are word pairs; for items of fewer words than SHORT_ITEM, where a pair is no evidence, SHORT_SEED words or the item itself.
+SHORT_ITEM, SHORT_SEED = 12, 3
+#: Seeds that a passage must share with an item before they are aligned, where a copy shares as many.
+ENOUGH = 4
+#: Rows of hits (of a seed in a text, for each item that has it) that are looked at together, or one text.
+HIT_ROWS = 1 << 20
 #: Aligned share of an item from which a passage counts as a copy.
 THRESHOLD = 0.45
 #: Item text that one pass over the documents takes, which bounds what is broadcast.
@@ -37,7 +39,7 @@ def hasher() -> WordHasher:
     return WordHasher(token_separators(), np.arange(256, dtype=np.uint8))
 
 
-def ngram_hashes(words: np.ndarray, n: int = SEED_WORDS) -> np.ndarray:
+def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n words."""
     m = len(words) - n + 1
     if m <= 0:
@@ -79,9 +81,15 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
 
 
 class Items:
-    """A block of test items: word hashes, and for each seed hash the items that have it and where."""
+    """A block of test items: word hashes, and for each seed hash the items that have it and where.
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    A passage that scores t * n against n words has m matches and at most m - t * n
+    other columns, so its runs of matches hold at least t * n - 1 of the item's
+    word pairs.  ENOUGH of these (or all) are then among the pairs that remain when
+    as many less are left out, whichever they are; those of the most items are.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], threshold: float = THRESHOLD):
         make = hasher()
         self.ids, self.words = [], []
         for i, text in zip(ids, texts):
@@ -90,29 +98,26 @@ class Items:
             if len(words):
                 self.ids.append(i)
                 self.words.append(words)
-        hashes, owner, at = [], [], []
-        for k, words in enumerate(self.words):
-            own = ngram_hashes(words, min(SEED_WORDS, len(words)))
-            hashes.append(own)
-            owner.append(np.full(len(own), k))
-            at.append(np.arange(len(own)))
+        lengths = np.array([len(w) for w in self.words], np.int64)
+        sizes = np.where(lengths < SHORT_ITEM, np.minimum(SHORT_SEED, lengths), 2)
+        needed = np.where(lengths < SHORT_ITEM, 1, np.maximum(1, np.ceil(threshold * lengths - 1 - 1e-9))).astype(np.int64)
+        #: Seeds that a passage must share, and words that gaps can shift its parts by.
+        self.least = np.minimum(needed, ENOUGH)
+        self.slack = np.maximum(4, np.ceil((1 - threshold) * lengths).astype(np.int64) + 1)
+        self.sizes = np.unique(sizes)
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        self.hashes, self.owner, self.at = cat(hashes, np.uint64), cat(owner, np.int64), cat(at, np.int64)
-        self.seeds = np.unique(self.hashes)
-
-    def keep_rare(self, counts: np.ndarray, documents: int) -> None:
-        """Drops seeds that are frequent, but none of an item's LEAST_SEEDS rarest."""
-        often = counts[np.searchsorted(self.seeds, self.hashes)] if len(self.seeds) else np.zeros(0)
-        order = np.lexsort((self.hashes, often, self.owner))
-        first = np.searchsorted(self.owner[order], self.owner[order], "left")
+        hashes = cat([ngram_hashes(w, int(n)) for w, n in zip(self.words, sizes)], np.uint64)
+        grams = lengths - sizes + 1
+        owner = np.repeat(np.arange(len(lengths)), grams)
+        at = np.arange(len(hashes)) - np.repeat(np.cumsum(grams) - grams, grams)
+        _, number, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.lexsort((at, times[number], owner))
         rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - first
-        keep = (often <= max(3, RARE * documents)) | (rank < LEAST_SEEDS)
-        self.hashes, self.owner, self.at = self.hashes[keep], self.owner[keep], self.at[keep]
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.owner, self.at = self.hashes[order], self.owner[order], self.at[order]
+        rank[order] = at  # positions count from 0 in each item, so they number the sorted rows too
+        keep = rank < (grams - needed + self.least)[owner]
+        order = np.flatnonzero(keep)[np.argsort(hashes[keep], kind="stable")]
+        self.hashes, self.owner, self.at = hashes[order], owner[order], at[order]
         self.seeds = np.unique(self.hashes)
-        self.sizes = np.unique([min(SEED_WORDS, len(self.words[k])) for k in np.unique(self.owner)])
 
 
 def seed_hits(words: np.ndarray, owner: np.ndarray, seeds: np.ndarray, sizes) -> tuple[np.ndarray, np.ndarray]:
@@ -131,87 +136,73 @@ def seed_hits(words: np.ndarray, owner: np.ndarray, seeds: np.ndarray, sizes) ->
     return np.concatenate(places), np.concatenate(found)
 
 
-def copies_in(items: Items, words: np.ndarray, places: np.ndarray, hashes: np.ndarray, threshold: float) -> list[tuple]:
-    """(item, score, first word, word after, seeds) for each item's best passage in one text."""
+def passages(items: Items, text: np.ndarray, places: np.ndarray, hashes: np.ndarray):
+    """(text, item, first and last place where the item would begin, seeds) of the passages that share enough seeds with an item, from hits in order of texts."""
     low, high = np.searchsorted(items.hashes, hashes, "left"), np.searchsorted(items.hashes, hashes, "right")
     n = high - low
     rows = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = np.repeat(places, n) - items.at[rows]  # where the item would begin
-    owner = items.owner[rows]
-    order = np.lexsort((start, owner))
-    owner, start, seed = owner[order], start[order], items.at[rows][order]
-    out = []
-    for k, first, last in zip(*(lambda u, i, c: (u, i, i + c))(*np.unique(owner, return_index=True, return_counts=True))):
-        item = items.words[k]
-        slack = max(4, len(item) // 2)
-        best = None
-        cuts = np.flatnonzero(np.diff(start[first:last]) > slack) + 1
-        for a, b in zip([0, *cuts], [*cuts, last - first]):
-            group = slice(first + a, first + b)
-            seeds = len(np.unique(seed[group]))
-            if seeds < min(2, max(1, len(item) - SEED_WORDS)):
-                continue
-            lo = max(0, int(start[group].min()) - slack)
-            hi = min(len(words), int(start[group].max()) + len(item) + slack)
+    start, text, owner = np.repeat(places, n) - items.at[rows], np.repeat(text, n), items.owner[rows]
+    order = np.lexsort((start, owner, text))
+    start, text, owner, at = start[order], text[order], owner[order], items.at[rows[order]]
+    new = np.ones(len(order), bool)
+    new[1:] = (text[1:] != text[:-1]) | (owner[1:] != owner[:-1]) | (np.diff(start) > items.slack[owner[1:]])
+    group = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(order)) - 1
+    longest = int(at.max()) + 1 if len(at) else 1
+    seeds = np.bincount(np.unique(group * longest + at) // longest, minlength=len(first))
+    enough = np.flatnonzero(seeds >= items.least[owner[first]])
+    first, last = first[enough], last[enough]
+    return zip(text[first].tolist(), owner[first].tolist(), start[first].tolist(), start[last].tolist(), seeds[enough].tolist())
+
+
+def copies_in(items: Items, words: np.ndarray, owner: np.ndarray, texts: int, threshold: float) -> list[tuple]:
+    """(text, item, score, first word, word after, seeds) for each item's best passage in each of several texts."""
+    places, hashes = seed_hits(words, owner, items.seeds, items.sizes)
+    order = np.argsort(places, kind="stable")
+    places, hashes = places[order], hashes[order]
+    ends, text = np.searchsorted(owner, np.arange(texts + 1)), owner[places]
+    rows = np.cumsum(np.searchsorted(items.hashes, hashes, "right") - np.searchsorted(items.hashes, hashes, "left"))
+    best, a = {}, 0
+    while a < len(places):  # whole texts, of at most HIT_ROWS rows or one text
+        b = int(np.searchsorted(rows, (rows[a - 1] if a else 0) + HIT_ROWS, "right"))
+        b = len(places) if b >= len(places) else max(int(np.searchsorted(text, text[b], "left")), int(np.searchsorted(text, text[a], "right")))
+        for t, k, low, high, seeds in passages(items, text[a:b], places[a:b], hashes[a:b]):
+            item, slack = items.words[k], int(items.slack[k])
+            lo, hi = max(int(ends[t]), low - slack), min(int(ends[t + 1]), high + len(item) + slack)
             score, s, e = align(item, words[lo:hi])
             share = score / (MATCH * len(item))
-            if share >= threshold and (best is None or share > best[1]):
-                best = (items.ids[k], share, lo + s, lo + e, seeds)
-        if best:
-            out.append(best)
-    return out
+            if share >= threshold and ((t, k) not in best or share > best[t, k][2]):
+                best[t, k] = (t, items.ids[k], share, lo - int(ends[t]) + s, lo - int(ends[t]) + e, seeds)
+        a = b
+    return list(best.values())
 
 
 def find_copies(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, carry=()) -> DataFrame:
     """doc_id, item_id, score (0 to 1), start_word, end_word and seeds: each document's best passage for each item it copies; carried, a struct of the columns in ``carry``.
 
-    Every row of ``docs`` is read whole.  Items go in blocks of at most about
-    ``block_bytes`` of text, one pass of the documents to count a block's n-grams
-    and one to align; a block is what is broadcast.  Null or wordless texts
+    Every row of ``docs`` is read whole, once for each block of items of at most
+    about ``block_bytes`` of text; a block is what is broadcast.  A passage is
+    found if it scores ``threshold`` (above 1 / SHORT_ITEM), however often its item
+    or its words occur; for an item of fewer than SHORT_ITEM words it must also
+    hold SHORT_SEED words in a row (or all) of it.  Null or wordless texts
     on either side match nothing; repeated rows are reported each, null ids
     stay null.  Other columns are left out.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("text").cast("string"))
     tests = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").distinct()
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    documents = rows.count()
     blocks = -(-size // block_bytes) or 1
     out = None
     for block in range(blocks):
         own = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        items = Items([r[0] for r in own], [r[1] for r in own])
-        items.keep_rare(count_seeds(rows, items), documents)
+        items = Items([r[0] for r in own], [r[1] for r in own], threshold)
         part = align_block(docs, items, threshold, carry)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def count_seeds(rows: DataFrame, items: Items) -> np.ndarray:
-    """Documents that have each of the block's n-grams."""
-    shared = rows.sparkSession.sparkContext.broadcast((items.seeds, sorted({min(SEED_WORDS, len(w)) for w in items.words})))
-
-    def work(batches):
-        seeds, sizes = shared.value
-        make, counts = hasher(), np.zeros(len(seeds), np.int64)
-        for b in batches:
-            data, offsets = texts_of(b.column(0))
-            for low, high in chunks(offsets):
-                words, owner, _, _ = make(lower_latin(data[offsets[low] : offsets[high]]), offsets[low : high + 1] - offsets[low])
-                places, hashes = seed_hits(words, owner, seeds, sizes)
-                if len(places):
-                    pairs = np.unique(owner[places] * np.int64(len(seeds)) + np.searchsorted(seeds, hashes))
-                    counts += np.bincount(pairs % len(seeds), minlength=len(seeds))
-        own = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(counts[own], pa.int64())], ["seed", "n"])
-
-    out = np.zeros(len(items.seeds), np.int64)
-    for r in rows.select("text").mapInArrow(work, "seed long, n long").groupBy("seed").agg(F.sum("n")).collect():
-        out[r[0]] = r[1]
-    return out
-
-
 def align_block(docs: DataFrame, items: Items, threshold: float, carry=()) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -224,13 +215,9 @@ def align_block(docs: DataFrame, items: Items, threshold: float, carry=()) -> Da
             ids, at, out = b.column(0).to_pylist(), [], []
             for low, high in chunks(offsets):
                 words, owner, _, _ = make(lower_latin(data[offsets[low] : offsets[high]]), offsets[low : high + 1] - offsets[low])
-                places, hashes = seed_hits(words, owner, items.seeds, items.sizes)
-                ends = np.searchsorted(owner, np.arange(high - low + 1))
-                for t in np.unique(owner[places]).tolist():
-                    own = owner[places] == t
-                    found = copies_in(items, words[ends[t] : ends[t + 1]], places[own] - ends[t], hashes[own], threshold)
-                    out += [(ids[low + t], *c) for c in found]
-                    at += [low + t] * len(found)
+                found = copies_in(items, words, owner, high - low, threshold)
+                out += [(ids[low + t], *c) for t, *c in found]
+                at += [low + t for t, *_ in found]
             if out:
                 made = [pa.array(c, t) for c, t in zip(zip(*out), types)] + [c.take(pa.array(at)) for c in b.columns[2:]]
                 yield pa.RecordBatch.from_arrays(made, [*names, "carried"][: len(made)])

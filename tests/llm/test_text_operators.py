@@ -204,6 +204,29 @@ def test_edited_copies_are_found(spark):
     assert D.find_copies(doc_frame(spark, docs).where("false"), bench).count() == 0
 
 
+def test_edited_copies_of_a_widely_leaked_item(spark):
+    rng = random.Random(5)
+    words = [f"t{i}x" for i in range(2000)]
+    items = [" ".join(rng.choices(words, k=n)) for n in (18, 40, 13)]
+    docs = []
+    for i in range(300):
+        w = rng.choices(words, k=rng.randint(5, 80))
+        if i % 3 == 0:
+            copy = items[i // 3 % 3].split()
+            for at in rng.sample(range(len(copy)), round(len(copy) * rng.choice([0.12, 0.2, 0.25, 0.3]))):
+                copy[at] = rng.choice(words)
+            if i % 4 == 0:
+                copy = copy[: len(copy) // 2]
+            elif i % 5 == 0:
+                copy = [y for k, x in enumerate(items[i // 3 % 3].split()) for y in ([x, "more"] if k % 2 and k < 14 else [x])]
+            at = rng.randrange(len(w))
+            w[at:at] = copy
+        docs.append((i, " ".join(w), None))
+    want = {(i, k) for i, text, _ in docs for k, item in enumerate(items) if plain_align(item.split(), text.split()) >= D.THRESHOLD * len(item.split())}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert len(want) > 60 and {(r.doc_id, r.item_id) for r in D.find_copies(doc_frame(spark, docs), bench).collect()} == want
+
+
 # quality ---------------------------------------------------------------
 
 
