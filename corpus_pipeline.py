@@ -46,11 +46,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies; equal repeated rows once."""
-    found = jaccard_join(docs)
-    gone = stash(found.where("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select("doc_id").distinct(), "copies")
-    side = small_side(gone.withColumnRenamed("doc_id", "gone_id"))
-    kept = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    """One row of each group of near copies, the first by doc_id (null last) and text key; texts without words stay, equal repeated rows once."""
+    found = jaccard_join(docs, keyed=True)
+    leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("key") == F.col("lead.key"))
+    gone = stash(found.where(F.col("lead").isNotNull() & ~leads).select("doc_id", "key").distinct(), "copies")
+    kept = _without(docs, gone)
     twice = stash(_keyed(docs).groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "repeated")
     if twice.isEmpty():
         return kept

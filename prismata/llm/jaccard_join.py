@@ -47,7 +47,7 @@ BLOCK = 4096
 #: Rows for each partition of small tables (edges).
 SMALL_ROWS = 200_000
 
-_PASS1 = "kind int, id long, n long, node long, leader long, part int, tokens binary, nodes binary, flags binary"
+_PASS1 = "kind int, id long, key long, n long, node long, leader long, part int, tokens binary, nodes binary, flags binary"
 
 
 def need(n, percent: int = PERCENT):
@@ -131,7 +131,7 @@ def prefix_pass(docs: DataFrame, parts: int, size: int, percent: int) -> DataFra
 
     def batch(**cols):
         n = len(next(iter(cols.values())))
-        types = dict(kind=pa.int32(), id=pa.int64(), n=pa.int64(), node=pa.int64(), leader=pa.int64(), part=pa.int32(), tokens=pa.binary(), nodes=pa.binary(), flags=pa.binary())
+        types = dict(kind=pa.int32(), id=pa.int64(), key=pa.int64(), n=pa.int64(), node=pa.int64(), leader=pa.int64(), part=pa.int32(), tokens=pa.binary(), nodes=pa.binary(), flags=pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in types.items()], list(types))
 
     def pack(tokens, nodes):
@@ -160,7 +160,7 @@ def prefix_pass(docs: DataFrame, parts: int, size: int, percent: int) -> DataFra
             for low, high in chunks(offsets):
                 h, own = shingle_sets(make, data, offsets[low : high + 1], size)
                 n, node = set_nodes(h, own, high - low)
-                yield batch(kind=np.zeros(high - low, int), id=b.column(0).slice(low, high - low), n=n, node=node)
+                yield batch(kind=np.zeros(high - low, int), id=b.column(0).slice(low, high - low), key=b.column(2).slice(low, high - low), n=n, node=node)
                 rank = np.arange(len(h)) - np.searchsorted(own, own)
                 keep = (rank < (n - need(n, percent) + extra(n))[own]) & (n > 3)[own]
                 tokens.append(h[keep])
@@ -318,7 +318,7 @@ def labelled(sets: DataFrame, parts: DataFrame | None) -> DataFrame:
     return sets.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keyed: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links) of each document.
 
     Documents link when ``100 * intersection >= percent * union`` of their sets
@@ -327,12 +327,17 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     by their own text; a null doc_id never names a component unless all of it
     are null.  Other columns are left out.  ``percent`` must be over 75, so that
     sets of up to three shingles link only with equal ones.
+
+    ``keyed`` adds each row's key (xxhash64 of its text), which with its doc_id
+    tells rows apart that share one of them, and lead: doc_id and key of the
+    first row of its component by doc_id (null last) and key, null for an empty set.
     """
     if not 75 < percent <= 100:
         raise ValueError("percent must be from 76 to 100")
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.withColumn("key", F.xxhash64("text") if keyed else F.lit(None).cast("long"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(RANGES, -(-total // RANGE_BYTES))
 
@@ -341,9 +346,11 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     read = lambda kind: spark.read.schema(_PASS1.split(", ", 1)[1]).parquet(f"{path}/kind={kind}")
     one = spark.read.schema(_PASS1).parquet(path)
     if one.where("kind = 0").isEmpty():
-        return docs.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    rows = read(0).select(F.col("id").alias("doc_id"), "n", "node")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"))
+        lead = F.lit(None).cast("struct<doc_id: bigint, key: bigint>").alias("lead")
+        return docs.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), *(["key", lead] if keyed else []))
+    rows = read(0).select(F.col("id").alias("doc_id"), "n", "node", "key")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), *([F.min(order).alias("lead")] if keyed else []))
 
     found = count_ranges(one.where("kind = 1")).unionByName(one.where("kind = 2").select("node", "leader", "n"))
     dealt = found.repartition("node").groupBy("node", "leader").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
@@ -376,12 +383,13 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     parts_ = components(edges.unionByName(more))
 
     named = nodes.join(parts_, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = stash(named.join(ids, "component").select("node", "component_id"), "jaccard-ids")
+    more = ["lead"] if keyed else []
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"), *[F.min(c).alias(c) for c in more])
+    ids = stash(named.drop(*more).join(ids, "component").select("node", "component_id", *more), "jaccard-ids")
     for done in (few, sets, left, rest):
         unstash(done)
     out = rows.join(ids, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *(["key", F.when(F.col("n") > 0, F.struct("lead.doc_id", "lead.key")).alias("lead")] if keyed else []))
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

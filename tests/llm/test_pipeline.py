@@ -30,5 +30,18 @@ def test_repeated_rows_count_once(spark):
     assert out.count() == P.near_duplicates(spark, docs, SF).count()
 
 
+def test_near_copies_go_by_row(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = lambda k: text(k) + " end"
+    rows = [(1, text(1)), (None, near(1)), (None, text(2)), (None, text(3)), (None, near(3)), (None, None), (None, "")]  # null ids: a copy, one of its own, two near copies, no words
+    rows += [(5, text(5)), (6, near(5)), (6, text(6)), (7, text(7)), (7, near(7)), (8, text(8)), (8, text(9)), (9, text(8).upper()), (8, text(8)), (10, ""), (11, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    out = [(r.doc_id, r.text) for r in P.near_duplicates(spark, docs, SF).collect()]
+    sure = [(1, text(1)), (None, text(2)), (None, None), (None, ""), (5, text(5)), (6, text(6)), (8, text(8)), (8, text(9)), (10, ""), (11, "")]
+    left = [x for x in out if x not in sure]
+    assert len(out) == len(sure) + 2 and all(out.count(x) == 1 for x in sure)
+    assert sorted(left, key=str) in [sorted([(None, a), (7, b)], key=str) for a in (text(3), near(3)) for b in (text(7), near(7))]
+
+
 def test_names():
     assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLE_SQL) <= set(QUERIES)
