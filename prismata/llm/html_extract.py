@@ -5,7 +5,7 @@ Pass one decides each block on its own: blocks in containers that name a role
 boilerplate, long blocks dense in stop words are content, short ones stay
 ambiguous.  Pass two lets ambiguous blocks inherit from the nearest decided
 neighbours of the same region.  A page that marks its article (``article`` or
-``main``) says itself where content lies: long blocks there need no stop words,
+``main``, in no boilerplate) says itself where content lies: long blocks there need no stop words,
 and a region without any decided block counts as content there, as boilerplate
 elsewhere.
 """
@@ -215,7 +215,7 @@ def second_pass(kinds: list[str], regions: list[int]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """Content blocks in page order, joined by a newline; empty for null or no content."""
     blocks = parse_blocks(page or "")
-    if any(b[3] for b in blocks):  # the page marks its article: what lies outside is around it
+    if any(b[3] and not b[2] for b in blocks):  # the page marks its article (not just teasers or comments): what lies outside is around it
         blocks = [b if b[3] else (b[0], b[1], True, 0, b[4]) for b in blocks]
     keep = second_pass([first_pass(*b) for b in blocks], [b[3] for b in blocks])
     return "\n".join(b[0] for b, k in zip(blocks, keep) if k)

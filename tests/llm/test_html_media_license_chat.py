@@ -48,6 +48,14 @@ def test_plain_page_by_density():
     assert main_text(f"<div>{links}<p>short</p>{links}</div>") == ""
 
 
+def test_articles_in_asides_and_comments_are_no_article():
+    good = "it was the best of times and it was the worst of times for all of us " * 5
+    teasers = "<aside><article><h3>Other story</h3><p>Teaser of it.</p></article></aside>"
+    comments = '<section class="comments"><article><p>I agree with all of that.</p></article></section>'
+    for page in (f"<div><p>{good}</p></div>{teasers}", f"<div><p>{good}</p></div>{comments}", f"{teasers}<article><p>{good}</p></article><p>{good} outside</p>{comments}"):
+        assert main_text(page) == good.strip()
+
+
 def test_second_pass_inherits():
     assert second_pass(["good", "short", "good", "short", "bad", "near"], [0] * 6) == [True, True, True, False, False, False]
     assert second_pass(["short", "short"], [1, 1]) == [True, True] and second_pass(["short"], [0]) == [False]
