@@ -36,6 +36,10 @@ LINK_DENSITY = 0.2
 
 #: Elements whose content is never text of the page.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "head", "select", "button", "canvas", "audio", "video")
+#: Those of them whose content is no markup, so that without an end tag they reach to the end of the page.
+RAW_TEXT = frozenset(("script", "style", "textarea", "title", "iframe"))
+#: Those that a slash ends, and those that hold others of their name.
+SELF_CLOSED, NESTED = frozenset(("svg", "math")), frozenset(("svg", "math", "object", "template"))
 #: Elements that hold no article text.
 BOILER_TAGS = frozenset(("nav", "header", "footer", "aside", "form", "menu", "dialog"))
 REGION_TAGS = frozenset(("article", "main"))
@@ -58,15 +62,74 @@ _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
 _HIDDEN = re.compile(r"\shidden(?:[\s=>]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_SAME_CLOSES = ("p", "li", "dt", "dd", "tr", "td", "th", "option")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _WORD = re.compile(r"\w+")
 
 
+def skipped(page: str, name: str, start: int, opened: Counter[str], ends: dict[tuple[str, int], int | None]) -> int | None:
+    """Where the element ``name`` ends whose opening tag ends at ``start``; None if its parent block or the page ends first.
+
+    ``opened`` counts the open blocks.  What is found for elements of the name
+    on the way is put into ``ends``, so that each part of a page is looked
+    through once for a name.
+    """
+    inner = [(name, start)]  # open blocks (place -1) and elements of the name
+    blocks: Counter[str] = Counter()
+    marks, at = 1, start
+
+    def leave(end: int | None = None) -> tuple[str, int]:
+        nonlocal marks
+        tag, place = inner.pop()
+        if place < 0:
+            blocks[tag] -= 1
+        else:
+            marks -= 1
+            ends[name, place] = end
+        return tag, place
+
+    while marks and (m := _PIECE.search(page, at)):
+        at, piece = m.end(), m[0]
+        named = _NAME.match(piece)
+        if not named:
+            continue
+        tag, closing = named[1].lower(), piece[1] == "/"
+        if tag == name:
+            if closing:
+                while leave(at)[1] < 0:
+                    pass
+            elif not (name in SELF_CLOSED and piece.endswith("/>")):
+                if name not in NESTED:  # can't hold another one: the first has no end
+                    while leave()[1] < 0:
+                        pass
+                inner.append((name, at))
+                marks += 1
+        elif tag in RAW_TEXT and not closing:
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
+        elif tag in BLOCK_TAGS and closing:
+            if blocks[tag]:
+                while leave() != (tag, -1):
+                    pass
+            elif opened[tag]:
+                break
+        elif tag in BLOCK_TAGS and tag not in _VOID and not piece.endswith("/>"):
+            if tag in _SAME_CLOSES and inner[-1] == (tag, -1):
+                leave()
+            inner.append((tag, -1))
+            blocks[tag] += 1
+    while inner:
+        leave()
+    return ends[name, start]
+
+
 def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
     """(text, characters inside links, in a boilerplate container, region, tag) of each block with text.
 
     Region 0 is the page outside ``article`` and ``main``; each outermost one of
-    these counts as the next region.
+    these counts as the next region.  RAW elements are left out; an opening tag
+    without its end tag before the parent block closes is passed over alone,
+    unless it begins raw text.
     """
     blocks: list = []
     parts: list[str] = []
@@ -75,6 +138,7 @@ def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
     opened: Counter[str] = Counter()
     boiler = inside = 0
     tag = ""
+    ends: dict[tuple[str, int], int | None] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -121,14 +185,18 @@ def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
         if name in _RAW_END and not closing:
             if name in BLOCK_TAGS or name == "head":
                 flush()
-            end = _RAW_END[name].search(page, at)
-            if end:
-                at = end.end()
-            elif name == "head":
-                body = re.search(r"<body\b", page[at:], re.I)
-                at = at + body.start() if body else n
-            else:
-                at = n
+            if name == "head" or name in RAW_TEXT:
+                end = _RAW_END[name].search(page, at)
+                if end:
+                    at = end.end()
+                elif name == "head":
+                    body = re.search(r"<body\b", page[at:], re.I)
+                    at += body.start() if body else 0
+                else:
+                    at = n
+            elif not (name in SELF_CLOSED and piece.endswith("/>")):
+                end_at = ends[name, at] if (name, at) in ends else skipped(page, name, at, opened, ends)
+                at = at if end_at is None else end_at
             continue
         if name not in BLOCK_TAGS:
             continue
@@ -144,7 +212,7 @@ def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
         tag = name
         if name in _VOID or piece.endswith("/>"):
             continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
+        if name in _SAME_CLOSES and stack and stack[-1][0] == name:
             leave()
         names = " ".join(x[1].strip("\"'") for x in _ATTRIBUTE.findall(piece)) if "=" in piece else ""
         bad = name in BOILER_TAGS and not (name == "header" and inside) or bool(names and BOILER_NAME.search(names) and name not in ("body", "html")) or bool(_HIDDEN.search(piece))

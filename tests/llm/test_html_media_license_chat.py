@@ -56,6 +56,28 @@ def test_articles_in_asides_and_comments_are_no_article():
         assert main_text(page) == good.strip()
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "button", "select", "object", "canvas", "noscript", "audio", "video", "template"])
+def test_unclosed_elements_swallow_no_page(tag):
+    gone = f"<{tag} x=1><div><b>gone</b></div></{tag}>"
+    assert main_text(f"<article><p>One <{tag}></p><p>two.</p>{gone}<p>Three{gone} four.</p></article>") == "One\ntwo.\nThree four."
+    assert main_text(f"<article><p>One.</p><{tag}><p>Two.</p></article>{gone}") == "One.\nTwo."
+    if tag in ("svg", "math"):
+        assert main_text(f"<article><p>One <{tag} id='i'/> two.</p><p>Three <{tag}><{tag}/><{tag}>x</{tag}></{tag}> four.</p></article>") == "One two.\nThree four."
+    elif tag in ("button", "select"):
+        assert main_text(f"<article><{tag}><p>One.</p>{gone}<p>Two.</p></article>") == "One.\nTwo."
+
+
+@pytest.mark.parametrize("page", ["<button>" * 50_000, "<svg>" * 50_000, "<object><svg>" * 20_000, "<div><object>" * 20_000, "<p><svg>" * 20_000 + "</svg>", "<div><object><p><svg></p>" * 20_000 + "</div>" * 20_000])
+def test_unclosed_elements_take_linear_time(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 10
+
+
+def test_head_without_end():
+    assert main_text("<html><head><title>t</title><article><p>One.</p></article>") == "One."
+
+
 def test_second_pass_inherits():
     assert second_pass(["good", "short", "good", "short", "bad", "near"], [0] * 6) == [True, True, True, False, False, False]
     assert second_pass(["short", "short"], [1, 1]) == [True, True] and second_pass(["short"], [0]) == [False]
