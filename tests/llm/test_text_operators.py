@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prismata.llm import decontaminate as D
 from prismata.llm import jaccard_join as J
@@ -103,6 +104,23 @@ def test_mix(spark):
     assert len(out) == sum(len(r.draws) for r in rows)
 
 
+def test_many_sources_reach_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(X, "PLAN_ROWS", 50)  # as with very many sources
+    monkeypatch.setattr(X, "GROUP_ROWS", 500, raising=False)
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('site', id % 60) AS source", "repeat('w ', int(5 + id % 7)) AS text")
+    rows = X.mix_sources(df).collect()
+    taken, target, size = {}, {}, {}
+    for r in rows:
+        taken[r.source] = taken.get(r.source, 0) + r.size * len(r.draws)
+        size[r.source], target[r.source] = r.source_size, r.target
+    names = sorted(size)
+    assert [target[n] for n in names] == pytest.approx(X.targets([size[n] for n in names]))
+    assert all(abs(taken[n] - target[n]) <= 12 for n in names)
+    shards = np.bincount([d["shard"] for r in X.mix_sources(df).collect() for d in r.draws], minlength=16)
+    assert len(shards) == 16 and shards.min() > 0.7 * shards.mean()
+    assert [r.draws for r in X.mix_sources(df.limit(3).withColumn("text", F.lit(None))).collect()] == [[]] * 3
+
+
 def test_mix_edges(spark):
     rows = [(1, None, None), (1, "a b", "x"), (None, "a", "x"), (None, "a", "x"), (2, "", "x")]
     df = spark.createDataFrame([(i, t, "en", s, 9) for (i, t, _), s in zip(rows, [None, "s", "s", None, "é"])], "doc_id long, text string, lang string, source string, size int")
