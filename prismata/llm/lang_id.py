@@ -128,18 +128,30 @@ class BitSlicedFilter:
         return ["und" if t == 0 else self.languages[b] for t, b in zip(total.tolist(), best.tolist())], score
 
 
+def rows_each(counts: list[int], most: int) -> float:
+    """Rows of each language at most, at least 1, so that all together are ``most``; what a rare one lacks goes to the others."""
+    left = most
+    for i, n in enumerate(sorted(counts)):
+        if n * (len(counts) - i) >= left:
+            return max(1.0, left / (len(counts) - i))
+        left -= n
+    return float(max(counts, default=1))
+
+
 def fit_filter(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> BitSlicedFilter:
     """Filters from rows of doc_id, text and lang (null lang or text: not used).
 
-    At most ``train_rows`` rows in expectation, picked by a hash of the id, are
-    counted; whole texts, on the executors.  What reaches the driver is one row
+    At most ``train_rows`` rows in expectation (or one for each language),
+    picked by a hash of the id, as many of each language as it has, are counted; whole texts, on the executors.  What reaches the driver is one row
     for each language and n-gram of that bounded sample.
     """
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = labelled.select("doc_id").count()
-    share = min(1.0, train_rows / max(1, rows))
-    if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.lit("lang-id"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("lang").cast("string"), "text")
+    rows = dict(labelled.groupBy("lang").agg(F.count(F.lit(1))).collect())
+    if sum(rows.values()) > train_rows:
+        most = rows_each(list(rows.values()), train_rows)
+        shares = [(lang, int(min(1.0, most / n) * (1 << 40))) for lang, n in rows.items()]
+        shares = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, below long"))
+        labelled = labelled.join(shares, "lang").where(F.pmod(F.xxhash64(F.lit("lang-id"), "doc_id"), F.lit(1 << 40)) < F.col("below"))
     small_batches(labelled.sparkSession)
 
     def count(batches):

@@ -55,6 +55,16 @@ def test_language_accuracy_and_edges(spark):
     assert LI.identify(odd, LI.fit_filter(odd.where("false"))).first().lang_pred == "und"
 
 
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(3)
+    make = lambda letters: " ".join("".join(rng.choices(letters, k=4)) for _ in range(30))
+    rows = [(i, make("abcdef"), "common") for i in range(2000)] + [(5000 + i, make("uvwxyz"), "rare") for i in range(20)]
+    model = LI.fit_filter(doc_frame(spark, rows).select("doc_id", "text", "lang"), train_rows=40)
+    assert model.languages == ["common", "rare"]
+    got = LI.identify(doc_frame(spark, rows[-5:]).select("doc_id", "text"), model).collect()
+    assert [r.lang_pred for r in got] == ["rare"] * 5
+
+
 def test_bit_slices_hold_all_members():
     rng = np.random.default_rng(0)
     sets = {f"l{i:02}": rng.integers(0, 1 << 62, 500).astype(np.uint64) for i in range(70)}
