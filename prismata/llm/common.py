@@ -45,7 +45,9 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 def unstash(df: DataFrame) -> None:
     """Delete a table that ``stash`` wrote; nothing may read it later."""
-    spark, path = df.sparkSession, df._stash_path
+    spark, path = df.sparkSession, getattr(df, "_stash_path", None)
+    if path is None:
+        raise ValueError("not a stash")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -13,12 +13,16 @@ their first ``n - need(n) + k`` tokens share at least ``k`` (extended prefixes).
 3. What could still link two different components must share tokens between
    components, and ``need(n)`` of them.  Of these, in order of frequency, each
    set indexes its first ones singly where they are rare.  Frequent ones are
-   indexed in pairs: the prefix is extended until a partner shares GROUPS + 1
-   of its tokens, two of which must fall into one of GROUPS hash groups, so
-   pairs within a group are enough.
-4. Sets connected by index entries form families.  Blocks of a family are
-   verified by counting shared tokens along inverted lists; only links that
-   join components leave the block.
+   indexed in pairs: the prefix is extended by as many tokens as there are hash
+   groups, so a partner shares more of them than there are groups, two fall
+   into one group, and pairs within a group are enough.  The number of groups
+   follows the size of the set (its class, which a partner has or neighbours),
+   so a set has a few entries for each token however many are frequent.
+4. Sets connected by index entries form families.  Entries are linked within
+   each task first, so that a frequent entry is sent once a task.  Blocks of a
+   family are verified by counting shared tokens along inverted lists; only
+   links that join components leave the block, and the sets of a family's main
+   component are never compared with each other.
 
 Equal sets are one node, so copies are never compared.  Nodes and tokens are
 64-bit hashes.
@@ -40,12 +44,14 @@ SHINGLE, PERCENT = 5, 80
 PACK = 400_000
 #: Token ranges at least; bytes of text for a range beyond that.
 RANGES, RANGE_BYTES = 48, 32 << 20
-#: Sets that may hold a token indexed singly; more frequent ones are indexed in pairs within GROUPS hash groups.
-FREQUENT, GROUPS = 256, 3
+#: Sets that may hold a token indexed singly; more frequent ones are indexed in pairs within hash groups.
+FREQUENT = 256
+#: Ratio of the sizes in a class (above that of partners), and hash groups at least and for each token of a set.
+CLASS, LEAST_GROUPS, GROUPS = 4 / 3, 3, 0.1
 #: Sets of a family that are verified together; a larger family is verified by pairs of blocks.
-BLOCK = 4096
-#: Rows for each partition of small tables (edges).
-SMALL_ROWS = 200_000
+BLOCK = 1024
+#: Edges that one task joins to components; more are joined by alternating stars, in partitions of as many.
+SMALL_ROWS = 1_000_000
 
 _PASS1 = "kind int, id long, key long, n long, node long, leader long, part int, tokens binary, nodes binary, flags binary"
 
@@ -218,70 +224,195 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(both * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of the edges (a, b) in ascending order, and the least node connected to each."""
+    nodes, ids = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ids[: len(a)], ids[len(a) :]
+    up = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(up[a], up[b]), np.maximum(up[a], up[b])
+        open_ = low < high
+        a, b = a[open_], b[open_]
+        np.minimum.at(up, high[open_], low[open_])
+        while not np.array_equal(up, over := up[up]):
+            up = over
+    return nodes, nodes[up]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with a > b that connect the same nodes, one for each node and PACK rows of a task."""
+
+    def work(batches):
+        def forest():
+            node, root = roots(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            own = node != root
+            return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(root[own])], ["a", "b"])
+
+        held, n = [], 0
+        for x in batches:
+            held.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
+            n += x.num_rows
+            if n >= PACK:
+                yield forest()
+                held, n = [], 0
+        if held:
+            yield forest()
+
+    return edges.select("a", "b").mapInArrow(work, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) for all nodes of the edges (a, b), by alternating stars.
+    """node, component (its least node) for all nodes of the edges (a, b); a stash.
 
-    Every round's edges are written; their number sets how many partitions the next one takes.
+    Up to SMALL_ROWS edges (after each task has contracted its own) are joined
+    by one task.  More go through rounds of alternating stars, where the nodes
+    with the most edges take their least neighbour by broadcast: at most 1,000,
+    as only those count that have over a thousandth of all edges.
     """
-    now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().coalesce(16), "cc")
-    before, parts = None, 16
+    now = stash(contracted(edges), "cc")
+    count = now.count()
+    if count <= SMALL_ROWS:
+
+        def work(batches):
+            held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+            if held:
+                node, root = roots(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "component"])
+
+        out = stash(now.coalesce(1).mapInArrow(work, "node long, component long"), "components")
+        unstash(now)
+        return out
+    before = None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(parts)
-        least = both.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts).distinct().coalesce(parts)
-        least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts)
-        small = large.join(least, "a").select(F.greatest("b", "m").alias("a"), F.col("m").alias("b")).coalesce(parts)
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").coalesce(parts).distinct().coalesce(parts)
-        after = stash(small, "cc")
+        parts = max(1, -(-count // max(SMALL_ROWS, 1)))
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = stash(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "cc-least")
+        hubs = F.broadcast(least.where(F.col("n") * 1000 > 2 * count).select("a", F.col("m").alias("hub")))
+        flagged = both.join(hubs, "a", "left")
+        far = flagged.where("hub IS NULL").select("a", "b").join(least.select("a", "m"), "a").unionByName(flagged.where("hub IS NOT NULL").select("a", "b", F.col("hub").alias("m")))
+        large = stash(far.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(parts), "cc-large")
+        least2 = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least2, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(least2.select("a", F.col("m").alias("b")))
+        after = stash(contracted(small.where("a <> b").distinct().coalesce(parts)).distinct(), "cc")
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        unstash(now)
-        now, parts = after, max(1, -(-state[0] // SMALL_ROWS))
+        for done in (now, least, large):
+            unstash(done)
+        now, count = after, state[0]
         if state == before:
             break
         before = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).coalesce(parts)
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = stash(out.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+    unstash(now)
+    return out
 
 
-def cross_tokens(sets: DataFrame, share: str) -> DataFrame:
+def cross_tokens(sets: DataFrame, share: str) -> tuple[DataFrame, DataFrame]:
     """node, component, n, tokens and own: its tokens that other components have too, (frequency, token) ascending.
 
-    Sets with fewer such tokens than the expression ``share`` are left out.
+    Sets with fewer such tokens than the expression ``share`` are left out.  The
+    second frame is a stash that the first one reads: with a table on either
+    side, Spark splits the join where a token is very frequent.
     """
     rows = sets.select("node", "component", F.explode("tokens").alias("token"))
     both = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
-    both = both.where("low <> high").select("token", "df")
-    own = rows.join(both, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
-    return sets.join(own, "node").where(f"size(own) >= {share}")
+    both = stash(both.where("low <> high").select("token", "df"), "jaccard-cross")
+    own = rows.select("node", "token").join(both, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
+    return sets.join(own, "node").where(f"size(own) >= {share}"), both
 
 
 def index_entries(sets: DataFrame, percent: int) -> DataFrame:
-    """node, entry: rare tokens of each set's prefix, and pairs of frequent ones of the longer prefix within a hash group."""
+    """node, entry: rare tokens of each set's prefix, and pairs of frequent ones of the longer prefix within a hash group.
+
+    Sets index pairs for their own size class and the next one, so that
+    partners, whose classes differ by one at most, have one in common.
+    """
     first = F.size("own") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
     singly = F.transform(F.filter(F.slice("own", F.lit(1), first), lambda x: x["df"] <= FREQUENT), lambda x: x["token"])
-    often = F.transform(F.filter(F.slice("own", F.lit(1), first + GROUPS), lambda x: x["df"] > FREQUENT), lambda x: x["token"])
-    group = lambda x: F.pmod(F.xxhash64(F.lit("group"), x), F.lit(GROUPS))
-    pairs = F.flatten(F.transform(often, lambda x, i: F.transform(F.filter(F.slice(often, i + 2, F.size(often)), lambda y: group(y) == group(x)), lambda y: F.xxhash64(x, y))))
-    return sets.select("node", F.explode(F.array_distinct(F.concat(singly, pairs))).alias("entry"))
+    rows = sets.select("node", "own", first.alias("first"), singly.alias("singly"), F.floor(F.log("n") / float(np.log(CLASS))).cast("int").alias("class"))
+    frequent = rows.where(F.exists(F.slice("own", F.lit(1), F.col("first")), lambda x: x["df"] > FREQUENT))
+    frequent = frequent.select("node", "own", "first", F.explode(F.array("class", F.col("class") + 1)).alias("class"))
+    groups = F.greatest(F.lit(LEAST_GROUPS), F.ceil(F.pow(F.lit(CLASS), F.col("class")) * GROUPS)).cast("int")
+    frequent = frequent.withColumn("groups", groups)
+    often = F.transform(F.filter(F.slice("own", F.lit(1), F.col("first") + F.col("groups")), lambda x: x["df"] > FREQUENT), lambda x: F.struct(F.pmod(F.xxhash64(F.lit("group"), x["token"]), F.col("groups")).alias("group"), x["token"].alias("token")))
+    frequent = frequent.select("node", "class", F.array_sort(often).alias("often"))
+    pairs = F.transform(F.col("often"), lambda x, i: F.transform(F.filter(F.slice("often", i + 2, F.size("often")), lambda y: y["group"] == x["group"]), lambda y: F.xxhash64("class", x["token"], y["token"])))
+    return rows.select("node", F.explode("singly").alias("entry")).unionByName(frequent.select("node", F.explode(F.flatten(pairs)).alias("entry")))
 
 
 def families(entries: DataFrame) -> DataFrame:
-    """node, family: sets that index entries connect."""
-    least = entries.groupBy("entry").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("entry", "b")
-    edges = entries.join(least, "entry").select(F.col("node").alias("a"), "b").distinct()
-    return components(edges).withColumnRenamed("component", "family")
+    """node, component (the family): sets that index entries connect; a stash.
+
+    Each task links the sets of PACK entries, keeps the links and sends each
+    entry once, with one of its sets; what follows an entry's first set in the
+    task that gets it is linked with that one.
+    """
+
+    def local(batches):
+        def pack():
+            entry, node = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            order = np.lexsort((node, entry))
+            entry, node = entry[order], node[order]
+            first = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
+            low = np.repeat(node[first], np.diff(np.r_[first, len(entry)]))
+            nodes, root = roots(node, low)
+            own = nodes != root
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(own.sum()), pa.int64()), pa.array(nodes[own]), pa.array(root[own])], ["entry", "node", "root"])
+            at = root[np.searchsorted(nodes, node[first])]
+            yield pa.RecordBatch.from_arrays([pa.array(entry[first]), pa.array(at), pa.nulls(len(first), pa.int64())], ["entry", "node", "root"])
+
+        held, n = [], 0
+        for x in batches:
+            held.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
+            n += x.num_rows
+            if n >= PACK:
+                yield from pack()
+                held, n = [], 0
+        if held:
+            yield from pack()
+
+    def link(batches):
+        last = None
+        for x in batches:
+            entry, node = x.column(0).to_numpy(), x.column(1).to_numpy()
+            if not len(entry):
+                continue
+            first = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
+            lead = node[first].copy()
+            if last is not None and last[0] == entry[0]:
+                lead[0] = last[1]
+            low = np.repeat(lead, np.diff(np.r_[first, len(entry)]))
+            last = entry[-1], low[-1]
+            nodes, root = roots(node, low)
+            own = nodes != root
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(root[own])], ["a", "b"])
+
+    packed = stash(entries.select("entry", "node").mapInArrow(local, "entry long, node long, root long"), "jaccard-entries")
+    met = packed.where("entry IS NOT NULL").select("entry", "node").repartition("entry").sortWithinPartitions("entry")
+    edges = met.mapInArrow(link, "a long, b long").unionByName(packed.where("entry IS NULL").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    out = components(edges)
+    unstash(packed)
+    return out
 
 
 def family_links(sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """Verified links (a, b) that join components (column component) within each family.
+    """Verified links (a, b) that join components (column component of ``sets``) within each family (that of ``named``).
 
     Tokens that only one component has are not in ``own``, so shared counts are
-    exact between components.  A family of more than BLOCK sets is cut into
-    blocks by hash, and each pair of blocks is a group.
+    exact between components.  The sets of a family's main component (that of
+    the most sets) and the others are cut into blocks by hash; each pair of
+    blocks of which one at least is of others is a group.
     """
-    blocks = named.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
-    rows = sets.select("node", "n", "component", F.transform("own", lambda x: x["token"]).alias("tokens")).join(named, "node").join(blocks, "family")
-    mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("mine", mine)
+    placed = sets.select("node", "component").join(named.select("node", F.col("component").alias("family")), "node")
+    counts = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"))
+    counts = counts.groupBy("family").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("all"))
+    k = lambda n: F.ceil(n / BLOCK).cast("int")
+    counts = counts.where("main.m < all").select("family", F.col("main.component").alias("main"), k(F.col("main.m")).alias("mains"), k(F.col("all") - F.col("main.m")).alias("others"))
+    rows = sets.select("node", "n", "component", F.transform("own", lambda x: x["token"]).alias("tokens")).join(placed.select("node", "family"), "node").join(counts, "family")
+    rest = F.col("component") != F.col("main")
+    at = F.when(rest, F.pmod(F.xxhash64("node"), F.col("others"))).otherwise(F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).cast("int")
+    to = F.when(rest, F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") - 1))
+    rows = rows.withColumn("other", F.explode(to)).withColumn("mine", at)
     rows = rows.select("family", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node", "n", "component", "tokens")
 
     def verify(pdf):
@@ -375,18 +506,21 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k
     # what may still link components: first by prefixes, then by whole sets
     reach = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + F.greatest(F.lit(2), F.floor(F.col("n") / 10))
     short = labelled(sets.select("node", "n", F.slice("tokens", F.lit(1), reach.cast("int")).alias("tokens")), parts_)
-    left = stash(cross_tokens(short, f"greatest(2, floor(ceil(n * {percent} / 100) / 10))").select("node").coalesce(16), "jaccard-left")
-    rest = labelled(sets.join(left, "node", "left_semi"), parts_)
-    rest = stash(cross_tokens(rest, f"ceil(n * {percent} / 100)").select("node", "n", "component", "own"), "jaccard-rest")
+    left, cross = cross_tokens(short, f"greatest(2, floor(ceil(n * {percent} / 100) / 10))")
+    left = stash(left.select("node").coalesce(16), "jaccard-left")
+    rest, again = cross_tokens(labelled(sets.join(left, "node", "left_semi"), parts_), f"ceil(n * {percent} / 100)")
+    rest = stash(rest.select("node", "n", "component", "own"), "jaccard-rest")
     named = families(index_entries(rest, percent))
     more = stash(family_links(rest, named, percent).coalesce(16), "jaccard-links")
+    for done in (parts_, named, cross, again):
+        unstash(done)
     parts_ = components(edges.unionByName(more))
 
     named = nodes.join(parts_, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = ["lead"] if keyed else []
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"), *[F.min(c).alias(c) for c in more])
-    ids = stash(named.drop(*more).join(ids, "component").select("node", "component_id", *more), "jaccard-ids")
-    for done in (few, sets, left, rest):
+    lead = ["lead"] if keyed else []
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"), *[F.min(c).alias(c) for c in lead])
+    ids = stash(named.drop(*lead).join(ids, "component").select("node", "component_id", *lead), "jaccard-ids")
+    for done in (few, sets, left, rest, edges, more, parts_):
         unstash(done)
     out = rows.join(ids, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *(["key", F.when(F.col("n") > 0, F.struct("lead.doc_id", "lead.key")).alias("lead")] if keyed else []))

@@ -162,9 +162,12 @@ def brute_join(rows):
     return {i: (len(s), find(i)) for (i, _), s in zip(rows, sets)}
 
 
-def test_join_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("small_rows", [1_000_000, 0])
+def test_join_equals_brute_force(spark, monkeypatch, small_rows):
+    monkeypatch.setattr(J, "SMALL_ROWS", small_rows)
     monkeypatch.setattr(J, "FREQUENT", 6)
-    monkeypatch.setattr(J, "BLOCK", 40)
+    monkeypatch.setattr(J, "BLOCK", 10)
+    monkeypatch.setattr(J, "PACK", 500)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
     base = [rng.choices(vocabulary, k=rng.choice([3, 5, 8, 30, 60, 120])) for _ in range(12)]
@@ -180,6 +183,26 @@ def test_join_equals_brute_force(spark, monkeypatch):
     assert got == brute_join(rows)
 
 
+def test_entries_of_a_set_do_not_grow_with_its_group(spark):
+    def entries(copies):
+        own = [(copies * 300, t) for t in range(400)]
+        sets = spark.createDataFrame([(i, 500, own) for i in range(3)], "node long, n long, own array<struct<df: long, token: long>>")
+        return J.index_entries(sets, 80).groupBy("node").count().first()[1]
+
+    assert entries(1) == entries(5) < 500
+
+
+def test_roots():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 300, 250), rng.integers(0, 300, 250)
+    want = {int(x): int(x) for x in np.r_[a, b]}
+    for _ in range(300):
+        for x, y in zip(a.tolist(), b.tolist()):
+            want[x] = want[y] = min(want[x], want[y])
+    node, root = J.roots(a, b)
+    assert dict(zip(node.tolist(), root.tolist())) == want
+
+
 def test_join_edges(spark):
     df = doc_frame(spark, [(None, "a b c d e f g h", None), (7, "a b c d e f g h", None), (7, "a b c d e f g h", None), (9, "z " * 50_000, None), (8, None, None)])
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_join(df).collect()), key=str)
