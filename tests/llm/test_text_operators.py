@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -281,46 +282,57 @@ def test_edited_copies_of_a_widely_leaked_item(spark):
 # quality ---------------------------------------------------------------
 
 
-def plain_kneser_ney(texts, code):
-    """Probability of the last symbol of one n-gram, from its definition."""
-    A, N = Q.ALPHABET, Q.ORDER
-    full = {}
-    for t in texts:
-        for c in Q.ngram_codes([t.encode()], Q.symbol_table())[0].tolist():
-            full[c] = full.get(c, 0) + 1
-    levels = {N: full}
-    for k in range(N - 1, 0, -1):
-        low = {}
-        for c in levels[k + 1]:
-            low[c % A**k] = low.get(c % A**k, 0) + 1
-        levels[k] = low
-
-    def prob(c, k):
-        if k == 0:
-            return 1 / A
-        counts = levels[k]
+def plain_kneser_ney(texts):
+    """Probability of a symbol after others, by the definition: a function of the n-gram as a string."""
+    fold = lambda t: re.sub(r"[\t-\r]", " ", re.sub(r"[0-9]", "0", t))
+    levels = {Q.ORDER: Counter(p[i - Q.ORDER + 1 : i + 1] for t in texts for p in ["\0" * (Q.ORDER - 1) + fold(t)] for i in range(Q.ORDER - 1, len(p)))}
+    for k in range(Q.ORDER - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    cuts = {}
+    for k, counts in levels.items():
         n = [max(1, sum(v == i for v in counts.values())) for i in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1])
-        d = [min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n[1] / n[0]), (2, 2 - 3 * y * n[2] / n[1]), (3, 3 - 4 * y * n[3] / n[2]))]
-        cut = lambda v: d[min(v, 3) - 1]
-        own = {x: v for x, v in counts.items() if x // A == c // A}
-        lower = prob(c % A ** (k - 1), k - 1)
+        cuts[k] = [min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n[1] / n[0]), (2, 2 - 3 * y * n[2] / n[1]), (3, 3 - 4 * y * n[3] / n[2]))]
+
+    def prob(gram):
+        if not gram:
+            return 1 / (len(levels[1]) + 1)
+        counts, cut = levels[len(gram)], lambda v: cuts[len(gram)][min(v, 3) - 1]
+        own = {x: v for x, v in counts.items() if x[:-1] == gram[:-1]}
+        lower = prob(gram[1:])
         if not own:
             return lower
         total = sum(own.values())
-        return (max(0, own.get(c, 0) - cut(own[c])) / total if c in own else 0) + sum(cut(v) for v in own.values()) / total * lower
-
-    return prob(code, N)
-
-
-def test_model_equals_definition(spark):
-    texts = ["The cat sat, 12 times.", "A cat and the HAT é ñ!", "the the the"]
-    model = Q.train_model(doc_frame(spark, [(i, t, "en") for i, t in enumerate(texts)] + [(9, None, "en")]))
-    rng = random.Random(0)
-    for code in [*rng.sample(range(Q.ALPHABET**Q.ORDER), 40), *Q.ngram_codes([b"the cat"], Q.symbol_table())[0].tolist()]:
-        assert math.exp(model[code]) == pytest.approx(plain_kneser_ney(texts, code), rel=1e-4)
-    p = np.exp(model.astype(float)).reshape(-1, Q.ALPHABET).sum(1)
-    assert np.allclose(p, 1, atol=1e-3)
+        return (own[gram] - cut(own[gram]) if gram in own else 0) / total + sum(map(cut, own.values())) / total * lower
+
+    return lambda t: [prob(p[i - Q.ORDER + 1 : i + 1]) for p in ["\0" * (Q.ORDER - 1) + fold(t)] for i in range(Q.ORDER - 1, len(p))]
+
+
+@pytest.mark.parametrize("pack_bytes", [1 << 24, 50])
+def test_perplexity_equals_definition(spark, monkeypatch, pack_bytes):
+    monkeypatch.setattr(Q, "PACK_BYTES", pack_bytes)
+    monkeypatch.setattr(Q, "CHUNK", 60)
+    monkeypatch.setattr(Q, "SHARD_ROWS", 20)
+    texts = ["The cat sat, 12 times.", "A cat and the HAT é ñ!", "the the the", "Кот сидел на окне", "кот и\tшляпа 7", "猫が座った。猫", "a", "zebra \0 zero"]
+    docs = doc_frame(spark, [(i, t, "en") for i, t in enumerate(texts)] + [(90, None, "en"), (91, "", None), (92, "Q unseen ☃", "en"), (92, "the cat", "xx")]).repartition(3)
+    docs = docs.cache()
+    folds = {r.text: r.fold for r in Q.with_fold(docs).collect()}
+    plain = [plain_kneser_ney([t for t in texts if folds[t] != f]) for f in (0, 1)]
+    model, unknown = Q.train_model(docs.where("doc_id < 90"))
+    got = Q.score_documents(docs, model, unknown, carry=["text", "n_shingles"]).collect()
+    assert len(got) == len(texts) + 4 and {r.carried.n_shingles for r in got} == {7}
+    for r in got:
+        want = plain[folds[r.carried.text]](r.carried.text or "")
+        assert r.n_symbols == len(want) and r.nll == pytest.approx(-sum(map(math.log, want)), rel=1e-4, abs=1e-6)
+
+
+def test_slots():
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(1, 1 << 40, 5000).astype(np.uint64) << np.uint64(20))
+    slots = Q.Slots(16)
+    for part in np.array_split(rng.permutation(keys), 7):
+        slots.add(part)
+    assert sorted(slots.find(keys).tolist()) == list(range(len(keys))) and (slots.find(keys + np.uint64(1)) == -1).all()
 
 
 def test_quality_keeps_clean_and_drops_junk(spark):
