@@ -49,7 +49,7 @@ FREQUENT = 256
 #: Ratio of the sizes in a class (above that of partners), and hash groups at least and for each token of a set.
 CLASS, LEAST_GROUPS, GROUPS = 4 / 3, 3, 0.1
 #: Sets of a family that are verified together; a larger family is verified by pairs of blocks.
-BLOCK = 1024
+BLOCK = 512
 #: Edges that one task joins to components; more are joined by alternating stars, in partitions of as many.
 SMALL_ROWS = 1_000_000
 
