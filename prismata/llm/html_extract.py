@@ -1,13 +1,16 @@
 """Main text of web pages by two passes over blocks.
 
-Pass one decides each block on its own: blocks in containers that name a role
-(navigation, advert, comments ...) are boilerplate, blocks dense in links are
-boilerplate, long blocks dense in stop words are content, short ones stay
-ambiguous.  Pass two lets ambiguous blocks inherit from the nearest decided
-neighbours of the same region.  A page that marks its article (``article`` or
-``main``, in no boilerplate) says itself where content lies: long blocks there need no stop words,
-and a region without any decided block counts as content there, as boilerplate
-elsewhere.
+Elements whose tag or name (words of class, id or role) tells of navigation,
+adverts, comments and the like are suspects.  What a suspect holds decides
+whether it is boilerplate: a wrapper around the article or most of the page is
+not.  Pass one then decides each block on its own: blocks in boilerplate are
+out, blocks dense in links are boilerplate, long blocks dense in stop words are
+content, short ones stay ambiguous.  In a language without a list of stop
+words, sentences count instead.  Pass two lets ambiguous blocks inherit from
+the nearest decided neighbours of the same region.  A page that marks its
+article (``article`` or ``main``, in no boilerplate) says itself where content
+lies: long blocks there need no stop words, and a region without any decided
+block counts as content there, as boilerplate elsewhere.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +37,8 @@ STOP_WORDS = frozenset(
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 LINK_DENSITY = 0.2
+#: Share of the page's text from which a suspect is the page's own wrapper; share of stop words in the long blocks below which the language has no list.
+WRAPPER, LISTED = 0.6, 0.1
 
 #: Elements whose content is never text of the page.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "head", "select", "button", "canvas", "audio", "video")
@@ -46,11 +52,13 @@ REGION_TAGS = frozenset(("article", "main"))
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Words in class, id or role that name boilerplate.
-BOILER_NAME = re.compile(
-    r"(?:^|[\s_\-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|disqus|consent|cookies?|copyright|disclaimer|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|contentinfo|complementary|search|login|signup)(?:$|[\s_\-\d])",
-    re.I,
-)
+#: Words in class, id or role that name boilerplate: readers' comments, what never wraps an article, and what may.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus replies reply respond".split())
+ADVERT_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr banner popup newsletter subscribe copyright disclaimer notice notices".split())
+FRAME_NAMES = frozenset("breadcrumb breadcrumbs footer header masthead menu modal nav navbar navigation pagination pager recommended recommendations related share sharing sidebar social toolbar widget contentinfo complementary search login signup".split())
+#: Words before one of these that make it tell of something else, and those that make a header one of the article.
+OTHERWISE = frozenset("with has no non not without is after before under".split())
+OWN_HEADER = frozenset("entry post article page story content section".split())
 #: Quoted values are followed this far, so that a lost quote can't make every tag scan the whole page.
 _QUOTED = 20_000
 _PIECE = re.compile(
@@ -123,8 +131,88 @@ def skipped(page: str, name: str, start: int, opened: Counter[str], ends: dict[t
     return ends[name, start]
 
 
+@lru_cache(4096)
+def named(value: str, inside: bool) -> str:
+    """comments, advert, frame or nothing: what the words of a class, id or role name; ``inside`` an article headers are its own."""
+    found = ""
+    for token in value.split():
+        parts = [x for x in re.split(r"[-_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if x]
+        if not parts or OTHERWISE.intersection(parts[:-1]):
+            continue
+        for word in {parts[0], parts[-1]}:
+            if word in COMMENT_NAMES:
+                return "comments"
+            if word in ADVERT_NAMES:
+                found = "advert"
+            elif word in FRAME_NAMES and not (word == "header" and (inside or OWN_HEADER.intersection(parts))):
+                found = found or "frame"
+    return found
+
+
+class Suspects:
+    """Elements that may be boilerplate, numbered as they open: what tells of it, the suspect around each, and what each holds."""
+
+    def __init__(self):
+        self.kinds, self.parents, self.articles, self.chars, self.holds = [], [], [], [], []
+
+    def add(self, kind: str, parent: int, article: bool) -> int:
+        for field, x in ((self.kinds, kind), (self.parents, parent), (self.articles, article), (self.chars, 0), (self.holds, False)):
+            field.append(x)
+        return len(self.kinds) - 1
+
+    def hold(self, at: int) -> None:
+        """An article opens in the suspect: those around it hold one, up to the first that is no wrapper."""
+        while at >= 0 and not self.holds[at] and self.kinds[at] in ("frame", "form", "advert"):
+            self.holds[at] = True
+            at = self.parents[at]
+
+    def boilerplate(self, blocks: list) -> list[bool]:
+        """Which of them are, given the blocks (whose third field names the innermost suspect).
+
+        Hidden elements, tags for navigation and the like, and comments always;
+        an article named like boilerplate if there is another one; an article in
+        another that has text of its own; other names and forms unless they hold
+        an article or most of the text (adverts: an article).
+        """
+        n = len(self.kinds)
+        aside = [k in ("hidden", "comments") for k in self.kinds]  # of these or in one
+        for i in range(n):
+            aside[i] = aside[i] or self.parents[i] >= 0 and aside[self.parents[i]]
+        total, clean, own = 0, set(), Counter()
+        for text, linked, at, region, _ in blocks:
+            plain = max(0, len(text) - linked)
+            if at >= 0:
+                self.chars[at] += plain
+            elif region:
+                clean.add(region)
+            if at < 0 or not aside[at]:
+                total += plain
+        for i in range(n - 1, -1, -1):
+            if self.parents[i] >= 0:
+                self.chars[self.parents[i]] += self.chars[i]
+        for text, linked, at, region, _ in blocks:
+            if region and (at < 0 or self.kinds[at] != "nested"):
+                own[region] += max(0, len(text) - linked)
+        regions = {}
+        for _, _, at, region, _ in blocks:
+            while at >= 0 and at not in regions:
+                regions[at] = region
+                at = self.parents[at]
+        out = []
+        for i, kind in enumerate(self.kinds):
+            wraps = self.holds[i] or kind != "advert" and self.chars[i] > WRAPPER * total
+            if kind == "nested":
+                bad = own[regions.get(i, 0)] >= LENGTH_LOW
+            elif self.articles[i] and kind in ("frame", "advert"):
+                bad = bool(clean)
+            else:
+                bad = kind in ("hidden", "tag", "comments") or not wraps
+            out.append(bad or self.parents[i] >= 0 and out[self.parents[i]])
+        return out
+
+
 def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
-    """(text, characters inside links, in a boilerplate container, region, tag) of each block with text.
+    """(text, characters inside links, in boilerplate, region, tag) of each block with text.
 
     Region 0 is the page outside ``article`` and ``main``; each outermost one of
     these counts as the next region.  RAW elements are left out; an opening tag
@@ -134,9 +222,10 @@ def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
     blocks: list = []
     parts: list[str] = []
     linked = links = breaks = regions = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, region
+    stack: list[tuple[str, int, bool]] = []  # tag, suspect (-1: none), region
     opened: Counter[str] = Counter()
-    boiler = inside = 0
+    suspects = Suspects()
+    suspect, inside = -1, 0
     tag = ""
     ends: dict[tuple[str, int], int | None] = {}
 
@@ -145,15 +234,16 @@ def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append((text, linked, boiler > 0, regions if inside else 0, tag))
+                blocks.append((text, linked, suspect, regions if inside else 0, tag))
             parts.clear()
         linked = 0
 
     def leave() -> str:
-        nonlocal boiler, inside
-        name, bad, region = stack.pop()
+        nonlocal suspect, inside
+        name, own, region = stack.pop()
         opened[name] -= 1
-        boiler -= bad
+        if own >= 0:
+            suspect = suspects.parents[own]
         inside -= region
         return name
 
@@ -169,10 +259,10 @@ def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
         if not m:
             break
         at, piece = m.end(), m[0]
-        named = _NAME.match(piece)
-        if not named:
+        found = _NAME.match(piece)
+        if not found:
             continue
-        name, closing = named[1].lower(), piece[1] == "/"
+        name, closing = found[1].lower(), piece[1] == "/"
         if name == "br":
             parts.append(" ")
             breaks += 1
@@ -214,32 +304,66 @@ def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
             continue
         if name in _SAME_CLOSES and stack and stack[-1][0] == name:
             leave()
-        names = " ".join(x[1].strip("\"'") for x in _ATTRIBUTE.findall(piece)) if "=" in piece else ""
-        bad = name in BOILER_TAGS and not (name == "header" and inside) or bool(names and BOILER_NAME.search(names) and name not in ("body", "html")) or bool(_HIDDEN.search(piece))
         region = name in REGION_TAGS
+        names = " ".join(x[1].strip("\"'") for x in _ATTRIBUTE.findall(piece)) if "=" in piece else ""
+        if _HIDDEN.search(piece):
+            kind = "hidden"
+        elif name == "form":
+            kind = "form"
+        elif name in BOILER_TAGS and not (name == "header" and inside):
+            kind = "tag"
+        else:
+            kind = named(names, bool(inside)) if names and name not in ("body", "html") else ""
+            if name == "article" and opened["article"] and kind != "comments":
+                kind = "nested"
         if region and not inside:
             regions += 1
-        stack.append((name, bad, region))
+            suspects.hold(suspect)
+        own = suspects.add(kind, suspect, region) if kind else -1
+        suspect = own if kind else suspect
+        stack.append((name, own, region))
         opened[name] += 1
-        boiler += bad
         inside += region
     flush()
-    return blocks
+    bad = suspects.boilerplate(blocks)
+    return [(text, size, at >= 0 and bad[at], region, tag) for text, size, at, region, tag in blocks]
+
 
+_WIDE = re.compile("[\u2e80-\ua4cf\uac00-\ud7af\uf900-\ufaff]")
+_SENTENCE = re.compile("[.!?\u0964\u3002\uff01\uff1f\u061f\u06d4]")
 
-def first_pass(text: str, linked: int, boiler: bool, region: int, tag: str) -> str:
-    """good, bad, near (long enough, few stop words), short, or out (in a boilerplate container)."""
+
+def stop_share(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def has_list(blocks: list) -> bool:
+    """Whether the page's long blocks have stop words enough to be in a language with a list (or there are none)."""
+    long = [b[0] for b in blocks if not b[2] and len(b[0]) >= LENGTH_LOW and b[1] / len(b[0]) <= LINK_DENSITY]
+    return not long or stop_share(" ".join(long)) >= LISTED
+
+
+def first_pass(text: str, linked: int, boiler: bool, region: int, tag: str, listed: bool = True) -> str:
+    """good, bad, near (long enough, few stop words), short, or out (in a boilerplate container).
+
+    Wide characters count two and a half.  Unless the language is ``listed``, a long
+    block is content if it has a sentence's end.
+    """
     if boiler:
         return "out"
     size = len(text)
     if linked / size > LINK_DENSITY and (tag not in ("p", "pre", "blockquote") or not region or linked / size > 0.9):
         return "bad"
+    if not text.isascii():
+        size += 3 * len(_WIDE.findall(text)) // 2
     if region:
         return "good" if size >= LENGTH_LOW else "short"
     if size < LENGTH_LOW:
         return "bad" if linked else "short"
-    words = _WORD.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if not listed:
+        return "near" if size <= LENGTH_HIGH or not _SENTENCE.search(text) else "good"
+    density = stop_share(text)
     if density >= STOP_HIGH:
         return "good" if size > LENGTH_HIGH else "near"
     return "near" if density >= STOP_LOW else "bad"
@@ -285,7 +409,8 @@ def main_text(page: str | None) -> str:
     blocks = parse_blocks(page or "")
     if any(b[3] and not b[2] for b in blocks):  # the page marks its article (not just teasers or comments): what lies outside is around it
         blocks = [b if b[3] else (b[0], b[1], True, 0, b[4]) for b in blocks]
-    keep = second_pass([first_pass(*b) for b in blocks], [b[3] for b in blocks])
+    listed = has_list(blocks)
+    keep = second_pass([first_pass(*b, listed) for b in blocks], [b[3] for b in blocks])
     return "\n".join(b[0] for b, k in zip(blocks, keep) if k)
 
 

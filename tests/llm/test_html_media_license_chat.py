@@ -34,7 +34,7 @@ def test_odd_pages(page):
     assert main_text(page) in ("", "<", "&", "\0", "<p")
 
 
-@pytest.mark.parametrize("page", ["<a '" * 20_000, '<p class="x' * 20_000, "<div>" * 50_000 + "</p>" * 50_000, "<!-" * 50_000, "<article>" + "<p>a" * 30_000])
+@pytest.mark.parametrize("page", ["<a '" * 20_000, '<p class="x' * 20_000, "<div>" * 50_000 + "</p>" * 50_000, "<!-" * 50_000, "<article>" + "<p>a" * 30_000, "<div class=widget>a" * 30_000, "<article><div class=nav>" * 20_000])
 def test_hostile_pages_take_linear_time(page):
     began = time.process_time()
     main_text(page)
@@ -56,6 +56,45 @@ def test_articles_in_asides_and_comments_are_no_article():
         assert main_text(page) == good.strip()
 
 
+GOOD = "it was the best of times and it was the worst of times for all of us " * 5
+RUSSIAN = "Это был обычный день, и никто не знал, что будет дальше. Люди шли по улице и говорили о погоде. " * 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout with-sidebar"><article><p>{}</p></article><div class="sidebar"><p>Side of it.</p></div></div>',
+        '<div class="sidebar-layout"><main><p>{}</p></main></div><footer>f</footer>',
+        '<article class="post related-post"><p>{}</p></article>',
+        '<div class="search-page"><div><p>{}</p></div></div>',
+        '<form action="x"><div><p>{}</p></div></form>',
+        '<article><p>{}</p></article><article class="comment"><p>I am a reader.</p></article>',
+        '<article><p>{}</p></article><article id="comment-12"><p>I am a reader, too, and have a lot to say about all of that.</p></article>',
+        "<article><p>{}</p><section><article><p>Nested opinion of a reader.</p></article></section></article>",
+        '<div><p>{}</p></div><div class="comments"><p>' + GOOD * 4 + "</p></div>",
+        '<div><p>{}</p></div><div class="adBox">' + GOOD + '</div><div id="ad-top">buy</div>',
+        '<article class="story"><p>{}</p></article><article class="related"><p>' + GOOD + "</p></article>",
+        '<div class="no-sidebar has-header"><p>{}</p></div>',
+    ],
+)
+@pytest.mark.parametrize("text", [GOOD, RUSSIAN])
+def test_names_are_no_veto(page, text):
+    assert main_text(page.format(text)) == text.strip()
+
+
+def test_own_headers_are_content():
+    page = f'<header><h1>Site</h1></header><article><div class="entry-header"><h1>Title</h1></div><header><p>Lead.</p></header><p>{GOOD}</p></article>'
+    assert main_text(page) == f"Title\nLead.\n{GOOD.strip()}"
+    assert main_text(f'<div class="post-header"><h1>Title</h1></div><div><p>{GOOD}</p></div>') == f"Title\n{GOOD.strip()}"
+
+
+def test_unlisted_languages():
+    page = f"<div><ul><li><a href=x>Меню</a></li></ul><div><p>{RUSSIAN}</p><p>Коротко.</p><p>{RUSSIAN}</p></div></div>"
+    assert main_text(page) == f"{RUSSIAN.strip()}\nКоротко.\n{RUSSIAN.strip()}"
+    chinese = "这是一个普通的日子，没有人知道接下来会发生什么。" * 5
+    assert main_text(f"<div><p>{chinese}</p></div>") == chinese
+
+
 @pytest.mark.parametrize("tag", ["svg", "math", "button", "select", "object", "canvas", "noscript", "audio", "video", "template"])
 def test_unclosed_elements_swallow_no_page(tag):
     gone = f"<{tag} x=1><div><b>gone</b></div></{tag}>"
