@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_FOLDERS: dict[str, str] = {}
+
 
 class PrismataError(Exception):
     """Any error that a user can mend: a bad path, an unsupported input, an impossible request."""
@@ -18,3 +22,19 @@ def session(**conf: str) -> SparkSession:
     for k, v in conf.items():
         build = build.config(k, v)
     return build.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where the session names none, a local one (as in tests) gets a temporary
+    folder of its own; on a cluster that would be a folder of one machine, so
+    it is an error there.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise PrismataError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+        app = spark.sparkContext.applicationId
+        found = _FOLDERS[app] if app in _FOLDERS else _FOLDERS.setdefault(app, f"file://{tempfile.mkdtemp(prefix='prismata-')}")
+    return found.rstrip("/")
