@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Rows in one Arrow batch sent to Python; texts may be long.
 BATCH_ROWS = 2000
 #: A side of at most so many narrow rows is broadcast, a longer one is joined by shuffle.
@@ -22,18 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    A folder of our own is set only where the session names none.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='prismata-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
@@ -64,6 +53,32 @@ def small_side(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.count() <= most else side
 
 
+def rows_each(counts: list[int], most: int) -> float:
+    """Rows of each group at most, at least 1, so that all together are ``most``; what a small one lacks goes to the others."""
+    left = most
+    for i, n in enumerate(sorted(counts)):
+        if n * (len(counts) - i) >= left:
+            return max(1.0, left / (len(counts) - i))
+        left -= n
+    return float(max(counts, default=1))
+
+
+def sample_by(rows: DataFrame, group: str, most: int, salt: str) -> DataFrame:
+    """At most ``most`` of the rows in expectation (or one for each group), as many of each group as it has.
+
+    A hash of doc_id and text picks them, so that rows which share an id are
+    picked each; of equal ones (doc_id and text) one counts.  The driver gets a
+    row for each group.
+    """
+    rows = rows.withColumn("sample_key", F.xxhash64(F.lit(salt), "doc_id", "text"))
+    counts = dict(rows.groupBy(group).agg(F.approx_count_distinct("sample_key", 0.02)).collect())
+    each = rows_each(list(counts.values()), most)
+    below = [(value, int(min(1.0, each / max(1, n)) * (1 << 40)) if n > each else 1 << 40) for value, n in counts.items()]
+    below = F.broadcast(rows.sparkSession.createDataFrame(below, f"sample_group {rows.schema[group].dataType.simpleString()}, sample_below long"))
+    kept = rows.join(below, F.col(group).eqNullSafe(F.col("sample_group"))).where(F.pmod("sample_key", F.lit(1 << 40)) < F.col("sample_below"))
+    return kept.groupBy("sample_key").agg(*[F.first(c).alias(c) for c in rows.columns if c != "sample_key"]).drop("sample_key")
+
+
 def carrying(docs: DataFrame, needs, carry, work, schema: str) -> DataFrame:
     """``mapInArrow`` over the needed columns ("name type" each) and, last, a struct of those in ``carry``.
 

@@ -204,10 +204,11 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESH
 
 
 def align_block(docs: DataFrame, items: Items, threshold: float, carry=()) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(items))  # plain values: a worker need not have this module to read them
 
     def work(batches):
-        items, make = shared.value, hasher()
+        items, make = Items.__new__(Items), hasher()
+        vars(items).update(shared.value)
         names = ["doc_id", "item_id", "score", "start_word", "end_word", "seeds"]
         types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
         for b in batches:

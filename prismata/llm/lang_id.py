@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, residue, small_batches, table, texts_of
+from .common import chunks, mix, residue, sample_by, small_batches, table, texts_of
 
-#: Labelled rows that the filters are fitted on, at most in expectation (a hash picks them).
+#: Labelled rows that the filters are fitted on, at most in expectation.
 TRAIN_ROWS = 6000
 #: An n-gram belongs to a language that uses it at least this share as often as the language that uses it most.
 SHARE = 0.3
@@ -128,30 +128,17 @@ class BitSlicedFilter:
         return ["und" if t == 0 else self.languages[b] for t, b in zip(total.tolist(), best.tolist())], score
 
 
-def rows_each(counts: list[int], most: int) -> float:
-    """Rows of each language at most, at least 1, so that all together are ``most``; what a rare one lacks goes to the others."""
-    left = most
-    for i, n in enumerate(sorted(counts)):
-        if n * (len(counts) - i) >= left:
-            return max(1.0, left / (len(counts) - i))
-        left -= n
-    return float(max(counts, default=1))
-
-
 def fit_filter(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> BitSlicedFilter:
     """Filters from rows of doc_id, text and lang (null lang or text: not used).
 
-    At most ``train_rows`` rows in expectation (or one for each language),
-    picked by a hash of the id, as many of each language as it has, are counted; whole texts, on the executors.  What reaches the driver is one row
-    for each language and n-gram of that bounded sample.
+    At most ``train_rows`` rows in expectation (or one for each language), as
+    many of each language as it has, are counted; whole texts, on the
+    executors.  A hash of id and text picks them; equal rows count once.  What
+    reaches the driver is one row for each language and n-gram of that bounded
+    sample.
     """
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("lang").cast("string"), "text")
-    rows = dict(labelled.groupBy("lang").agg(F.count(F.lit(1))).collect())
-    if sum(rows.values()) > train_rows:
-        most = rows_each(list(rows.values()), train_rows)
-        shares = [(lang, int(min(1.0, most / n) * (1 << 40))) for lang, n in rows.items()]
-        shares = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, below long"))
-        labelled = labelled.join(shares, "lang").where(F.pmod(F.xxhash64(F.lit("lang-id"), "doc_id"), F.lit(1 << 40)) < F.col("below"))
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    labelled = sample_by(labelled, "lang", train_rows, "lang-id")
     small_batches(labelled.sparkSession)
 
     def count(batches):
@@ -181,10 +168,11 @@ def identify(docs: DataFrame, model: BitSlicedFilter) -> DataFrame:
     is bounded by the n-grams of the fitting sample.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a worker need not have this module to read them
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.rows, model.chance))
 
     def work(batches):
-        letters, found = letter_table(), shared.value
+        letters, found = letter_table(), BitSlicedFilter(*shared.value)
         for b in batches:
             data, offsets = texts_of(b.column(1))
             langs, scores = [], []

@@ -13,7 +13,7 @@ from prismata.llm import lang_id as LI
 from prismata.llm import mixing as X
 from prismata.llm import quality as Q
 from prismata.llm import toxicity as T
-from prismata.llm.common import WordHasher, ascii_lower, space_bytes
+from prismata.llm.common import WordHasher, ascii_lower, sample_by, space_bytes
 
 SF = "/root/testdata/sf0.01"
 
@@ -66,6 +66,14 @@ def test_rare_languages_are_learned(spark):
     assert [r.lang_pred for r in got] == ["rare"] * 5
 
 
+def test_repeated_ids_are_learned(spark):
+    rng = random.Random(4)
+    make = lambda letters: " ".join("".join(rng.choices(letters, k=4)) for _ in range(30))
+    rows = [(1, make("abcdef"), "a") for i in range(800)] + [(1, make("uvwxyz"), "b") for i in range(800)] + [(2, "same text of c", "c")] * 50
+    model = LI.fit_filter(doc_frame(spark, rows).select("doc_id", "text", "lang"), train_rows=100)
+    assert model.languages == ["a", "b", "c"]
+
+
 def test_bit_slices_hold_all_members():
     rng = np.random.default_rng(0)
     sets = {f"l{i:02}": rng.integers(0, 1 << 62, 500).astype(np.uint64) for i in range(70)}
@@ -379,12 +387,24 @@ def test_best_cut():
 def test_toxicity_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    model = T.fit_toxicity(docs, labels.where("doc_id % 4 <> 2"))
-    held = labels.where("doc_id % 4 = 2").join(docs, "doc_id").where("lang = 'en'")
-    want = {r.doc_id: r.toxic for r in held.collect()}
-    got = {r.doc_id: r.score for r in T.score_toxicity(held.select("doc_id", "text", "lang"), model).collect()}
-    y, p = np.array([want[i] for i in got]), np.array([got[i] >= T.THRESHOLD for i in got])
-    assert p[y == 1].mean() > 0.85 and p[y == 0].mean() < 0.03
+    model = T.fit_toxicity(docs, labels.where(T.residue("doc_id", 4) != 2))
+    held = labels.where(T.residue("doc_id", 4) == 2).join(docs, "doc_id")
+    want = {r.doc_id: (r.toxic, r.lang, len(r.text) > 8 * T.TRAIN_WORDS) for r in held.collect()}
+    got = {r.doc_id: r for r in T.score_toxicity(held.select("doc_id", "text", "lang"), model).collect()}
+    y, lang, long = (np.array([want[i][k] for i in got]) for k in range(3))
+    for p in (np.array([r.score >= T.THRESHOLD for r in got.values()]), np.array([r.toxic for r in got.values()])):
+        assert p[y == 1].mean() >= 0.9 and y[p].mean() >= 0.8
+        for one in ("en", "de", "fr", "es"):
+            own = lang == one
+            assert p[own & (y == 1)].mean() >= 0.9 and p[own & (y == 0)].mean() < 0.1
+        assert p[long & (y == 0)].mean() < 0.2
+
+
+def test_toxicity_sample_is_bounded_whatever_repeats(spark):
+    rows = spark.range(4000).selectExpr("5L AS doc_id", "concat('word', id % 1000) AS text", "'en' AS lang").unionByName(spark.range(300).selectExpr("id + 10 AS doc_id", "concat('w', id) AS text", "CAST(NULL AS STRING) AS lang"))
+    kept = sample_by(rows, "lang", 100, "x").collect()
+    assert 60 < len(kept) < 140 and len({(r.doc_id, r.text) for r in kept}) == len(kept) and 25 < sum(r.lang is None for r in kept) < 75
+    assert sample_by(rows, "lang", 10_000, "x").count() == 1300 and sample_by(rows.where("false"), "lang", 10, "x").count() == 0
 
 
 def test_toxicity_edges(spark):
