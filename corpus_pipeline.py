@@ -18,18 +18,17 @@ from prismata.llm.mixing import mix_sources, shuffled
 from prismata.llm.quality import judge_quality, trusted_ids
 from prismata.llm.toxicity import labelled_model, score_toxicity
 
-_KEY = "xxhash64(text)"
 
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose doc_id and text are not among ``gone`` (columns doc_id, key)."""
-    side = small_side(gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & F.expr(_KEY).eqNullSafe(F.col("gone_key"))
-    return docs.join(side, same, "left_anti")
+def _without(docs: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows whose doc_id and text are not among ``gone`` (columns doc_id, key); with ``left_semi`` those that are."""
+    side = small_side(gone.select("doc_id", "key").distinct()).alias("gone")
+    same = F.col("docs.doc_id").cast("long").eqNullSafe(F.col("gone.doc_id")) & F.expr("xxhash64(docs.text)").eqNullSafe(F.col("gone.key"))
+    return docs.alias("docs").join(side, same, how)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", F.expr(_KEY))
+    """doc_id, text, lang and the text's key: other columns, whatever their names, can't clash."""
+    return docs.select(F.col("doc_id").cast("long"), "text", "lang", F.expr("xxhash64(text)").alias("key"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     twice = stash(_keyed(docs).groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "repeated")
     if twice.isEmpty():
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.expr(_KEY).eqNullSafe(F.col("key"))
-    again = kept.join(twice.withColumnRenamed("doc_id", "id"), same, "left_semi")
-    return _without(kept, twice).unionByName(again.dropDuplicates(["doc_id", "text"]))
+    return _without(kept, twice).unionByName(_without(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
