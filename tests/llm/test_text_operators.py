@@ -105,6 +105,57 @@ def test_tree_splits_exactly():
     assert out.sum(0).tolist() == [100, 7, 0, 1] and out.sum(1).max() - out.sum(1).min() <= 3
 
 
+def test_tree_is_hypergeometric():
+    quotas, shards = [60, 30, 10], 5
+    plain, tree = [], []
+    for seed in range(400):
+        rng = np.random.Generator(np.random.PCG64(seed))
+        tree.append(X.split_quotas(quotas, shards, rng))
+        order = rng.permutation(np.repeat(np.arange(3), quotas))  # the definition: a shuffle of all draws, cut into runs
+        plain.append([np.bincount(run, minlength=3) for run in np.split(order, shards)])
+    tree, plain = np.array(tree), np.array(plain)
+    assert np.allclose(tree.mean(0), plain.mean(0), atol=0.6) and np.allclose(tree.var(0), plain.var(0), rtol=0.4, atol=0.3)
+    assert (tree.sum(2) == 20).all() and (tree.sum(1) == quotas).all()
+
+
+@pytest.mark.parametrize("below", [1, 7])
+def test_subtrees_split_each_upper_shard(below):
+    quotas = np.array([1000, 300, 0])
+    ends = X.split_quotas(quotas.tolist(), 4, np.random.Generator(np.random.PCG64(5))).cumsum(0).T.copy()
+    got = np.array([np.bincount(X.Shards(ends, below, 5).of(g, np.arange(n)), minlength=4 * below) for g, n in enumerate(quotas)])
+    assert got.sum(1).tolist() == quotas.tolist() and np.ptp(got.sum(0)) <= 3
+    assert (got.reshape(3, 4, below).sum(2).cumsum(1) == ends).all()
+    again = X.Shards(ends, below, 5).of(0, np.random.Generator(np.random.PCG64(1)).permutation(1000))
+    assert np.bincount(again, minlength=4 * below).tolist() == got[0].tolist()
+
+
+def test_mix_query_against_plain_figures(spark):
+    got = X.op4_mix_sources(spark, SF).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    sizes = {i: len(r.text.encode().split()) for i, r in docs.items()}
+    names = sorted({r.source for r in docs.values()})
+    whole = {n: sum(sizes[i] for i, r in docs.items() if r.source == n) for n in names}
+    unit, full = 0.0, set()
+    weight = dict(zip(names, (5, 2, 1) * len(names)))
+    while True:  # raise the unit until no more sources are full
+        unit = (sum(whole.values()) - sum(3 * whole[n] for n in full)) / sum(w for n, w in weight.items() if n not in full)
+        more = {n for n in names if unit * weight[n] > 3 * whole[n]}
+        if more <= full:
+            break
+        full |= more
+    taken = dict.fromkeys(names, 0)
+    for r in got:
+        n = docs[r.doc_id].source
+        assert (r.size, r.source_size) == (sizes[r.doc_id], whole[n]) and r.target == pytest.approx(min(3 * whole[n], unit * weight[n]))
+        assert r.taken == r.size * len(r.draws) <= 3 * r.size and len({d["pass"] for d in r.draws}) == len(r.draws)
+        taken[n] += r.taken
+        target = r.target
+    assert all(abs(taken[n] - min(3 * whole[n], unit * weight[n])) < 0.02 * whole[n] + 5 for n in names) and target > 0
+    rows = X.shuffled(X.mix_sources(spark.read.parquet(f"{SF}/documents.parquet"))).collect()
+    places = {(r.doc_id, d["shard"], d["pass"], d["place"]) for r in got for d in r.draws}
+    assert len(rows) == len(places) and {(r.doc_id, r.shard, r["pass"], r.position) for r in rows} == places
+
+
 def test_mix(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = X.mix_sources(docs).collect()
@@ -125,7 +176,8 @@ def test_mix(spark):
 
 def test_many_sources_reach_their_targets(spark, monkeypatch):
     monkeypatch.setattr(X, "PLAN_ROWS", 50)  # as with very many sources
-    monkeypatch.setattr(X, "GROUP_ROWS", 500, raising=False)
+    monkeypatch.setattr(X, "GROUP_ROWS", 500)
+    monkeypatch.setattr(X, "SHARDS", 4)
     df = spark.range(3000).selectExpr("id AS doc_id", "concat('site', id % 60) AS source", "repeat('w ', int(5 + id % 7)) AS text")
     rows = X.mix_sources(df).collect()
     taken, target, size = {}, {}, {}
