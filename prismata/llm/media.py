@@ -25,8 +25,8 @@ from .common import small_batches, table
 #: A payload fills whole rows of 64 RGB pixels.
 WIDTH = 64
 ROW_BYTES = WIDTH * 3
-#: Side of the NPY tiles.
-TILE = 16
+#: Side of the NPY tiles; values of an image that are summed at once.
+TILE, STRIP = 16, 1 << 18
 
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
@@ -46,6 +46,10 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
     if width < 1 or height < 1 or not 0 < maxval < 65536:
         raise ValueError("Netpbm size or maxval out of range")
     planes = 3 if kind in (b"P3", b"P6") else 1
+    here = max(0, len(raw) - at)  # no header may ask for more than the bytes that are there can hold
+    least = {b"P4": (width + 7) // 8 * height, b"P1": width * height, b"P2": 2 * width * height - 1, b"P3": 6 * width * height - 1}
+    if least.get(kind, width * height * planes * (1 if maxval < 256 else 2)) > here:
+        raise ValueError("Netpbm raster is shorter than its header says")
     if kind == b"P4":
         stride = (width + 7) // 8
         bits = np.frombuffer(raw, np.uint8, stride * height, at + 1).reshape(height, stride)
@@ -77,13 +81,15 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32):
         raise ValueError("BMP compression or depth not read")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
+    if width < 1 or rows < 1 or stride * rows > len(raw) - offset:
+        raise ValueError("BMP raster is shorter than its header says")
     grid = np.frombuffer(raw, np.uint8, stride * rows, offset).reshape(rows, stride)
     if height > 0:
         grid = grid[::-1]
     if bits >= 24:
         step = bits // 8
         return np.ascontiguousarray(grid[:, : width * step].reshape(rows, width, step)[:, :, 2::-1])
-    colours = struct.unpack_from("<I", raw, 46)[0] or 1 << bits
+    colours = min(struct.unpack_from("<I", raw, 46)[0] or 1 << bits, 1 << bits)
     palette = np.frombuffer(raw, np.uint8, colours * 4, 14 + size).reshape(-1, 4)[:, 2::-1]
     if bits == 8:
         index = grid
@@ -114,30 +120,38 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean over each target cell's exact area (fractions of pixels count), as float64.
 
-    The integral image is interpolated linearly at the cells' edges.
+    The integral image is interpolated linearly at the cells' edges.  Only its
+    rows at those edges are held, and pixels are read in strips, so that no
+    image needs many times its own memory.
     """
-    x = image.astype(np.float64)
-    x = x[:, :, None] if x.ndim == 2 else x
+    if image.shape[1] > image.shape[0]:
+        return area_resize(image.swapaxes(0, 1), width, height).swapaxes(0, 1)
+    x = image[:, :, None] if image.ndim == 2 else image
     h, w, planes = x.shape
-    total = np.zeros((h + 1, w + 1, planes))
-    np.cumsum(np.cumsum(x, 0), 1, out=total[1:, 1:])
-
-    def at(edges: np.ndarray, table: np.ndarray) -> np.ndarray:
-        low = np.minimum(edges.astype(np.int64), len(table) - 2)
-        part = (edges - low).reshape(-1, *[1] * (table.ndim - 1))
-        return table[low] * (1 - part) + table[low + 1] * part
-
-    rows = at(np.arange(height + 1) * (h / height), total)
-    cells = at(np.arange(width + 1) * (w / width), rows.transpose(1, 0, 2)).transpose(1, 0, 2)
-    area = (h / height) * (w / width)
-    out = (cells[1:, 1:] - cells[:-1, 1:] - cells[1:, :-1] + cells[:-1, :-1]) / area
+    edges = np.arange(height + 1) * (h / height)
+    low = np.minimum(edges.astype(np.int64), h - 1)
+    part = (edges - low)[:, None, None]
+    rows, above = np.empty((height + 1, w, planes)), np.zeros((1, w, planes))
+    strip = max(1, STRIP // (w * planes))
+    for a in range(0, h, strip):
+        pixels = x[a : a + strip].astype(np.float64)
+        sums = np.concatenate([above, above + np.cumsum(pixels, 0)])
+        own = np.flatnonzero((low >= a) & (low < a + len(pixels)))
+        rows[own] = sums[low[own] - a] + pixels[low[own] - a] * part[own]
+        above = sums[-1:]
+    total = np.concatenate([np.zeros((height + 1, 1, planes)), np.cumsum(rows, 1)], 1)
+    edges = np.arange(width + 1) * (w / width)
+    low = np.minimum(edges.astype(np.int64), w - 1)
+    part = (edges - low)[None, :, None]
+    cells = total[:, low] * (1 - part) + total[:, low + 1] * part
+    out = (cells[1:, 1:] - cells[:-1, 1:] - cells[1:, :-1] + cells[:-1, :-1]) / ((h / height) * (w / width))
     return out[:, :, 0] if image.ndim == 2 else out
 
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits in hexadecimal: whether each of 8 x 8 grey cells is darker than its right neighbour."""
-    grey = image if image.ndim == 2 else image.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
-    small = np.round(area_resize(grey, 8, 9), 6)
+    small = area_resize(image, 8, 9)  # grey is linear in the colours: the mean of the grey is the grey of the mean
+    small = np.round(small if image.ndim == 2 else small @ np.array([0.299, 0.587, 0.114]), 6)
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
@@ -179,7 +193,8 @@ def media_features(media: DataFrame, tile: int = TILE) -> DataFrame:
 
     Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last
     16 payload bytes), media_bytes, media_sha256, height, width, tile (NPY file of
-    uint8, tile x tile [x 3]), feature.  A null or unreadable image gives null
+    uint8, tile x tile [x 3]), feature.  A null or unreadable image (one whose header
+    asks for more pixels than there are bytes for is) gives null
     features with its own sizes and digest (null for null).
     """
     small_batches(media.sparkSession)
@@ -192,7 +207,7 @@ def media_features(media: DataFrame, tile: int = TILE) -> DataFrame:
         stored = (len(raw), hashlib.sha256(raw).hexdigest())
         try:
             image = decode_image(raw)
-        except (ValueError, struct.error, IndexError):
+        except (ValueError, struct.error, IndexError, OverflowError):
             return None, None, None, *stored, None, None, None, None
         payload = image.tobytes()
         small = np.clip(np.rint(area_resize(image, tile, tile)), 0, 255).astype(np.uint8)
@@ -210,4 +225,4 @@ def media_features(media: DataFrame, tile: int = TILE) -> DataFrame:
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
     found = media_features(store_texts(table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.sha2("tile", 256).alias("tile_sha256"))

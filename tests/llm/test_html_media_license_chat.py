@@ -1,8 +1,10 @@
 import hashlib
 import html
 import io
+import math
 import random
 import re
+import struct
 import time
 import zlib
 
@@ -153,6 +155,33 @@ def test_area_resize(shape, goal):
     assert M.area_resize(np.stack([x] * 3, 2), *goal).shape == (*goal, 3)
 
 
+def plain_resize(image, height, width):
+    """Each target pixel from the source pixels it covers, one by one."""
+    h, w = image.shape
+    out = np.zeros((height, width))
+    for i in range(height):
+        for j in range(width):
+            top, bottom, left, right = i * h / height, (i + 1) * h / height, j * w / width, (j + 1) * w / width
+            for y in range(int(top), min(h, math.ceil(bottom))):
+                for x in range(int(left), min(w, math.ceil(right))):
+                    out[i, j] += image[y, x] * (min(bottom, y + 1) - max(top, y)) * (min(right, x + 1) - max(left, x))
+    return out / (h * w / height / width)
+
+
+@pytest.mark.parametrize("strip", [7, 1 << 18])
+@pytest.mark.parametrize("shape", [(9, 4), (4, 9), (1, 30), (30, 1), (1, 1), (17, 16)])
+def test_area_resize_in_strips(monkeypatch, strip, shape):
+    monkeypatch.setattr(M, "STRIP", strip)
+    image = np.random.default_rng(1).integers(0, 256, shape).astype(np.uint8)
+    assert np.allclose(M.area_resize(image, 5, 3), plain_resize(image, 5, 3))
+
+
+@pytest.mark.parametrize("raw", [b"P5 99999999999 99999999999 255\n" + b"x" * 50, b"P6\n70000 70000\n255\n", b"P4 4000000000 4000000000\nx", b"P1 100000 100000\n01", b"P2 9999999 9999999 255\n1 2", b"P5 " + b"9" * 5000 + b" 1 255\nx", b"P3 3 3 255\n1", b"BM" + b"\xff" * 60, b"BM" + b"\0" * 52, b"P5", b"P7 1 1", b"BM"])
+def test_hostile_headers(spark, raw):
+    with pytest.raises((ValueError, struct.error, IndexError, OverflowError)):
+        M.decode_image(raw)
+
+
 def test_netpbm_kinds():
     grey = np.arange(12, dtype=np.uint8).reshape(3, 4)
     rgb = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
@@ -197,8 +226,9 @@ def test_media_round_trip(spark, form):
 
 
 def test_unreadable_media(spark):
-    df = spark.createDataFrame([(1, 3, b"abc"), (2, 0, None)], "doc_id long, n_bytes long, media binary")
-    a, b = M.media_features(df).collect()
+    df = spark.createDataFrame([(1, 3, b"abc"), (2, 0, None), (3, 9, b"P5 99999999999 99999999999 255\nx")], "doc_id long, n_bytes long, media binary")
+    a, b, c = M.media_features(df).collect()
+    assert c.feature is None and c.media_bytes == 32
     assert a.feature is None and a.media_bytes == 3 and b.media_sha256 is None
 
 
@@ -281,6 +311,14 @@ def test_chats_round_trip(spark, budget, history):
     assert C.format_chats(df.where("false")).count() == 0
 
 
+def test_empty_and_very_long_conversations(spark):
+    df = spark.createDataFrame([(-7, 5, "user", "mine")], "conv_id long, turn long, role string, text string")
+    assert C.read_back(C.format_chats(df.where("false"))).count() == 0
+    long = spark.range(30_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id) AS text")
+    r = C.read_back(C.format_chats(long)).first()
+    assert (r.n_turns, r.loss_chars) == (30_000, sum(len(f"turn {i}") for i in range(1, 30_000, 2))) and r.n_windows > 100
+
+
 def test_repeated_turns_stay(spark):
     df = spark.createDataFrame([(1, 0, "user", "a")] * 3 + [(1, None, "assistant", "b")], "conv_id long, turn long, role string, text string")
     r = C.read_back(C.format_chats(df)).first()
