@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import released, small_batches, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that chat templates give a meaning; none of them is left inside a formatted text.
@@ -162,7 +162,7 @@ def format_chats(conversations: DataFrame, budget: int = BUDGET, history: int =
 
     cols = F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")
     dealt = conversations.select(*cols).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(work, WINDOW_SCHEMA)
+    return dealt.mapInArrow(released(work), WINDOW_SCHEMA)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def read_back(windows: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return windows.mapInArrow(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    return windows.mapInArrow(released(work), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
 
 def op7_chat_formatting(spark, sf_dir: str) -> DataFrame:

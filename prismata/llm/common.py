@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +25,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, what is stashed within, but for tables that are kept."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            delete(spark, path)
+
+
+def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A path in the shared folder that nothing else uses; the innermost scope deletes it unless it is kept."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def stash(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label, keep)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unstash(df: DataFrame) -> None:
     """Delete a table that ``stash`` wrote; nothing may read it later."""
-    spark, path = df.sparkSession, getattr(df, "_stash_path", None)
+    path = getattr(df, "_stash_path", None)
     if path is None:
         raise ValueError("not a stash")
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    delete(df.sparkSession, path)
+
+
+def released(work):
+    """The worker function, which gives freed memory back to the system when a task is done: workers live on."""
+
+    def wrapped(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to do
+        pass
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -86,9 +136,9 @@ def carrying(docs: DataFrame, needs, carry, work, schema: str) -> DataFrame:
     """
     cols = [F.col(x.split()[0]).cast(x.split()[1]).alias(x.split()[0]) for x in needs]
     if not carry:
-        return docs.select(*cols).mapInArrow(work, schema)
+        return docs.select(*cols).mapInArrow(released(work), schema)
     rows = docs.select(*cols, F.struct(*carry).alias("carried"))
-    return rows.mapInArrow(work, f"{schema}, carried {rows.schema['carried'].dataType.simpleString()}")
+    return rows.mapInArrow(released(work), f"{schema}, carried {rows.schema['carried'].dataType.simpleString()}")
 
 
 def residue(column: str, by: int):
@@ -160,6 +210,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending (by sorting, which for many values is much faster than a hash table)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 class WordHasher:
     """64-bit hashes of the words of many texts at once, by prefix sums.
 

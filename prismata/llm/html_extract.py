@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import released, small_batches, table
 
 #: Frequent function words (fixed list: English, French, German, Spanish).
 STOP_WORDS = frozenset(
@@ -428,7 +428,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     cols = F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")
-    return pages.select(*cols).mapInArrow(work, "page_id long, url string, text string, n_chars long")
+    return pages.select(*cols).mapInArrow(released(work), "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:

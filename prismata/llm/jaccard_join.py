@@ -30,14 +30,12 @@ Equal sets are one node, so copies are never compared.  Nodes and tokens are
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, WordHasher, ascii_lower, chunks, mix, shared_dir, small_batches, small_side, space_bytes, stash, table, texts_of, unstash
+from .common import MULT, WordHasher, ascii_lower, chunks, delete, mix, release, released, scratch_path, small_batches, small_side, space_bytes, stash, table, texts_of, unstash
 
 SHINGLE, PERCENT = 5, 80
 #: Prefix tokens that a task gathers before it packs them.
@@ -178,7 +176,7 @@ def prefix_pass(docs: DataFrame, parts: int, size: int, percent: int) -> DataFra
         if held:
             yield from pack(tokens, nodes)
 
-    return docs.mapInArrow(work, _PASS1)
+    return docs.mapInArrow(released(work), _PASS1)
 
 
 def count_ranges(packed: DataFrame) -> DataFrame:
@@ -194,6 +192,7 @@ def count_ranges(packed: DataFrame) -> DataFrame:
         shared = df > 1
         d, once = d[shared], 1 - flags[at][shared].astype(np.int64)
         out = [tally(d, low[shared], once), tally(d, high[shared], np.zeros_like(once))]
+        release()
         return pd.DataFrame({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(("node", "leader", "n"))})
 
     return packed.groupBy("part").applyInPandas(work, "node long, leader long, n long")
@@ -212,7 +211,7 @@ def whole_sets(docs: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n.astype(np.int64)), lists], ["node", "n", "tokens"])
 
-    return docs.select("text").mapInArrow(work, "node long, n long, tokens array<long>")
+    return docs.select("text").mapInArrow(released(work), "node long, n long, tokens array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -258,7 +257,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         if held:
             yield forest()
 
-    return edges.select("a", "b").mapInArrow(work, "a long, b long")
+    return edges.select("a", "b").mapInArrow(released(work), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -279,7 +278,7 @@ def components(edges: DataFrame) -> DataFrame:
                 node, root = roots(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "component"])
 
-        out = stash(now.coalesce(1).mapInArrow(work, "node long, component long"), "components")
+        out = stash(now.coalesce(1).mapInArrow(released(work), "node long, component long"), "components")
         unstash(now)
         return out
     before = None
@@ -387,9 +386,9 @@ def families(entries: DataFrame) -> DataFrame:
             own = nodes != root
             yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(root[own])], ["a", "b"])
 
-    packed = stash(entries.select("entry", "node").mapInArrow(local, "entry long, node long, root long"), "jaccard-entries")
+    packed = stash(entries.select("entry", "node").mapInArrow(released(local), "entry long, node long, root long"), "jaccard-entries")
     met = packed.where("entry IS NOT NULL").select("entry", "node").repartition("entry").sortWithinPartitions("entry")
-    edges = met.mapInArrow(link, "a long, b long").unionByName(packed.where("entry IS NULL").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    edges = met.mapInArrow(released(link), "a long, b long").unionByName(packed.where("entry IS NULL").select(F.col("node").alias("a"), F.col("root").alias("b")))
     out = components(edges)
     unstash(packed)
     return out
@@ -438,6 +437,7 @@ def family_links(sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
                 if root[y] != root[x]:
                     out.append((node[x], node[y]))
                     root[root == root[y]] = root[x]
+        release()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("family", "low", "high").applyInPandas(verify, "a long, b long")
@@ -472,7 +472,7 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(RANGES, -(-total // RANGE_BYTES))
 
-    path = f"{shared_dir(spark)}/jaccard-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "jaccard")
     prefix_pass(docs, parts, size, percent).write.partitionBy("kind").parquet(path)
     read = lambda kind: spark.read.schema(_PASS1.split(", ", 1)[1]).parquet(f"{path}/kind={kind}")
     one = spark.read.schema(_PASS1).parquet(path)
@@ -491,8 +491,7 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k
     chosen = F.slice(F.filter("leads", lambda x: x["leader"] != F.col("node")), 1, 2)
     few = stash(few.select("node", "n", "least", F.transform(chosen, lambda x: x["leader"]).alias("leads")), "jaccard-few")
     for kind in (1, 2):
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(spark, f"{path}/kind={kind}")
 
     side = small_side(few.select(F.col("least").alias("id")).distinct())
     own = docs.join(side, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, residue, sample_by, small_batches, table, texts_of
+from .common import chunks, mix, released, residue, sample_by, small_batches, table, texts_of
 
 #: Labelled rows that the filters are fitted on, at most in expectation.
 TRAIN_ROWS = 6000
@@ -151,7 +151,7 @@ def fit_filter(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> BitSlicedFi
                 codes, n = np.unique(grams(own, letters)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    counts = labelled.select(F.col("lang").cast("string"), "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = labelled.select(F.col("lang").cast("string"), "text").mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if counts.empty:
         return BitSlicedFilter.build({})
     counts["rate"] = counts["n"] / counts.groupby("lang")["n"].transform("sum")
@@ -183,7 +183,7 @@ def identify(docs: DataFrame, model: BitSlicedFilter) -> DataFrame:
                 scores.append(s)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(work), "doc_id long, lang_pred string, score double")
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, chunks, small_batches, table, texts_of
+from .common import ascii_lower, chunks, released, small_batches, table, texts_of
 
 #: Phrases whose words must stand consecutively (fixed by the contract).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -96,7 +96,7 @@ class NoticeFinder:
                 low, high = max(0, start - k), min(len(text), start + len(notice) + k)
                 runs = found.setdefault(number, [])
                 if runs and low <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], high)
+                    runs[-1] = [min(runs[-1][0], low), max(runs[-1][1], high)]
                 else:
                     runs.append([low, high])
         return {n: [(a, b) for a, b in runs] for n, runs in found.items()}
@@ -176,7 +176,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *made], names)
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,similarity:double>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(work), schema)
 
 
 def op10_license_scans(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import released, small_batches, table
 
 #: A payload fills whole rows of 64 RGB pixels.
 WIDTH = 64
@@ -185,7 +185,7 @@ def store_texts(docs: DataFrame, form: str = "ppm") -> DataFrame:
                 sizes.append(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(work), "doc_id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame, tile: int = TILE) -> DataFrame:
@@ -220,7 +220,7 @@ def media_features(media: DataFrame, tile: int = TILE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, height int, width int, tile binary, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(work, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(released(work), schema)
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 
 from prismata.llm import chat_format as C
 from prismata.llm import license_scan as L
@@ -275,6 +276,23 @@ def test_edited_notices_are_found():
     assert finder.find("nothing of that kind is written here") == []
 
 
+def test_notices_equal_a_full_fuzzy_search():
+    finder = L.NoticeFinder()
+    rng = random.Random(8)
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            notice, _ = rng.choice(L.NOTICES)
+            chars = list(notice)
+            for _ in range(rng.randint(0, L.allowed_edits(notice) + 2)):
+                at = rng.randrange(len(chars))
+                chars[at : at + rng.choice([0, 1, 1])] = rng.choice(["", "x", "q", " "])
+            parts += ["".join(chars)[rng.choice([0, 0, 5]) :], " ".join(rng.choices(["the", "license", "under", "public", "gnu", "work"], k=rng.randint(0, 6)))]
+        text = " ".join(parts)
+        want = {label for notice, label in L.NOTICES if regex.search(f"(?:{regex.escape(notice)}){{e<={L.allowed_edits(notice)}}}", text)}
+        assert {s[0] for s in finder.find(text)} == want, text
+
+
 # chat ------------------------------------------------------------------
 
 

@@ -1,3 +1,8 @@
+import random
+from collections import Counter
+
+import pytest
+
 import corpus_pipeline as P
 from prismata.llm import jaccard_join as J
 from prismata.llm.common import stash
@@ -43,5 +48,53 @@ def test_near_copies_go_by_row(spark):
     assert sorted(left, key=str) in [sorted([(None, a), (7, b)], key=str) for a in (text(3), near(3)) for b in (text(7), near(7))]
 
 
+@pytest.fixture
+def odd(spark, tmp_path):
+    """A folder of small tables, and documents with nulls, repeated ids and rows, ties, a very long text and clashing names."""
+    rng = random.Random(2)
+    prose = lambda n: " ".join(rng.choices("the of and to in was that house river winter people small found over light".split(), k=n))
+    texts = [prose(60) for _ in range(40)]
+    item = " ".join(f"item{i}" for i in range(30))
+    rows = [(i, t, "en", "ab"[i % 2]) for i, t in enumerate(texts)]
+    rows += [(0, texts[0], "en", "a"), (3, prose(50), "en", None), (None, prose(70), None, "c"), (None, None, "en", "c"), (None, "", None, None), (50, "   ", "xx", "a"), (51, prose(20_000), "en", "b")]
+    rows += [(60, f"{prose(10)} {item} {prose(10)}", "en", "a"), (None, f"{item} {prose(12)}", "en", "a"), (61, texts[5] + " end", "en", "b"), (None, texts[6] + " end", "en", "b")]
+    rows += [(70 + i, f"you stupid idiot clown {prose(20)} idiot", "en", "a") for i in range(8)]
+    names = "doc_id long, text string, lang string, source string, n_chars int, id string, key long, lead int, gone_id int, carried string, shard_ int, block long, size double, toxic boolean"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "x", 1, 2, 3, "y", 4, 5, 6.0, False) for r in rows], names)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = [(i, 1, 0) for i in range(40)] + [(70 + i, 0, 1) for i in range(8)] + [(None, 1, 1), (99, None, None), (0, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_stages_of_odd_tables(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet").cache()
+    given = [tuple(r)[:5] for r in docs.collect()]
+    kept = {}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, odd)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        kept[name] = [tuple(r)[:5] for r in out.collect()]
+        assert not Counter(kept[name]) - Counter(given)
+        assert stage(spark, docs.where("false"), odd).count() == 0
+    gone = {name: [r for r in given if r not in kept[name]] for name in kept}
+    assert all("idiot" in (r[1] or "") for r in gone["toxicity"]) and all(r[1] for r in gone["quality"])
+    assert {r[0] for r in gone["decontamination"]} == {60, None} and len(gone["decontamination"]) == 2
+    assert {61} <= {r[0] for r in gone["near_duplicates"]} and all(r[0] in (61, None) or r[0] >= 70 for r in gone["near_duplicates"])
+    assert len(kept["near_duplicates"]) == len(given) - 3 and sum(r[0] == 3 for r in kept["near_duplicates"]) == 2
+    mixed = P.mixing(spark, docs, odd)
+    assert mixed.columns == [*docs.columns, "shard", "pass", "position"] and not {tuple(r)[:5] for r in mixed.collect()} - set(given)
+    assert P.mixing(spark, docs.where("false"), odd).count() == 0
+
+
+def test_run_equals_its_stages(spark, odd):
+    out = [tuple(r) for r in P.run(spark, odd).collect()]
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    for name, stage in P.STAGES:
+        docs = stash(stage(spark, docs, odd), name)
+    assert sorted(out, key=str) == sorted(map(tuple, docs.collect()), key=str) and len(out) > 20
+
+
 def test_names():
     assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLE_SQL) <= set(QUERIES)

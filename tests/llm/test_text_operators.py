@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -56,6 +57,35 @@ def test_language_accuracy_and_edges(spark):
     assert LI.identify(odd, LI.fit_filter(odd.where("false"))).first().lang_pred == "und"
 
 
+def test_language_query_against_exact_sets(spark):
+    """The query on the whole table, and the same decision by exact sets of n-grams instead of filters."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in docs}
+
+    def grams(text):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        return [g for w in words for p in [f" {w} "] for g in (p[i : i + 3] for i in range(len(p) - 2))]
+
+    counts = {}
+    for r in {(r.doc_id, r.text): r for r in docs}.values():
+        if not held[r.doc_id] and r.lang is not None:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    most = Counter()
+    for c in rates.values():
+        for g, x in c.items():
+            most[g] = max(most[g], x)
+    sets = {lang: {g for g, x in rates[lang].items() if x >= LI.SHARE * most[g] and c[g] >= LI.LEAST_COUNT} for lang, c in counts.items()}
+    got = LI.op2_language_id(spark, SF).collect()
+    assert len(got) == len(docs) and all(r.held_out == held[r.doc_id] for r in got)
+    text, lang, same, right = {r.doc_id: r.text for r in docs}, {r.doc_id: r.lang for r in docs}, 0, 0
+    for r in got:
+        own = grams(text[r.doc_id])
+        same += r.lang_pred == ("und" if not own else max(sorted(sets), key=lambda k: sum(g in sets[k] for g in own)))
+        right += r.lang_pred == lang[r.doc_id]
+    assert same >= 0.995 * len(got) and right >= 0.97 * len(got)
+
+
 def test_rare_languages_are_learned(spark):
     rng = random.Random(3)
     make = lambda letters: " ".join("".join(rng.choices(letters, k=4)) for _ in range(30))
@@ -404,6 +434,30 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert np.mean([got[i] for i, q in marks.items() if q == 0]) < 0.2
 
 
+def test_quality_query_against_plain_figures(spark):
+    """Means, ranges and decisions of the query, from its perplexities, without Spark."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    trusted = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality == 1}
+    got = Q.op8_quality_classifier(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    by = {}
+    for r in got:
+        assert r.n_symbols == len(docs[r.doc_id].text or "") and r.lang == docs[r.doc_id].lang
+        if r.n_symbols:
+            by.setdefault(r.lang, []).append((r, math.log(r.perplexity)))
+    for rows in by.values():
+        good = [(r, x) for r, x in rows if r.doc_id in trusted]
+        mean = sum(x * r.n_symbols for r, x in good) / sum(r.n_symbols for r, _ in good)
+        own = sorted((x - mean) * math.sqrt(r.n_symbols) for r, x in good)
+        at = lambda q: own[max(0, math.ceil(q * len(own)) - 1)]
+        low = at(0.5) - Q.SLACK * max(at(0.5) - at(Q.LOW), Q.REACH * (at(0.5) - at(0.25)))
+        high = at(0.5) + Q.SLACK * max(at(Q.HIGH) - at(0.5), Q.REACH * (at(0.75) - at(0.5)))
+        for r, x in rows:
+            d = (x - mean) * math.sqrt(r.n_symbols)
+            assert r.deviation == pytest.approx(d, abs=1e-6) and (r.low, r.high) == pytest.approx((low, high), abs=1e-6)
+            assert r.keep == (low <= d <= high) or min(abs(d - low), abs(d - high)) < 1e-6
+
+
 def test_quality_edges(spark):
     df = doc_frame(spark, [(1, None, "en"), (1, "", None), (None, "the cat sat", "xx"), (2, "the cat sat on the mat " * 3000, "en"), (3, "the cat", "en")])
     trusted = spark.createDataFrame([(2,), (3,)], "doc_id long")
@@ -459,6 +513,32 @@ def test_toxicity_sample_is_bounded_whatever_repeats(spark):
     assert sample_by(rows, "lang", 10_000, "x").count() == 1300 and sample_by(rows.where("false"), "lang", 10, "x").count() == 0
 
 
+def test_toxicity_query_against_plain_scores(spark):
+    """The query's scores, from the definition: one text and one window at a time."""
+    spark_docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = T.unpack_model(T.labelled_model(spark, spark_docs, SF))
+    net, table_ = model.net, model.net.table.astype(np.float32)
+    docs = {r.doc_id: r for r in spark_docs.collect()}
+    got = T.op9_toxicity(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3)
+        assert r.toxic == (r.score >= T.THRESHOLD) and r.language in (None, *model.thresholds)
+    assert np.mean([r.language == docs[r.doc_id].lang for r in got]) > 0.95
+    cut = lambda p: math.log(p / (1 - p))
+    for r in sorted(got, key=lambda r: len(docs[r.doc_id].text))[::40]:
+        raw = docs[r.doc_id].text.encode()
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)
+        feats = [T.Features()(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0] for w in words]
+        x = [sum(table_[b] for b in f) for f in feats]
+        z = net.offset + net.weights[-1] * math.log1p(len(words)) + (cut(T.THRESHOLD) - cut(model.thresholds[r.language]) if r.language else 0)
+        for i, w in enumerate(net.filters):
+            width = len(w) // T.DIM
+            acts = [np.maximum(np.concatenate(x[k : k + width]) @ w + net.bias[i * T.FILTERS : (i + 1) * T.FILTERS], 0) for k in range(len(x) - width + 1)]
+            z += float((np.max(acts, 0) if acts else np.zeros(T.FILTERS)) @ net.weights[i * T.FILTERS : (i + 1) * T.FILTERS])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-3)
+
+
 def test_toxicity_edges(spark):
     df = doc_frame(spark, [(1, None, "en"), (1, "", None), (None, "!!", "xx"), (2, "idiot " * 100_000, "en")])
     labels = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "doc_id long, toxic int")
