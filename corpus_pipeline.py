@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismata.llm.common import small_side, stash, table
+from prismata.llm.common import scratch, small_side, stash, table, unstash
 from prismata.llm.decontaminate import find_copies
 from prismata.llm.jaccard_join import jaccard_join
 from prismata.llm.mixing import mix_sources, shuffled
@@ -83,7 +83,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = before = None
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):  # what a stage has stashed goes once its result is written
+            docs = stash(stage(spark, docs or table(spark, sf_dir, "documents"), sf_dir), f"stage-{name}", keep=True)
+        if before:
+            unstash(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
