@@ -73,7 +73,7 @@ def _row_counts(data: Dataset, rules: dict) -> dict[tuple[str, str], int]:
             exprs[(name, "regex")] = F.count_if(text.isNotNull() & ~text.rlike(f"^(?:{own['regex']})"))
     if not exprs:
         return {}
-    row = data.df.agg(*[e.alias(f"x{i}") for i, e in enumerate(exprs.values())]).first()
+    row = data.data.agg(*[e.alias(f"x{i}") for i, e in enumerate(exprs.values())]).first()
     return dict(zip(exprs, row))
 
 

@@ -12,7 +12,7 @@ from ..sources.readers import Dataset, resolve
 from .profile import ColumnProfile, DatasetProfile, profile_dataset
 
 FLOOR = 1e-4
-#: Names that tell of a target column.
+#: Names that tell of a target column.
 TARGETS = ("survived", "target", "label", "y", "class", "outcome", "is_", "has_")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,45 +19,61 @@ def is_outlier(c: ColumnProfile, strict: bool = True) -> bool:
     return bool(outlier(lambda k: getattr(c, k), strict))
 
 
-#: Issue, severity, action, and when a column has it; in the order in which they are reported.
+@dataclass(frozen=True)
+class Rule:
+    """An issue: when a column has it, and what to tell of it (fields of the column are filled in)."""
+
+    kind: str
+    severity: str
+    action: str
+    test: Callable[[ColumnProfile], bool]
+    message: str
+    advice: str
+
+
+def _is_text(c: ColumnProfile) -> bool:
+    return c.type_str in ("str", "unknown")
+
+
+#: In the order in which they are reported.
 RULES = [
-    ("type_mismatch", "critical", "drop_invalid", lambda c: c.type_mismatch_count > 0),
-    ("high_nulls", "critical", "drop", lambda c: c.null_pct > 50),
-    ("moderate_nulls", "critical", "impute", lambda c: c.null_pct > 5),
-    ("id_like", "critical", "drop", lambda c: c.type_str == "int" and c.unique_pct > 95),
-    ("id_like_string", "warning", "drop", lambda c: c.type_str in ("str", "unknown") and c.unique_pct > 80),
-    ("high_cardinality", "warning", "encode", lambda c: c.type_str in ("str", "unknown") and c.unique_approx > 50),
-    ("constant", "info", "drop", lambda c: c.is_constant),
-    ("outlier", "info", "clip", is_outlier),
+    Rule("type_mismatch", "critical", "drop_invalid", lambda c: c.type_mismatch_count > 0, "{type_mismatch_count:,} cells could not be read as {type_str}", "they are treated as missing"),
+    Rule("high_nulls", "critical", "drop", lambda c: c.null_pct > 50, "more than half of the cells are empty ({null_pct:.1f}%)", "leave the column out, there is too little to fill it from"),
+    Rule("moderate_nulls", "critical", "impute", lambda c: c.null_pct > 5, "{null_pct:.1f}% of the cells are empty", "fill them with the {fill}"),
+    Rule("id_like", "critical", "drop", lambda c: c.type_str == "int" and c.unique_pct > 95, "whole numbers that hardly repeat ({unique_pct:.1f}% distinct), like a key", "leave the column out, a model can only memorise it"),
+    Rule("id_like_string", "warning", "drop", lambda c: _is_text(c) and c.unique_pct > 80, "texts that hardly repeat ({unique_approx:,} distinct), like a key", "leave the column out, a model can only memorise it"),
+    Rule("high_cardinality", "warning", "encode", lambda c: _is_text(c) and c.unique_approx > 50, "{unique_approx:,} categories", "replace each by a number"),
+    Rule("constant", "info", "drop", lambda c: c.is_constant, "the same value in every row", "leave the column out, it tells rows apart nowhere"),
+    Rule("outlier", "info", "clip", is_outlier, "the greatest value, {val_max:,.1f}, is over ten times the mean", "cap values at the 99th percentile"),
 ]
+_BY_KIND = {r.kind: r for r in RULES}
 
 
 def issues_of(c: ColumnProfile) -> list[tuple[str, str, str]]:
-    return [(kind, severity, action) for kind, severity, action, test in RULES if test(c)]
+    return [(r.kind, r.severity, r.action) for r in RULES if r.test(c)]
 
 
-def describe(c: ColumnProfile, kind: str) -> tuple[str, str, str]:
-    """Message, what to do, and PySpark code that does it (names are quoted, so a hostile one stays a name)."""
+def fix_code(c: ColumnProfile, action: str) -> str:
+    """PySpark code for an action; names are quoted, so a hostile one stays a name."""
+    name = repr(c.name)
     col = f"F.col({('`' + c.name.replace('`', '``') + '`')!r})"
-    drop = f"df = df.drop({c.name!r})"
-    if kind == "type_mismatch":
-        return f"{c.type_mismatch_count} values don't fit the column's type and were left out", "They count as null.", f"# nothing to do: {c.type_mismatch_count} values are null already"
-    if kind == "high_nulls":
-        return f"{c.null_pct:.1f}% nulls", "Too sparse to impute reliably.", drop
-    if kind == "moderate_nulls":
-        if c.type_str in NUMERIC:
-            return f"{c.null_pct:.1f}% nulls", "Impute with median.", f"df = df.withColumn({c.name!r}, F.coalesce({col}, F.lit(df.agg(F.median({col})).first()[0])))"
-        return f"{c.null_pct:.1f}% nulls", "Impute with mode.", f"df = df.withColumn({c.name!r}, F.coalesce({col}, F.lit(df.agg(F.mode({col}, True)).first()[0])))"
-    if kind == "id_like":
-        return f"{c.unique_pct:.1f}% unique, ID column", "No predictive signal: drop before training.", drop
-    if kind == "id_like_string":
-        return f"{c.unique_approx:,} unique values, ID-like string", "No predictive signal: drop before training.", drop
-    if kind == "high_cardinality":
-        code = f"codes = df.select({col}.alias('v')).where('v IS NOT NULL').distinct().withColumn('code', F.row_number().over(Window.orderBy('v')) - 1)"
-        return f"{c.unique_approx:,} unique values, high cardinality", "Label encode into integers.", code
-    if kind == "constant":
-        return "Constant value", "No variance: drop column.", drop
-    return f"Extreme outliers (max {c.val_max:.1f} > 10x mean)", "Clip at 99th percentile.", f"df = df.withColumn({c.name!r}, F.least({col}, F.lit(df.agg(F.percentile({col}, 0.99)).first()[0])))"
+    change = lambda value: f"df = df.withColumn({name}, {value})"
+    scalar = lambda what: f"F.lit(df.agg({what}).first()[0])"
+    if action == "drop_invalid":
+        return f"# nothing to do: {c.type_mismatch_count} values are null already"
+    if action == "impute":
+        return change(f"F.coalesce({col}, {scalar(f'F.median({col})' if c.type_str in NUMERIC else f'F.mode({col}, True)')})")
+    if action == "encode":
+        return f"codes = df.select({col}.alias('v')).where('v IS NOT NULL').distinct().withColumn('code', F.row_number().over(Window.orderBy('v')) - 1)"
+    if action == "clip":
+        return change(f"F.least({col}, {scalar(f'F.percentile({col}, 0.99)')})")
+    return f"df = df.drop({name})"
+
+
+def describe(c: ColumnProfile, kind: str) -> tuple[str, str, str]:
+    """Message, what to do, and PySpark code that does it."""
+    rule, values = _BY_KIND[kind], vars(c) | {"fill": "median" if c.type_str in NUMERIC else "most frequent value"}
+    return rule.message.format(**values), rule.advice.format(**values), fix_code(c, rule.action)
 
 
 def collect_warnings(profile: DatasetProfile) -> list[dict]:
@@ -81,7 +100,7 @@ def warnings_frame(columns: DataFrame) -> DataFrame:
         "constant": c("is_constant"),
         "outlier": outlier(F.col),
     }
-    made = [F.when(tests[kind], F.struct(F.lit(kind).alias("category"), F.lit(severity).alias("severity"), F.lit(action).alias("action_type"))) for kind, severity, action, _ in RULES]
+    made = [F.when(tests[r.kind], F.struct(F.lit(r.kind).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.action).alias("action_type"))) for r in RULES]
     rows = columns.select(c("name").alias("column"), F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("x"))
     return rows.select("column", "x.category", "x.severity", "x.action_type")
 

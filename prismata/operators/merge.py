@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import NUMERIC, quoted
 from ..session import PrismataError
-from ..sources.readers import Dataset, resolve
-from ..sources.sinks import write_table
+from ..sources.readers import Dataset, file_bytes, resolve
+from ..sources.sinks import SINGLE_BYTES, write_table
 from .profile import DatasetProfile, profile_dataset
 
 SOURCE = "prismata_source_file"
@@ -61,10 +61,12 @@ def union_keep_first(frames: list[tuple[str, DataFrame]], source: str = SOURCE)
     return kept.select(*[quoted(c) for c in cols], names[F.col("__order")].alias(source))
 
 
-def merge(paths: list, output: str | None = "combined.csv", checks: bool = True) -> DataFrame:
-    """Merges at least two inputs, prints the checks, writes ``output`` (unless None) and returns the merged frame.
+def merge(paths: list, output: str | None = "combined.csv", checks: bool = True, single: bool | None = None) -> DataFrame:
+    """Merges at least two inputs, all rows of each, prints the checks, writes ``output`` (unless None) and returns the merged frame.
 
-    Inputs that can't be read are skipped with a message.
+    Inputs that can't be read are skipped with a message.  ``single`` tells
+    whether the output is one file or a folder written in parallel; by default
+    it is one file if the input files come to at most SINGLE_BYTES.
     """
     if not isinstance(paths, (list, tuple)) or len(paths) < 2:
         raise PrismataError("merge needs a list of at least two inputs")
@@ -99,5 +101,7 @@ def merge(paths: list, output: str | None = "combined.csv", checks: bool = True)
     for c, name, pct in report.shifts:
         print(f"  {c}: mean of {name} is off by {pct:+.0f}%")
     if output:
-        write_table(merged, output)
+        if single is None:
+            single = sum(file_bytes(d.path) for d in found if d.path) <= SINGLE_BYTES
+        write_table(merged, output, single)
     return merged

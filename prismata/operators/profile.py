@@ -48,12 +48,13 @@ class ColumnProfile:
     top_values: list[str] = field(default_factory=list)
     unique_exact: int = -1
     exact_unique_valid: bool = False
+    zero_count: int = 0
 
 
 COLUMN_SCHEMA = (
     "name string, type_str string, total_count long, null_count long, non_null_count long, unique_approx long, null_pct double, unique_pct double, type_mismatch_count long, type_mismatch_pct double, "
     "mean double, stddev double, variance double, skewness double, kurtosis double, val_min double, val_max double, range double, min_str_len long, max_str_len long, mean_str_len double, "
-    "has_high_nulls boolean, is_constant boolean, is_high_cardinality boolean, histogram_bins array<long>, top_values array<string>, unique_exact long, exact_unique_valid boolean"
+    "has_high_nulls boolean, is_constant boolean, is_high_cardinality boolean, histogram_bins array<long>, top_values array<string>, unique_exact long, exact_unique_valid boolean, zero_count long"
 )
 
 
@@ -128,9 +129,17 @@ def confidence(c: ColumnProfile) -> float:
     return 1.96 * c.stddev / math.sqrt(c.non_null_count) if c.non_null_count else 0.0
 
 
-def profile_dataset(data: Dataset, correlate: bool = False, exact: bool = False, correlations: bool = True) -> DatasetProfile:
+#: What a profile has beside counts, means and extremes; each costs passes of its own.
+PARTS = ("distinct", "values", "shape", "correlations")
+
+
+def profile_dataset(data: Dataset, correlate: bool = False, exact: bool = False, correlations: bool = True, parts=PARTS) -> DatasetProfile:
     """Profiles a resolved dataset.
 
+    ``parts`` names what is wanted: distinct counts, values (exact counts and
+    lists where a sketch finds few), shape (spread, moments and histograms),
+    correlations; the fields of parts left out keep their defaults.
+
     ``exact`` counts distinct values exactly whatever their number; else
     sketches estimate them, and columns with few values are counted exactly
     after that (at most 100 texts or dates, 100,000 numbers).
@@ -138,18 +147,18 @@ def profile_dataset(data: Dataset, correlate: bool = False, exact: bool = False,
     began = time.perf_counter()
     df = data.df
     fields = [f for f in fields_of(df, data.misfits) if f.name in set(data.columns)]
-    first = first_pass(df, fields, exact)
+    first = first_pass(df, fields, exact, "distinct" in parts)
     rows = first["rows"]
-    small = small_sets(df, fields, first, exact) if rows else {}
-    second = second_pass(df, fields, first) if rows else {}
+    small = small_sets(df, fields, first, exact) if rows and "values" in parts else {}
+    second = second_pass(df, fields, first) if rows and "shape" in parts else {}
     columns = [_column(i, f, rows, first, small, second, exact) for i, f in enumerate(fields)]
     numeric = [f for f in fields if f.kind in NUMERIC]
     skipped = len(numeric) > WIDE and not correlate
     found = []
-    if correlations and not skipped and rows:
+    if correlations and "correlations" in parts and not skipped and rows:
         pairs = [Correlation(fields[a].name, fields[b].name, r) for a, b, r in pearson(df, fields, first)]
         found = sorted((c for c in pairs if abs(c.r) >= REPORT), key=lambda c: -abs(c.r))
-    if data.whole is not None:
+    if data.whole is not None and not (data.path or "").lower().endswith(".csv"):
         _override(columns, exact_extremes(data.whole))
     cells, nulls = sum(c.total_count for c in columns), sum(c.null_count for c in columns)
     n_numeric = sum(f.kind in (*NUMERIC, "bool") for f in fields)
@@ -191,13 +200,16 @@ def _column(i: int, f, rows: int, first: dict, small: dict, second: dict, exact:
         c.range = c.val_max - c.val_min
     if c.non_null_count and f.number is not None:
         c.mean = float(first[f"mean{i}"])
+        c.zero_count = first[f"zero{i}"]
+    if i in second and c.non_null_count:
         c.variance, c.skewness, c.kurtosis = shape(c.non_null_count, second[i]["s"])
         c.stddev = math.sqrt(c.variance)
         c.histogram_bins = second[i]["bins"]
     if c.non_null_count and f"short{i}" in first:
         c.min_str_len, c.max_str_len, c.mean_str_len = first[f"short{i}"], first[f"long{i}"], float(first[f"size{i}"])
     c.has_high_nulls = c.null_pct > 20
-    c.is_constant = c.unique_approx <= 1 and f.kind != "unknown" or c.non_null_count == 0
+    counted = known is not None or f"u{i}" in first
+    c.is_constant = counted and c.unique_approx <= 1 and f.kind != "unknown" or c.non_null_count == 0
     c.is_high_cardinality = c.unique_pct > 90
     return c
 

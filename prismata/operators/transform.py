@@ -1,7 +1,8 @@
 """Rewrites: fixing and cleaning, as one lazy projection over the input.
 
-The statistics that fills and clips need come from one aggregate; category
-codes come from a join with the ranked distinct values.
+The statistics that fills and clips need come from exact quantiles, which no
+task holds as a whole, and counts; category codes come from a join with the
+ranked distinct values.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import NUMERIC, as_number, quoted, type_name
+from ..plans.quantiles import exact_quantiles, mode
 from ..session import PrismataError
-from ..sources.readers import Dataset, resolve
-from ..sources.sinks import backup, restore, write_audit, write_table
+from ..sources.readers import Dataset, file_bytes, resolve
+from ..sources.sinks import SINGLE_BYTES, backup, restore, write_audit, write_table
 from .issues import collect_warnings, is_outlier, quality_score
 from .profile import DatasetProfile, profile_dataset
 
@@ -61,26 +63,23 @@ def clean_plan(p: DatasetProfile) -> Plan:
 
 
 def statistics(df: DataFrame, plan: Plan) -> dict[str, dict]:
-    """Median, mode, 99th percentile and what exceeds it, for the columns whose steps need them: at most two aggregates.
+    """Median, mode, 99th percentile and what exceeds it, for the columns whose steps need them.
 
     The percentile is that of the column after its imputation.
     """
     kinds = {f.name: type_name(f.dataType) for f in df.schema.fields}
-    first: dict[tuple[str, str], Column] = {}
-    for name, steps in plan.steps.items():
-        actions = [a for a, _ in steps]
-        if "impute" in actions:
-            first[name, "fill"] = F.median(as_number(quoted(name), kinds[name])) if kinds[name] in NUMERIC else F.mode(quoted(name), True)
-            first[name, "nulls"] = F.count_if(_missing(name, kinds[name]))
+    filled = [n for n, steps in plan.steps.items() if "impute" in [a for a, _ in steps]]
+    clipped = [n for n, steps in plan.steps.items() if "clip" in [a for a, _ in steps]]
     out: dict[str, dict] = {}
-    _collect(df, first, out)
-    second = {}
-    for name, steps in plan.steps.items():
-        if "clip" in [a for a, _ in steps]:
-            second[name, "upper"] = F.percentile(_filled(name, kinds[name], out), F.lit(0.99))
-    _collect(df, second, out)
-    third = {(n, "clipped"): F.count_if(_filled(n, kinds[n], out) > F.lit(out[n]["upper"])) for n, _ in second}
-    _collect(df, third, out)
+    medians = exact_quantiles(df, {(n, "fill"): (as_number(quoted(n), kinds[n]), 0.5) for n in filled if kinds[n] in NUMERIC})
+    for n in filled:
+        out[n] = {"fill": medians[n, "fill"] if kinds[n] in NUMERIC else mode(df, quoted(n))}
+    uppers = exact_quantiles(df, {(n, "upper"): (_filled(n, kinds[n], out), 0.99) for n in clipped})
+    for (n, _), x in uppers.items():
+        out.setdefault(n, {})["upper"] = x
+    counts = {(n, "nulls"): F.count_if(_missing(n, kinds[n])) for n in filled}
+    counts |= {(n, "clipped"): F.count_if(_filled(n, kinds[n], out) > F.lit(out[n]["upper"])) for n in clipped}
+    _collect(df, counts, out)
     return out
 
 
@@ -104,14 +103,14 @@ def _filled(name: str, kind: str, stats: dict) -> Column:
     return c if fill is None else F.coalesce(c, F.lit(fill))
 
 
-def ranks(values: DataFrame, per_bucket: int = BUCKET_VALUES) -> DataFrame:
+def ranks(values: DataFrame, per_bucket: int = BUCKET_VALUES, count: int | None = None) -> DataFrame:
     """value, code: the distinct values (column ``value``, no null) numbered from 0 in ascending order.
 
     Up to ``per_bucket`` values are numbered in one window.  More are cut into
     buckets at values that a hash picks (at most MOST_BUCKETS), each bucket has
     its own window, and the buckets' sizes give the offsets.
     """
-    count = values.count()
+    count = values.count() if count is None else count
     buckets = min(MOST_BUCKETS, count // per_bucket)
     if buckets < 2:
         return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
@@ -128,12 +127,17 @@ def ranks(values: DataFrame, per_bucket: int = BUCKET_VALUES) -> DataFrame:
     return placed.select("value", (offset + at - 1).alias("code"))
 
 
-def encode(df: DataFrame, name: str) -> DataFrame:
-    """Replaces values by their rank among the distinct ones (from 0, ascending); null by -1."""
+def encode(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Replaces values by their rank among the distinct ones (from 0, ascending), null by -1; and the number of values.
+
+    The codes of up to BUCKET_VALUES values are broadcast, so that a frequent
+    value is no hot key.
+    """
     values = df.select(quoted(name).alias("value")).where("value IS NOT NULL").distinct()
-    codes = ranks(values).select(F.col("value").alias("__value"), F.col("code").cast("int").alias("__code"))
-    joined = df.join(codes, quoted(name) == F.col("__value"), "left")
-    return joined.select(*[F.coalesce("__code", F.lit(-1)).alias(c) if c == name else quoted(c) for c in df.columns])
+    count = values.count()
+    codes = ranks(values, count=count).select(F.col("value").alias("__value"), F.col("code").cast("int").alias("__code"))
+    joined = df.join(F.broadcast(codes) if count <= BUCKET_VALUES else codes, quoted(name) == F.col("__value"), "left")
+    return joined.select(*[F.coalesce("__code", F.lit(-1)).alias(c) if c == name else quoted(c) for c in df.columns]), count
 
 
 def apply_plan(df: DataFrame, plan: Plan) -> tuple[DataFrame, list[dict]]:
@@ -165,13 +169,16 @@ def apply_plan(df: DataFrame, plan: Plan) -> tuple[DataFrame, list[dict]]:
             coded.append(name)
     out = df.select(*cols)
     for name in coded:
-        out = encode(out, name)
-        actions.append({"column": name, "action": "encode", "unique_values": df.select(quoted(name)).where(quoted(name).isNotNull()).distinct().count()})
+        out, values = encode(out, name)
+        actions.append({"column": name, "action": "encode", "unique_values": values})
     return out, actions
 
 
 def fix(data, apply: bool = False, sample_size: int | None = None) -> DataFrame | None:
-    """Prints code for each fix, or applies the fixes and returns the frame; None if there is nothing to fix."""
+    """Prints code for each fix, or applies the fixes to all rows and returns the frame; None if there is nothing to fix.
+
+    ``sample_size`` bounds the rows that the decisions are made on.
+    """
     from ..render import fix_report
 
     dataset = resolve(data, sample_size)
@@ -186,16 +193,19 @@ def fix(data, apply: bool = False, sample_size: int | None = None) -> DataFrame
     return apply_plan(dataset.data, plan)[0]
 
 
-def clean(data, output: str | None = None, sample_size: int | None = None) -> DataFrame | None:
-    """Applies all fixes; writes the result (to ``output`` or over the input, after a backup) with an audit document.
+def clean(data, output: str | None = None, sample_size: int | None = None, single: bool | None = None) -> DataFrame | None:
+    """Applies all fixes to all rows; writes the result (to ``output`` or over the input, after a backup) with an audit document.
 
     Returns the cleaned frame, or None if nothing can be fixed.  A frame as
-    input is written only if ``output`` is given.
+    input is written only if ``output`` is given.  ``sample_size`` bounds the
+    rows that the decisions are made on.  ``single`` tells whether the output
+    is one file or a folder written in parallel; by default it is one file if
+    the input has at most SINGLE_BYTES.
     """
     from .. import __version__
 
     source: Dataset = resolve(data)
-    p = profile_dataset(resolve(data, sample_size) if sample_size else source)
+    p = profile_dataset(source.sample(sample_size) if sample_size else source)
     plan = clean_plan(p)
     if not plan.steps:
         print(f"{p.file_name}: nothing to fix")
@@ -209,15 +219,16 @@ def clean(data, output: str | None = None, sample_size: int | None = None) -> Da
     print(f"  score {before} -> {after}")
     goal = output or source.path
     if goal is not None:
-        if source.path is not None and "://" not in source.path:
+        if single is None:
+            single = source.path is None or file_bytes(source.path) <= SINGLE_BYTES
+        if source.path is not None:
             backup(source.path)
-        write_table(cleaned, goal, single=True)
+        write_table(cleaned, goal, single)
         audit = {
             "source_file": p.file_name, "output_file": goal.rsplit("/", 1)[-1], "prismata_version": __version__, "score_before": before, "score_after": after,
             "rows_before": p.num_rows, "rows_after": after_profile.num_rows, "cols_before": p.num_cols, "cols_after": after_profile.num_cols, "actions": actions,
         }
-        if "://" not in goal:
-            write_audit(goal, audit)
+        write_audit(goal, audit)
         if goal == source.path:
             cleaned = resolve(goal).data
     return cleaned

@@ -45,8 +45,8 @@ def fields_of(df: DataFrame, misfits: dict[str, Column] | None = None) -> list[F
     return out
 
 
-def first_pass(df: DataFrame, fields: list[Field], exact: bool) -> dict:
-    """Rows, and for each field number its count, misfits, distinct (estimate), low, high, mean and text lengths."""
+def first_pass(df: DataFrame, fields: list[Field], exact: bool, distinct: bool = True) -> dict:
+    """Rows, and for each field number its count, misfits, distinct (estimate, if asked for), low, high, mean, zeros and text lengths."""
     out = [F.count(F.lit(1)).alias("rows")]
     kinds = {f.name: f.dataType for f in df.schema.fields}
     for i, f in enumerate(fields):
@@ -55,11 +55,11 @@ def first_pass(df: DataFrame, fields: list[Field], exact: bool) -> dict:
             out.append(F.count_if(f.bad).alias(f"bad{i}"))
         if f.kind != "unknown":
             value = f.value.cast("int") if f.kind == "bool" else f.value
-            if not exact:
+            if distinct and not exact:
                 key = value.cast("long") if f.kind in ("int", "bool") else F.xxhash64(value) if f.kind == "float" else value.cast("string")
                 out.append(F.hll_sketch_estimate(F.hll_sketch_agg(F.when(value.isNotNull(), key), F.lit(SKETCH))).alias(f"u{i}"))
         if f.number is not None:
-            out += [F.min(f.number).alias(f"low{i}"), F.max(f.number).alias(f"high{i}"), F.avg(f.number).alias(f"mean{i}")]
+            out += [F.min(f.number).alias(f"low{i}"), F.max(f.number).alias(f"high{i}"), F.avg(f.number).alias(f"mean{i}"), F.count_if(f.number == 0).alias(f"zero{i}")]
         elif f.kind == "datetime":
             t = seconds(f.value, kinds[f.name])
             out += [F.min(t).alias(f"low{i}"), F.max(t).alias(f"high{i}")]
@@ -67,7 +67,7 @@ def first_pass(df: DataFrame, fields: list[Field], exact: bool) -> dict:
             size = F.octet_length(f.value)
             out += [F.min(size).alias(f"short{i}"), F.max(size).alias(f"long{i}"), F.avg(size).alias(f"size{i}")]
     found = df.agg(*out).first().asDict()
-    if exact and found["rows"]:
+    if distinct and exact and found["rows"]:
         found |= {f"u{i}": n for i, n in distinct_counts(df, fields, [i for i, f in enumerate(fields) if f.kind != "unknown"]).items()}
     return found
 

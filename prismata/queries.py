@@ -5,8 +5,7 @@ Doubles are rounded alike on both sides, as engines differ in the last digits.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +19,9 @@ from .operators.merge import overlap, union_keep_first
 from .operators.ml import verdict_frame
 from .operators.profile import DatasetProfile, profile_dataset
 from .operators.transform import Plan, apply_plan, clean_plan
+from .session import shared_dir
 from .sources.readers import Dataset, read_csv
+from .sources.sinks import write_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,10 +74,10 @@ def profile_numeric(spark, sf_dir):
     return p.select("name", "total_count", "null_count", rnd("mean"), rnd("stddev"), "val_min", "val_max", "unique_approx")
 
 
-@query(each(LINE_NUMBERS[3:], "round(var_samp({c}), 2) AS variance, round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis, round(CAST(max({c}) - min({c}) AS DOUBLE), 4) AS range", "lineitem"))
+@query(each(LINE_NUMBERS[3:], "round(var_samp({c}), 2) AS variance, round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis, round(CAST(max({c}) - min({c}) AS DOUBLE), 4) AS range, count(*) FILTER ({c} = 0) AS zero_count", "lineitem"))
 def profile_moments(spark, sf_dir):
-    p = cols(prof(load(spark, sf_dir, "lineitem").select(*LINE_NUMBERS[3:])))
-    return p.select("name", rnd("variance", 2), rnd("skewness", 6), rnd("kurtosis", 6), rnd("range"))
+    p = cols(prof(load(spark, sf_dir, "lineitem").select(*LINE_NUMBERS[3:]), parts=["shape"]))
+    return p.select("name", rnd("variance", 2), rnd("skewness", 6), rnd("kurtosis", 6), rnd("range"), "zero_count")
 
 
 _STRINGS = {"orders": ["o_orderstatus", "o_orderpriority"], "documents": ["text", "lang", "source"]}
@@ -104,7 +105,7 @@ def _holed(spark, sf_dir) -> DataFrame:
 
 @query(each(["l_quantity", "l_tax", "l_returnflag", "l_orderkey"], "count(*) - count({c}) AS null_count, round(100.0 * (count(*) - count({c})) / count(*), 6) AS null_pct, count({c}) AS non_null_count, 100.0 * (count(*) - count({c})) / count(*) > 20 AS has_high_nulls", _HOLED))
 def profile_nulls(spark, sf_dir):
-    p = cols(prof(_holed(spark, sf_dir))).where("name <> 'l_linenumber'")
+    p = cols(prof(_holed(spark, sf_dir), parts=[])).where("name <> 'l_linenumber'")
     return p.select("name", "null_count", rnd("null_pct", 6), "non_null_count", "has_high_nulls")
 
 
@@ -113,8 +114,8 @@ _BINS = "SELECT '{c}' AS name, CAST(least(15, floor(({c} - lo) / (hi - lo) * 16)
 
 @query(" UNION ALL ".join(_BINS.format(c=c, t=t) for c, t in (("l_quantity", "lineitem"), ("l_extendedprice", "lineitem"), ("value", "events"))))
 def profile_histogram(spark, sf_dir):
-    a = cols(prof(load(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")))
-    b = cols(prof(load(spark, sf_dir, "events").select("value")))
+    a = cols(prof(load(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"), parts=["shape"]))
+    b = cols(prof(load(spark, sf_dir, "events").select("value"), parts=["shape"]))
     rows = a.unionByName(b).select("name", F.posexplode("histogram_bins").alias("bin", "n"))
     return rows.where("n > 0")
 
@@ -126,7 +127,7 @@ def profile_flags(spark, sf_dir):
 
 @query("SELECT count(*) AS num_rows, 5::BIGINT AS num_cols, 4::BIGINT AS num_numeric, 1::BIGINT AS num_string, 5 * count(*) AS total_cells, 5 * count(*) - count(l_orderkey) - count(l_linenumber) - count(l_quantity) - count(l_tax) - count(l_returnflag) AS total_null_cells, round(100.0 * (5 * count(*) - count(l_orderkey) - count(l_linenumber) - count(l_quantity) - count(l_tax) - count(l_returnflag)) / (5 * count(*)), 6) AS overall_null_pct FROM " + _HOLED)
 def profile_summary(spark, sf_dir):
-    s = prof(_holed(spark, sf_dir)).summary_frame()
+    s = prof(_holed(spark, sf_dir), parts=[]).summary_frame()
     return s.select("num_rows", "num_cols", "num_numeric", "num_string", "total_cells", "total_null_cells", rnd("overall_null_pct", 6))
 
 
@@ -135,10 +136,15 @@ def profile_datetime(spark, sf_dir):
     return cols(prof(load(spark, sf_dir, "events").select("ts"))).select("name", rnd("val_min", 3), rnd("val_max", 3), "unique_approx")
 
 
-@query()
+_LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("SELECT name, CASE WHEN n <= 100 THEN n END AS few, CAST(round(4 * log2(n)) AS BIGINT) AS magnitude FROM (" + each(_LINE, "count(DISTINCT {c}) AS n", "lineitem") + ")")
 def hll_distinct(spark, sf_dir):
-    p = profile_dataset(Dataset(load(spark, sf_dir, "lineitem"), "lineitem"), correlations=False)
-    return cols(p).select("name", "unique_approx", "exact_unique_valid")
+    """Sketched distinct counts: the number itself where it is small, and its size in quarters of a doubling."""
+    p = profile_dataset(Dataset(load(spark, sf_dir, "lineitem").select(*_LINE), "lineitem"), parts=["distinct"])
+    n = F.col("unique_approx")
+    return cols(p).select("name", F.when(n <= 100, n).alias("few"), F.round(4 * F.log2(n)).cast("long").alias("magnitude"))
 
 
 # correlations ----------------------------------------------------------
@@ -150,7 +156,7 @@ _PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {
 
 def _paired(spark, sf_dir) -> DatasetProfile:
     df = load(spark, sf_dir, "lineitem").selectExpr("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_quantity * 3 - l_discount AS derived", "CASE WHEN l_linenumber = 7 THEN NULL ELSE -l_tax END AS mirrored")
-    return prof(df, correlations=True)
+    return prof(df, correlations=True, parts=["correlations"])
 
 
 @query(f"SELECT col_a, col_b, round(r, 6) AS r FROM ({_PAIRS}) WHERE abs(r) >= 0.5")
@@ -244,11 +250,13 @@ def fix_clip_p99(spark, sf_dir):
     return apply_plan(df, Plan({"l_extendedprice": [("clip", "")]}))[0].select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), rnd("l_extendedprice"))
 
 
-@query("SELECT c_name, c_acctbal FROM customer")
+@query("SELECT c_name, c_acctbal, (SELECT 100.0 * count(DISTINCT c_custkey) / count(c_custkey) > 95 FROM customer) AS key_dropped, (SELECT 100.0 * count(DISTINCT c_nationkey) / count(c_nationkey) > 95 FROM customer) AS nation_dropped FROM customer")
 def fix_drop_id(spark, sf_dir):
-    df = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    plan = clean_plan(prof(df.select("c_custkey")))
-    return apply_plan(df, plan)[0]
+    df = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name", "c_acctbal")
+    plan = clean_plan(prof(df.select("c_custkey", "c_nationkey")))
+    out = apply_plan(df, plan)[0]
+    gone = lambda c: F.lit(c not in out.columns)
+    return out.select("c_name", "c_acctbal", gone("c_custkey").alias("key_dropped"), gone("c_nationkey").alias("nation_dropped"))
 
 
 @query("SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INT) AS p_type FROM part")
@@ -282,14 +290,17 @@ def _drift(spark, sf_dir):
     return drift(pa, pb, aligned_histograms(a, b, pa, pb))
 
 
-@query("SELECT 'extra' AS col_name, 'missing_in_a' AS status")
+@query(f"SELECT b.column_name AS col_name, 'missing_in_a' AS status FROM (DESCRIBE SELECT * FROM {_B}) b ANTI JOIN (DESCRIBE SELECT * FROM {_A}) a USING (column_name) UNION ALL SELECT a.column_name, 'missing_in_b' FROM (DESCRIBE SELECT * FROM {_A}) a ANTI JOIN (DESCRIBE SELECT * FROM {_B}) b USING (column_name)")
 def drift_schema(spark, sf_dir):
     d = _drift(spark, sf_dir).schema
     rows = [(c, "missing_in_a") for c in d["missing_in_a"]] + [(c, "missing_in_b") for c in d["missing_in_b"]] + [(c, "type") for c, _, _ in d["type_mismatches"]]
     return spark.createDataFrame(rows, "col_name string, status string")
 
 
-@query(f"SELECT 'value' AS col_name, 0.0::DOUBLE AS null_pct_a, round(100.0 * (count(*) - count(value)) / count(*), 6) AS null_pct_b, 'spike' AS status FROM {_B} UNION ALL SELECT 'event_id', 0.0, 0.0, 'stable' UNION ALL SELECT 'event_type', 0.0, 0.0, 'stable'")
+_NULLS = " UNION ALL ".join(f"SELECT '{c}' AS col_name, (SELECT 100.0 * (count(*) - count({c})) / count(*) FROM {_A}) AS x, (SELECT 100.0 * (count(*) - count({c})) / count(*) FROM {_B}) AS y" for c in ("event_id", "event_type", "value"))
+
+
+@query(f"SELECT col_name, x AS null_pct_a, round(y, 6) AS null_pct_b, CASE WHEN y - x > 5 THEN 'spike' WHEN y - x > 0.1 THEN 'increase' WHEN y - x < -0.1 THEN 'decrease' ELSE 'stable' END AS status FROM ({_NULLS})")
 def drift_nulls(spark, sf_dir):
     rows = [(x["col_name"], x["null_pct_a"], round(x["null_pct_b"], 6), x["status"]) for x in _drift(spark, sf_dir).nulls]
     return spark.createDataFrame(rows, "col_name string, null_pct_a double, null_pct_b double, status string")
@@ -345,13 +356,16 @@ def drift_category(spark, sf_dir):
     return spark.createDataFrame(rows, "col_name string, n_new long, n_missing long, jaccard double")
 
 
-@query("SELECT 'FAIL' AS verdict, 'PASS' AS other")
+@query(
+    _HISTS
+    + f""", p AS (SELECT sum((greatest(hb.c / rb.n, 0.0001) - greatest(ha.c / ra.n, 0.0001)) * ln(greatest(hb.c / rb.n, 0.0001) / greatest(ha.c / ra.n, 0.0001))) AS psi FROM ha JOIN hb USING (bin), ra, rb),
+m AS (SELECT (SELECT avg(v) FROM ea) AS ma, (SELECT avg(v) FROM eb) AS mb),
+s AS (SELECT psi > 0.2 OR abs((mb - ma) / ma) * 100 >= 10 AS shift, (SELECT count(*) FROM (DESCRIBE SELECT * FROM {_A}) a ANTI JOIN (DESCRIBE SELECT * FROM {_B}) b USING (column_name)) AS lost FROM p, m)
+SELECT CASE WHEN shift THEN 'FAIL' ELSE 'WARN' END AS verdict, CASE WHEN lost > 0 THEN 'FAIL' WHEN shift THEN 'REVIEW' ELSE 'PASS' END AS training FROM s"""
+)
 def drift_verdict(spark, sf_dir):
     d = _drift(spark, sf_dir)
-    li = load(spark, sf_dir, "lineitem").select("l_quantity", "l_returnflag")
-    p = prof(li)
-    same = drift(p, p)
-    return spark.createDataFrame([(d.verdict, training_verdict(same.schema, same.shifts, same.categories)["verdict"])], "verdict string, other string")
+    return spark.createDataFrame([(d.verdict, training_verdict(d.schema, d.shifts, d.categories)["verdict"])], "verdict string, training string")
 
 
 # contract --------------------------------------------------------------
@@ -419,12 +433,44 @@ def ask_null_over(spark, sf_dir):
 
 # CSV -------------------------------------------------------------------
 
+_CELLS = {
+    "id": "CAST(o_orderkey AS {text})",
+    "amount": "CASE WHEN o_orderkey % 7 = 0 THEN 'NA' WHEN o_orderkey % 4999 = 4998 THEN 'oops' ELSE CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS {text}) END",
+    "flag": "CASE WHEN o_orderkey % 2 = 0 THEN 'yes' WHEN o_orderkey % 5 = 0 THEN 'None' ELSE 'no' END",
+    "note": "concat('a \"', o_orderstatus, '\", b', {end}, o_orderpriority)",
+}
+_CSV_SQL = """
+WITH raw AS (SELECT o_orderkey AS k, {cells} FROM orders),
+cells AS ({long}),
+known AS (SELECT * FROM cells WHERE lower(v) NOT IN ('', '?', 'na', 'nan', 'n/a', 'null', 'none', '#n/a')),
+x AS (SELECT *, regexp_full_match(v, '[+-]?[0-9]+') AS whole, regexp_full_match(v, '\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*') AS real, lower(v) IN ('true', 'false', 'yes', 'no', 'y', 'n') AS word FROM known),
+n AS (SELECT name, count(*) AS n, count(*) FILTER (word) AS b, count(*) FILTER (whole) AS i, count(*) FILTER (v IN ('0', '1')) AS z, count(*) FILTER (real AND NOT whole) AS f, count(*) FILTER (NOT word AND NOT real) AS s FROM x WHERE k IN (SELECT k FROM raw ORDER BY k LIMIT 5000) GROUP BY name),
+kinds AS (SELECT name, CASE WHEN s > 0 THEN CASE WHEN b >= 0.8 * n THEN 'bool' WHEN i + f >= 0.98 * n AND s <= 2 THEN CASE WHEN f > 0 THEN 'float' ELSE 'int' END ELSE 'str' END WHEN b > 0 AND i = z AND f = 0 THEN 'bool' WHEN f > 0 THEN 'float' WHEN i > 0 THEN 'int' ELSE 'str' END AS type_str FROM n),
+fits AS (SELECT x.*, type_str, CASE type_str WHEN 'int' THEN whole WHEN 'float' THEN real WHEN 'bool' THEN word ELSE true END AS fit FROM x JOIN kinds USING (name))
+SELECT name, type_str, (SELECT count(*) FROM raw) - count(*) AS null_count, count(*) FILTER (NOT fit) AS type_mismatch_count, count(DISTINCT v) FILTER (fit) AS unique_approx FROM fits GROUP BY name, type_str
+"""
 
-@query()
+
+def _csv_sql(end: str) -> str:
+    made = {c: x.format(text="VARCHAR", end=end) for c, x in _CELLS.items()}
+    return _CSV_SQL.format(cells=", ".join(f"{x} AS {c}" for c, x in made.items()), long=" UNION ALL ".join(f"SELECT k, '{c}' AS name, {c} AS v FROM raw" for c in made))
+
+
+def _csv_profile(spark, sf_dir, end: str) -> DataFrame:
+    """Writes orders as one CSV file in the shared folder and profiles that."""
+    rows = load(spark, sf_dir, "orders").orderBy("o_orderkey").selectExpr(*[f"{x.format(text='STRING', end=end)} AS {c}" for c, x in _CELLS.items()])
+    path = write_table(rows, f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}.csv")
+    p = profile_dataset(read_csv(path), exact=True, parts=["distinct"])
+    return cols(p).select("name", "type_str", "null_count", "type_mismatch_count", "unique_approx")
+
+
+@query(_csv_sql("chr(10)"))
 def csv_infer_types(spark, sf_dir):
-    folder = tempfile.mkdtemp(prefix="prismata-csv-")
-    path = os.path.join(folder, "t.csv")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('﻿id,flag,amount,note\n1,yes,1.5,"a ""quoted"" note"\n2,no,NA,"two\nlines"\n3,y,2,\n')
-    p = profile_dataset(read_csv(path), exact=True)
-    return cols(p).select("name", "type_str", "null_count", "unique_approx")
+    """Fields with quotes, separators and line ends in them."""
+    return _csv_profile(spark, sf_dir, "chr(10)")
+
+
+@query(_csv_sql("' '"))
+def csv_split_scan(spark, sf_dir):
+    """No field spans lines: the file is read by ranges."""
+    return _csv_profile(spark, sf_dir, "' '")

@@ -113,7 +113,7 @@ def terminal_report(p: DatasetProfile) -> str:
 def warnings_report(p: DatasetProfile, found: list[dict], fixes: bool = False) -> str:
     counts = ", ".join(f"{sum(w['severity'] == s for w in found)} {s}" for s in SEVERITIES)
     out = [f"{p.file_name}: {counts}"]
-    out += [f"  {w['icon']} {w['column']}: {w['message']}. {w['fix_action']}" for w in found]
+    out += [f"  {w['icon']} {w['column']}: {w['message']}; {w['fix_action']}" for w in found]
     if fixes and found:
         out += ["", *dict.fromkeys(w["fix_code"] for w in found)]
     if found:

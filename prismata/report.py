@@ -56,7 +56,7 @@ def html_page(p: DatasetProfile) -> str:
         stats = f"mean {number(c.mean)}, sd {number(c.stddev)}, {number(c.val_min)} to {number(c.val_max)}" if c.type_str in (*NUMERIC, "bool") else f"length {c.min_str_len} to {c.max_str_len}" + (": " + ", ".join(c.top_values[:5]) if c.top_values else "")
         rows.append(f"<tr><td>{escape(c.name)}</td><td>{c.type_str}</td><td>{c.null_pct:.1f}%</td><td>{c.unique_approx:,}</td><td>{escape(stats)}</td><td>{histogram(c.histogram_bins)}</td><td>{marks}</td></tr>")
     pairs = "".join(f"<tr><td>{escape(r.col_a)}</td><td>{escape(r.col_b)}</td><td>{r.r:+.3f}</td><td>{r.strength}</td></tr>" for r in p.correlations)
-    notes = "".join(f"<li>{w['icon']} <b>{escape(w['column'])}</b>: {escape(w['message'])}. {escape(w['fix_action'])}</li>" for w in collect_warnings(p))
+    notes = "".join(f"<li>{w['icon']} <b>{escape(w['column'])}</b>: {escape(w['message'])}; {escape(w['fix_action'])}</li>" for w in collect_warnings(p))
     return (
         f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{escape(p.file_name)}</title><style>{_STYLE}</style></head><body><h1>{escape(p.file_name)}</h1>'
         f"<p>{ring(score)} {label(score)}; {p.num_rows:,} rows, {p.num_cols} columns, {p.overall_null_pct:.1f}% nulls, scanned in {duration(p.scan_time_ms)}</p>"

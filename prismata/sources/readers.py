@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pathlib import PurePath
 from threading import Lock
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,6 @@ from ..session import PrismataError, session
 
 EXTENSIONS = (".csv", ".parquet")
 INFER_ROWS = 5000
-#: A larger CSV is sampled to about SAMPLE_ROWS rows unless told otherwise.
-SAMPLE_BYTES, SAMPLE_ROWS = 1 << 30, 2_000_000
 
 
 @dataclass
@@ -27,7 +27,7 @@ class Dataset:
     path: str | None = None
     misfits: dict[str, Column] = field(default_factory=dict)  # by column: whether a cell did not fit the inferred type
     sampled: bool = False
-    whole: DataFrame | None = None  # what a Parquet sample was drawn from
+    whole: DataFrame | None = None  # what a sample was drawn from
 
     @property
     def columns(self) -> list[str]:
@@ -35,8 +35,19 @@ class Dataset:
 
     @property
     def data(self) -> DataFrame:
-        """Without the helper columns."""
-        return self.df.select(*[quoted(c) for c in self.columns])
+        """All rows, without the helper columns; those of a sample's source."""
+        rows = self.df if self.whole is None else self.whole
+        return rows.select(*[quoted(c) for c in self.columns])
+
+    def sample(self, rows: int, seed: int = 17) -> Dataset:
+        """A random part of about ``rows`` rows, which knows all of them; itself if it has no more."""
+        if rows < 1:
+            raise PrismataError("sample_size must be positive")
+        n = row_count(self.df, self.path)
+        if n <= rows:
+            return self
+        share = min(1.0, 1.1 * rows / n + 1e-3)
+        return Dataset(self.df.sample(share, seed).limit(rows), self.name, self.path, self.misfits, True, self.df)
 
 
 def _hadoop(spark, path: str):
@@ -117,10 +128,23 @@ def infer_types(raw: DataFrame, rows: int = INFER_ROWS) -> dict[str, str]:
     return {c: decide_type(*(got[f"{k}{i}"] for k in "bizfs")) for i, c in enumerate(raw.columns)}
 
 
+def spans_lines(path: str) -> bool:
+    """Whether a quoted field of the CSV file reaches over a line's end, or a line holds blanks only: one scan, split over the tasks.
+
+    The line in which such a field begins has an odd number of quotes.
+    """
+    line = F.col("value")
+    odd = (F.length(line) - F.length(F.replace(line, F.lit('"')))) % 2 == 1
+    return not session().read.text(path).where(odd | line.rlike(r"^\s+$")).isEmpty()
+
+
 def read_csv(path: str, sep: str = ",", null_string: str | None = None, header: bool = True, infer_rows: int = INFER_ROWS) -> Dataset:
-    """A CSV file with types by majority of its first rows; cells that don't fit become null and are counted."""
+    """A CSV file with types by majority of its first rows; cells that don't fit become null and are counted.
+
+    Many tasks read a file, unless its fields span lines.
+    """
     spark = session()
-    raw = spark.read.csv(path, header=header, sep=sep, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", encoding="UTF-8", inferSchema=False, enforceSchema=True, emptyValue="")
+    raw = spark.read.csv(path, header=header, sep=sep, quote='"', escape='"', multiLine=spans_lines(path), mode="PERMISSIVE", encoding="UTF-8", inferSchema=False, enforceSchema=True, emptyValue="")
     names = [c.lstrip("﻿").strip(' \t"') for c in raw.columns] if header else [f"col_{i}" for i in range(len(raw.columns))]
     raw = raw.toDF(*[f"__raw_{i}" for i in range(len(names))])
     raw = raw.select(*[without_markers(F.col(c), null_string).alias(c) for c in raw.columns])
@@ -135,35 +159,28 @@ def read_csv(path: str, sep: str = ",", null_string: str | None = None, header:
     return Dataset(raw.select(*typed), PurePath(path).name, path, misfits)
 
 
-def resolve(data, sample_size: int | None = None, allowed_dir: str | None = None, seed: int = 17, **csv) -> Dataset:
-    """A Dataset from a path, a Spark DataFrame, or anything with ``to_pandas`` or pandas' shape."""
+def resolve(data, sample_size: int | None = None, allowed_dir: str | None = None, **csv) -> Dataset:
+    """A Dataset from a path, a Spark DataFrame, or anything with ``to_pandas`` or pandas' shape.
+
+    All rows, unless ``sample_size`` asks for a sample of about as many.
+    """
     if isinstance(data, Dataset):
         return data
     if isinstance(data, DataFrame):
         found = Dataset(data, "<DataFrame>")
     elif isinstance(data, (str, os.PathLike)):
         path = check_path(os.fspath(data), allowed_dir)
-        if path.lower().endswith(".csv"):
-            found = read_csv(path, **csv)
-            if sample_size is None and file_bytes(path) > SAMPLE_BYTES:
-                sample_size = SAMPLE_ROWS
-        else:
-            found = Dataset(session().read.parquet(path), PurePath(path).name, path)
+        try:
+            found = read_csv(path, **csv) if path.lower().endswith(".csv") else Dataset(session().read.parquet(path), PurePath(path).name, path)
+        except (PySparkException, Py4JJavaError) as e:
+            raise PrismataError(f"can't read {path}: {str(e).splitlines()[0][:200]}") from e
     elif hasattr(data, "to_pandas") or type(data).__module__.startswith("pandas"):
         found = Dataset(session().createDataFrame(data.to_pandas() if hasattr(data, "to_pandas") else data), "<DataFrame>")
     else:
         raise PrismataError(f"unsupported input type: {type(data).__name__}")
     if not found.columns:
         raise PrismataError("no columns")
-    if sample_size is not None:
-        if sample_size < 1:
-            raise PrismataError("sample_size must be positive")
-        rows = row_count(found.df, found.path)
-        if rows > sample_size:
-            found.whole = found.df if found.path and not found.path.lower().endswith(".csv") else None
-            share = min(1.0, 1.1 * sample_size / rows + 1e-3)
-            found.df, found.sampled = found.df.sample(share, seed).limit(sample_size), True
-    return found
+    return found if sample_size is None else found.sample(sample_size)
 
 
 def count_lines(path: str) -> int:

@@ -1,17 +1,32 @@
-"""Writing results: one CSV or Parquet file, audit documents, backups."""
+"""Writing results: one file or a folder of CSV or Parquet, audit documents, backups; anywhere that Hadoop's file systems reach."""
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 import uuid
+from pathlib import PurePath
 
 from pyspark.sql import DataFrame
 
-from ..session import PrismataError
+from ..session import PrismataError, session
 
 BACKUP = ".prismata-backup"
+#: Results of larger inputs are written in parallel, as a folder, unless told otherwise.
+SINGLE_BYTES = 1 << 30
+
+
+def _fs(path: str):
+    spark = session()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _drop_checksum(fs, at) -> None:
+    """The checksum that local file systems keep beside a file: it would be stale once another tool edits the file."""
+    beside = session()._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.crc")
+    if fs.exists(beside):
+        fs.delete(beside, False)
 
 
 def write_table(df: DataFrame, path: str, single: bool = True) -> str:
@@ -22,51 +37,56 @@ def write_table(df: DataFrame, path: str, single: bool = True) -> str:
         out.write.parquet(work)
     else:
         out.write.csv(work, header=True, quote='"', escape='"')
-    fs, at = _fs(df, work)
-    goal = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    fs, at = _fs(work)
+    _, goal = _fs(path)
     if fs.exists(goal):
         fs.delete(goal, True)
     if single:
         part = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
         fs.rename(part, goal)
         fs.delete(at, True)
+        _drop_checksum(fs, goal)
     else:
         fs.rename(at, goal)
     return path
 
 
-def _fs(df: DataFrame, path: str):
-    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), at
-
-
 def write_audit(out_path: str, audit: dict) -> str:
     path = os.path.splitext(out_path)[0] + ".audit.json"
-    if os.path.dirname(os.path.realpath(path)) != os.path.dirname(os.path.realpath(out_path)):
+    if "://" not in out_path and os.path.dirname(os.path.realpath(path)) != os.path.dirname(os.path.realpath(out_path)):
         raise PrismataError("audit file would leave the output's folder")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(audit, f, indent=2, ensure_ascii=False)
+    fs, at = _fs(path)
+    stream = fs.create(at, True)
+    stream.write(bytearray(json.dumps(audit, indent=2, ensure_ascii=False).encode()))
+    stream.close()
+    _drop_checksum(fs, at)
     return path
 
 
+def _copy(source: str, goal: str) -> None:
+    spark = session()
+    (fs, a), (_, b) = _fs(source), _fs(goal)
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, fs, b, False, spark._jsc.hadoopConfiguration()):
+        raise PrismataError(f"can't copy {source} to {goal}")
+    _drop_checksum(fs, b)
+
+
 def backup(path: str) -> str:
-    """Copies the file beside itself, once: a later call keeps the first copy."""
+    """Copies the file or folder beside itself, once: a later call keeps the first copy."""
     copy = path + BACKUP
-    if not os.path.exists(copy):
-        (shutil.copytree if os.path.isdir(path) else shutil.copy2)(path, copy)
+    fs, at = _fs(copy)
+    if not fs.exists(at):
+        _copy(path, copy)
     return copy
 
 
 def restore(path: str) -> str:
-    copy = path + BACKUP
-    if not os.path.exists(copy):
-        raise PrismataError(f"no backup of {path}")
-    if os.path.isdir(path):
-        shutil.rmtree(path)
-    elif os.path.exists(path):
-        os.remove(path)
-    for crc in (os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc"),):
-        if os.path.exists(crc):
-            os.remove(crc)
-    shutil.move(copy, path)
+    (fs, copy), (_, at) = _fs(path + BACKUP), _fs(path)
+    if not fs.exists(copy):
+        raise PrismataError(f"no backup of {PurePath(path).name}")
+    if fs.exists(at):
+        fs.delete(at, True)
+    _drop_checksum(fs, at)
+    fs.rename(copy, at)
+    _drop_checksum(fs, at)
     return path

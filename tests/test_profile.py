@@ -9,6 +9,7 @@ from prismata.functions.columns import NULL_MARKERS, decide_type
 from prismata.operators.issues import collect_warnings, ml_score, quality_label, quality_score, warnings_frame
 from prismata.operators.profile import ColumnProfile
 from prismata.plans.passes import shape
+from prismata.sources.readers import spans_lines
 from prismata.streaming import IncrementalProfile
 
 
@@ -67,6 +68,13 @@ def test_bom_quotes_ragged(spark, tmp_path):
     assert [c.name for c in p.columns] == ["id", "note"] and p.num_rows == 4 and p.column("note").null_count == 1
 
 
+@pytest.mark.parametrize("body,want", [("a,b\n1,x\n2,y\n", False), ('a,b\n1,"x, ""y"""\n', False), ('a,b\n1,"x\ny"\n', True), ("a\n1\n  \n2\n", True), ('a,b\n1,x"\n', True)])
+def test_only_fields_that_span_lines_keep_a_file_whole(spark, tmp_path, body, want):
+    path = tmp_path / "t.csv"
+    path.write_text(body)
+    assert spans_lines(str(path)) is want
+
+
 @pytest.mark.parametrize("counts,want", [((0, 0, 0, 0, 0), "unknown"), ((8, 0, 0, 0, 2), "bool"), ((0, 98, 0, 0, 2), "int"), ((0, 90, 0, 8, 2), "float"), ((0, 97, 0, 0, 3), "str"), ((3, 2, 2, 0, 0), "bool"), ((3, 5, 2, 0, 0), "int"), ((0, 3, 0, 1, 0), "float")])
 def test_type_decision(counts, want):
     assert decide_type(*counts) == want

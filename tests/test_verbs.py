@@ -4,12 +4,16 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import prismata as pr
 from prismata.cli import main
+from prismata.operators.ask import answer_offline
 from prismata.operators.drift import psi, training_verdict, wasserstein
 from prismata.operators.profile import ColumnProfile
 from prismata.operators.transform import encode, ranks
+from prismata.plans.quantiles import exact_quantiles, mode
+from prismata.sources.readers import resolve
 
 
 def write(path, frame):
@@ -61,9 +65,57 @@ def test_fix(spark, messy, capsys):
     assert "id" not in df.columns and df.where("age IS NULL").count() == 0
 
 
+def test_rewrites_keep_all_rows_whatever_the_sample(spark, tmp_path):
+    f = pd.DataFrame({"id": range(1000), "v": [None if i % 9 == 0 else float(i % 50) for i in range(1000)], "w": [i % 7 for i in range(1000)]})
+    path = write(tmp_path / "t.csv", f)
+    assert pr.scan(path, sample_size=50).num_rows == 50
+    assert pr.fix(path, apply=True, sample_size=50).count() == 1000
+    assert pr.clean(path, sample_size=50).count() == 1000 and len(pd.read_csv(path)) == 1000
+    assert json.load(open(tmp_path / "t.audit.json"))["rows_after"] == 1000
+    pr.clean.undo(path)
+    other = write(tmp_path / "u.csv", f.assign(id=range(2000, 3000)))
+    assert pr.merge([path, other], None, checks=False).count() == 2000
+    assert pr.validate(resolve(other, sample_size=50), {"w": {"regex": "[0-5]"}}).failed is False
+    assert "142 rows" in str(pr.validate(resolve(other, sample_size=50), {"w": {"regex": "[0-5]"}}).all_breaches()[0])
+
+
+def test_output_in_parts_and_other_stores(spark, messy, tmp_path):
+    goal = str(tmp_path / "parts.csv")
+    assert pr.clean(messy, goal, single=False) is not None and (tmp_path / "parts.csv").is_dir()
+    assert pr.scan(goal).num_rows == 200
+    url = f"file://{messy}"
+    before = open(messy).read()
+    pr.clean(url)
+    assert open(messy).read() != before and (tmp_path / "messy.audit.json").exists()
+    with open(messy, "a") as f:  # another tool edits the file: no stale checksum is in the way
+        f.write("")
+    assert not list(tmp_path.glob(".*.crc")) and pr.scan(url).num_rows == 200
+    pr.clean.undo(url)
+    assert open(messy).read() == before
+    df = pd.read_csv(messy)
+    path = str(tmp_path / "m.parquet")
+    pr.merge([df, df.assign(id=df.id + 1000)], path, single=False)
+    assert (tmp_path / "m.parquet").is_dir() and pr.scan(path).num_rows == 400
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 no table")
+    assert pr.merge([df, str(tmp_path / "bad.parquet"), df], None).count() == 200
+
+
+@pytest.mark.parametrize("gathered,accuracy", [(100_000, 5000), (50, 100), (10, 20)])
+def test_exact_quantiles(spark, gathered, accuracy):
+    rng = np.random.default_rng(3)
+    cols = {"normal": rng.normal(size=5000), "heavy": rng.pareto(0.3, 5000), "few": rng.integers(0, 3, 5000).astype(float), "one": np.full(5000, 7.0), "holes": np.where(rng.random(5000) < 0.4, np.nan, rng.random(5000))}
+    df = spark.createDataFrame(pd.DataFrame(cols)).withColumn("holes", F.nanvl("holes", F.lit(None).cast("double")))
+    wanted = {(c, q): (F.col(c), q) for c in cols for q in (0.0, 0.25, 0.5, 0.99, 1.0)} | {("none", 0.5): (F.lit(None).cast("double"), 0.5)}
+    got = exact_quantiles(df, wanted, gathered, accuracy)
+    assert got.pop(("none", 0.5)) is None
+    for (c, q), x in got.items():
+        assert x == pytest.approx(np.nanquantile(cols[c], q), rel=1e-9), (c, q)
+    assert mode(df, F.col("few")) == min(range(3), key=lambda k: (-(cols["few"] == k).sum(), k)) and mode(df, F.lit(None)) is None
+
+
 def test_encode_ranks_and_nulls(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("a",)], "v string")
-    assert sorted(r.v for r in encode(df, "v").collect()) == [-1, 0, 0, 1, 2]
+    assert sorted(r.v for r in encode(df, "v")[0].collect()) == [-1, 0, 0, 1, 2]
 
 
 def test_ranks_in_buckets(spark):
@@ -152,6 +204,8 @@ def test_ask(spark, tmp_path):
     assert "Survived" in q("any binary column?") and "fixed" in q("constant columns?")
     assert "/100" in q("data quality?") and "fixed" in q("what should i drop?")
     assert "configured" in q("hello there") and "Error" in pr.ask("/etc/passwd", "how many rows?", print_output=False)
+    p = pr.scan(path)
+    assert answer_offline(p, "how many rows?") == "120 rows." and answer_offline(p, "hello") is None and p.column("Survived").zero_count == 60
     for s in ("most null column", "outlier columns", "id columns", "correlated columns", "skew", "string columns", "numeric columns", "high cardinality", "was this sampled", "scan time"):
         assert "configured" not in q(s), s
 
