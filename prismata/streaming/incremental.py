@@ -3,8 +3,9 @@
 Each batch adds one row of mergeable state per column: counts, sums of powers
 about zero-shifted origins, extremes and a distinct-count sketch.  Reading the
 profile merges the states, so no batch is read twice.  Usable by hand
-(``add``) or as a Structured Streaming sink (``writeStream.foreachBatch(p)``);
-a batch id that was added before is left out, which makes replays harmless.
+(``add``) or as a Structured Streaming sink (``writeStream.foreachBatch(p)``).
+A batch has a folder of its own, so adding one reads no other; a batch id that
+was added before is left out, which makes replays harmless.
 """
 
 from __future__ import annotations
@@ -26,15 +27,16 @@ class IncrementalProfile:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         self.add(batch, batch_id)
 
+    def _there(self, spark, path: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
     def _known(self, spark) -> DataFrame:
-        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            return spark.createDataFrame([], STATE)
-        return spark.read.schema(STATE).parquet(self.path)
+        return spark.read.schema(STATE).parquet(self.path) if self._there(spark, self.path) else spark.createDataFrame([], STATE)
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if not self._known(spark).where(F.col("batch") == batch_id).isEmpty():
+        spark, path = batch.sparkSession, f"{self.path}/batch={batch_id}"
+        if self._there(spark, f"{path}/_SUCCESS"):
             return
         fields = [f for f in fields_of(batch) if f.kind != "unknown"]
         origins = batch.agg(F.count(F.lit(1)), *[F.avg(f.number) if f.number is not None else F.lit(None) for f in fields]).first()
@@ -50,41 +52,31 @@ class IncrementalProfile:
                     F.hll_sketch_agg(key, F.lit(SKETCH)).alias("sketch"),
                 )
             )
-        state = batch.agg(F.array(*parts).alias("x"), F.count(F.lit(1)).alias("rows")).select("rows", F.explode("x").alias("x")).select(F.lit(batch_id).cast("long").alias("batch"), "x.column", "x.type_str", "rows", *[f"x.{c}" for c in ("n", "origin", "s1", "s2", "s3", "s4", "low", "high", "sketch")])
-        state.coalesce(1).write.mode("append").parquet(self.path)
+        state = batch.agg(F.array(*parts).alias("x"), F.count(F.lit(1)).alias("rows")).select("rows", F.explode("x").alias("x")).select("x.column", "x.type_str", "rows", *[f"x.{c}" for c in ("n", "origin", "s1", "s2", "s3", "s4", "low", "high", "sketch")])
+        state.coalesce(1).write.mode("overwrite").parquet(path)  # what a failed attempt has left goes
 
     def columns(self, spark) -> list[dict]:
-        """Merged statistics of each column, by name."""
-        known = self._known(spark)
-        sketches = {r[0]: r[1] for r in known.groupBy("column").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch"))).collect()}
-        merged: dict[str, dict] = {}
-        for r in known.drop("sketch").orderBy("batch").collect():  # one row for each batch and column
-            m = merged.setdefault(r["column"], {"column": r["column"], "type_str": r["type_str"], "rows": 0, "n": 0, "origin": None, "s": [0.0] * 5, "low": None, "high": None})
-            m["rows"] += r["rows"]
-            if r["n"]:
-                if r["origin"] is not None:
-                    if m["origin"] is None:
-                        m["origin"] = r["origin"]
-                    for k, v in enumerate(_moved(r["n"], [0.0, r["s1"], r["s2"], r["s3"], r["s4"]], r["origin"] - m["origin"])):
-                        m["s"][k] += v
-                m["n"] += r["n"]
-                for k, f in (("low", min), ("high", max)):
-                    if r[k] is not None:
-                        m[k] = r[k] if m[k] is None else f(m[k], r[k])
+        """Merged statistics of each column, by name: one aggregate, which gives a row for each column."""
+        known = self._known(spark).where("n > 0")
+        origins = known.groupBy("column").agg(F.min_by("origin", "batch").alias("to"))
+        by = F.col("origin") - F.col("to")
+        moved = [F.sum(x).alias(f"m{k}") for k, x in enumerate(_moved(F.col("n"), [F.lit(0.0), *[F.col(f"s{k}") for k in (1, 2, 3, 4)]], by))]
+        sums = known.join(origins, "column").groupBy("column").agg(F.sum("n").alias("n"), F.first("to").alias("to"), F.min("low").alias("low"), F.max("high").alias("high"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("u"), *moved)
+        rows = self._known(spark).groupBy("column").agg(F.sum("rows").alias("rows"), F.max_by("type_str", "batch").alias("type_str")).join(sums, "column", "left")
         out = []
-        for name, m in sorted(merged.items()):
-            row = {"column": name, "type_str": m["type_str"], "total_count": m["rows"], "non_null_count": m["n"], "unique_approx": sketches.get(name, 0), "val_min": m["low"], "val_max": m["high"]}
-            if m["type_str"] in (*NUMERIC, "bool") and m["n"]:
-                variance, skewness, kurtosis = shape(m["n"], m["s"])
-                row |= {"mean": m["origin"] + m["s"][1] / m["n"], "variance": variance, "skewness": skewness, "kurtosis": kurtosis}
+        for r in rows.orderBy("column").collect():
+            row = {"column": r["column"], "type_str": r["type_str"], "total_count": r["rows"], "non_null_count": r["n"] or 0, "unique_approx": r["u"] or 0, "val_min": r["low"], "val_max": r["high"]}
+            if r["type_str"] in (*NUMERIC, "bool") and r["n"]:
+                variance, skewness, kurtosis = shape(r["n"], [r[f"m{k}"] for k in range(5)])
+                row |= {"mean": r["to"] + r["m1"] / r["n"], "variance": variance, "skewness": skewness, "kurtosis": kurtosis}
             out.append(row)
         return out
 
 
-def _moved(n: int, s: list[float], by: float) -> list[float]:
-    """Sums of powers about an origin that lies ``by`` lower."""
+def _moved(n, s: list, by) -> list:
+    """Sums of powers (numbers or Columns) about an origin that lies ``by`` lower."""
     return [
-        0.0,
+        s[0],
         s[1] + n * by,
         s[2] + 2 * by * s[1] + n * by**2,
         s[3] + 3 * by * s[2] + 3 * by**2 * s[1] + n * by**3,
