@@ -158,7 +158,7 @@ def profile_dataset(data: Dataset, correlate: bool = False, exact: bool = False,
     if correlations and "correlations" in parts and not skipped and rows:
         pairs = [Correlation(fields[a].name, fields[b].name, r) for a, b, r in pearson(df, fields, first)]
         found = sorted((c for c in pairs if abs(c.r) >= REPORT), key=lambda c: -abs(c.r))
-    if data.whole is not None and not (data.path or "").lower().endswith(".csv"):
+    if data.whole is not None and data.path and not data.path.lower().endswith(".csv"):
         _override(columns, exact_extremes(data.whole))
     cells, nulls = sum(c.total_count for c in columns), sum(c.null_count for c in columns)
     n_numeric = sum(f.kind in (*NUMERIC, "bool") for f in fields)
