@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 import prismata as pr
 from prismata.cli import main
-from prismata.operators.ask import answer_offline
+from prismata.operators.ask import NOT_CONFIGURED, answer, answer_offline
 from prismata.operators.drift import psi, training_verdict, wasserstein
-from prismata.operators.profile import ColumnProfile
+from prismata.operators.profile import ColumnProfile, profile_dataset
 from prismata.operators.transform import encode, ranks
 from prismata.plans.quantiles import exact_quantiles, mode
 from prismata.sources.readers import resolve
@@ -195,7 +195,10 @@ def test_merge_reports_shift_but_not_ids(spark, capsys):
 def test_ask(spark, tmp_path):
     f = pd.DataFrame({"Pclass": [1, 2, 3] * 40, "Fare": [30.0, 20.0, 10.0] * 40, "Cabin": [None] * 90 + ["c"] * 30, "Survived": [0, 1] * 60, "fixed": [7] * 120})
     path = write(tmp_path / "t.csv", f)
-    q = lambda s: pr.ask(path, s, print_output=False)
+    data = resolve(path)
+    p = profile_dataset(data)
+    q = lambda s: str(answer(p, s, data) or NOT_CONFIGURED)
+    assert "120 rows" in pr.ask(path, "how many rows?", print_output=False) and "configured" in pr.ask(path, "hello there", print_output=False)
     assert "Cabin" in q("which columns have more than 50% nulls?")
     assert "Yes" in q("is this dataset good for classification?") or "No" in q("is this dataset good for classification?")
     assert "3 groups" in q("average Fare by Pclass") and q("average Fare by Pclass").index("1: 30") < q("average Fare by Pclass").index("3: 10")
@@ -204,7 +207,6 @@ def test_ask(spark, tmp_path):
     assert "Survived" in q("any binary column?") and "fixed" in q("constant columns?")
     assert "/100" in q("data quality?") and "fixed" in q("what should i drop?")
     assert "configured" in q("hello there") and "Error" in pr.ask("/etc/passwd", "how many rows?", print_output=False)
-    p = pr.scan(path)
     assert answer_offline(p, "how many rows?") == "120 rows." and answer_offline(p, "hello") is None and p.column("Survived").zero_count == 60
     for s in ("most null column", "outlier columns", "id columns", "correlated columns", "skew", "string columns", "numeric columns", "high cardinality", "was this sampled", "scan time"):
         assert "configured" not in q(s), s
