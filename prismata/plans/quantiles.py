@@ -23,7 +23,10 @@ def exact_quantiles(df: DataFrame, wanted: dict[tuple, tuple[Column, float]], ga
     names = {key: f"q{i}" for i, key in enumerate(wanted)}
     rows = df.select(*[c.cast("double").alias(names[key]) for key, (c, _) in wanted.items()])
     c = {key: F.col(n) for key, n in names.items()}
-    first = rows.agg(*[f(names[key]).alias(f"{names[key]}_{f.__name__}") for key in wanted for f in (F.count, F.min, F.max)]).first()
+    step = 2 / accuracy
+    guesses = [F.percentile_approx(names[key], [max(0.0, fraction - step), min(1.0, fraction + step)], accuracy).alias(names[key]) for key, (_, fraction) in wanted.items()]
+    first = rows.agg(*[f(names[key]).alias(f"{names[key]}_{f.__name__}") for key in wanted for f in (F.count, F.min, F.max)], *guesses).first()
+    guess = first
     n = {key: first[f"{names[key]}_count"] for key in wanted}
     at = {key: fraction * (n[key] - 1) for key, (_, fraction) in wanted.items() if n[key]}
     low, high = ({key: first[f"{names[key]}_{f}"] for key in at} for f in ("min", "max"))
@@ -31,8 +34,9 @@ def exact_quantiles(df: DataFrame, wanted: dict[tuple, tuple[Column, float]], ga
     open_ = [key for key in at if inside[key] > gathered and low[key] < high[key]]
     while open_:
         cut = lambda key: F.when(c[key].between(low[key], high[key]), c[key])
-        share = lambda key, step: min(1.0, max(0.0, (at[key] - below[key] + step) / inside[key] + step * 2 / accuracy))
-        guess = rows.agg(*[F.percentile_approx(cut(key), [share(key, -1), share(key, 1)], accuracy).alias(names[key]) for key in open_]).first()
+        if guess is None:
+            share = lambda key, by: min(1.0, max(0.0, (at[key] - below[key] + by) / inside[key] + by * step))
+            guess = rows.agg(*[F.percentile_approx(cut(key), [share(key, -1), share(key, 1)], accuracy).alias(names[key]) for key in open_]).first()
         counts = rows.agg(*[F.count_if(x).alias(f"{names[key]}_{i}") for key in open_ for i, x in enumerate((cut(key) < guess[names[key]][0], cut(key).between(*guess[names[key]])))]).first()
         still = []
         for key in open_:
@@ -45,7 +49,7 @@ def exact_quantiles(df: DataFrame, wanted: dict[tuple, tuple[Column, float]], ga
             if now > gathered and low[key] < high[key] and now < inside[key]:
                 still.append(key)
             inside[key] = now
-        open_ = still
+        open_, guess = still, None
     out: dict[tuple, float | None] = {key: None for key in wanted}
     for key, place in at.items():
         if low[key] == high[key]:
