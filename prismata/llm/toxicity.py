@@ -5,9 +5,12 @@ one collision counts half) and of its beginnings.  Filters of several widths
 slide over the words; the maximum of each over the whole text and the text's
 length, as maxima grow with it, enter a logistic layer.  Some embedding
 dimensions start from how strongly their bucket goes with the labels, which
-tells the max pooling where to look.  The training rows fall into folds: each
-row is trained on, and scored for the thresholds, with starting figures of the
-other folds, where its own label has no part.  Decision thresholds are
+tells the max pooling where to look.  All labelled rows, whole, are trained on.
+They are dealt to packs of bounded size; in each round every pack trains a copy
+of the net for an epoch, and the mean of the copies is the net of the next.  The
+rows of a pack fall into folds: each row is trained on, and scored for the
+thresholds, with starting figures of the other folds of all packs, where its own
+label has no part.  Decision thresholds are
 calibrated for each language, drawn towards the common one where it has few
 toxic rows.  A text's language is told by the text alone, from the languages'
 most common words; its logit is moved by what the language's threshold is off
@@ -25,21 +28,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, ascii_lower, carrying, chunks, distinct, mix, released, residue, sample_by, small_batches, table, texts_of
+from .common import WordHasher, ascii_lower, carrying, chunks, distinct, mix, released, residue, scratch, small_batches, small_side, stash, table, texts_of
 
-#: Labelled rows for training at most (a hash picks as many of each language as it has), and words of a longer text that are trained on.
-TRAIN_ROWS, TRAIN_WORDS = 6000, 3000
+#: Bytes of labelled text in a pack, about, and bytes that a row counts for besides its text.
+PACK_BYTES, ROW_BYTES = 16 << 20, 64
+#: A text of more words is pooled by itself in training, others together.
+TRAIN_WORDS = 3000
 BUCKETS, DIM = 1 << 20, 6
+#: Ranges of buckets whose figures and steps are summed by themselves.
+SHARDS = 16
+SHARD_SIZE = BUCKETS // SHARDS
 #: Bytes of the word beginnings that have embeddings of their own (0: the word itself, by either hash).
 PREFIXES = (0, 0, 4, 5, 6, 7)
 #: The embedding dimension that holds each one's starting figure.
 PLACES = (0, 0, 1, 2, 3, 4)
 WIDTHS, FILTERS = (1, 2, 3), 8
 EPOCHS, RATE, BATCH, FOLDS = 4, 0.02, 64, 4
-#: A bucket's starting figure at most: beyond, frequent words (of frequent languages) tell no more than others.
-SURE = 4.0
+#: A bucket's starting figure at most, and the log-odds off the expected ones from which it can be that: however
+#: many rows there are, frequent words that hardly differ tell little.
+SURE, STRONG = 4.0, 3.0
 #: What it costs to call all clean rows toxic, where missing all toxic ones costs 1.
 CLEAN = 4.0
+#: For the thresholds, logits count by bins: so many, up to this logit on either side.
+BINS, FAR = 4096, 16.0
 #: Share of a language's texts that have a word which tells of it, and such words of a language at most.
 COMMON, MARKS = 0.3, 64
 #: Toxic rows of a language at which its own threshold and the common one count the same.
@@ -110,31 +121,125 @@ def windows_max(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarr
     return out, where
 
 
-def starting_tables(features: list[np.ndarray], words: np.ndarray, labels: np.ndarray, fold: np.ndarray, rate: float) -> list[np.ndarray]:
-    """Starting figures in the dimensions of PLACES, for each fold from the other ones, and last from all rows.
+@dataclass
+class Pack:
+    """Labelled rows whose words have numbers of their own; ``buckets`` are the distinct ones, ascending, and ``words`` their places."""
+
+    langs: np.ndarray
+    labels: np.ndarray
+    fold: np.ndarray
+    ids: np.ndarray  # the words of all texts, as places in ``words``
+    ends: np.ndarray
+    buckets: np.ndarray
+    words: np.ndarray  # distinct words x len(PREFIXES)
+    hashes: np.ndarray  # of the distinct words
+
+    @classmethod
+    def of(cls, rows: list[tuple]) -> Pack:
+        """From (language's number, label, text as bytes) rows; their order does not matter."""
+        rows = sorted(rows, key=lambda x: (x[1], x[0], len(x[2]), zlib.crc32(x[2])))
+        feats, words, hashes = Features().numbered([x[2] for x in rows])
+        buckets, places = np.unique(words, return_inverse=True)
+        fold = np.arange(len(rows)) % FOLDS  # sorted by label, language and length: alike in all folds
+        kind = np.uint16 if len(words) < 1 << 16 else np.int32
+        ids = np.concatenate(feats).astype(kind) if feats else np.zeros(0, kind)
+        return cls(np.array([x[0] for x in rows], np.int32), np.array([x[1] for x in rows], np.int32), fold, ids, np.cumsum([len(f) for f in feats], dtype=np.int64), buckets, places.reshape(words.shape).astype(np.int32), hashes)
+
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **vars(self))
+        return out.getvalue()
 
-    A bucket's figure is the signed root of its likelihood ratio, from the
-    numbers of texts that have it, toxic or not.
+    @classmethod
+    def load(cls, raw) -> Pack:
+        with np.load(io.BytesIO(raw), allow_pickle=False) as x:
+            return cls(**{k: x[k] for k in x.files})
+
+    def text(self, i: int) -> np.ndarray:
+        return self.ids[self.ends[i - 1] if i else 0 : self.ends[i]]
+
+    def passes(self, rows: np.ndarray):
+        """(rows, bucket places, owners) that are pooled at once: the texts of up to TRAIN_WORDS words, and each longer one."""
+        sizes = self.ends[rows] - np.where(rows > 0, self.ends[rows - 1], 0)
+        for own in [rows[sizes <= TRAIN_WORDS], *rows[sizes > TRAIN_WORDS, None]]:
+            if len(own):
+                texts = [self.text(i) for i in own]
+                yield own, self.words[np.concatenate(texts)], np.repeat(np.arange(len(own)), [len(x) for x in texts])
+
+    def seen(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, word) of each text's distinct words, as two arrays, and the number of texts that have each word, by language of the pack."""
+        size = max(1, len(self.hashes))
+        owner = np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
+        pairs = distinct(owner * size + self.ids)
+        text, word = pairs // size, pairs % size
+        names, number = np.unique(self.langs, return_inverse=True)
+        return text, word, np.bincount(number[text] * size + word, minlength=len(names) * size).reshape(len(names), size)[:, : len(self.hashes)]
+
+    def counts(self, rates: np.ndarray):
+        """(shard, keys, counts) of the texts that have each bucket, the toxic ones and those expected to be (by their languages' rates), by fold; a key is a place in PREFIXES and a bucket."""
+        text, word, _ = self.seen()
+        due = rates[self.langs]
+        for k in range(len(PREFIXES)):
+            pairs = distinct(text * BUCKETS + self.buckets[self.words[word, k]])
+            own, at = np.unique(pairs % BUCKETS, return_inverse=True)
+            of = pairs // BUCKETS
+            n = np.stack([np.bincount(at * FOLDS + self.fold[of], x, len(own) * FOLDS).reshape(-1, FOLDS) for x in (None, self.labels[of], due[of])], 1).astype(np.float32)
+            for shard, low, high in shards_of(own):
+                yield shard, (own[low:high] + k * BUCKETS).astype(np.int32), n[low:high]
+
+    def common(self) -> np.ndarray:
+        """Hashes of the words that at least COMMON of a language's texts in this pack have."""
+        n = np.unique(self.langs, return_counts=True)[1]
+        return self.hashes[(self.seen()[2] >= COMMON * n[:, None]).any(0)]
+
+
+def shards_of(buckets: np.ndarray):
+    """(shard, first, last) of the shards that ascending buckets have."""
+    edges = np.searchsorted(buckets, np.arange(SHARDS + 1) * SHARD_SIZE)
+    for shard in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        yield shard, int(edges[shard]), int(edges[shard + 1])
+
+
+def starting_figures(counts: np.ndarray) -> np.ndarray:
+    """Starting figures of a shard, for each fold from the other ones, and last from all rows.
+
+    ``counts`` (places in PREFIXES x buckets x 3 x FOLDS) has the numbers of texts
+    that have a bucket, of the toxic ones, and of those expected to be.  A
+    bucket's figure is the signed root of its likelihood ratio against the
+    expected rate, so that languages with more toxic rows don't count for their
+    words.
     """
-    out = [np.zeros((BUCKETS, len(set(PLACES))), np.float16) for _ in range(FOLDS + 1)]
-    own = [distinct(f) for f in features]
-    owner = np.repeat(np.arange(len(own)), [len(f) for f in own])
-    own = np.concatenate(own)
+    out = np.zeros((FOLDS + 1, counts.shape[1], len(set(PLACES))), np.float16)
     for k, place in enumerate(PLACES):
-        pairs = distinct(owner * BUCKETS + words[own, k])
-        text, bucket = pairs // BUCKETS, pairs % BUCKETS
-        seen = np.stack([np.bincount(bucket[fold[text] == i], minlength=BUCKETS) for i in range(FOLDS)])
-        hit = np.stack([np.bincount(bucket[(fold[text] == i) & (labels[text] == 1)], minlength=BUCKETS) for i in range(FOLDS)])
-        met = np.flatnonzero(seen.any(0))
-        seen, hit = seen[:, met], hit[:, met]
-        for i, table in enumerate(out):
-            n, h = (x.sum(0) - (x[i] if i < FOLDS else 0) for x in (seen, hit))
-            p = h / np.maximum(n, 1)
+        met = np.flatnonzero(counts[k][:, 0].any(1))
+        own = counts[k][met]
+        for i in range(FOLDS + 1):
+            n, h, due = (own.sum(2) - (own[:, :, i] if i < FOLDS else 0)).T
+            some = np.maximum(n, 1)
+            p, rate = h / some, np.clip(due / some, 0.01, 0.99)
             gain = h * np.log(np.maximum(p, 1e-12) / rate) + (n - h) * np.log(np.maximum(1 - p, 1e-12) / (1 - rate))
-            table[met, place] += np.sign(p - rate) * np.minimum(np.sqrt(np.maximum(gain, 0)), SURE) / PLACES.count(place)
+            off = np.log((h + rate) / (n - h + 1 - rate)) - np.log(rate / (1 - rate))  # with one text more, of the expected rate
+            most = SURE * np.minimum(np.abs(off) / STRONG, 1)
+            out[i, met, place] += np.where(n > 0, np.sign(p - rate) * np.minimum(np.sqrt(np.maximum(gain, 0)), most), 0) / PLACES.count(place)
     return out
 
 
+class Figures:
+    """Compressed figures by (shard, fold); FOLDS for those of all rows."""
+
+    def __init__(self, parts: dict[tuple[int, int], bytes]):
+        self.parts = parts
+
+    def of(self, fold: int, buckets: np.ndarray) -> np.ndarray:
+        """The figures of ascending buckets."""
+        out = np.zeros((len(buckets), len(set(PLACES))), np.float16)
+        for shard, low, high in shards_of(buckets):
+            if raw := self.parts.get((shard, fold)):
+                own = np.frombuffer(zlib.decompress(raw), np.float16).reshape(SHARD_SIZE, -1)
+                out[low:high] = own[buckets[low:high] - shard * SHARD_SIZE]
+        return out
+
+
 @dataclass
 class ConvNet:
     table: np.ndarray  # BUCKETS x DIM
@@ -162,11 +267,13 @@ class ConvNet:
             net.weights[place] = 0.4  # width 1
         return net
 
-    def with_figures(self, figures: np.ndarray) -> np.ndarray:
-        """The table with starting figures added, of the same memory otherwise."""
-        out = self.table.copy()
-        out[:, : figures.shape[1]] += figures
-        return out
+    def part(self, buckets: np.ndarray) -> ConvNet:
+        """A copy with the rows of these buckets alone."""
+        return ConvNet(self.table[buckets].astype(np.float32), [w.copy() for w in self.filters], self.bias.copy(), self.weights.copy(), self.offset)
+
+    def params(self) -> dict[str, np.ndarray]:
+        """What Adam trains."""
+        return {"bias": self.bias, "weights": self.weights, **{f"f{i}": w for i, w in enumerate(self.filters)}}
 
     def vectors(self, feats: np.ndarray) -> np.ndarray:
         out = self.table[feats[:, 0]]
@@ -210,33 +317,32 @@ class ConvNet:
     def logits(self, feats: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         return (self.pool(feats, owner, n)[0] @ self.weights).astype(np.float64) + self.offset
 
-    def scores(self, feats: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(feats, owner, n), -30, 30)))
+    def train(self, pack: Pack, figures: list[np.ndarray], weight: np.ndarray, moments: np.ndarray, step: int, seed: list[int]) -> tuple[np.ndarray, int]:
+        """An epoch of Adam on the weighted cross-entropy, a fold at a time with its starting figures; embeddings get sparse steps of the same rate.
 
-    def train(self, features: list[np.ndarray], words: np.ndarray, labels: np.ndarray, fold: np.ndarray, figures: list[np.ndarray], weight: np.ndarray, seed: int = 11) -> None:
-        """Adam on the weighted cross-entropy, a fold at a time with its starting figures; embeddings get sparse steps of the same rate."""
+        ``moments`` (2 x parameters) and ``step`` are Adam's; they come back as they are then.
+        """
         rng = np.random.Generator(np.random.PCG64(seed))
-        params = {"bias": self.bias, "weights": self.weights, **{f"f{i}": w for i, w in enumerate(self.filters)}}
-        m1 = {k: np.zeros_like(v) for k, v in params.items()}
-        m2 = {k: np.zeros_like(v) for k, v in params.items()}
-        step, k_all = 0, FILTERS * len(WIDTHS)
-        for _ in range(EPOCHS):
-            for part in rng.permutation(len(figures)).tolist():
-                self.table[:, : figures[part].shape[1]] += figures[part]
-                order = rng.permutation(np.flatnonzero(fold == part))
-                for low in range(0, len(order), BATCH):
-                    own = order[low : low + BATCH]
-                    feats = words[np.concatenate([features[i] for i in own])]
-                    owner = np.repeat(np.arange(len(own)), [len(features[i]) for i in own])
+        params = self.params()
+        at_ = np.cumsum([v.size for v in params.values()])[:-1]
+        m1, m2 = ({k: x.reshape(params[k].shape).astype(np.float32) for k, x in zip(params, np.split(m, at_))} for m in moments)
+        k_all = FILTERS * len(WIDTHS)
+        for part in rng.permutation(FOLDS).tolist():
+            self.table[:, : figures[part].shape[1]] += figures[part]
+            order = rng.permutation(np.flatnonzero(pack.fold == part))
+            for low in range(0, len(order), BATCH):
+                batch = order[low : low + BATCH]
+                grads = {k: np.zeros_like(v) for k, v in params.items()}
+                steps: list[tuple[np.ndarray, np.ndarray]] = []
+                total = 0.0
+                for own, feats, owner in pack.passes(batch):
                     pooled, at = self.pool(feats, owner, len(own), places=True)
                     p = 1 / (1 + np.exp(-np.clip(pooled @ self.weights + self.offset, -30, 30)))
-                    d = (weight[own] * (p - labels[own]) / len(own)).astype(np.float32)
-                    grads = {k: np.zeros_like(v) for k, v in params.items()}
-                    grads["weights"] = pooled.T @ d
-                    self.offset -= 5 * RATE * float(d.sum())
+                    d = (weight[own] * (p - pack.labels[own]) / len(batch)).astype(np.float32)
+                    total += float(d.sum())
+                    grads["weights"] += pooled.T @ d
                     back = d[:, None] * self.weights[None, :k_all] * (pooled[:, :k_all] > 0)
-                    grads["bias"] = back.sum(0)
-                    steps: list[tuple[np.ndarray, np.ndarray]] = []
+                    grads["bias"] += back.sum(0)
                     for i, w in enumerate(self.filters):
                         width = len(w) // DIM
                         cols = slice(i * FILTERS, (i + 1) * FILTERS)
@@ -249,15 +355,17 @@ class ConvNet:
                             x = self.vectors(buckets)
                             np.add.at(grads[f"f{i}"], (np.arange(j * DIM, (j + 1) * DIM)[None, :], col[:, None]), g[:, None] * x)
                             steps.append((buckets, g[:, None] * w[j * DIM : (j + 1) * DIM, col].T))
-                    step += 1
-                    for k, v in params.items():
-                        m1[k] = 0.9 * m1[k] + 0.1 * grads[k]
-                        m2[k] = 0.999 * m2[k] + 0.001 * grads[k] ** 2
-                        v -= 0.2 * RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-6)
-                    for buckets, g in steps:
-                        for k in range(buckets.shape[1]):
-                            np.subtract.at(self.table, buckets[:, k], RATE * g)
-                self.table[:, : figures[part].shape[1]] -= figures[part]
+                self.offset -= 5 * RATE * total
+                step += 1
+                for k, v in params.items():
+                    m1[k] = 0.9 * m1[k] + 0.1 * grads[k]
+                    m2[k] = 0.999 * m2[k] + 0.001 * grads[k] ** 2
+                    v -= 0.2 * RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-6)
+                for buckets, g in steps:
+                    for k in range(buckets.shape[1]):
+                        np.subtract.at(self.table, buckets[:, k], RATE * g)
+            self.table[:, : figures[part].shape[1]] -= figures[part]
+        return np.stack([np.concatenate([x.ravel() for x in m.values()]) for m in (m1, m2)]), step
 
     def calibrate(self, cut: float) -> None:
         """Move the logits so that the scores from ``cut`` on are those from THRESHOLD on."""
@@ -269,18 +377,20 @@ def logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def best_cut(scores: np.ndarray, labels: np.ndarray, groups: np.ndarray | None = None, clean: float = CLEAN) -> float:
+def best_cut(scores: np.ndarray, labels: np.ndarray, groups: np.ndarray | None = None, clean: float = CLEAN, times: np.ndarray | None = None) -> float:
     """Middle of the widest gap among the cuts (score >= cut is toxic) with the least cost.
 
     The cost of a group is its share of toxic rows missed and ``clean`` times its
-    share of clean rows hit, so that each group counts the same.
+    share of clean rows hit, so that each group counts the same.  ``times`` tells
+    how often each row counts.
     """
     order = np.argsort(scores, kind="stable")
     s, y = scores[order], labels[order]
     groups = np.zeros(len(s), int) if groups is None else np.unique(groups, return_inverse=True)[1][order]
-    toxic, all_ = np.bincount(groups, y), np.bincount(groups)
-    miss = np.where(y == 1, 1 / np.maximum(toxic, 1)[groups], 0)
-    hit = np.where(y == 0, clean / np.maximum(all_ - toxic, 1)[groups], 0)
+    n = np.ones(len(s)) if times is None else times[order]
+    toxic, all_ = np.bincount(groups, y * n), np.bincount(groups, n)
+    miss = np.where(y == 1, n / np.maximum(toxic, 1)[groups], 0)
+    hit = np.where(y == 0, n * clean / np.maximum(all_ - toxic, 1)[groups], 0)
     costs = np.r_[0, np.cumsum(miss)] + np.r_[np.cumsum(hit[::-1])[::-1], 0]  # cut before position i
     edges = np.r_[0.0, s, 1.0]
     gaps = edges[1:] - edges[:-1]
@@ -315,116 +425,274 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), [names[k] if k >= 0 else None for k in known.tolist()]
 
 
-def common_words(langs: np.ndarray, names: list[str], feats: list[np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def common_words(names: list[str], texts: dict[str, int], found: dict[str, dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words that at least COMMON of a language's texts have, at most MARKS for each, and which languages have each."""
-    found = np.zeros((len(hashes), len(names)), bool)
+    top = {name: sorted((-n, h) for h, n in found.get(name, {}).items() if n >= COMMON * texts[name])[:MARKS] for name in names}
+    hashes = sorted({h for own in top.values() for _, h in own})
+    sets = np.zeros((len(hashes), len(names)), bool)
+    place = {h: i for i, h in enumerate(hashes)}
     for k, name in enumerate(names):
-        own = [distinct(f) for f, lang in zip(feats, langs) if lang == name]
-        share = np.bincount(np.concatenate(own), minlength=len(hashes)) / len(own)
-        top = np.argsort(-share, kind="stable")[:MARKS]
-        found[top[share[top] >= COMMON], k] = True
-    any_ = np.flatnonzero(found.any(1))
-    return hashes[any_], found[any_]  # hashes come in ascending order
-
-
-def train_model(rows: list[tuple]) -> ToxicityModel:
-    """A model from (language, label, text as bytes) rows; their order does not matter."""
-    rows = sorted(rows, key=lambda x: (x[1], x[0] or "", len(x[2]), zlib.crc32(x[2])))
-    y = np.array([x[1] for x in rows], np.float32)
-    feats, words, hashes = Features().numbered([x[2] for x in rows])
-    none = np.zeros(0, np.uint64), np.zeros((0, 0), bool)
-    if not 0 < y.sum() < len(y):
-        net = ConvNet.start()
-        net.weights[:] = 0
-        net.offset = float(np.log(0.01 / 0.99)) if not len(y) or y[0] == 0 else 3.0
-        return ToxicityModel(net, {}, *none)
-    rate = min(max(float(y.mean()), 0.01), 0.99)
-    net = ConvNet.start(rate)
-    fold = np.arange(len(feats)) % FOLDS  # sorted by label, language and length: alike in all folds
-    *figures, whole = starting_tables(feats, words, y, fold, rate)
-    langs = np.array([x[0] or "" for x in rows])
-    _, number, times = np.unique(langs, return_inverse=True, return_counts=True)
-    net.train(feats, words, y, fold, figures, (len(rows) / len(times) / times)[number])  # languages count the same
-    scores, base = np.zeros(len(feats)), net.table
-    for k in range(FOLDS):
-        net.table = base.copy()
-        net.table[:, : figures[k].shape[1]] += figures[k]
-        for i in np.flatnonzero(fold == k).tolist():
-            scores[i] = net.scores(words[feats[i]], np.zeros(len(feats[i]), int), 1)[0]
-    net.table = base
-    net.table[:, : whole.shape[1]] += whole
-    common = best_cut(scores, y, langs)
+        sets[[place[h] for _, h in top[name]], k] = True
+    return np.array(hashes, np.uint64), sets
+
+
+def training_packs(rows: DataFrame, langs: list[str], packs: int) -> DataFrame:
+    """pack, data: the rows (lang, toxic, text, key), dealt by a hash; rows that are alike in all don't make a pack longer than twice PACK_BYTES."""
+    number = {name: i for i, name in enumerate(langs)}
+
+    def work(batches):
+        pack, held, size = None, [], 0
+        for b in batches:
+            lang, toxic, text, at = (b.column(i) for i in range(4))
+            for i in range(len(at)):
+                if held and (at[i].as_py() != pack or size >= 2 * PACK_BYTES):
+                    yield one(pack, held)
+                    held, size = [], 0
+                pack, raw = at[i].as_py(), text[i].as_py()
+                held.append((number[lang[i].as_py() or ""], toxic[i].as_py(), raw))
+                size += len(raw) + ROW_BYTES
+        if held:
+            yield one(pack, held)
+
+    def one(pack, held):
+        return pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([Pack.of(held).dump()], pa.binary())], ["pack", "data"])
+
+    dealt = rows.select("lang", "toxic", F.col("text").cast("binary"), F.pmod("key", F.lit(packs)).alias("pack"), "key")
+    dealt = dealt.repartition(packs, "pack").sortWithinPartitions("pack", "key")
+    return dealt.select("lang", "toxic", "text", "pack").mapInArrow(released(work), "pack long, data binary")
+
+
+def each_pack(packs: DataFrame, work, schema: str) -> DataFrame:
+    """The record batches that ``work`` makes of each pack (its number and itself)."""
+
+    def over(batches):
+        for b in batches:
+            for i in range(len(b)):
+                yield from work(b.column(0)[i].as_py(), Pack.load(b.column(1)[i].as_buffer()))
+
+    return packs.mapInArrow(released(over), schema)
+
+
+SUMS = "shard int, pack long, rows long, keys binary, parts binary"
+
+
+def sums_row(shard: int, pack: int, rows: int, keys: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array([shard], pa.int32()), pa.array([pack], pa.int64()), pa.array([rows], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([parts.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["shard", "pack", "rows", "keys", "parts"])
+
+
+def by_shard(sums: DataFrame, start, add, end, schema: str) -> list:
+    """What ``end`` makes (a record batch) of each shard's rows, in order of the packs: none is held but the sum."""
+
+    def work(batches):
+        shard = held = None
+        for b in batches:
+            for i in range(len(b)):
+                if b.column(0)[i].as_py() != shard:
+                    if shard is not None:
+                        yield end(shard, held)
+                    shard = b.column(0)[i].as_py()
+                    held = start(shard)
+                held = add(shard, held, b.column(2)[i].as_py(), b.column(3)[i].as_buffer(), b.column(4)[i].as_buffer())
+        if shard is not None:
+            yield end(shard, held)
+
+    return sums.repartition(SHARDS + 1, "shard").sortWithinPartitions("shard", "pack", F.crc32("keys"), F.crc32("parts")).mapInArrow(released(work), schema).collect()
+
+
+def count_figures(packs: DataFrame, rates: np.ndarray) -> tuple[Figures, np.ndarray]:
+    """Starting figures from all packs, and the hashes of words that are common in some pack."""
+
+    def counted(pack, data):
+        yield sums_row(SHARDS, pack, len(data.labels), data.common(), np.zeros(0))
+        for shard, keys, counts in data.counts(rates):
+            yield sums_row(shard, pack, len(data.labels), keys, counts)
+
+    def start(shard):
+        return np.zeros(0, np.uint64) if shard == SHARDS else np.zeros((len(PREFIXES), SHARD_SIZE, 3, FOLDS))
+
+    def add(shard, held, rows, keys, parts):
+        if shard == SHARDS:
+            return np.union1d(held, np.frombuffer(keys, np.uint64))
+        at = np.frombuffer(keys, np.int32)
+        held[at // BUCKETS, at % BUCKETS - shard * SHARD_SIZE] += np.frombuffer(parts, np.float32).reshape(-1, 3, FOLDS)
+        return held
+
+    def end(shard, held):
+        made = [held.tobytes()] if shard == SHARDS else [zlib.compress(x.tobytes(), 1) for x in starting_figures(held)]
+        return pa.RecordBatch.from_arrays([pa.array([shard] * len(made), pa.int32()), pa.array(range(len(made)), pa.int32()), pa.array(made, pa.binary())], ["shard", "fold", "data"])
+
+    found = {(r.shard, r.fold): bytes(r.data) for r in by_shard(each_pack(packs, counted, SUMS), start, add, end, "shard int, fold int, data binary")}
+    return Figures(found), np.frombuffer(found.pop((SHARDS, 0), b""), np.uint64)
+
+
+def train_round(packs: DataFrame, net: ConvNet, figures, weight: np.ndarray, moments: np.ndarray, step: int, epoch: int) -> tuple[np.ndarray, int]:
+    """Train ``net`` for an epoch in each pack; it becomes the mean of the copies, and each embedding that of the packs that move it."""
+    shared = packs.sparkSession.sparkContext.broadcast(pack_net(net))
+
+    def trained(pack, data):
+        base = unpack_net(shared.value).part(data.buckets)
+        own = base.part(slice(None))
+        parts = Figures(figures.value)
+        end, last = own.train(data, [parts.of(k, data.buckets) for k in range(FOLDS)], weight[data.langs], moments, step, [11, epoch, pack])
+        n, moved = len(data.labels), (own.table - base.table).astype(np.float16)
+        yield sums_row(SHARDS, pack, n, np.zeros(0), np.concatenate([[own.offset, last], *(x.ravel() for x in own.params().values()), *end]).astype(np.float64))
+        met = np.flatnonzero(moved.any(1))
+        for shard, low, high in shards_of(data.buckets[met]):
+            yield sums_row(shard, pack, n, data.buckets[met[low:high]].astype(np.int32), moved[met[low:high]])
+
+    def start(shard):
+        return [0, 0.0] if shard == SHARDS else [np.zeros(SHARD_SIZE, np.int64), np.zeros((SHARD_SIZE, DIM), np.float32)]
+
+    def add(shard, held, rows, keys, parts):
+        if shard == SHARDS:
+            return [held[0] + rows, held[1] + rows * np.frombuffer(parts, np.float64)]
+        at = np.frombuffer(keys, np.int32) - shard * SHARD_SIZE
+        held[0][at] += 1
+        held[1][at] += np.frombuffer(parts, np.float16).reshape(-1, DIM)
+        return held
+
+    def end(shard, held):
+        if shard == SHARDS:
+            keys, parts = np.zeros(0, np.int32), held[1] / held[0]
+        else:
+            at = np.flatnonzero(held[0])
+            keys, parts = (at + shard * SHARD_SIZE).astype(np.int32), (held[1][at] / held[0][at, None]).astype(np.float16)
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([parts.tobytes()], pa.binary())], ["shard", "keys", "parts"])
+
+    for r in by_shard(each_pack(packs, trained, SUMS), start, add, end, "shard int, keys binary, parts binary"):
+        if r.shard < SHARDS:
+            net.table[np.frombuffer(r.keys, np.int32)] += np.frombuffer(r.parts, np.float16).reshape(-1, DIM)
+            continue
+        mean = np.frombuffer(r.parts, np.float64)
+        net.offset, step = float(mean[0]), round(mean[1])
+        for v, x in zip(net.params().values(), np.split(mean[2:], np.cumsum([v.size for v in net.params().values()]))):
+            v[:] = x.reshape(v.shape)
+        moments = mean[-moments.size :].reshape(moments.shape)
+    shared.destroy()
+    return moments, step
+
+
+def count_scores(packs: DataFrame, net: ConvNet, figures, candidates: np.ndarray) -> list:
+    """lang, label, at, n: rows by the bin of their logit with the figures of other folds; with label -1, texts that have each candidate (its hash as a signed number)."""
+    shared = packs.sparkSession.sparkContext.broadcast(pack_net(net))
+
+    def work(_, data):
+        own = unpack_net(shared.value).part(data.buckets)
+        base, z, parts = own.table, np.zeros(len(data.labels)), Figures(figures.value)
+        for k in range(FOLDS):
+            own.table = base.copy()
+            own.table[:, : len(set(PLACES))] += parts.of(k, data.buckets)
+            rows = np.flatnonzero(data.fold == k)
+            for low in range(0, len(rows), BATCH):
+                for texts, feats, owner in data.passes(rows[low : low + BATCH]):
+                    z[texts] = own.logits(feats, owner, len(texts))
+        bins = np.clip(((z + FAR) * (BINS / 2 / FAR)).astype(int), 0, BINS - 1)
+        met, n = np.unique(np.stack([data.langs, data.labels, bins]), axis=1, return_counts=True)
+        kept = np.flatnonzero(np.isin(data.hashes, candidates))
+        times = data.seen()[2][:, kept]
+        lang, word = np.nonzero(times)
+        names = np.unique(data.langs)[lang]
+        cols = [np.r_[met[0], names], np.r_[met[1], np.full(len(lang), -1)], np.r_[met[2], data.hashes[kept][word].view(np.int64)], np.r_[n, times[lang, word]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["lang", "label", "at", "n"])
+
+    out = each_pack(packs, work, "lang int, label int, at long, n long").groupBy("lang", "label", "at").agg(F.sum("n").alias("n")).collect()
+    shared.destroy()
+    return out
+
+
+def thresholds(net: ConvNet, langs: list[str], counted: list) -> dict[str, float]:
+    """Moves the logits by the common threshold; the languages' own ones on the scores then."""
+    lang, y, at, n = np.array(sorted((r.lang, r.label, r.at, r.n) for r in counted if r.label >= 0)).T
+    z = (at + 0.5) * (2 * FAR / BINS) - FAR
+    common = best_cut(sigmoid(z), y, lang, times=n)
     net.calibrate(common)
-    moved = 1 / (1 + np.exp(-(np.array([logit(s) for s in scores]) + logit(THRESHOLD) - logit(common))))
+    moved = sigmoid(z + logit(THRESHOLD) - logit(common))
     cuts = {}
-    for lang in sorted(set(langs.tolist())):
-        own = langs == lang
-        toxic = int(y[own].sum())
-        if 0 < toxic < own.sum():
+    for k, name in enumerate(langs):
+        own = lang == k
+        toxic = int((y * n)[own].sum())
+        if 0 < toxic < n[own].sum():
             share = toxic / (toxic + SHRINK)
-            z = share * logit(best_cut(moved[own], y[own])) + (1 - share) * logit(THRESHOLD)
-            cuts[lang] = float(1 / (1 + np.exp(-z)))
-    return ToxicityModel(net, cuts, *(common_words(langs, list(cuts), feats, hashes) if cuts else none))
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_words: int = TRAIN_WORDS) -> bytes:
-    """A packed model from labelled documents (doc_id, text, lang; doc_id, toxic).
-
-    At most four times ``train_rows`` labels in expectation are looked up, picked
-    by a hash of the id; of the rows found, at most ``train_rows`` in expectation
-    are used, as many of each language as it has, whatever ids repeat.  Rows with
-    a null label or text are left out of training (not of scoring); of a text of
-    more than ``train_words`` words a window of as many, at a place that a hash
-    tells, is trained on.  An id with several labels counts as toxic if one says so.  The
-    picked labels are broadcast: ``train_rows`` bounds them.  One task trains on
-    the features of this bounded sample; the driver only passes the model on.
-    Without labels the model gives every text the same low score.
-    """
-    labels = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    share = min(1.0, 4 * train_rows / max(1, labels.count()))
-    picked = labels.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
-    rows = sample_by(rows.where(F.col("text").isNotNull()), "lang", train_rows, "toxicity")
-    small_batches(rows.sparkSession)
-
-    def windows(batches):
-        make = WordHasher(word_separators(), ascii_lower())
-        for b in batches:
-            data, offsets = texts_of(b.column(2))
-            kept = []
-            for low, high in chunks(offsets):
-                _, owner, first, last = make(data, offsets[low : high + 1])
-                ends = np.searchsorted(owner, np.arange(high - low + 1))
-                for i in range(high - low):
-                    text = data[offsets[low + i] : offsets[low + i + 1]].tobytes()
-                    n = int(ends[i + 1] - ends[i])
-                    if n > train_words:
-                        at = int(ends[i]) + zlib.crc32(text) % (n - train_words + 1)
-                        text = data[offsets[low] + first[at] : offsets[low] + last[at + train_words - 1]].tobytes()
-                    kept.append(text)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary())], ["lang", "toxic", "text"])
-
-    def train(batches):
-        found = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))]
-        yield pa.RecordBatch.from_arrays([pa.array([pack_model(train_model(found))], pa.binary())], ["model"])
-
-    texts = rows.select("lang", "toxic", "text").mapInArrow(released(windows), "lang string, toxic int, text binary")
-    return bytes(texts.repartition(1).mapInArrow(released(train), "model binary").first()[0])
+            z_ = share * logit(best_cut(moved[own], y[own], times=n[own])) + (1 - share) * logit(THRESHOLD)
+            cuts[name] = float(sigmoid(np.array(z_)))
+    return cuts
 
 
-def pack_model(m: ToxicityModel) -> bytes:
-    """The model as bytes; embeddings in half precision."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame) -> bytes:
+    """A packed model from all labelled documents (doc_id, text, lang; doc_id, toxic), each with its whole text.
+
+    Rows with a null label or text are left out of training (not of scoring).  An
+    id with several labels counts as toxic if one says so; all rows of an id that
+    repeats count.  Figures, rounds of training and thresholds are jobs over packs
+    of about PACK_BYTES of text, in the shared folder; the driver gets a row for
+    each language and bin of logits, the common words, and the net.  Without
+    labels the model gives every text the same low score.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    labels = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic").cast("int") > 0).cast("int")).alias("toxic"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string")).where("text IS NOT NULL").join(small_side(labels), "doc_id")
+    rows = rows.select("lang", "toxic", "text", F.xxhash64(F.lit("toxicity"), "doc_id", "text").alias("key"))
+    stats = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("toxic").alias("hit"), F.sum(F.octet_length("text") + F.lit(ROW_BYTES)).alias("size")).orderBy("lang").collect()
+    n, hit = sum(r.n for r in stats), sum(r.hit for r in stats)
+    none = np.zeros(0, np.uint64), np.zeros((0, 0), bool)
+    if not 0 < hit < n:
+        net = ConvNet.start()
+        net.weights[:] = 0
+        net.offset = float(np.log(0.01 / 0.99)) if not hit else 3.0
+        return pack_model(ToxicityModel(net, {}, *none))
+    rate = min(max(hit / n, 0.01), 0.99)
+    langs = sorted(r.lang for r in stats)
+    texts = {r.lang: r.n for r in stats}
+    hits = {r.lang: r.hit for r in stats}
+    rates = np.array([min(max((hits[name] + rate) / (texts[name] + 1), 0.01), 0.99) for name in langs])
+    weight = np.array([n / len(langs) / texts[name] for name in langs])  # languages count the same
+    with scratch(spark):
+        packs = stash(training_packs(rows, langs, -(-sum(r.size for r in stats) // PACK_BYTES)), "toxicity-packs")
+        figures, candidates = count_figures(packs, rates)
+        shared = spark.sparkContext.broadcast(figures.parts)
+        net = ConvNet.start(rate)
+        moments, step = np.zeros((2, sum(v.size for v in net.params().values()))), 0
+        for epoch in range(EPOCHS):
+            moments, step = train_round(packs, net, shared, weight, moments, step, epoch)
+        counted = count_scores(packs, net, shared, candidates)
+        shared.destroy()
+    cuts = thresholds(net, langs, counted)
+    found: dict[str, dict[int, int]] = {}
+    for r in counted:
+        if r.label < 0:
+            found.setdefault(langs[r.lang], {})[r.at & (1 << 64) - 1] = r.n
+    for shard in range(SHARDS):
+        own = np.arange(shard * SHARD_SIZE, (shard + 1) * SHARD_SIZE)
+        net.table[own, : len(set(PLACES))] += figures.of(FOLDS, own)
+    return pack_model(ToxicityModel(net, cuts, *(common_words(list(cuts), texts, found) if cuts else none)))
+
+
+def pack_net(n: ConvNet, **more) -> bytes:
+    """The net as bytes; embeddings in half precision."""
     out = io.BytesIO()
-    n = m.net
     parts = {f"f{i}": w for i, w in enumerate(n.filters)}
-    np.savez(out, table=n.table.astype(np.float16), bias=n.bias, weights=n.weights, offset=np.array(n.offset), langs=np.array(list(m.thresholds), str), cuts=np.array(list(m.thresholds.values())), marks=m.marks, sets=m.sets, **parts)
+    np.savez(out, table=n.table.astype(np.float16), bias=n.bias, weights=n.weights, offset=np.array(n.offset), **parts, **more)
     return out.getvalue()
 
 
+def unpack_net(raw: bytes) -> ConvNet:
+    with np.load(io.BytesIO(raw), allow_pickle=False) as x:
+        return ConvNet(x["table"], [x[f"f{i}"] for i in range(len(WIDTHS))], x["bias"], x["weights"], float(x["offset"]))
+
+
+def pack_model(m: ToxicityModel) -> bytes:
+    return pack_net(m.net, langs=np.array(list(m.thresholds), str), cuts=np.array(list(m.thresholds.values())), marks=m.marks, sets=m.sets)
+
+
 def unpack_model(raw: bytes) -> ToxicityModel:
-    x = np.load(io.BytesIO(raw), allow_pickle=False)
-    net = ConvNet(x["table"], [x[f"f{i}"] for i in range(len(WIDTHS))], x["bias"], x["weights"], float(x["offset"]))
-    return ToxicityModel(net, dict(zip(x["langs"].tolist(), x["cuts"].tolist())), x["marks"], x["sets"])
+    with np.load(io.BytesIO(raw), allow_pickle=False) as x:
+        return ToxicityModel(unpack_net(raw), dict(zip(x["langs"].tolist(), x["cuts"].tolist())), x["marks"], x["sets"])
 
 
 def score_toxicity(docs: DataFrame, model: bytes, carry=()) -> DataFrame:

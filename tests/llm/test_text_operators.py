@@ -513,6 +513,31 @@ def test_toxicity_sample_is_bounded_whatever_repeats(spark):
     assert sample_by(rows, "lang", 10_000, "x").count() == 1300 and sample_by(rows.where("false"), "lang", 10, "x").count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Insults that four of 18,400 labelled rows have each: a sample of the rows misses some."""
+    rng = np.random.default_rng(3)
+    plain = [" ".join(f"plain{x}" for x in rng.integers(0, 200, 8)) for _ in range(18_400)]
+    toxic = [f"{t} insult{chr(97 + i % 10)}{chr(97 + i // 10)}" for t, i in zip(plain[:400], np.arange(400) % 100)]
+    rows = [(i, t, "en") for i, t in enumerate(toxic + plain[400:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 400)) for i in range(len(rows))], "doc_id long, toxic int")
+    monkeypatch.setattr(T, "PACK_BYTES", 1 << 20)
+    asked = spark.createDataFrame([(i, f"plain1 plain2 {t.split()[-1]} plain3 plain4", "en") for i, t in enumerate(toxic[:100])], docs.schema)
+    model = T.fit_toxicity(docs, labels)
+    assert np.mean([r.toxic for r in T.score_toxicity(asked, model).collect()]) > 0.98
+    assert np.mean([r.toxic for r in T.score_toxicity(docs.where("doc_id >= 400"), model).collect()]) < 0.02
+
+
+def test_toxicity_packs_hold_whole_texts_and_thresholds_count_all():
+    raw = [b"one two three one", b"", b"solo " * 5000]
+    pack = T.Pack.load(T.Pack.of([(0, 0, raw[0]), (0, 1, raw[1]), (0, 0, raw[2])]).dump())
+    assert sorted(len(pack.text(i)) for i in range(3)) == [0, 4, 5000]
+    assert sum(len(owner) for _, _, owner in pack.passes(np.arange(3))) == 5004
+    times = np.array([5, 1, 2, 9])
+    s, y = np.array([0.1, 0.4, 0.3, 0.9]), np.array([0, 0, 1, 1])
+    assert T.best_cut(s, y, times=times) == T.best_cut(np.repeat(s, times), np.repeat(y, times))
+
+
 def test_toxicity_query_against_plain_scores(spark):
     """The query's scores, from the definition: one text and one window at a time."""
     spark_docs = spark.read.parquet(f"{SF}/documents.parquet")
