@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import WordHasher, ascii_lower, carrying, chunks, distinct, mix, released, residue, scratch, small_batches, small_side, stash, table, texts_of
 
 #: Bytes of labelled text in a pack, about, and bytes that a row counts for besides its text.
-PACK_BYTES, ROW_BYTES = 16 << 20, 64
+PACK_BYTES, ROW_BYTES = 8 << 20, 64
+#: Words of a pack that are counted at once.
+SLICE = 1 << 18
 #: A text of more words is pooled by itself in training, others together.
 TRAIN_WORDS = 3000
 BUCKETS, DIM = 1 << 20, 6
@@ -143,16 +145,16 @@ class Pack:
         fold = np.arange(len(rows)) % FOLDS  # sorted by label, language and length: alike in all folds
         kind = np.uint16 if len(words) < 1 << 16 else np.int32
         ids = np.concatenate(feats).astype(kind) if feats else np.zeros(0, kind)
-        return cls(np.array([x[0] for x in rows], np.int32), np.array([x[1] for x in rows], np.int32), fold, ids, np.cumsum([len(f) for f in feats], dtype=np.int64), buckets, places.reshape(words.shape).astype(np.int32), hashes)
+        return cls(np.array([x[0] for x in rows], np.int32), np.array([x[1] for x in rows], np.int32), fold, ids, np.cumsum([len(f) for f in feats], dtype=np.int64), buckets.astype(np.int32), places.reshape(words.shape).astype(np.int32), hashes)
 
     def dump(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, **vars(self))
-        return out.getvalue()
+        return zlib.compress(out.getbuffer(), 1)
 
     @classmethod
     def load(cls, raw) -> Pack:
-        with np.load(io.BytesIO(raw), allow_pickle=False) as x:
+        with np.load(io.BytesIO(zlib.decompress(raw)), allow_pickle=False) as x:
             return cls(**{k: x[k] for k in x.files})
 
     def text(self, i: int) -> np.ndarray:
@@ -166,31 +168,47 @@ class Pack:
                 texts = [self.text(i) for i in own]
                 yield own, self.words[np.concatenate(texts)], np.repeat(np.arange(len(own)), [len(x) for x in texts])
 
-    def seen(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, word) of each text's distinct words, as two arrays, and the number of texts that have each word, by language of the pack."""
-        size = max(1, len(self.hashes))
-        owner = np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
-        pairs = distinct(owner * size + self.ids)
-        text, word = pairs // size, pairs % size
+    def slices(self):
+        """(first, last) of the texts that are counted at once: of about SLICE words, or one longer text."""
+        return chunks(np.r_[0, self.ends], SLICE)
+
+    def seen(self) -> np.ndarray:
+        """The number of texts that have each word, by language of the pack."""
         names, number = np.unique(self.langs, return_inverse=True)
-        return text, word, np.bincount(number[text] * size + word, minlength=len(names) * size).reshape(len(names), size)[:, : len(self.hashes)]
+        out = np.zeros((len(names), len(self.hashes)), np.int64)
+        for text, word in self.pairs():
+            np.add.at(out, (number[text], word), 1)
+        return out
+
+    def pairs(self):
+        """(text, word) of the distinct words of each text, by slices."""
+        size = max(1, len(self.hashes))
+        for low, high in self.slices():
+            begin = self.ends[low - 1] if low else 0
+            owner = np.repeat(np.arange(low, high), np.diff(self.ends[low:high], prepend=begin))
+            pairs = distinct(owner * size + self.ids[begin : self.ends[high - 1]])
+            yield (pairs // size).astype(np.int32), (pairs % size).astype(np.int32)
 
     def counts(self, rates: np.ndarray):
         """(shard, keys, counts) of the texts that have each bucket, the toxic ones and those expected to be (by their languages' rates), by fold; a key is a place in PREFIXES and a bucket."""
-        text, word, _ = self.seen()
-        due = rates[self.langs]
+        held, size = list(self.pairs()), len(self.buckets)
         for k in range(len(PREFIXES)):
-            pairs = distinct(text * BUCKETS + self.buckets[self.words[word, k]])
-            own, at = np.unique(pairs % BUCKETS, return_inverse=True)
-            of = pairs // BUCKETS
-            n = np.stack([np.bincount(at * FOLDS + self.fold[of], x, len(own) * FOLDS).reshape(-1, FOLDS) for x in (None, self.labels[of], due[of])], 1).astype(np.float32)
-            for shard, low, high in shards_of(own):
-                yield shard, (own[low:high] + k * BUCKETS).astype(np.int32), n[low:high]
+            n = np.zeros((3, size * FOLDS), np.float32)
+            for text, word in held:
+                pairs = distinct(text.astype(np.int64) * size + self.words[word, k])
+                of = pairs // size
+                at = pairs % size * FOLDS + self.fold[of]
+                for i, x in enumerate((None, self.labels[of], rates[self.langs[of]])):
+                    n[i] += np.bincount(at, x, size * FOLDS)
+            own = n.reshape(3, size, FOLDS)
+            met = np.flatnonzero(own[0].any(1))
+            for shard, low, high in shards_of(self.buckets[met]):
+                yield shard, (self.buckets[met[low:high]] + k * BUCKETS).astype(np.int32), own[:, met[low:high]].transpose(1, 0, 2)
 
     def common(self) -> np.ndarray:
         """Hashes of the words that at least COMMON of a language's texts in this pack have."""
         n = np.unique(self.langs, return_counts=True)[1]
-        return self.hashes[(self.seen()[2] >= COMMON * n[:, None]).any(0)]
+        return self.hashes[(self.seen() >= COMMON * n[:, None]).any(0)]
 
 
 def shards_of(buckets: np.ndarray):
@@ -481,7 +499,7 @@ SUMS = "shard int, pack long, rows long, keys binary, parts binary"
 
 
 def sums_row(shard: int, pack: int, rows: int, keys: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
-    cols = [pa.array([shard], pa.int32()), pa.array([pack], pa.int64()), pa.array([rows], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([parts.tobytes()], pa.binary())]
+    cols = [pa.array([shard], pa.int32()), pa.array([pack], pa.int64()), pa.array([rows], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([zlib.compress(parts.tobytes(), 1)], pa.binary())]
     return pa.RecordBatch.from_arrays(cols, ["shard", "pack", "rows", "keys", "parts"])
 
 
@@ -497,7 +515,7 @@ def by_shard(sums: DataFrame, start, add, end, schema: str) -> list:
                         yield end(shard, held)
                     shard = b.column(0)[i].as_py()
                     held = start(shard)
-                held = add(shard, held, b.column(2)[i].as_py(), b.column(3)[i].as_buffer(), b.column(4)[i].as_buffer())
+                held = add(shard, held, b.column(2)[i].as_py(), b.column(3)[i].as_buffer(), zlib.decompress(b.column(4)[i].as_buffer()))
         if shard is not None:
             yield end(shard, held)
 
@@ -594,7 +612,7 @@ def count_scores(packs: DataFrame, net: ConvNet, figures, candidates: np.ndarray
         bins = np.clip(((z + FAR) * (BINS / 2 / FAR)).astype(int), 0, BINS - 1)
         met, n = np.unique(np.stack([data.langs, data.labels, bins]), axis=1, return_counts=True)
         kept = np.flatnonzero(np.isin(data.hashes, candidates))
-        times = data.seen()[2][:, kept]
+        times = data.seen()[:, kept]
         lang, word = np.nonzero(times)
         names = np.unique(data.langs)[lang]
         cols = [np.r_[met[0], names], np.r_[met[1], np.full(len(lang), -1)], np.r_[met[2], data.hashes[kept][word].view(np.int64)], np.r_[n, times[lang, word]]]
