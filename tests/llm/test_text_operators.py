@@ -538,6 +538,19 @@ def test_toxicity_packs_hold_whole_texts_and_thresholds_count_all():
     assert T.best_cut(s, y, times=times) == T.best_cut(np.repeat(s, times), np.repeat(y, times))
 
 
+def test_batches_are_bounded_in_bytes(spark):
+    from prismata.llm.common import BATCH_BYTES, small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        for given, want in (("64m", str(BATCH_BYTES)), ("1g", str(BATCH_BYTES)), ("1m", "1m")):
+            spark.conf.set(key, given)
+            small_batches(spark)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.unset(key)
+
+
 def test_toxicity_query_against_plain_scores(spark):
     """The query's scores, from the definition: one text and one window at a time."""
     spark_docs = spark.read.parquet(f"{SF}/documents.parquet")
