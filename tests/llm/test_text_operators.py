@@ -1,11 +1,14 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from prismata.llm import decontaminate as D
@@ -14,7 +17,7 @@ from prismata.llm import lang_id as LI
 from prismata.llm import mixing as X
 from prismata.llm import quality as Q
 from prismata.llm import toxicity as T
-from prismata.llm.common import WordHasher, ascii_lower, sample_by, space_bytes
+from prismata.llm.common import BATCH_BYTES, WordHasher, ascii_lower, sample_by, space_bytes
 
 SF = "/root/testdata/sf0.01"
 
@@ -458,6 +461,45 @@ def test_quality_query_against_plain_figures(spark):
             assert r.keep == (low <= d <= high) or min(abs(d - low), abs(d - high)) < 1e-6
 
 
+def test_quality_passes_hold_little_of_a_pack():
+    """A whole pack is scored in a few times its size, and no text's figures depend on the passes."""
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(2, 9, 3000)]
+    texts, sizes = [], []
+    while sum(sizes) < Q.PACK_BYTES:
+        texts.append(" ".join(words[i] for i in rng.integers(0, 3000, 500)).encode())
+        sizes.append(len(texts[-1]))
+    s, _ = Q.symbols([t.decode() for t in texts[:50]])
+    keys = np.unique(np.concatenate([x[s > 0] for x in Q.gram_keys(s, 0)]))
+    logp, weight = (np.linspace(-3, -1, len(keys), dtype=np.float32) for _ in "12")
+    packed = zstandard.compress(b"".join(texts), 3)
+    tracemalloc.start()
+    n, nll = Q.score_texts(0, np.array(sizes), packed, keys, logp, weight, -9.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    for i in (0, len(texts) // 2, len(texts) - 1):
+        one = Q.score_texts(0, np.array(sizes[i : i + 1]), zstandard.compress(texts[i], 3), keys, logp, weight, -9.0)
+        assert n[i] == one[0][0] == len(texts[i]) and nll[i] == pytest.approx(one[1][0])
+
+
+def test_quality_replies_come_in_small_batches():
+    rng = np.random.default_rng(4)
+    known = np.unique(rng.integers(1, 1 << 62, 60_000).astype(np.uint64))
+    logp, weight = rng.random(len(known), dtype=np.float32), rng.random(len(known), dtype=np.float32)
+    rows = pa.table({"key": known.view(np.int64), "logp": logp, "weight": pa.array(weight)})
+    asked = [np.r_[known[i::3], rng.integers(1 << 62, 1 << 63, 5).astype(np.uint64)] for i in range(3)] * 10 + [np.zeros(0, np.uint64)]
+    own = pa.table({"pack": range(31), "check": range(100, 131), "keys": pa.array([x.tobytes() for x in asked], pa.binary())})
+    out = Q.look_up(own, rows)
+    sizes = [b.nbytes for b in out.to_batches()]
+    assert len(sizes) > 5 and max(sizes) <= BATCH_BYTES + (1 << 19)
+    assert out["pack"].to_pylist() == list(range(31)) and out["check"].to_pylist() == list(range(100, 131))
+    for i, r in enumerate(out.to_pylist()[:30]):
+        assert r["keys"] == known[i % 3 :: 3].tobytes() and r["logp"] == logp[i % 3 :: 3].tobytes() and r["weight"] == weight[i % 3 :: 3].tobytes()
+    assert out["keys"][30].as_py() == b"" and Q.look_up(own.slice(0, 0), rows).num_rows == 0
+    assert Q.look_up(own, rows.slice(0, 0))["keys"].to_pylist() == [b""] * 31
+
+
 def test_quality_edges(spark):
     df = doc_frame(spark, [(1, None, "en"), (1, "", None), (None, "the cat sat", "xx"), (2, "the cat sat on the mat " * 3000, "en"), (3, "the cat", "en")])
     trusted = spark.createDataFrame([(2,), (3,)], "doc_id long")
