@@ -191,6 +191,14 @@ def test_long_texts_in_pieces(monkeypatch):
     assert aligner.encode([text])[0] == whole and whole[0]
 
 
+def test_ranks_give_the_ids_of_the_file():
+    rng = random.Random(4)
+    texts = [" " + (t or "") for t in ODD] + ["".join(chr(rng.choice([32, 39, 9, 0xA0, 0x2003, rng.randrange(32, 127), rng.randrange(128, 0x3000), rng.randrange(0x1F300, 0x1F700)])) for _ in range(60)) for _ in range(300)]
+    aligner = T.Aligner(*PATHS)
+    assert aligner.fast is not None
+    assert aligner.encode_a(texts) == [x.ids for x in aligner.a.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_alignment_of_nothing(spark):
     assert T.align_tokenizers(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = T.align_tokenizers(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).collect()
