@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.columns import NUMERIC
-from ..session import session
+from ..session import small_frame
 from .issues import describe, issues_of, ml_score
 from .profile import DatasetProfile, scan
 
@@ -39,7 +39,7 @@ def verdicts(p: DatasetProfile, target: str | None = None) -> list[tuple[str, st
 
 
 def verdict_frame(p: DatasetProfile, target: str | None = None) -> DataFrame:
-    return session().createDataFrame(verdicts(p, target), "feature string, verdict string, reason string, action string")
+    return small_frame(verdicts(p, target), "feature string, verdict string, reason string, action string")
 
 
 def ml_ready(data, target: str | None = None, sample_size: int | None = None) -> DataFrame:

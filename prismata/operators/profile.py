@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import math
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 
 from ..functions.columns import NUMERIC
-from ..plans.passes import exact_extremes, fields_of, first_pass, pearson, second_pass, shape, small_sets
-from ..session import session
+from ..plans.passes import distinct_pass, exact_extremes, fields_of, first_pass, second_pass, shape
+from ..session import small_frame
 from ..sources.readers import Dataset, resolve
 
 #: Correlations are left out beyond so many numeric columns unless asked for, and reported from this size on.
@@ -108,15 +109,15 @@ class DatasetProfile:
 
     def columns_frame(self) -> DataFrame:
         """One row for each column, all fields."""
-        return session().createDataFrame([tuple(asdict(c).values()) for c in self.columns], COLUMN_SCHEMA)
+        return small_frame([tuple(asdict(c).values()) for c in self.columns], COLUMN_SCHEMA)
 
     def correlations_frame(self) -> DataFrame:
         rows = [(c.col_a, c.col_b, c.r, c.direction, c.strength) for c in self.correlations]
-        return session().createDataFrame(rows, "col_a string, col_b string, r double, direction string, strength string")
+        return small_frame(rows, "col_a string, col_b string, r double, direction string, strength string")
 
     def summary_frame(self) -> DataFrame:
         row = (self.file_name, self.num_rows, self.num_cols, self.num_numeric, self.num_string, self.overall_null_pct, self.total_null_cells, self.total_cells, self.is_sampled, self.correlation_skipped)
-        return session().createDataFrame([row], "file_name string, num_rows long, num_cols long, num_numeric long, num_string long, overall_null_pct double, total_null_cells long, total_cells long, is_sampled boolean, correlation_skipped boolean")
+        return small_frame([row], "file_name string, num_rows long, num_cols long, num_numeric long, num_string long, overall_null_pct double, total_null_cells long, total_cells long, is_sampled boolean, correlation_skipped boolean")
 
     def __repr__(self) -> str:
         from ..render import overview
@@ -149,15 +150,20 @@ def profile_dataset(data: Dataset, correlate: bool = False, exact: bool = False,
     fields = [f for f in fields_of(df, data.misfits) if f.name in set(data.columns)]
     first = first_pass(df, fields, exact, "distinct" in parts)
     rows = first["rows"]
-    small = small_sets(df, fields, first, exact) if rows and "values" in parts else {}
-    second = second_pass(df, fields, first) if rows and "shape" in parts else {}
-    columns = [_column(i, f, rows, first, small, second, exact) for i, f in enumerate(fields)]
     numeric = [f for f in fields if f.kind in NUMERIC]
     skipped = len(numeric) > WIDE and not correlate
-    found = []
-    if correlations and "correlations" in parts and not skipped and rows:
-        pairs = [Correlation(fields[a].name, fields[b].name, r) for a, b, r in pearson(df, fields, first)]
-        found = sorted((c for c in pairs if abs(c.r) >= REPORT), key=lambda c: -abs(c.r))
+    paired = bool(correlations and "correlations" in parts and not skipped and rows)
+    small, second, pairs = {}, {}, []
+    if rows:
+        with ThreadPoolExecutor(1) as pool:  # jobs of their own, so they share the cluster
+            counted = pool.submit(distinct_pass, df, fields, first, exact and "distinct" in parts, "values" in parts)
+            if "shape" in parts or paired:
+                second, pairs = second_pass(df, fields, first, paired)
+            first, small = counted.result()
+    second = second if "shape" in parts else {}
+    columns = [_column(i, f, rows, first, small, second, exact) for i, f in enumerate(fields)]
+    named = [Correlation(fields[a].name, fields[b].name, r) for a, b, r in pairs]
+    found = sorted((c for c in named if abs(c.r) >= REPORT), key=lambda c: -abs(c.r))
     if data.whole is not None and data.path and not data.path.lower().endswith(".csv"):
         _override(columns, exact_extremes(data.whole))
     cells, nulls = sum(c.total_count for c in columns), sum(c.null_count for c in columns)

@@ -1,11 +1,10 @@
 """The passes of a profile.
 
 First pass: one aggregate with counts, extremes, sums and sketches of all
-columns; where distinct counts must be exact, a narrow job for each column.  Second pass: centred power sums and the
-histogram of all numeric columns, as one grouped aggregate over (column, bin),
-which is combined on the map side to at most 16 rows a column.  Correlations:
-centred cross products, in chunks of expressions.  Distinct values: only for
-columns that the sketch says are small.
+columns.  Second pass: centred power sums, histograms and, for correlations, the
+cross products of all numeric columns, as partial results of each task from one
+scan.  Exact distinct counts of numbers, dates and times: one job for all of
+them.  Distinct values: only for columns that the sketch says are small.
 """
 
 from __future__ import annotations
@@ -14,17 +13,20 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import NUMERIC, as_number, present, quoted, seconds, type_name
+from .partials import BINS as BINS
+from .partials import distinct_keys, shapes_and_products
 
-BINS = 16
 #: Exact distinct counts go up to these; beyond, the sketch's estimate stands.
 STRING_DISTINCT, NUMBER_DISTINCT = 100, 100_000
 SKETCH = 14
-#: Expressions in one aggregate.
-EXPRESSIONS = 300
+#: Types whose values are 64-bit numbers, or tell as much.
+KEYED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 @dataclass
@@ -66,10 +68,7 @@ def first_pass(df: DataFrame, fields: list[Field], exact: bool, distinct: bool =
         elif f.kind == "str":
             size = F.octet_length(f.value)
             out += [F.min(size).alias(f"short{i}"), F.max(size).alias(f"long{i}"), F.avg(size).alias(f"size{i}")]
-    found = df.agg(*out).first().asDict()
-    if distinct and exact and found["rows"]:
-        found |= {f"u{i}": n for i, n in distinct_counts(df, fields, [i for i, f in enumerate(fields) if f.kind != "unknown"]).items()}
-    return found
+    return df.agg(*out).first().asDict()
 
 
 def exact_extremes(whole: DataFrame) -> dict:
@@ -82,35 +81,25 @@ def exact_extremes(whole: DataFrame) -> dict:
     return whole.agg(*out).first().asDict()
 
 
-def distinct_counts(df: DataFrame, fields: list[Field], chosen: list[int]) -> dict[int, int]:
-    """Exact distinct counts, one narrow job a column and a few at a time.
-
-    Each job reads one column and combines on the map side; one aggregate over
-    all columns would multiply the rows by their number first.
-    """
+def distinct_counts(df: DataFrame, fields: list[Field], chosen: list[int], rows: int) -> dict[int, int]:
+    """Exact distinct counts: one job for all numbers, dates and times; one for each text column, a few at a time."""
+    narrow = [i for i in chosen if isinstance(df.schema[fields[i].name].dataType, KEYED)]
+    wide = [i for i in chosen if i not in set(narrow)]
     count = lambda i: df.select(fields[i].value.alias("v")).where("v IS NOT NULL").distinct().count()
     with ThreadPoolExecutor(4) as pool:
-        return dict(zip(chosen, pool.map(count, chosen)))
+        keyed = pool.submit(lambda: distinct_keys(df, [fields[i].value for i in narrow], rows)) if narrow else None
+        found = dict(zip(wide, pool.map(count, wide)))
+        return found | (dict(zip(narrow, keyed.result())) if keyed else {})
 
 
-def second_pass(df: DataFrame, fields: list[Field], first: dict) -> dict[int, dict]:
-    """By field number: bins (16 counts) and centred power sums of the numeric fields with values."""
+def second_pass(df: DataFrame, fields: list[Field], first: dict, products: bool = False) -> tuple[dict[int, dict], list[tuple[int, int, float]]]:
+    """By field number: bins (16 counts) and centred power sums of the numeric fields with values; and, if asked for, correlations: all from one scan."""
     chosen = [i for i, f in enumerate(fields) if f.number is not None and first[f"n{i}"]]
     if not chosen:
-        return {}
-    parts = []
-    for i in chosen:
-        x, low, high, mean = fields[i].number, first[f"low{i}"], first[f"high{i}"], first[f"mean{i}"]
-        at = F.least(F.lit(BINS - 1), F.floor((x - F.lit(low)) / F.lit(high - low) * BINS)) if high > low else F.when(x.isNotNull(), F.lit(0))
-        parts.append(F.struct(F.lit(i).alias("field"), at.cast("int").alias("bin"), (x - F.lit(mean)).alias("d")))
-    rows = df.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where("d IS NOT NULL")
-    sums = rows.groupBy("field", "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.pow("d", F.lit(k)) if k > 2 else F.col("d") * F.col("d") if k == 2 else F.col("d")).alias(f"s{k}") for k in (1, 2, 3, 4)])
-    out = {i: {"bins": [0] * BINS, "s": [0.0] * 5} for i in chosen}
-    for r in sums.collect():  # at most 16 rows a field
-        out[r["field"]]["bins"][r["bin"]] = r["n"]
-        for k in (1, 2, 3, 4):
-            out[r["field"]]["s"][k] += r[f"s{k}"]
-    return out
+        return {}, []
+    shapes, gram = shapes_and_products(df, [fields[i].number for i in chosen], [tuple(first[f"{k}{i}"] for k in ("low", "high", "mean")) for i in chosen], products)
+    paired = [k for k, i in enumerate(chosen) if fields[i].kind in NUMERIC]
+    return {i: shapes[k] for k, i in enumerate(chosen)}, [(chosen[a], chosen[b], r) for a, b, r in pearson(gram, paired)] if products else []
 
 
 def shape(n: int, s: list[float]) -> tuple[float, float, float]:
@@ -129,6 +118,14 @@ def shape(n: int, s: list[float]) -> tuple[float, float, float]:
     return variance, skewness, kurtosis
 
 
+def distinct_pass(df: DataFrame, fields: list[Field], first: dict, exact: bool, values: bool) -> tuple[dict, dict[int, tuple[int, list]]]:
+    """``first`` with exact distinct counts if these are asked for, and the small sets of values if they are."""
+    if exact:
+        counts = distinct_counts(df, fields, [i for i, f in enumerate(fields) if f.kind != "unknown"], first["rows"])
+        first = first | {f"u{i}": n for i, n in counts.items()}
+    return first, small_sets(df, fields, first, exact) if values else {}
+
+
 def small_sets(df: DataFrame, fields: list[Field], first: dict, exact: bool) -> dict[int, tuple[int, list]]:
     """By field number: exact distinct count, and the sorted values of text and dates with at most STRING_DISTINCT.
 
@@ -151,39 +148,20 @@ def small_sets(df: DataFrame, fields: list[Field], first: dict, exact: bool) ->
         for i in gathered:
             values = sorted(row[f"v{i}"])
             out[i] = (len(values), values if len(values) <= STRING_DISTINCT else [])
-    return out | {i: (n, []) for i, n in distinct_counts(df, fields, counted).items()}
-
-
-def pearson(df: DataFrame, fields: list[Field], first: dict) -> list[tuple[int, int, float]]:
-    """(field, field, r) of all pairs of int and float fields over the rows that have both; 0 for a constant side."""
-    chosen = [i for i, f in enumerate(fields) if f.kind in NUMERIC and first[f"n{i}"]]
-    pairs = [(a, b) for k, a in enumerate(chosen) for b in chosen[k + 1 :]]
-    if not pairs:
-        return []
-    d = {i: fields[i].number - F.lit(first[f"mean{i}"]) for i in chosen}
-    whole = {i for i in chosen if first[f"n{i}"] == first["rows"]}
-    exprs: dict[str, Column] = {}
-    for a, b in pairs:
-        exprs[f"{a}_{b}"] = F.sum(d[a] * d[b])
-        if not {a, b} <= whole:
-            for x, y in ((a, b), (b, a)):
-                both = F.when(fields[y].number.isNotNull(), d[x])
-                exprs[f"{a}_{b}_s{x}"], exprs[f"{a}_{b}_q{x}"] = F.sum(both), F.sum(both * both)
-            exprs[f"{a}_{b}_n"] = F.count(d[a] * d[b])
-    for i in whole:
-        exprs[f"s{i}"], exprs[f"q{i}"] = F.sum(d[i]), F.sum(d[i] * d[i])
-    names, got = list(exprs), {}
-    for k in range(0, len(names), EXPRESSIONS):
-        got |= df.agg(*[exprs[x].alias(x) for x in names[k : k + EXPRESSIONS]]).first().asDict()
+    return out | {i: (n, []) for i, n in distinct_counts(df, fields, counted, first["rows"]).items()}
+
+
+def pearson(gram: np.ndarray, chosen: list[int]) -> list[tuple[int, int, float]]:
+    """(column, column, r) of all pairs of the chosen columns over the rows that have both (two at least); 0 for a constant side."""
     out = []
-    for a, b in pairs:
-        n = got.get(f"{a}_{b}_n", first["rows"])
-        if n < 2:
-            continue
-        sa, sb = (got.get(f"{a}_{b}_s{x}", got.get(f"s{x}")) for x in (a, b))
-        qa, qb = (got.get(f"{a}_{b}_q{x}", got.get(f"q{x}")) for x in (a, b))
-        va, vb = qa - sa * sa / n, qb - sb * sb / n
-        cov = got[f"{a}_{b}"] - sa * sb / n
-        tiny = lambda v, q: v <= 1e-12 * max(q, 1e-300) or v <= 0
-        out.append((a, b, 0.0 if tiny(va, qa) or tiny(vb, qb) else max(-1.0, min(1.0, cov / math.sqrt(va * vb)))))
+    for k, a in enumerate(chosen):
+        for b in chosen[k + 1 :]:
+            ab, sa, qa, n = gram[:, a, b].tolist()
+            _, sb, qb, _ = gram[:, b, a].tolist()
+            if n < 2:
+                continue
+            va, vb = qa - sa * sa / n, qb - sb * sb / n
+            cov = ab - sa * sb / n
+            tiny = lambda v, q: v <= 1e-12 * max(q, 1e-300) or v <= 0
+            out.append((a, b, 0.0 if tiny(va, qa) or tiny(vb, qb) else max(-1.0, min(1.0, cov / math.sqrt(va * vb)))))
     return out

@@ -19,7 +19,7 @@ from .operators.merge import overlap, union_keep_first
 from .operators.ml import verdict_frame
 from .operators.profile import DatasetProfile, profile_dataset
 from .operators.transform import Plan, apply_plan, clean_plan
-from .session import shared_dir
+from .session import shared_dir, small_frame
 from .sources.readers import Dataset, read_csv
 from .sources.sinks import write_table
 
@@ -216,12 +216,12 @@ def outlier_columns(spark, sf_dir):
 
 @query("SELECT CAST(greatest(0, least(100, 100 - least(40, CAST(floor(2 * 100.0 * (5 * count(*) - count(l_orderkey) - count(l_linenumber) - count(l_quantity) - count(l_tax) - count(l_returnflag)) / (5 * count(*))) AS INT)) - least(20, 5 * ((100.0 * (count(*) - count(l_tax)) / count(*) > 20)::INT + (100.0 * (count(*) - count(l_returnflag)) / count(*) > 20)::INT + (100.0 * (count(*) - count(l_quantity)) / count(*) > 20)::INT)) - least(20, 10 * ((count(DISTINCT l_returnflag) <= 1)::INT)))) AS INT) AS quality_score FROM " + _HOLED)
 def quality_score_query(spark, sf_dir):
-    return spark.createDataFrame([(quality_score(prof(_holed(spark, sf_dir))),)], "quality_score int")
+    return small_frame([(quality_score(prof(_holed(spark, sf_dir))),)], "quality_score int")
 
 
 @query("SELECT CAST(100 - (CASE WHEN 100.0 * count(DISTINCT c_custkey) / count(c_custkey) > 95 THEN 5 ELSE 0 END) - (CASE WHEN count(DISTINCT c_name) > 0.8 * count(*) THEN 5 WHEN count(DISTINCT c_name) > 100 THEN 3 ELSE 0 END) - (CASE WHEN avg(c_acctbal) > 0 AND max(c_acctbal) > 10 * avg(c_acctbal) AND max(c_acctbal) > 10 AND count(DISTINCT c_acctbal) > 5 THEN 5 ELSE 0 END) - (CASE WHEN avg(c_custkey) > 0 AND max(c_custkey) > 10 * avg(c_custkey) THEN 5 ELSE 0 END) AS INT) AS ml_score FROM customer")
 def ml_score_query(spark, sf_dir):
-    return spark.createDataFrame([(ml_score(prof(load(spark, sf_dir, "customer"), correlations=True)),)], "ml_score int")
+    return small_frame([(ml_score(prof(load(spark, sf_dir, "customer"), correlations=True)),)], "ml_score int")
 
 
 @query("SELECT 'doc_id' AS feature, CASE WHEN 100.0 * count(DISTINCT doc_id) / count(doc_id) > 95 THEN 'DROP' ELSE 'KEEP' END AS verdict, CASE WHEN 100.0 * count(DISTINCT doc_id) / count(doc_id) > 95 THEN 'Drop column' ELSE 'as-is' END AS action FROM labels UNION ALL SELECT 'quality', CASE WHEN count(DISTINCT quality) <= 1 THEN 'DROP' ELSE 'KEEP' END, CASE WHEN count(DISTINCT quality) <= 1 THEN 'Drop column' ELSE 'as-is' END FROM labels")
@@ -294,7 +294,7 @@ def _drift(spark, sf_dir):
 def drift_schema(spark, sf_dir):
     d = _drift(spark, sf_dir).schema
     rows = [(c, "missing_in_a") for c in d["missing_in_a"]] + [(c, "missing_in_b") for c in d["missing_in_b"]] + [(c, "type") for c, _, _ in d["type_mismatches"]]
-    return spark.createDataFrame(rows, "col_name string, status string")
+    return small_frame(rows, "col_name string, status string")
 
 
 _NULLS = " UNION ALL ".join(f"SELECT '{c}' AS col_name, (SELECT 100.0 * (count(*) - count({c})) / count(*) FROM {_A}) AS x, (SELECT 100.0 * (count(*) - count({c})) / count(*) FROM {_B}) AS y" for c in ("event_id", "event_type", "value"))
@@ -303,13 +303,13 @@ _NULLS = " UNION ALL ".join(f"SELECT '{c}' AS col_name, (SELECT 100.0 * (count(*
 @query(f"SELECT col_name, x AS null_pct_a, round(y, 6) AS null_pct_b, CASE WHEN y - x > 5 THEN 'spike' WHEN y - x > 0.1 THEN 'increase' WHEN y - x < -0.1 THEN 'decrease' ELSE 'stable' END AS status FROM ({_NULLS})")
 def drift_nulls(spark, sf_dir):
     rows = [(x["col_name"], x["null_pct_a"], round(x["null_pct_b"], 6), x["status"]) for x in _drift(spark, sf_dir).nulls]
-    return spark.createDataFrame(rows, "col_name string, null_pct_a double, null_pct_b double, status string")
+    return small_frame(rows, "col_name string, null_pct_a double, null_pct_b double, status string")
 
 
 @query(f"SELECT 'value' AS col_name, round(ma, 4) AS mean_a, round(mb, 4) AS mean_b, round((mb - ma) / abs(ma) * 100, 4) AS shift_pct FROM (SELECT (SELECT avg(value) FROM {_A}) AS ma, (SELECT avg(value) FROM {_B}) AS mb)")
 def drift_mean(spark, sf_dir):
     rows = [(x["col_name"], x["mean_a"], x["mean_b"], x["shift_pct"]) for x in _drift(spark, sf_dir).shifts]
-    return spark.createDataFrame(rows, "col_name string, mean_a double, mean_b double, shift_pct double").select("col_name", rnd("mean_a"), rnd("mean_b"), rnd("shift_pct"))
+    return small_frame(rows, "col_name string, mean_a double, mean_b double, shift_pct double").select("col_name", rnd("mean_a"), rnd("mean_b"), rnd("shift_pct"))
 
 
 _HISTS = f"""
@@ -323,7 +323,7 @@ hb AS (SELECT bin, (SELECT count(*) FROM eb, rb WHERE least(15, floor((v - lo) /
 
 @query(_HISTS + "SELECT 'value' AS col_name, round(sum((greatest(hb.c / rb.n, 0.0001) - greatest(ha.c / ra.n, 0.0001)) * ln(greatest(hb.c / rb.n, 0.0001) / greatest(ha.c / ra.n, 0.0001))), 6) AS psi FROM ha JOIN hb USING (bin), ra, rb")
 def drift_psi(spark, sf_dir):
-    return spark.createDataFrame([(x["col_name"], x["psi"]) for x in _drift(spark, sf_dir).shifts], "col_name string, psi double").select("col_name", rnd("psi", 6))
+    return small_frame([(x["col_name"], x["psi"]) for x in _drift(spark, sf_dir).shifts], "col_name string, psi double").select("col_name", rnd("psi", 6))
 
 
 @query(
@@ -334,7 +334,7 @@ f AS (SELECT x, (SELECT CASE WHEN x <= lo THEN 0 WHEN x >= hi THEN 1 ELSE (SELEC
 SELECT 'value' AS col_name, round(max(abs(fa - fb)), 6) AS ks FROM f"""
 )
 def drift_ks(spark, sf_dir):
-    return spark.createDataFrame([(x["col_name"], x["ks_stat"]) for x in _drift(spark, sf_dir).shifts], "col_name string, ks double").select("col_name", rnd("ks", 6))
+    return small_frame([(x["col_name"], x["ks_stat"]) for x in _drift(spark, sf_dir).shifts], "col_name string, ks double").select("col_name", rnd("ks", 6))
 
 
 @query(
@@ -344,7 +344,7 @@ g AS (SELECT x, sum(w) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) AS gap, lead(x
 SELECT 'value' AS col_name, round(sum(abs(gap) * (y - x)), 4) AS wasserstein FROM g WHERE y IS NOT NULL"""
 )
 def drift_wasserstein(spark, sf_dir):
-    return spark.createDataFrame([(x["col_name"], x["wasserstein"]) for x in _drift(spark, sf_dir).shifts], "col_name string, wasserstein double").select("col_name", rnd("wasserstein"))
+    return small_frame([(x["col_name"], x["wasserstein"]) for x in _drift(spark, sf_dir).shifts], "col_name string, wasserstein double").select("col_name", rnd("wasserstein"))
 
 
 @query("WITH a AS (SELECT DISTINCT o_orderpriority AS v FROM orders WHERE o_orderkey % 2 = 0 AND o_orderpriority NOT LIKE '1%'), b AS (SELECT DISTINCT o_orderpriority AS v FROM orders WHERE o_orderkey % 2 = 1 AND o_orderpriority NOT LIKE '2%') SELECT 'o_orderpriority' AS col_name, (SELECT count(*) FROM (SELECT v FROM b EXCEPT SELECT v FROM a)) AS n_new, (SELECT count(*) FROM (SELECT v FROM a EXCEPT SELECT v FROM b)) AS n_missing, round((SELECT count(*) FROM (SELECT v FROM a INTERSECT SELECT v FROM b)) / (SELECT count(*) FROM (SELECT v FROM a UNION SELECT v FROM b)), 6) AS jaccard")
@@ -353,7 +353,7 @@ def drift_category(spark, sf_dir):
     a = prof(o.where("o_orderkey % 2 = 0 AND o_orderpriority NOT LIKE '1%'").drop("o_orderkey"))
     b = prof(o.where("o_orderkey % 2 = 1 AND o_orderpriority NOT LIKE '2%'").drop("o_orderkey"))
     rows = [(c["col_name"], len(c["new_in_b"]), len(c["missing_in_b"]), round(c["jaccard"], 6)) for c in drift(a, b).categories]
-    return spark.createDataFrame(rows, "col_name string, n_new long, n_missing long, jaccard double")
+    return small_frame(rows, "col_name string, n_new long, n_missing long, jaccard double")
 
 
 @query(
@@ -365,7 +365,7 @@ SELECT CASE WHEN shift THEN 'FAIL' ELSE 'WARN' END AS verdict, CASE WHEN lost >
 )
 def drift_verdict(spark, sf_dir):
     d = _drift(spark, sf_dir)
-    return spark.createDataFrame([(d.verdict, training_verdict(d.schema, d.shifts, d.categories)["verdict"])], "verdict string, training string")
+    return small_frame([(d.verdict, training_verdict(d.schema, d.shifts, d.categories)["verdict"])], "verdict string, training string")
 
 
 # contract --------------------------------------------------------------
@@ -386,7 +386,7 @@ UNION ALL SELECT 'nothing', 'min', false, 'CRITICAL') WHERE NOT ok"""
 )
 def validate_rules(spark, sf_dir):
     found = validate(load(spark, sf_dir, "orders"), _RULES)
-    return spark.createDataFrame([(b.column, b.rule, False, b.severity) for b in found.all_breaches()], "column string, rule string, ok boolean, severity string")
+    return small_frame([(b.column, b.rule, False, b.severity) for b in found.all_breaches()], "column string, rule string, ok boolean, severity string")
 
 
 @query("SELECT count(*) FILTER (NOT regexp_matches(c_name, '^(?:Customer#0000000)')) AS broken_rows, count(*) FILTER (c_mktsegment NOT IN ('BUILDING', 'MACHINERY')) AS other_rows FROM customer")
@@ -395,7 +395,7 @@ def validate_rowlevel(spark, sf_dir):
 
     df = load(spark, sf_dir, "customer")
     n = _row_counts(Dataset(df, "customer"), {"c_name": {"regex": "Customer#0000000"}, "c_mktsegment": {"allowed_values": ["BUILDING", "MACHINERY"]}})
-    return spark.createDataFrame([tuple(n.values())], "broken_rows long, other_rows long")
+    return small_frame([tuple(n.values())], "broken_rows long, other_rows long")
 
 
 # merge and questions ---------------------------------------------------
@@ -415,7 +415,7 @@ def merge_union_dedup(spark, sf_dir):
 def merge_overlap(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     n = overlap(*[o.where(s).drop("o_orderkey") for s in _SLICES])
-    return spark.createDataFrame([(n,)], "n_overlap long")
+    return small_frame([(n,)], "n_overlap long")
 
 
 @query("SELECT l_returnflag AS group_value, round(avg(l_extendedprice), 4) AS mean_value FROM lineitem GROUP BY 1")
@@ -428,7 +428,7 @@ def ask_null_over(spark, sf_dir):
     from .operators.ask import nulls_above
 
     found = nulls_above(prof(_holed(spark, sf_dir)), "which columns have more than 10% nulls?", None)
-    return spark.createDataFrame(found.rows or [], "name string, null_pct double").select("name", rnd("null_pct", 6))
+    return small_frame(found.rows or [], "name string, null_pct double").select("name", rnd("null_pct", 6))
 
 
 # CSV -------------------------------------------------------------------

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _FOLDERS: dict[str, str] = {}
 
@@ -24,6 +26,17 @@ def session(**conf: str) -> SparkSession:
     return build.getOrCreate()
 
 
+_ARROW = {T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.BooleanType: pa.bool_()}
+
+
+def small_frame(rows: list[tuple], ddl: str) -> DataFrame:
+    """A frame of a few rows that the driver has made; it comes by Arrow, so that no Python worker starts for it."""
+    schema = T.StructType.fromDDL(ddl)
+    types = [pa.list_(_ARROW[type(f.dataType.elementType)]) if isinstance(f.dataType, T.ArrayType) else _ARROW[type(f.dataType)] for f in schema]
+    columns = zip(*rows) if rows else ([] for _ in types)
+    return session().createDataFrame(pa.table([pa.array(list(c), t) for c, t in zip(columns, types)], names=schema.names), schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
