@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from ..functions.columns import NUMERIC
 from ..plans.passes import distinct_pass, exact_extremes, fields_of, first_pass, second_pass, shape
 from ..session import small_frame
+from ..sources.footers import footer_figures
 from ..sources.readers import Dataset, resolve
 
 #: Correlations are left out beyond so many numeric columns unless asked for, and reported from this size on.
@@ -165,7 +166,7 @@ def profile_dataset(data: Dataset, correlate: bool = False, exact: bool = False,
     named = [Correlation(fields[a].name, fields[b].name, r) for a, b, r in pairs]
     found = sorted((c for c in named if abs(c.r) >= REPORT), key=lambda c: -abs(c.r))
     if data.whole is not None and data.path and not data.path.lower().endswith(".csv"):
-        _override(columns, exact_extremes(data.whole))
+        _override(columns, exact_extremes(data.whole, footer_figures(data.path)))
     cells, nulls = sum(c.total_count for c in columns), sum(c.null_count for c in columns)
     n_numeric = sum(f.kind in (*NUMERIC, "bool") for f in fields)
     return DatasetProfile(
@@ -220,12 +221,16 @@ def _column(i: int, f, rows: int, first: dict, small: dict, second: dict, exact:
     return c
 
 
-def scan(data, sample_size: int | None = None, allowed_dir: str | None = None, correlate: bool = False, exact: bool = False, **csv) -> DatasetProfile:
+def scan(data, sample_size: int | None = None, allowed_dir: str | None = None, correlate: bool = False, exact: bool = False, sample_files: int | None = None, **csv) -> DatasetProfile:
     """The profile of a path (CSV, Parquet), Spark DataFrame or pandas-like frame; prints nothing.
 
+    With ``sample_size``, the profile is that of so many rows, drawn from all or
+    from ``sample_files`` of the table's files; nulls and extremes of Parquet
+    tables are of all rows, from footers but for floats (NaN is in no footer).
+
     ``csv`` takes ``sep``, ``null_string``, ``header`` and ``infer_rows``.
     """
-    return profile_dataset(resolve(data, sample_size, allowed_dir, **csv), correlate, exact)
+    return profile_dataset(resolve(data, sample_size, allowed_dir, sample_files, **csv), correlate, exact)
 
 
 def profile(data, sample_size: int | None = None, correlate: bool = False, **options) -> DatasetProfile:

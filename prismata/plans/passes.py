@@ -71,14 +71,26 @@ def first_pass(df: DataFrame, fields: list[Field], exact: bool, distinct: bool =
     return df.agg(*out).first().asDict()
 
 
-def exact_extremes(whole: DataFrame) -> dict:
-    """rows, and for each field number its count and extremes over all rows (cheap: min, max and count only)."""
-    out = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(fields_of(whole)):
+def exact_extremes(whole: DataFrame, known: dict[str, dict] | None = None) -> dict:
+    """rows, and for each field number its count and extremes over all rows.
+
+    Columns that are ``known`` (from footers) are not read; of the others a scan
+    makes min, max and count only.
+    """
+    known = known or {}
+    fields, found, out = fields_of(whole), {}, []
+    for i, f in enumerate(fields):
+        if f.name in known:
+            found[f"n{i}"] = known[f.name]["n"]
+            if f.number is not None and known[f.name]["low"] is not None:
+                found |= {f"low{i}": float(known[f.name]["low"]), f"high{i}": float(known[f.name]["high"])}
+            continue
         out.append(F.count(f.value).alias(f"n{i}"))
         if f.number is not None:
             out += [F.min(f.number).alias(f"low{i}"), F.max(f.number).alias(f"high{i}")]
-    return whole.agg(*out).first().asDict()
+    if "" in known and not out:
+        return found | {"rows": known[""]["rows"]}
+    return found | whole.agg(F.count(F.lit(1)).alias("rows"), *out).first().asDict()
 
 
 def distinct_counts(df: DataFrame, fields: list[Field], chosen: list[int], rows: int) -> dict[int, int]:

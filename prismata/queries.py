@@ -17,10 +17,10 @@ from .operators.drift import aligned_histograms, drift, training_verdict
 from .operators.issues import ml_score, quality_score, warnings_frame
 from .operators.merge import overlap, union_keep_first
 from .operators.ml import verdict_frame
-from .operators.profile import DatasetProfile, profile_dataset
+from .operators.profile import DatasetProfile, profile_dataset, scan
 from .operators.transform import Plan, apply_plan, clean_plan
 from .session import shared_dir, small_frame
-from .sources.readers import Dataset, read_csv
+from .sources.readers import Dataset, read_csv, resolve
 from .sources.sinks import write_table
 
 QUERIES: dict = {}
@@ -74,6 +74,22 @@ def profile_numeric(spark, sf_dir):
     return p.select("name", "total_count", "null_count", rnd("mean"), rnd("stddev"), "val_min", "val_max", "unique_approx")
 
 
+@query(each(LINE_NUMBERS, "count(*) AS total_count, count(*) - count({c}) AS null_count, CAST(min({c}) AS DOUBLE) + 0.0 AS val_min, CAST(max({c}) AS DOUBLE) AS val_max", "lineitem"))
+def profile_footers(spark, sf_dir):
+    """Counts and extremes of the whole table beside a sample's profile."""
+    p = cols(scan(f"{sf_dir}/lineitem.parquet", sample_size=1000))
+    return p.where(F.col("name").isin(LINE_NUMBERS)).select("name", "total_count", "null_count", "val_min", "val_max")
+
+
+@query(each(["o_orderkey", "o_custkey", "o_totalprice"], "count(*) AS total_count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev, CAST(sum({c}) AS DOUBLE) AS total", "orders").replace("CAST(sum", "round(sum").replace("AS DOUBLE) AS total", ", 2) AS total"))
+def sample_of_all_rows(spark, sf_dir):
+    """A sample as large as the table, with weighted totals."""
+    data = resolve(f"{sf_dir}/orders.parquet", sample_size=1 << 30, sample_files=64)
+    p = cols(profile_dataset(data, parts=["shape"])).where("name IN ('o_orderkey', 'o_custkey', 'o_totalprice')")
+    sums = data.df.agg(*[F.sum(c).cast("double").alias(c) for c in ("o_orderkey", "o_custkey", "o_totalprice")]).unpivot([], ["o_orderkey", "o_custkey", "o_totalprice"], "name", "total")
+    return p.join(F.broadcast(sums), "name").select("name", "total_count", rnd("mean"), rnd("stddev"), F.round(F.col("total") * data.weight, 2).alias("total"))
+
+
 @query(each(LINE_NUMBERS[3:], "round(var_samp({c}), 2) AS variance, round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis, round(CAST(max({c}) - min({c}) AS DOUBLE), 4) AS range, count(*) FILTER ({c} = 0) AS zero_count", "lineitem"))
 def profile_moments(spark, sf_dir):
     p = cols(prof(load(spark, sf_dir, "lineitem").select(*LINE_NUMBERS[3:]), parts=["shape"]))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import os
+import random
 from collections import OrderedDict
 from dataclasses import dataclass, field
 from pathlib import PurePath
@@ -28,6 +30,7 @@ class Dataset:
     misfits: dict[str, Column] = field(default_factory=dict)  # by column: whether a cell did not fit the inferred type
     sampled: bool = False
     whole: DataFrame | None = None  # what a sample was drawn from
+    weight: float = 1.0  # rows of the whole that a row of the sample stands for
 
     @property
     def columns(self) -> list[str]:
@@ -39,15 +42,44 @@ class Dataset:
         rows = self.df if self.whole is None else self.whole
         return rows.select(*[quoted(c) for c in self.columns])
 
-    def sample(self, rows: int, seed: int = 17) -> Dataset:
-        """A random part of about ``rows`` rows, which knows all of them; itself if it has no more."""
-        if rows < 1:
-            raise PrismataError("sample_size must be positive")
+    def sample(self, rows: int, seed: int = 17, files: int | None = None) -> Dataset:
+        """A random part of ``rows`` rows, which knows all of them; itself if it has no more.
+
+        Each row draws a number, and those with the least ones are in: all parts
+        of a table have the same chance, its end too.  ``files`` reads only so
+        many of the table's files, spread evenly over their order from a random
+        start; then ``weight`` makes totals of the sample unbiased ones of the whole.
+        """
+        if rows < 1 or files is not None and files < 1:
+            raise PrismataError("sample_size and sample_files must be positive")
         n = row_count(self.df, self.path)
         if n <= rows:
             return self
-        share = min(1.0, 1.1 * rows / n + 1e-3)
-        return Dataset(self.df.sample(share, seed).limit(rows), self.name, self.path, self.misfits, True, self.df)
+        df, weight = self.df, 1.0
+        if files:
+            every = sorted(df.inputFiles())
+            chosen = spread(every, files, seed)
+            if len(chosen) < len(every):
+                # file paths of the two interfaces differ in the slashes of a local one
+                df = df.where(F.col("_metadata.file_path").isin([x.replace("file:///", "file:/") for x in chosen]))
+                weight, n = len(every) / len(chosen), df.count()
+        if n <= rows:
+            return Dataset(df, self.name, self.path, self.misfits, True, self.df, weight)
+        name = "__draw"
+        while name in df.columns:
+            name += "_"
+        drawn = df.withColumn(name, F.rand(seed))
+        enough = (rows + 6 * math.sqrt(rows) + 6) / n  # more than ``rows`` draw less than this
+        cut = drawn.select(name).where(F.col(name) < enough).orderBy(name).limit(rows).agg(F.max(name)).first()[0]
+        kept = drawn.where(F.col(name) <= (cut if cut is not None else enough)).drop(name)
+        return Dataset(kept, self.name, self.path, self.misfits, True, self.df, weight * n / rows)
+
+
+def spread(files: list[str], many: int, seed: int) -> list[str]:
+    """So many of the files, evenly over their order, from a random start."""
+    many = min(many, len(files))
+    start = random.Random(seed).random()
+    return [files[min(len(files) - 1, int((k + start) * len(files) / many))] for k in range(many)]
 
 
 def _hadoop(spark, path: str):
@@ -159,10 +191,11 @@ def read_csv(path: str, sep: str = ",", null_string: str | None = None, header:
     return Dataset(raw.select(*typed), PurePath(path).name, path, misfits)
 
 
-def resolve(data, sample_size: int | None = None, allowed_dir: str | None = None, **csv) -> Dataset:
+def resolve(data, sample_size: int | None = None, allowed_dir: str | None = None, sample_files: int | None = None, **csv) -> Dataset:
     """A Dataset from a path, a Spark DataFrame, or anything with ``to_pandas`` or pandas' shape.
 
-    All rows, unless ``sample_size`` asks for a sample of about as many.
+    All rows, unless ``sample_size`` asks for a sample of as many, drawn from
+    all rows or from ``sample_files`` of the files.
     """
     if isinstance(data, Dataset):
         return data
@@ -180,7 +213,7 @@ def resolve(data, sample_size: int | None = None, allowed_dir: str | None = None
         raise PrismataError(f"unsupported input type: {type(data).__name__}")
     if not found.columns:
         raise PrismataError("no columns")
-    return found if sample_size is None else found.sample(sample_size)
+    return found if sample_size is None else found.sample(sample_size, files=sample_files)
 
 
 def count_lines(path: str) -> int:
