@@ -93,6 +93,17 @@ def release() -> None:
         pass
 
 
+def return_memory(spark: SparkSession) -> None:
+    """Let the executors collect garbage, so that heap which the work so far has grown goes back to the system.
+
+    A collector that is asked shrinks the heap to what lives; by itself it keeps
+    what the largest stage took, beside what Python workers of later ones need.
+    One small task for each core, a second or so.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the rows of an Arrow batch to ``rows`` and its bytes to about BATCH_BYTES; lower settings stay."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
