@@ -8,10 +8,12 @@ that repeat a doc_id are judged by their own text.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismata.llm.common import scratch, small_side, stash, table, unstash
+from prismata.llm.common import return_memory, scratch, small_side, stash, table, unstash
 from prismata.llm.decontaminate import find_copies
 from prismata.llm.jaccard_join import jaccard_join
 from prismata.llm.mixing import mix_sources, shuffled
@@ -19,6 +21,17 @@ from prismata.llm.quality import judge_quality, trusted_ids
 from prismata.llm.toxicity import labelled_model, score_toxicity
 
 
+def _settled(stage):
+    """The stage, begun when the executors have given back the heap that the stage before took."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return_memory(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
 def _without(docs: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFrame:
     """The rows whose doc_id and text are not among ``gone`` (columns doc_id, key); with ``left_semi`` those that are."""
     side = small_side(gone.select("doc_id", "key").distinct()).alias("gone")
@@ -31,12 +44,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", "lang", F.expr("xxhash64(text)").alias("key"))
 
 
+@_settled
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, with its language's threshold, does not call toxic."""
     found = score_toxicity(docs, labelled_model(spark, docs, sf_dir), carry=docs.columns)
     return found.where(~F.col("toxic")).select("carried.*")
 
 
+@_settled
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity lies in the range of trusted text of their language."""
     judged = judge_quality(_keyed(docs), trusted_ids(table(spark, sf_dir, "labels")), carry=["key"])
@@ -44,6 +59,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, gone)
 
 
+@_settled
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, the first by doc_id (null last) and text key; texts without words stay, equal repeated rows once."""
     found = jaccard_join(docs, keyed=True)
@@ -56,6 +72,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _without(kept, twice).unionByName(_without(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
+@_settled
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a benchmark item."""
     found = find_copies(_keyed(docs), table(spark, sf_dir, "benchmark"), carry=["key"])
@@ -63,6 +80,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _without(docs, gone)
 
 
+@_settled
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix to target weights: documents' columns, shard, pass and position, a row for each draw."""
     mixed = mix_sources(docs, carry=docs.columns)
