@@ -97,4 +97,4 @@ def test_run_equals_its_stages(spark, odd):
 
 
 def test_names():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLE_SQL) <= set(QUERIES)
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 14)] and set(ORACLE_SQL) <= set(QUERIES)
