@@ -46,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise PrismataError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         app = spark.sparkContext.applicationId
         found = _FOLDERS[app] if app in _FOLDERS else _FOLDERS.setdefault(app, f"file://{tempfile.mkdtemp(prefix='prismata-')}")

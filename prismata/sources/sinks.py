@@ -7,6 +7,7 @@ import os
 import uuid
 from pathlib import PurePath
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 
 from ..session import PrismataError, session
@@ -29,6 +30,24 @@ def _drop_checksum(fs, at) -> None:
         fs.delete(beside, False)
 
 
+def _replace(fs, made, goal) -> None:
+    """Puts what was made in the goal's place; what was there is moved aside first and deleted last, so that a crash loses neither."""
+    aside = session()._jvm.org.apache.hadoop.fs.Path(goal.getParent(), f".{goal.getName()}.{uuid.uuid4().hex}.old")
+    had = fs.exists(goal)
+    if had and not fs.rename(goal, aside):
+        raise PrismataError(f"can't replace {goal}")
+    try:
+        done = fs.rename(made, goal)
+    except Py4JJavaError:  # some file systems raise, others say no
+        done = False
+    if not done:
+        if had:
+            fs.rename(aside, goal)
+        raise PrismataError(f"can't write {goal}")
+    if had:
+        fs.delete(aside, True)
+
+
 def write_table(df: DataFrame, path: str, single: bool = True) -> str:
     """CSV or Parquet by extension; ``single`` makes one file, else the folder that Spark writes in parallel."""
     work = f"{path}.{uuid.uuid4().hex}.part"
@@ -39,15 +58,13 @@ def write_table(df: DataFrame, path: str, single: bool = True) -> str:
         out.write.csv(work, header=True, quote='"', escape='"')
     fs, at = _fs(work)
     _, goal = _fs(path)
-    if fs.exists(goal):
-        fs.delete(goal, True)
     if single:
         part = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
-        fs.rename(part, goal)
+        _replace(fs, part, goal)
         fs.delete(at, True)
         _drop_checksum(fs, goal)
     else:
-        fs.rename(at, goal)
+        _replace(fs, at, goal)
     return path
 
 
