@@ -3,14 +3,23 @@
 Elements whose tag or name (words of class, id or role) tells of navigation,
 adverts, comments and the like are suspects.  What a suspect holds decides
 whether it is boilerplate: a wrapper around the article or most of the page is
-not.  Pass one then decides each block on its own: blocks in boilerplate are
-out, blocks dense in links are boilerplate, long blocks dense in stop words are
-content, short ones stay ambiguous.  In a language without a list of stop
-words, sentences count instead.  Pass two lets ambiguous blocks inherit from
-the nearest decided neighbours of the same region.  A page that marks its
-article (``article`` or ``main``, in no boilerplate) says itself where content
-lies: long blocks there need no stop words, and a region without any decided
-block counts as content there, as boilerplate elsewhere.
+not, nor is an element with prose whose name has other words, too
+(``market-share``).  Pass one then decides each block on its own: blocks in
+boilerplate are out, blocks dense in links are boilerplate, long blocks dense
+in stop words are content, short ones stay ambiguous, as do lists of links in
+an article.  In a language without a list of stop words, sentences count
+instead.  Pass two lets ambiguous blocks inherit from the nearest decided
+neighbours of the same region.  A page that marks its article (``article`` or
+``main``, in no boilerplate) says itself where content lies, unless most of
+its prose lies elsewhere (an ``article`` with little of it is a teaser then):
+long blocks there need no stop words, and a region without any decided block
+counts as content there, as boilerplate elsewhere.  A heading right before an
+article that has none is its title.
+
+A tag reaches to the first ``>`` outside quoted values, however long these
+are.  If there is none before the next ``<`` outside them, a quote was lost,
+and the first ``>`` ends it.  Only the attributes ``hidden``, ``aria-hidden``
+(if true) and ``style`` (``display: none``, ``visibility: hidden``) hide.
 """
 
 from __future__ import annotations
@@ -56,32 +65,89 @@ BLOCK_TAGS = frozenset(
 COMMENT_NAMES = frozenset("comment comments commentlist disqus replies reply respond".split())
 ADVERT_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr banner popup newsletter subscribe copyright disclaimer notice notices".split())
 FRAME_NAMES = frozenset("breadcrumb breadcrumbs footer header masthead menu modal nav navbar navigation pagination pager recommended recommendations related share sharing sidebar social toolbar widget contentinfo complementary search login signup".split())
+#: Words beside them that tell of no subject: a name of such words alone is boilerplate's for sure.
+FRAME_WORDS = ADVERT_NAMES | FRAME_NAMES | frozenset("area article articles aside bar block blocks bottom box btn button buttons card cards center col column container content entry field form fixed global group head inner item items label layout left link links list main module outer page panel post posts primary right row section secondary site slot small strip text title top unit view wrap wrapper".split())
+#: Words of headings over links to elsewhere.
+ELSEWHERE = FRAME_NAMES | ADVERT_NAMES | COMMENT_NAMES | frozenset("also latest like more next popular previous read tags topics trending".split())
 #: Words before one of these that make it tell of something else, and those that make a header one of the article.
 OTHERWISE = frozenset("with has no non not without is after before under".split())
 OWN_HEADER = frozenset("entry post article page story content section".split())
-#: Quoted values are followed this far, so that a lost quote can't make every tag scan the whole page.
-_QUOTED = 20_000
-_PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    rf"|</?[a-zA-Z](?:[^<>\"']++|\"[^\"]{{0,{_QUOTED}}}+\"|'[^']{{0,{_QUOTED}}}+'){{0,500}}+>|</?[a-zA-Z][^<>]*+>",
-    re.S,
-)
+_START = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?]|</?[a-zA-Z]", re.S)
+#: The rest of a tag with short quoted values.
+_REST = re.compile(r"[^<>\"']*+(?:(?:\"[^\"]{0,500}+\"|'[^']{0,500}+')[^<>\"']*+){0,50}+>")
+_UNQUOTED, _BARE = re.compile(r"[^<>\"']*+"), re.compile(r"[^<>]*+")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
-_HIDDEN = re.compile(r"\shidden(?:[\s=>]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _SAME_CLOSES = ("p", "li", "dt", "dd", "tr", "td", "th", "option")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _WORD = re.compile(r"\w+")
 
 
-def skipped(page: str, name: str, start: int, opened: Counter[str], ends: dict[tuple[str, int], int | None]) -> int | None:
+class Markup:
+    """Comments, declarations and tags of a page, found in time that grows with its length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        #: Places outside quotes from which a tag finds no end.
+        self.endless: set[int] = set()
+
+    def next(self, at: int) -> tuple[int, int] | None:
+        """(start, end) of the first piece of markup from ``at`` on."""
+        while m := _START.search(self.page, at):
+            if m[0].startswith(("<!--", "<![")):
+                return m.span()
+            if m.end() > self.last:
+                at = m.end()
+                continue
+            end = self.page.find(">", m.end()) + 1 if m[0] in ("<!", "<?") else self._tag_end(m.end())
+            if end:
+                return m.start(), end
+            at = m.end()
+        return None
+
+    def _tag_end(self, at: int) -> int:
+        """Behind the ``>`` of a tag whose name begins before ``at``; 0 if it has none."""
+        if m := _REST.match(self.page, at):
+            return m.end()
+        page, place, passed = self.page, at, []
+        while place not in self.endless:
+            passed.append(place)
+            stop = _UNQUOTED.match(page, place).end()
+            mark = page[stop : stop + 1]
+            if mark == ">":
+                return stop + 1
+            close = page.find(mark, stop + 1) if mark in ("'", '"') else -1
+            if close < 0:
+                break
+            place = close + 1
+        self.endless.update(passed)
+        stop = _BARE.match(page, at).end()
+        return stop + 1 if page[stop : stop + 1] == ">" else 0
+
+
+def attributes(tag: str) -> dict[str, str]:
+    """Names (in lower case) and values of a tag's attributes, the first of equal names."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(tag[_NAME.match(tag).end() :]):
+        out.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1 else value)
+    return out
+
+
+def unshown(has: dict[str, str]) -> bool:
+    return "hidden" in has or has.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSHOWN.search(has.get("style", "")))
+
+
+def skipped(markup: Markup, name: str, start: int, opened: Counter[str], ends: dict[tuple[str, int], int | None]) -> int | None:
     """Where the element ``name`` ends whose opening tag ends at ``start``; None if its parent block or the page ends first.
 
     ``opened`` counts the open blocks.  What is found for elements of the name
     on the way is put into ``ends``, so that each part of a page is looked
     through once for a name.
     """
+    page = markup.page
     inner = [(name, start)]  # open blocks (place -1) and elements of the name
     blocks: Counter[str] = Counter()
     marks, at = 1, start
@@ -96,8 +162,8 @@ def skipped(page: str, name: str, start: int, opened: Counter[str], ends: dict[t
             ends[name, place] = end
         return tag, place
 
-    while marks and (m := _PIECE.search(page, at)):
-        at, piece = m.end(), m[0]
+    while marks and (found := markup.next(at)):
+        at, piece = found[1], page[found[0] : found[1]]
         named = _NAME.match(piece)
         if not named:
             continue
@@ -132,31 +198,38 @@ def skipped(page: str, name: str, start: int, opened: Counter[str], ends: dict[t
 
 
 @lru_cache(4096)
-def named(value: str, inside: bool) -> str:
-    """comments, advert, frame or nothing: what the words of a class, id or role name; ``inside`` an article headers are its own."""
-    found = ""
+def named(value: str, inside: bool) -> tuple[str, bool]:
+    """(comments, advert, frame or nothing; whether it is sure): what the words of a class, id or role name.
+
+    ``inside`` an article headers are its own.  A name that has words of other
+    subjects, too, is unsure (``market-share``, ``promo-history``).
+    """
+    found, sure = "", False
     for token in value.split():
         parts = [x for x in re.split(r"[-_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if x]
         if not parts or OTHERWISE.intersection(parts[:-1]):
             continue
         for word in {parts[0], parts[-1]}:
             if word in COMMENT_NAMES:
-                return "comments"
+                return "comments", True
             if word in ADVERT_NAMES:
                 found = "advert"
             elif word in FRAME_NAMES and not (word == "header" and (inside or OWN_HEADER.intersection(parts))):
                 found = found or "frame"
-    return found
+            else:
+                continue
+            sure = sure or FRAME_WORDS.issuperset(parts)
+    return found, sure
 
 
 class Suspects:
     """Elements that may be boilerplate, numbered as they open: what tells of it, the suspect around each, and what each holds."""
 
     def __init__(self):
-        self.kinds, self.parents, self.articles, self.chars, self.holds = [], [], [], [], []
+        self.kinds, self.sure, self.parents, self.articles, self.chars, self.prose, self.holds = [], [], [], [], [], [], []
 
-    def add(self, kind: str, parent: int, article: bool) -> int:
-        for field, x in ((self.kinds, kind), (self.parents, parent), (self.articles, article), (self.chars, 0), (self.holds, False)):
+    def add(self, kind: str, sure: bool, parent: int, article: bool) -> int:
+        for field, x in ((self.kinds, kind), (self.sure, sure), (self.parents, parent), (self.articles, article), (self.chars, 0), (self.prose, 0), (self.holds, False)):
             field.append(x)
         return len(self.kinds) - 1
 
@@ -172,7 +245,8 @@ class Suspects:
         Hidden elements, tags for navigation and the like, and comments always;
         an article named like boilerplate if there is another one; an article in
         another that has text of its own; other names and forms unless they hold
-        an article or most of the text (adverts: an article).
+        an article or most of the text (adverts: an article), or, if the name is
+        unsure, mostly prose.
         """
         n = len(self.kinds)
         aside = [k in ("hidden", "comments") for k in self.kinds]  # of these or in one
@@ -183,6 +257,7 @@ class Suspects:
             plain = max(0, len(text) - linked)
             if at >= 0:
                 self.chars[at] += plain
+                self.prose[at] += plain if plain >= LENGTH_LOW and linked <= LINK_DENSITY * len(text) and _SENTENCE.search(text) else -linked
             elif region:
                 clean.add(region)
             if at < 0 or not aside[at]:
@@ -190,6 +265,7 @@ class Suspects:
         for i in range(n - 1, -1, -1):
             if self.parents[i] >= 0:
                 self.chars[self.parents[i]] += self.chars[i]
+                self.prose[self.parents[i]] += self.prose[i]
         for text, linked, at, region, _ in blocks:
             if region and (at < 0 or self.kinds[at] != "nested"):
                 own[region] += max(0, len(text) - linked)
@@ -200,7 +276,7 @@ class Suspects:
                 at = self.parents[at]
         out = []
         for i, kind in enumerate(self.kinds):
-            wraps = self.holds[i] or kind != "advert" and self.chars[i] > WRAPPER * total
+            wraps = self.holds[i] or not self.sure[i] and 2 * self.prose[i] > self.chars[i] or kind != "advert" and self.chars[i] > WRAPPER * total
             if kind == "nested":
                 bad = own[regions.get(i, 0)] >= LENGTH_LOW
             elif self.articles[i] and kind in ("frame", "advert"):
@@ -248,9 +324,10 @@ def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
         return name
 
     at, n = 0, len(page)
+    markup = Markup(page)
     while at < n:
-        m = _PIECE.search(page, at)
-        chunk = page[at : m.start() if m else n]
+        m = markup.next(at)
+        chunk = page[at : m[0] if m else n]
         if chunk:
             parts.append(chunk)
             if not chunk.isspace():
@@ -258,7 +335,7 @@ def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
                 linked += links and len(chunk.strip())
         if not m:
             break
-        at, piece = m.end(), m[0]
+        at, piece = m[1], page[m[0] : m[1]]
         found = _NAME.match(piece)
         if not found:
             continue
@@ -285,7 +362,7 @@ def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
                 else:
                     at = n
             elif not (name in SELF_CLOSED and piece.endswith("/>")):
-                end_at = ends[name, at] if (name, at) in ends else skipped(page, name, at, opened, ends)
+                end_at = ends[name, at] if (name, at) in ends else skipped(markup, name, at, opened, ends)
                 at = at if end_at is None else end_at
             continue
         if name not in BLOCK_TAGS:
@@ -305,21 +382,23 @@ def parse_blocks(page: str) -> list[tuple[str, int, bool, int, str]]:
         if name in _SAME_CLOSES and stack and stack[-1][0] == name:
             leave()
         region = name in REGION_TAGS
-        names = " ".join(x[1].strip("\"'") for x in _ATTRIBUTE.findall(piece)) if "=" in piece else ""
-        if _HIDDEN.search(piece):
+        has = attributes(piece) if len(piece) > len(name) + 2 else {}
+        names = " ".join(has[x] for x in ("class", "id", "role") if x in has)
+        sure = True
+        if unshown(has):
             kind = "hidden"
         elif name == "form":
             kind = "form"
         elif name in BOILER_TAGS and not (name == "header" and inside):
             kind = "tag"
         else:
-            kind = named(names, bool(inside)) if names and name not in ("body", "html") else ""
+            kind, sure = named(names, bool(inside)) if names and name not in ("body", "html") else ("", True)
             if name == "article" and opened["article"] and kind != "comments":
-                kind = "nested"
+                kind, sure = "nested", True
         if region and not inside:
             regions += 1
             suspects.hold(suspect)
-        own = suspects.add(kind, suspect, region) if kind else -1
+        own = suspects.add(kind, sure, suspect, region) if kind else -1
         suspect = own if kind else suspect
         stack.append((name, own, region))
         opened[name] += 1
@@ -345,7 +424,7 @@ def has_list(blocks: list) -> bool:
 
 
 def first_pass(text: str, linked: int, boiler: bool, region: int, tag: str, listed: bool = True) -> str:
-    """good, bad, near (long enough, few stop words), short, or out (in a boilerplate container).
+    """good, bad, near (long enough, few stop words), short, links (of an article), or out (in a boilerplate container).
 
     Wide characters count two and a half.  Unless the language is ``listed``, a long
     block is content if it has a sentence's end.
@@ -354,7 +433,7 @@ def first_pass(text: str, linked: int, boiler: bool, region: int, tag: str, list
         return "out"
     size = len(text)
     if linked / size > LINK_DENSITY and (tag not in ("p", "pre", "blockquote") or not region or linked / size > 0.9):
-        return "bad"
+        return "bad" if not region or tag in ("p", "pre", "blockquote") else "links" if linked > 0.7 * size else "short"
     if not text.isascii():
         size += 3 * len(_WIDE.findall(text)) // 2
     if region:
@@ -374,9 +453,9 @@ def second_pass(kinds: list[str], regions: list[int]) -> list[bool]:
 
     Where both neighbours exist and differ, the nearer one counts; at equal
     distance a ``near`` block is content and a ``short`` one is not.  In an
-    article a block is content unless both neighbours are boilerplate; outside,
-    a block without decided neighbours is not.  Blocks ruled out by their
-    container are no neighbours.
+    article a block is content unless both neighbours are boilerplate, and one of
+    links if both are content; outside, a block without decided neighbours is
+    not.  Blocks ruled out by their container are no neighbours.
     """
     n = len(kinds)
     before: list = [None] * n
@@ -391,6 +470,8 @@ def second_pass(kinds: list[str], regions: list[int]) -> list[bool]:
     for i, (kind, region, left, right) in enumerate(zip(kinds, regions, before, after)):
         if kind in ("good", "bad", "out"):
             out.append(kind == "good")
+        elif kind == "links":
+            out.append(left is not None and right is not None and kinds[left] == kinds[right] == "good")
         elif region:
             out.append(left is None or right is None or "good" in (kinds[left], kinds[right]))
         elif left is None and right is None:
@@ -404,13 +485,51 @@ def second_pass(kinds: list[str], regions: list[int]) -> list[bool]:
     return out
 
 
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
+def settle_regions(blocks: list) -> list:
+    """Blocks with their final region: what lies outside the page's article is out, but for its title.
+
+    Articles that hold less than half as much prose as what lies outside are not
+    the page's: each counts as part of the page, or is out if it has less than a
+    tenth of that prose (a teaser).
+    """
+    held: Counter[int] = Counter()
+    listed = has_list(blocks)
+    for text, linked, boiler, region, tag in blocks:
+        if first_pass(text, linked, boiler, 0, tag, listed) in ("good", "near"):
+            held[region] += len(text) - linked
+    inside = {b[3] for b in blocks if b[3] and not b[2]}
+    if not inside:
+        return blocks
+    if held[0] > 2 * sum(held[x] for x in inside):
+        return [b if not b[3] else (b[0], b[1], b[2] or 10 * held[b[3]] < held[0], 0, b[4]) for b in blocks]
+    first = next(i for i, b in enumerate(blocks) if b[3] and not b[2])
+    title = next((i for i in range(first - 1, -1, -1) if not blocks[i][2]), -1)
+    if title >= 0 and (blocks[title][4] not in ("h1", "h2") or blocks[title][1] or blocks[first][4] in _HEADINGS or any(b[4] == "h1" for b in blocks[first:] if b[3] and not b[2])):
+        title = -1
+    return [b if b[3] else (b[0], b[1], False, blocks[first][3], b[4]) if i == title else (b[0], b[1], True, 0, b[4]) for i, b in enumerate(blocks)]
+
+
+def lists_of_links(blocks: list, kinds: list[str]) -> list[str]:
+    """Links of an article that follow a heading of theirs (which doesn't tell of other pages), in one list, are as ambiguous as short blocks."""
+    out = list(kinds)
+    for i, kind in enumerate(kinds):
+        if kind != "links" or not i or blocks[i - 1][3] != blocks[i][3]:
+            continue
+        text, tag = blocks[i - 1][0], blocks[i - 1][4]
+        if tag in _HEADINGS and kinds[i - 1] != "out" and not ELSEWHERE.intersection(_WORD.findall(text.lower())) or tag == blocks[i][4] and blocks[i - 1][1] and out[i - 1] == "short":
+            out[i] = "short"
+    return out
+
+
 def main_text(page: str | None) -> str:
     """Content blocks in page order, joined by a newline; empty for null or no content."""
-    blocks = parse_blocks(page or "")
-    if any(b[3] and not b[2] for b in blocks):  # the page marks its article (not just teasers or comments): what lies outside is around it
-        blocks = [b if b[3] else (b[0], b[1], True, 0, b[4]) for b in blocks]
+    blocks = settle_regions(parse_blocks(page or ""))
     listed = has_list(blocks)
-    keep = second_pass([first_pass(*b, listed) for b in blocks], [b[3] for b in blocks])
+    kinds = lists_of_links(blocks, [first_pass(*b, listed) for b in blocks])
+    keep = second_pass(kinds, [b[3] for b in blocks])
     return "\n".join(b[0] for b, k in zip(blocks, keep) if k)
 
 

@@ -91,6 +91,81 @@ def test_own_headers_are_content():
     assert main_text(f'<div class="post-header"><h1>Title</h1></div><div><p>{GOOD}</p></div>') == f"Title\n{GOOD.strip()}"
 
 
+PROSE = GOOD.strip() + "."
+REFERENCES = "<h2>References</h2><ul><li><a href=a>Smith, On rivers, 1999</a></li><li>Jones, <a href=b>On lakes and on the sea</a>, 2003.</li><li><a href=c>Brown, On rain</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<div id="content"><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></div><article class="card"><h3>Other</h3><p>A teaser of it.</p></article>', f"Title\n{PROSE}\n{PROSE}"),
+        (f'<article data-title="The hidden valley" data-x=\'display: none\'><p>{PROSE}</p></article>', PROSE),
+        (f'<div class="overflow hidden rounded"><article class="x-hidden"><p>{PROSE}</p></article></div>', PROSE),
+        (f'<article><p>{PROSE}</p><p hidden>No.</p><p HIDDEN="">No.</p><p aria-hidden=true>No.</p><p style="color:red; DISPLAY : none">No.</p><p style="visibility:hidden">No.</p></article>', PROSE),
+        (f'<article data-state="{"x > y < z " * 4_000}"><p title=\'{"a" * 40_000}\'>{PROSE}</p></article>', PROSE),
+        (f'<article {" ".join(f"a{i}={chr(34)}>{chr(34)}" for i in range(2_000))}><p>{PROSE}</p></article>', PROSE),
+        (f'<article><div id="market-share"><p>{PROSE}</p></div><section class="promo-history"><p>{PROSE}</p></section><p>End.</p></article>', f"{PROSE}\n{PROSE}\nEnd."),
+        (f'<article><p>{PROSE}</p><div class="promo-box"><p>{PROSE}</p></div><div class="related-posts"><p>{PROSE}</p></div><div class="cookieNotice"><p>{PROSE}</p></div></article>', PROSE),
+        (f"<article><p>{PROSE}</p>{REFERENCES}</article>", f"{PROSE}\nReferences\nSmith, On rivers, 1999\nJones, On lakes and on the sea, 2003.\nBrown, On rain"),
+        (f"<article><p>{PROSE}</p><ul><li><a href=a>One of them</a></li><li><a href=b>Two</a></li></ul><p>{PROSE}</p></article>", f"{PROSE}\nOne of them\nTwo\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><ul><li><a href=a>Tail one</a></li><li><a href=b>Tail two</a></li></ul></article>", PROSE),
+        (f"<nav><a href=x>Home</a></nav><div class=top><h1>A title</h1></div><article><p>{PROSE}</p></article>", f"A title\n{PROSE}"),
+        (f"<div><h1>The site</h1></div><article><h1>A title</h1><p>{PROSE}</p></article>", f"A title\n{PROSE}"),
+        (f"<div><h1><a href=x>The site</a></h1></div><article><p>{PROSE}</p></article>", PROSE),
+    ],
+)
+def test_ordinary_pages(page, text):
+    assert main_text(page) == text
+    assert main_text(f"<html><body><header>Site</header>{page}<footer>End of it</footer></body></html>") == text
+
+
+@pytest.mark.parametrize("page", ["<a \"<a '" * 20_000, "<a '<b \"' \"'\" " * 20_000, "<a ''\"\"" * 30_000, "<a " + "''" * 100_000, ("<a '<b " + "x" * 600 + "' ") * 2_000, "<!" * 50_000, "<a" * 50_000, "<p " + "a='1' " * 50_000 + ">"])
+def test_lost_quotes_take_linear_time(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 5
+
+
+def made_page(rng: random.Random) -> tuple[str, str]:
+    """A page and its text: article or plain layout, attributes full of telling words, furniture with and without names."""
+    words = "it was the best of times and it was the worst of times for all of us in that city by the sea".split()
+
+    def prose(n):
+        return " ".join(rng.choices(words, k=n)).capitalize() + "."
+
+    text, body = [prose(5)], []
+    body.append(f"<h1 {rng.choice(['', 'class=hidden-gem', 'data-x=\"<p hidden>\"'])}>{text[0]}</h1>")
+    for _ in range(rng.randint(3, 8)):
+        kind = rng.randrange(4)
+        line = prose(rng.randint(45, 90))
+        text.append(line)
+        if kind == 0:
+            body.append(f'<div class="{rng.choice(["promo-history", "market-share", "menu-prices", "text"])}"><p>{line}</p></div>')
+        elif kind == 1:
+            short = prose(4)
+            body.append(f"<p title='{'>' * rng.choice([1, 30_000])}'>{line}</p><h2>{short}</h2><p>{line}</p>")
+            text += [short, line]
+        elif kind == 2:
+            body.append(f'<p>{line}</p><div style="display:none">{prose(60)}</div><script>"<p>{line}</p>"</script>')
+        else:
+            body.append(f'<p>{line[:40]}<a href="x">{line[40:52]}</a>{line[52:]}</p><aside>{prose(70)}</aside>')
+    frame = [f'<nav><ul>{"<li><a href=x>Go there</a></li>" * 5}</nav>', f'<div class="{rng.choice(["ad", "promo-box", "cookieNotice"])}"><p>{prose(60)}</p></div>']
+    inner = "".join(body)
+    if rng.random() < 0.5:
+        page = f'<main class="overflow hidden">{inner}</main>'
+        if rng.random() < 0.5:  # the title stands before it
+            page = f'<div>{body[0]}</div><main>{"".join(body[1:])}</main>'
+    else:
+        page = f'<div id="content" role="document">{inner}</div><article class="card"><h3>Other</h3><p>{prose(6)}</p></article>'
+    return f"<html><head><title>x</title></head><body>{frame[0]}{page}{frame[1]}<footer>{prose(50)}</footer></body></html>", "\n".join(text)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_made_pages(seed):
+    page, text = made_page(random.Random(seed))
+    assert main_text(page) == text
+
+
 def test_unlisted_languages():
     page = f"<div><ul><li><a href=x>Меню</a></li></ul><div><p>{RUSSIAN}</p><p>Коротко.</p><p>{RUSSIAN}</p></div></div>"
     assert main_text(page) == f"{RUSSIAN.strip()}\nКоротко.\n{RUSSIAN.strip()}"
