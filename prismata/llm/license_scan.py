@@ -4,7 +4,9 @@ Notices are matched with up to ``k`` edits: the pattern is cut into ``k + 1``
 pieces, so one piece must occur unchanged (pigeonhole); an Aho-Corasick
 automaton finds the pieces of all notices in one pass, and the ``regex``
 library verifies the text around each find with bounded errors and gives the
-span and the number of edits.
+span and the number of edits.  Edits may fall anywhere but on what tells a
+license from others (``mit`` in "released under the mit license"): this must
+stand unchanged in the span, or within ``k`` characters of it.
 """
 
 from __future__ import annotations
@@ -23,25 +25,43 @@ from .common import ascii_lower, chunks, released, small_batches, table, texts_o
 #: Phrases whose words must stand consecutively (fixed by the contract).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Short notices: lower-case text and label.
-NOTICES = [
-    ("licensed under the apache license", "apache"),
-    ("apache license version 2.0", "apache"),
-    ("released under the mit license", "mit"),
-    ("licensed under the mit license", "mit"),
-    ("this work is licensed under the gnu general public license", "gpl"),
-    ("gnu general public license version", "gpl"),
-    ("gnu lesser general public license", "lgpl"),
-    ("gnu affero general public license", "agpl"),
-    ("licensed under cc by-nc", "cc-by-nc"),
-    ("creative commons attribution", "cc-by"),
-    ("mozilla public license", "mpl"),
-    ("redistribution and use in source and binary forms", "bsd"),
-    ("permission is hereby granted, free of charge", "mit"),
-    ("spdx-license-identifier", "spdx"),
-    ("dedicated to the public domain", "public-domain"),
-    ("all rights reserved", "proprietary"),
-]
+#: Licenses that are named alone, by word, and what may follow the name of a Creative Commons license.
+NAMED = ("agpl", "apache", "bsd", "gpl", "isc", "lgpl", "mit", "mpl")
+CC_PARTS = {"sa": "sharealike", "nd": "noderivatives", "nc": "noncommercial"}
+CC_LICENSES = ("", "sa", "nd", "nc", "nc-sa", "nc-nd")
+
+
+def word(*words: str, unless: tuple[str, ...] = ()) -> str:
+    """A pattern of words that stand as such, apart by spaces or dashes, and aren't followed by one of ``unless``."""
+    after = rf"(?![-\s]*(?:{'|'.join(unless)}))" if unless else ""
+    return r"(?<![0-9a-z])" + r"[-\s]+".join(words) + r"(?![0-9a-z])" + after
+
+
+def _notices() -> list[tuple[str, str, str]]:
+    """Short notices: lower-case text, label, and what tells the license from its neighbours, which no edit may touch."""
+    out = [(f"{verb} under the {x} license", x, word(x)) for x in NAMED for verb in ("licensed", "released")]
+    for x in CC_LICENSES:
+        short, long = x.split("-") if x else [], [CC_PARTS[p] for p in x.split("-")] if x else []
+        label = "-".join(["cc-by", *short])
+        out.append((f"licensed under {label.replace('cc-', 'cc ')}", label, word("by", *short, unless=tuple(CC_PARTS))))
+        out.append(("-".join(["creative commons attribution", *long]), label, word("attribution", *long, unless=("non", "share", "no"))))
+    return out + [
+        ("apache license version 2.0", "apache", word("apache")),
+        ("this work is licensed under the gnu general public license", "gpl", word("gnu", "general")),
+        ("gnu general public license version", "gpl", word("gnu", "general")),
+        ("gnu lesser general public license", "lgpl", word("lesser")),
+        ("gnu affero general public license", "agpl", word("affero")),
+        ("mozilla public license", "mpl", word("mozilla")),
+        ("redistribution and use in source and binary forms", "bsd", ""),
+        ("permission is hereby granted, free of charge", "mit", ""),
+        ("permission to use, copy, modify, and/or distribute this software", "isc", ""),
+        ("spdx-license-identifier", "spdx", word("spdx")),
+        ("dedicated to the public domain", "public-domain", word("public")),
+        ("all rights reserved", "proprietary", ""),
+    ]
+
+
+NOTICES = _notices()
 
 #: Characters of a notice for each piece: pieces this long rarely occur by chance.
 PIECE = 9
@@ -72,7 +92,8 @@ class NoticeFinder:
     """Finds notices with bounded edits (insertions, deletions, substitutions of characters)."""
 
     def __init__(self, notices=NOTICES):
-        self.notices = [(text, label, allowed_edits(text)) for text, label in notices]
+        self.notices = [(text, label, allowed_edits(text)) for text, label, _ in notices]
+        self.telling = [re.compile(tells) for _, _, tells in notices]
         self.patterns = [regex.compile(rf"(?e)(?:{regex.escape(text, special_only=True)}){{e<={k}}}") for text, _, k in self.notices]
         self.seeds = ahocorasick.Automaton()
         where: dict[str, list] = {}
@@ -101,6 +122,12 @@ class NoticeFinder:
                     runs.append([low, high])
         return {n: [(a, b) for a, b in runs] for n, runs in found.items()}
 
+    def told(self, number: int, text: str, start: int, end: int) -> bool:
+        """Whether the span holds what tells the notice's license; names that go on behind it are looked at whole."""
+        k = self.notices[number][2]
+        low = max(0, start - k - 1)
+        return any(low + m.start() >= start - k and low + m.end() <= end + k for m in self.telling[number].finditer(text[low : end + k + 20]))
+
     def find(self, text: str) -> list[tuple[str, int, int, float]]:
         """(label, start, end, 1 - edits / length) of each verified notice in lower-case text, in order of start."""
         out = []
@@ -109,8 +136,11 @@ class NoticeFinder:
             for low, high in ranges:
                 at = low
                 while m := self.patterns[number].search(text, at, high):
-                    out.append((label, m.start(), m.end(), 1 - sum(m.fuzzy_counts) / len(notice)))
-                    at = max(m.end(), m.start() + 1)
+                    if self.told(number, text, *m.span()):
+                        out.append((label, *m.span(), 1 - sum(m.fuzzy_counts) / len(notice)))
+                        at = max(m.end(), m.start() + 1)
+                    else:
+                        at = m.start() + 1
         return sorted(set(out), key=lambda x: (x[1], x[2], x[0]))
 
 
