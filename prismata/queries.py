@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .functions.columns import quoted
 from .operators.ask import group_means
 from .operators.contract import validate
-from .operators.drift import aligned_histograms, drift, training_verdict
+from .operators.drift import aligned_histograms, category_sets, drift, training_verdict
 from .operators.issues import ml_score, quality_score, warnings_frame
-from .operators.merge import overlap, union_keep_first
+from .operators.merge import overlap, overlaps, union_keep_first
 from .operators.ml import verdict_frame
 from .operators.profile import DatasetProfile, profile_dataset, scan
 from .operators.transform import Plan, apply_plan, clean_plan
@@ -384,6 +384,37 @@ def drift_verdict(spark, sf_dir):
     return small_frame([(d.verdict, training_verdict(d.schema, d.shifts, d.categories)["verdict"])], "verdict string, training string")
 
 
+def _sets(table: str, columns: tuple[str, ...], side: str) -> str:
+    """Counts of values of both sides (where the condition holds, and where not), a row for each column."""
+    one, two = f"SELECT {{c}} FROM {table} WHERE {side}", f"SELECT {{c}} FROM {table} WHERE NOT ({side})"
+    body = f"SELECT '{{c}}' AS col_name, (SELECT count(*) FROM ({one} EXCEPT {two})) AS n_missing, (SELECT count(*) FROM ({two} EXCEPT {one})) AS n_new, (SELECT count(*) FROM ({one} INTERSECT {two})) AS n_both"
+    return " UNION ALL ".join(body.replace("{c}", c) for c in columns)
+
+
+_PART_NAMES, _MANY = ("p_name", "p_brand", "p_retailprice"), ("l_extendedprice", "l_orderkey", "l_returnflag")
+
+
+@query(f"SELECT col_name, n_missing, n_new, round(n_both / (n_missing + n_new + n_both), 6) AS jaccard FROM ({_sets('part', _PART_NAMES, 'p_size <= 25')})")
+def drift_category_sets(spark, sf_dir):
+    """Small parts against large ones, counted exactly."""
+    p = load(spark, sf_dir, "part")
+    rows = [(c["col_name"], c["n_missing"], c["n_new"], round(c["jaccard"], 6)) for c in category_sets(p.where("p_size <= 25"), p.where("p_size > 25"), list(_PART_NAMES), exact=True)]
+    return small_frame(rows, "col_name string, n_missing long, n_new long, jaccard double")
+
+
+@query(f"SELECT col_name, n_missing, n_new, n_both, true AS within FROM ({_sets('lineitem', _MANY, 'l_quantity <= 25')})")
+def drift_category_many(spark, sf_dir):
+    """Exact counts of columns with many values, and whether those from sketches lie within their margin of them."""
+    rows = load(spark, sf_dir, "lineitem")
+    sides = rows.where("l_quantity <= 25"), rows.where("l_quantity > 25"), list(_MANY)
+    out = []
+    for x, y in zip(category_sets(*sides), category_sets(*sides, exact=True)):
+        off = x["margin"] / (y["unique_a"] + y["n_new"])
+        within = all(abs(x[c] - y[c]) <= x["margin"] for c in ("n_missing", "n_new", "unique_a", "unique_b")) and abs(x["jaccard"] - y["jaccard"]) <= off
+        out.append((y["col_name"], y["n_missing"], y["n_new"], y["unique_a"] - y["n_missing"], within))
+    return small_frame(out, "col_name string, n_missing long, n_new long, n_both long, within boolean")
+
+
 # contract --------------------------------------------------------------
 
 _RULES = {"o_orderkey": {"is_unique": True, "min": 1}, "o_orderstatus": {"allowed_values": ["F", "O"]}, "o_totalprice": {"max_null_pct": 0, "max": 10.0}, "o_orderpriority": {"regex": r"[1-5]-", "max_str_len": 4}, "nothing": {"min": 0}}
@@ -434,6 +465,23 @@ def merge_overlap(spark, sf_dir):
     return small_frame([(n,)], "n_overlap long")
 
 
+_TENTHS = "(SELECT o_orderkey % 10 AS s, o_custkey, o_orderstatus FROM orders)"
+
+
+@query(f"WITH d AS (SELECT DISTINCT * FROM {_TENTHS}) SELECT a.s AS i, b.s AS j, count(*) AS n_shared FROM d a JOIN d b ON a.s < b.s AND a.o_custkey IS NOT DISTINCT FROM b.o_custkey AND a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus GROUP BY 1, 2 UNION ALL SELECT -1, -1, (SELECT count(*) FROM {_TENTHS}) - (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders))")
+def merge_overlaps(spark, sf_dir):
+    """Shared rows of each pair of ten inputs that make up orders, and (-1, -1) all repeated rows."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    pairs, copies = overlaps([o.where(F.col("o_orderkey") % 10 == s).drop("o_orderkey") for s in range(10)])
+    return small_frame([(i, j, n) for (i, j), n in pairs.items() if n] + [(-1, -1, copies)], "i long, j long, n_shared long")
+
+
+@query("WITH u AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY i, o_orderkey, o_totalprice) AS r FROM (SELECT o_custkey, o_orderstatus, o_orderkey, o_totalprice, o_orderkey % 3 AS i FROM orders)) SELECT o_custkey, o_orderstatus, o_orderkey, o_totalprice, concat('input ', i) AS source_file FROM u WHERE r = 1")
+def merge_dedup_on(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderkey", "o_totalprice")
+    return union_keep_first([(f"input {i}", o.where(F.col("o_orderkey") % 3 == i)) for i in range(3)], "source_file", on=["o_custkey", "o_orderstatus"])
+
+
 @query("SELECT l_returnflag AS group_value, round(avg(l_extendedprice), 4) AS mean_value FROM lineitem GROUP BY 1")
 def ask_group_mean(spark, sf_dir):
     return group_means(load(spark, sf_dir, "lineitem"), "l_extendedprice", "l_returnflag").select("group_value", rnd("mean_value"))

@@ -148,7 +148,8 @@ def drift_report(a: DatasetProfile, b: DatasetProfile, d) -> str:
         out.append("Categories")
     for c in d.categories:
         if c["overflowed"]:
-            out.append(f"  {c['col_name']}: about {c['unique_a']} vs {c['unique_b']} values")
+            known = f", {c['n_new']} new, {c['n_missing']} missing (each +-{c['margin']}), Jaccard {c['jaccard']:.2f}" if c.get("n_new") is not None and c["jaccard"] is not None else ""
+            out.append(f"  {c['col_name']}: about {c['unique_a']} vs {c['unique_b']} values{known}")
         else:
             out.append(f"  {c['col_name']}: {len(c['new_in_b'])} new {c['new_in_b'][:3]}, {len(c['missing_in_b'])} missing, Jaccard {c['jaccard']:.2f}")
     out += ["Verdict", f"  {d.verdict}: {d.critical} critical, {d.warnings} warnings. Safe to train: {d.safe_to_train}"]
