@@ -495,16 +495,18 @@ def settle_regions(blocks: list) -> list:
     the page's: each counts as part of the page, or is out if it has less than a
     tenth of that prose (a teaser).
     """
-    held: Counter[int] = Counter()
-    listed = has_list(blocks)
-    for text, linked, boiler, region, tag in blocks:
-        if first_pass(text, linked, boiler, 0, tag, listed) in ("good", "near"):
-            held[region] += len(text) - linked
-    inside = {b[3] for b in blocks if b[3] and not b[2]}
+    inside: Counter[int] = Counter()  # prose by region
+    for b in blocks:
+        if b[3] and not b[2]:
+            inside[b[3]] += (len(b[0]) - b[1]) * (first_pass(*b) == "good")
     if not inside:
         return blocks
-    if held[0] > 2 * sum(held[x] for x in inside):
-        return [b if not b[3] else (b[0], b[1], b[2] or 10 * held[b[3]] < held[0], 0, b[4]) for b in blocks]
+    around = [b for b in blocks if not b[3] and not b[2]]
+    if sum(len(b[0]) - b[1] for b in around) > 2 * sum(inside.values()):
+        listed = has_list(blocks)
+        prose = sum(len(b[0]) - b[1] for b in around if first_pass(*b, listed) in ("good", "near"))
+        if prose > 2 * sum(inside.values()):
+            return [b if not b[3] else (b[0], b[1], b[2] or 10 * inside[b[3]] < prose, 0, b[4]) for b in blocks]
     first = next(i for i, b in enumerate(blocks) if b[3] and not b[2])
     title = next((i for i in range(first - 1, -1, -1) if not blocks[i][2]), -1)
     if title >= 0 and (blocks[title][4] not in ("h1", "h2") or blocks[title][1] or blocks[first][4] in _HEADINGS or any(b[4] == "h1" for b in blocks[first:] if b[3] and not b[2])):
