@@ -188,6 +188,18 @@ def _values(df, columns: list[str]) -> list:
     return out
 
 
+def set_counts(x, y) -> list:
+    """Sizes of what two sketches of values (Columns) share, of what is new in the second, of what it misses, and of both together."""
+    return [F.theta_sketch_estimate(z) for z in (F.theta_intersection(x, y), F.theta_difference(y, x), F.theta_difference(x, y), F.theta_union(x, y))]
+
+
+def set_row(name: str, both: int, new: int, lost: int, union: int, entries: int = ENTRIES) -> dict:
+    """Counts of one column; ``margin`` is three standard errors of a sketch with 2^entries entries, 0 if all values fit one."""
+    margin = 0 if union < 1 << entries else math.ceil(3 * union / 2 ** (entries / 2))
+    whole = both + new + lost
+    return {"col_name": name, "unique_a": both + lost, "unique_b": both + new, "n_new": new, "n_missing": lost, "jaccard": both / whole if whole else None, "margin": margin}
+
+
 def category_sets(a: DataFrame, b: DataFrame, columns: list[str], exact: bool = False) -> list[dict]:
     """How many distinct values each side has, are new in b or missing in it, and the Jaccard similarity, however many there are.
 
@@ -207,17 +219,10 @@ def category_sets(a: DataFrame, b: DataFrame, columns: list[str], exact: bool =
             parts.append(df.select(F.explode(F.array(*each)).alias("x")).select("x.*", F.lit(bit).alias("side")).where("value IS NOT NULL"))
         sides = parts[0].union(parts[1]).groupBy("field", "value").agg(F.bit_or("side").alias("side"))
         found = {(r["field"], r["side"]): r["count"] for r in sides.groupBy("field", "side").count().collect()}  # three rows a column
-        counts = [(*(found.get((i, k), 0) for k in (3, 2, 1)), 0) for i in range(len(columns))]
-    else:
-        one, two = (df.agg(*[F.theta_sketch_agg(v, ENTRIES).alias(f"{side}{i}") for i, v in enumerate(_values(df, columns))]) for side, df in (("a", a), ("b", b)))
-        size, cut = F.theta_sketch_estimate, [F.theta_intersection, lambda x, y: F.theta_difference(y, x), F.theta_difference, F.theta_union]
-        row = one.join(two).select(*[size(f(F.col(f"a{i}"), F.col(f"b{i}"))) for i in range(len(columns)) for f in cut]).first()  # one row a side
-        counts = [row[4 * i : 4 * i + 3] + (0 if row[4 * i + 3] < 1 << ENTRIES else math.ceil(3 * row[4 * i + 3] / 2 ** (ENTRIES / 2)),) for i in range(len(columns))]
-    out = []
-    for name, (both, new, lost, margin) in zip(columns, counts):
-        whole = both + new + lost
-        out.append({"col_name": name, "unique_a": both + lost, "unique_b": both + new, "n_new": new, "n_missing": lost, "jaccard": both / whole if whole else None, "margin": margin})
-    return out
+        return [set_row(c, *(found.get((i, k), 0) for k in (3, 2, 1)), 0) for i, c in enumerate(columns)]
+    one, two = (df.agg(*[F.theta_sketch_agg(v, ENTRIES).alias(f"{side}{i}") for i, v in enumerate(_values(df, columns))]) for side, df in (("a", a), ("b", b)))
+    row = one.join(two).select(*[x for i in range(len(columns)) for x in set_counts(F.col(f"a{i}"), F.col(f"b{i}"))]).first()  # one row a side
+    return [set_row(c, *row[4 * i : 4 * i + 4]) for i, c in enumerate(columns)]
 
 
 def fill_overflowed(categories: list[dict], a: DataFrame, b: DataFrame, exact: bool = False) -> None:

@@ -22,6 +22,7 @@ from .operators.transform import Plan, apply_plan, clean_plan
 from .session import shared_dir, small_frame
 from .sources.readers import Dataset, read_csv, resolve
 from .sources.sinks import write_table
+from .streaming.incremental import IncrementalProfile
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -415,6 +416,23 @@ def drift_category_many(spark, sf_dir):
     return small_frame(out, "col_name string, n_missing long, n_new long, n_both long, within boolean")
 
 
+@query(each(["event_id", "user_id", "value"], "count(*) AS total_count, count({c}) AS non_null_count, CAST(min({c}) AS DOUBLE) AS val_min, CAST(max({c}) AS DOUBLE) AS val_max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev, true AS quantiles_within", "events"))
+def profile_growing(spark, sf_dir):
+    """A profile that grows by twelve batches, merged after every five, and whether its quantiles have their rank among all rows (within 0.02)."""
+    events = load(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    grown = IncrementalProfile(f"{shared_dir(spark)}/growing_{uuid.uuid4().hex}", merge_after=5)
+    for i in range(12):
+        grown.add(events.where(F.col("event_id") % 12 == i), i)
+    stats = grown.columns(spark)
+    # a quantile's rank: what lies below it, and what doesn't lie above
+    ranks = events.agg(*[f(F.col(r["column"])) for r in stats for q in r["quantiles"] for f in (lambda c, q=q: F.avg((c < q).cast("int")), lambda c, q=q: F.avg((c <= q).cast("int")))]).first()
+    rows = []
+    for i, r in enumerate(stats):
+        within = all(ranks[6 * i + 2 * k] - 0.02 <= share <= ranks[6 * i + 2 * k + 1] + 0.02 for k, share in enumerate((0.25, 0.5, 0.75)))
+        rows.append((r["column"], r["total_count"], r["non_null_count"], r["val_min"], r["val_max"], round(r["mean"], 4), round(r["variance"] ** 0.5, 4), within))
+    return small_frame(rows, "name string, total_count long, non_null_count long, val_min double, val_max double, mean double, stddev double, quantiles_within boolean")
+
+
 # contract --------------------------------------------------------------
 
 _RULES = {"o_orderkey": {"is_unique": True, "min": 1}, "o_orderstatus": {"allowed_values": ["F", "O"]}, "o_totalprice": {"max_null_pct": 0, "max": 10.0}, "o_orderpriority": {"regex": r"[1-5]-", "max_str_len": 4}, "nothing": {"min": 0}}
