@@ -3,7 +3,7 @@
 Passages that share so many word pairs with a test item as a copy must (the
 q-gram lemma) are aligned word by word with the item; the score tells how much
 of the item the passage covers, edits included.  No passage that scores enough
-is left out.
+(``required``) is left out, however short or frequent its words.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from .common import WordHasher, carrying, chunks, lower_latin, mix, small_batches, table, texts_of
 
-#: Seeds are word pairs; for items of fewer words than SHORT_ITEM, where a pair is no evidence, SHORT_SEED words or the item itself.
-SHORT_ITEM, SHORT_SEED = 12, 3
+#: Words (or the whole item) that an alignment must gain however short the item is: fewer are no evidence.
+LEAST_WORDS = 3
 #: Seeds that a passage must share with an item before they are aligned, where a copy shares as many.
 ENOUGH = 4
-#: Rows of hits (of a seed in a text, for each item that has it) that are looked at together, or one text.
+#: Rows of hits (of a seed in a text, for each item that has it) that are looked at together, about.
 HIT_ROWS = 1 << 20
+#: Words of a passage that are aligned at once; longer ones are cut into windows that overlap by more than a copy spans.
+WINDOW = 1 << 14
 #: Aligned share of an item from which a passage counts as a copy.
 THRESHOLD = 0.45
 #: Item text that one pass over the documents takes, which bounds what is broadcast.
@@ -80,13 +82,19 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best, start, end
 
 
+def required(lengths: np.ndarray, threshold: float) -> np.ndarray:
+    """Alignment score from which a passage counts as a copy of an item of so many words."""
+    return np.maximum(threshold * lengths, np.minimum(lengths, LEAST_WORDS)) - 1e-9
+
+
 class Items:
     """A block of test items: word hashes, and for each seed hash the items that have it and where.
 
-    A passage that scores t * n against n words has m matches and at most m - t * n
-    other columns, so its runs of matches hold at least t * n - 1 of the item's
-    word pairs.  ENOUGH of these (or all) are then among the pairs that remain when
-    as many less are left out, whichever they are; those of the most items are.
+    Seeds are an item's word pairs; of an item of one word, the word.  A passage
+    that scores s has m matches and at most m - s other columns, so its runs of
+    matches hold at least s - 1 of the item's pairs.  ENOUGH of these (or all) are
+    then among the pairs that remain when as many less are left out, whichever they
+    are; those of the most items are.
     """
 
     def __init__(self, ids: list[int], texts: list[str], threshold: float = THRESHOLD):
@@ -99,11 +107,12 @@ class Items:
                 self.ids.append(i)
                 self.words.append(words)
         lengths = np.array([len(w) for w in self.words], np.int64)
-        sizes = np.where(lengths < SHORT_ITEM, np.minimum(SHORT_SEED, lengths), 2)
-        needed = np.where(lengths < SHORT_ITEM, 1, np.maximum(1, np.ceil(threshold * lengths - 1 - 1e-9))).astype(np.int64)
-        #: Seeds that a passage must share, and words that gaps can shift its parts by.
+        sizes = np.minimum(2, lengths)
+        self.required = required(lengths, threshold)
+        needed = np.maximum(1, np.ceil(self.required - 1)).astype(np.int64)
+        #: Seeds that a passage must share, and columns of a copy that aren't matches, which shift its parts, at most.
         self.least = np.minimum(needed, ENOUGH)
-        self.slack = np.maximum(4, np.ceil((1 - threshold) * lengths).astype(np.int64) + 1)
+        self.slack = np.maximum(4, np.ceil(lengths - self.required).astype(np.int64) + 1)
         self.sizes = np.unique(sizes)
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         hashes = cat([ngram_hashes(w, int(n)) for w, n in zip(self.words, sizes)], np.uint64)
@@ -136,16 +145,63 @@ def seed_hits(words: np.ndarray, owner: np.ndarray, seeds: np.ndarray, sizes) ->
     return np.concatenate(places), np.concatenate(found)
 
 
+def spans(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges that begin at ``low`` and have ``n`` numbers, in turn."""
+    return np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def parts(sizes: np.ndarray, groups: np.ndarray, most: int):
+    """Ranges of rows whose sizes add up to ``most`` at most, or one group's; equal groups stand together and are never parted."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right"))
+        if b < len(sizes):
+            b = max(int(np.searchsorted(groups, groups[b], "left")), int(np.searchsorted(groups, groups[a], "right")))
+        yield a, b
+        a = b
+
+
 def passages(items: Items, text: np.ndarray, places: np.ndarray, hashes: np.ndarray):
-    """(text, item, first and last place where the item would begin, seeds) of the passages that share enough seeds with an item, from hits in order of texts."""
-    low, high = np.searchsorted(items.hashes, hashes, "left"), np.searchsorted(items.hashes, hashes, "right")
-    n = high - low
-    rows = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start, text, owner = np.repeat(places, n) - items.at[rows], np.repeat(text, n), items.owner[rows]
-    order = np.lexsort((start, owner, text))
-    start, text, owner, at = start[order], text[order], owner[order], items.at[rows[order]]
+    """(text, item, first and last place where the item would begin, seeds) of the passages that may share enough seeds with an item, from hits in order of texts.
+
+    An item is looked at in a text only if enough of its seeds occur there at all,
+    so a pair of words that a text repeats and many items have costs a row an
+    item, not one for each place.  Where an item and a text still have more than
+    HIT_ROWS hits, all from the first to the last is one passage.
+    """
+    order = np.lexsort((places, hashes, text))
+    text, places, hashes = text[order], places[order], hashes[order]
     new = np.ones(len(order), bool)
-    new[1:] = (text[1:] != text[:-1]) | (owner[1:] != owner[:-1]) | (np.diff(start) > items.slack[owner[1:]])
+    new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
+    first = np.flatnonzero(new)
+    times, key_text = np.diff(np.append(first, len(order))), text[first]
+    low, high = (np.searchsorted(items.hashes, hashes[first], side) for side in ("left", "right"))
+    for a, b in parts(high - low, key_text, HIT_ROWS):
+        rows = spans(low[a:b], (high - low)[a:b])
+        key = np.repeat(np.arange(a, b), (high - low)[a:b])
+        pair = key_text[key] * len(items.ids) + items.owner[rows]
+        found, number, shared = np.unique(pair, return_inverse=True, return_counts=True)
+        keep = np.flatnonzero((shared >= items.least[found % len(items.ids)])[number])
+        keep = keep[np.argsort(pair[keep], kind="stable")]
+        rows, key, pair, shared = rows[keep], key[keep], pair[keep], shared[number[keep]]
+        for c, d in parts(times[key], pair, HIT_ROWS):
+            if times[key[c:d]].sum() > HIT_ROWS:
+                t, k = divmod(int(pair[c]), len(items.ids))
+                ends = first[key[c:d]] + times[key[c:d]] - 1
+                yield t, k, int(places[first[key[c:d]]].min()) - len(items.words[k]), int(places[ends].max()), int(shared[c])
+                continue
+            n = times[key[c:d]]
+            at = np.repeat(items.at[rows[c:d]], n)
+            yield from diagonals(items, np.repeat(pair[c:d], n), places[spans(first[key[c:d]], n)] - at, at)
+
+
+def diagonals(items: Items, pair: np.ndarray, start: np.ndarray, at: np.ndarray):
+    """The passages among hits of (text, item) pairs: hits whose starts lie within an item's slack of each other."""
+    order = np.lexsort((start, pair))
+    start, pair, at = start[order], pair[order], at[order]
+    text, owner = pair // len(items.ids), pair % len(items.ids)
+    new = np.ones(len(order), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (np.diff(start) > items.slack[owner[1:]])
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(order)) - 1
@@ -156,25 +212,19 @@ def passages(items: Items, text: np.ndarray, places: np.ndarray, hashes: np.ndar
     return zip(text[first].tolist(), owner[first].tolist(), start[first].tolist(), start[last].tolist(), seeds[enough].tolist())
 
 
-def copies_in(items: Items, words: np.ndarray, owner: np.ndarray, texts: int, threshold: float) -> list[tuple]:
-    """(text, item, score, first word, word after, seeds) for each item's best passage in each of several texts."""
+def copies_in(items: Items, words: np.ndarray, owner: np.ndarray, texts: int) -> list[tuple]:
+    """(text, item, score, first word, word after, seeds) for each item's best passage in each of several texts; of equal ones, the first that is found."""
     places, hashes = seed_hits(words, owner, items.seeds, items.sizes)
-    order = np.argsort(places, kind="stable")
-    places, hashes = places[order], hashes[order]
-    ends, text = np.searchsorted(owner, np.arange(texts + 1)), owner[places]
-    rows = np.cumsum(np.searchsorted(items.hashes, hashes, "right") - np.searchsorted(items.hashes, hashes, "left"))
-    best, a = {}, 0
-    while a < len(places):  # whole texts, of at most HIT_ROWS rows or one text
-        b = int(np.searchsorted(rows, (rows[a - 1] if a else 0) + HIT_ROWS, "right"))
-        b = len(places) if b >= len(places) else max(int(np.searchsorted(text, text[b], "left")), int(np.searchsorted(text, text[a], "right")))
-        for t, k, low, high, seeds in passages(items, text[a:b], places[a:b], hashes[a:b]):
-            item, slack = items.words[k], int(items.slack[k])
-            lo, hi = max(int(ends[t]), low - slack), min(int(ends[t + 1]), high + len(item) + slack)
-            score, s, e = align(item, words[lo:hi])
-            share = score / (MATCH * len(item))
-            if share >= threshold and ((t, k) not in best or share > best[t, k][2]):
-                best[t, k] = (t, items.ids[k], share, lo - int(ends[t]) + s, lo - int(ends[t]) + e, seeds)
-        a = b
+    ends, best = np.searchsorted(owner, np.arange(texts + 1)), {}
+    for t, k, low, high, seeds in passages(items, owner[places], places, hashes):
+        item, slack = items.words[k], int(items.slack[k])
+        lo, hi = max(int(ends[t]), low - slack), min(int(ends[t + 1]), high + len(item) + slack)
+        step = max(WINDOW, len(item) + slack)
+        for begin in range(lo, hi, step):
+            score, s, e = align(item, words[begin : min(hi, begin + step + len(item) + slack)])
+            if score >= items.required[k] and ((t, k) not in best or score / (MATCH * len(item)) > best[t, k][2]):
+                at = begin - int(ends[t])
+                best[t, k] = (t, items.ids[k], score / (MATCH * len(item)), at + s, at + e, seeds)
     return list(best.values())
 
 
@@ -183,9 +233,9 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESH
 
     Every row of ``docs`` is read whole, once for each block of items of at most
     about ``block_bytes`` of text; a block is what is broadcast.  A passage is
-    found if it scores ``threshold`` (above 1 / SHORT_ITEM), however often its item
-    or its words occur; for an item of fewer than SHORT_ITEM words it must also
-    hold SHORT_SEED words in a row (or all) of it.  Null or wordless texts
+    found if and only if its alignment gains ``threshold`` of the item's words, and
+    LEAST_WORDS words or all of the item, however often its item or its words
+    occur.  Of passages that score alike, one is reported.  Null or wordless texts
     on either side match nothing; repeated rows are reported each, null ids
     stay null.  Other columns are left out.
     """
@@ -198,12 +248,12 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESH
     for block in range(blocks):
         own = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         items = Items([r[0] for r in own], [r[1] for r in own], threshold)
-        part = align_block(docs, items, threshold, carry)
+        part = align_block(docs, items, carry)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def align_block(docs: DataFrame, items: Items, threshold: float, carry=()) -> DataFrame:
+def align_block(docs: DataFrame, items: Items, carry=()) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vars(items))  # plain values: a worker need not have this module to read them
 
     def work(batches):
@@ -216,7 +266,7 @@ def align_block(docs: DataFrame, items: Items, threshold: float, carry=()) -> Da
             ids, at, out = b.column(0).to_pylist(), [], []
             for low, high in chunks(offsets):
                 words, owner, _, _ = make(lower_latin(data[offsets[low] : offsets[high]]), offsets[low : high + 1] - offsets[low])
-                found = copies_in(items, words, owner, high - low, threshold)
+                found = copies_in(items, words, owner, high - low)
                 out += [(ids[low + t], *c) for t, *c in found]
                 at += [low + t for t, *_ in found]
             if out:

@@ -372,6 +372,77 @@ def test_edited_copies_of_a_widely_leaked_item(spark):
     assert len(want) > 60 and {(r.doc_id, r.item_id) for r in D.find_copies(doc_frame(spark, docs), bench).collect()} == want
 
 
+def test_items_of_all_lengths_equal_plain_alignment_of_all_pairs(spark):
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(12)]
+    pool = common * 6 + [f"t{i}x" for i in range(400)]
+    items = [" ".join(rng.choices(pool, k=n)) for n in [*range(1, 16), 1, 2, 3, 11, 11, 20, 35, 60]]
+    docs = []
+    for i in range(150):
+        w = rng.choices(pool, k=rng.randint(0, 60))
+        for item in rng.sample(items, 2):
+            copy = item.split()
+            for at in rng.sample(range(len(copy)), rng.randint(0, len(copy) // 3)):
+                copy[at] = rng.choice([rng.choice(pool), "", f"{copy[at]} more"])
+            at = rng.randint(0, len(w))
+            w[at:at] = copy
+        docs.append((i, " ".join(w), None))
+    eleven = [f"e{i}" for i in range(11)]
+    items.append(" ".join(eleven))
+    docs.append((900, " ".join("changed" if i in (2, 5, 8) else x for i, x in enumerate(eleven)), None))
+    docs.append((901, docs[0][1], None))
+    want = {}
+    for i, text, _ in docs:
+        for k, item in enumerate(items):
+            n = len(item.split())
+            score = plain_align(item.split(), text.split())
+            if score >= D.THRESHOLD * n and score >= min(n, D.LEAST_WORDS):
+                want[i, k] = score / n
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in D.find_copies(doc_frame(spark, docs), bench).collect()}
+    assert (900, len(items) - 1) in want and len({k for _, k in want}) == len(items)
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_whole_tables_equal_plain_alignment_of_all_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    tokens = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()
+    number: dict[str, int] = {}
+    coded = lambda t: np.array([number.setdefault(x, len(number)) for x in tokens(t or "")], np.int64)
+    texts, items = [coded(r.text) for r in docs], [coded(r.text) for r in bench]
+    joined = np.concatenate([np.r_[t, -1 - np.arange(200)] for t in texts])  # no alignment gains by crossing so many words of no item
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 200 for t in texts])
+    want = {}
+    for r, item in zip(bench, items):
+        if not len(item):
+            continue
+        row = np.zeros(len(joined) + 1)
+        top, steps = np.zeros(len(texts)), np.arange(len(row))
+        for word in item:
+            row = np.maximum(np.r_[0, np.maximum(row[:-1] + np.where(joined == word, 1, -1), row[1:] - 1)], 0)
+            row = np.maximum.accumulate(row + steps) - steps
+            np.maximum.at(top, owner, row[1:])
+        for t in np.flatnonzero(top >= np.maximum(D.THRESHOLD * len(item), min(len(item), D.LEAST_WORDS)) - 1e-9).tolist():
+            want[docs[t].doc_id, r.item_id] = top[t] / len(item)
+    got = {(r.doc_id, r.item_id): r.score for r in D.op1_decontamination(spark, sf).collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_a_text_that_repeats_words_of_many_items_takes_bounded_memory():
+    rng = random.Random(9)
+    items = D.Items(list(range(20001)), [f"of the {' '.join(f'w{rng.randrange(10**6)}' for _ in range(10))}" for _ in range(20000)] + ["of the x of the x of the y"])
+    make = D.hasher()
+    raw = np.frombuffer(b"of the x " * 300000, np.uint8)
+    words, owner, _, _ = make(raw, np.array([0, len(raw)]))
+    tracemalloc.start()
+    found = D.copies_in(items, words, owner, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[1] for f in found] == [20000] and abs(found[0][2] - 8 / 9) < 1e-9 and peak < 200 << 20
+
+
 # quality ---------------------------------------------------------------
 
 
