@@ -304,6 +304,27 @@ def test_join_edges(spark):
     assert J.jaccard_join(df.where("false")).count() == 0
 
 
+def test_blocks_follow_the_words_and_fill_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK_WORDS", 5)
+    names = F.when(F.col("id") % 10 < 3, "a").when(F.col("id") % 10 < 6, "b")  # two sources and null
+    df = spark.range(240_000).select(F.col("id").alias("doc_id"), names.alias("source"), F.lit("five words of a text").alias("text"))
+    got = X.mix_sources(df, shards=100_000)
+    per = got.select("source", "target", "size", F.col("draws")).withColumn("times", F.size("draws"))
+    totals = per.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("taken"), F.max("target").alias("target"), F.max("times").alias("most")).collect()
+    assert len(totals) == 3 and all(abs(r.taken - r.target) < 0.01 * r.target and r.most <= 3 for r in totals)
+    assert got.select(F.explode("draws.shard")).distinct().count() >= 95_000
+    twice = got.where(F.size("draws") > F.size(F.array_distinct("draws.pass")))
+    assert twice.count() == 0
+
+
+def test_more_draws_than_the_generator_takes():
+    rng = np.random.Generator(np.random.PCG64(3))
+    quotas = [1_500_000_000, 600_000_001, 3, 0]
+    out = X.split_quotas(quotas, 5, rng)
+    assert out.sum(0).tolist() == quotas and (out >= 0).all() and np.ptp(out.sum(1)) <= 2
+    assert all(abs(r[0] - 300_000_000) < 200_000 for r in out)
+
+
 # decontamination -------------------------------------------------------
 
 
