@@ -16,6 +16,25 @@ TRUE_WORDS, FALSE_WORDS = ["1", "true", "yes", "y"], ["0", "false", "no", "n"]
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
 FLOAT_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
+#: Shapes of dates and times that a CSV column may have throughout: the pattern of the parser, and the shape that a cell must have.
+#: Where days and months can't be told apart, the day comes first.
+_TIME = "[0-9]{2}:[0-9]{2}:[0-9]{2}"
+DATE_FORMATS = {
+    "yyyy-MM-dd": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+    "yyyy/MM/dd": "^[0-9]{4}/[0-9]{2}/[0-9]{2}$",
+    "dd/MM/yyyy": "^[0-9]{2}/[0-9]{2}/[0-9]{4}$",
+    "MM/dd/yyyy": "^[0-9]{2}/[0-9]{2}/[0-9]{4}$",
+    "dd.MM.yyyy": r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$",
+    "dd-MM-yyyy": "^[0-9]{2}-[0-9]{2}-[0-9]{4}$",
+    "yyyy-MM-dd HH:mm:ss": f"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} {_TIME}$",
+    "yyyy-MM-dd'T'HH:mm:ss": f"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}$",
+    "yyyy/MM/dd HH:mm:ss": f"^[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}} {_TIME}$",
+    "dd/MM/yyyy HH:mm:ss": f"^[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}} {_TIME}$",
+    "MM/dd/yyyy HH:mm:ss": f"^[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}} {_TIME}$",
+}
+#: Share of a column's cells that one of these must fit.
+DATE_SHARE = 0.8
+
 NUMERIC = ("int", "float")
 
 
@@ -76,6 +95,12 @@ def parse(raw: Column, kind: str) -> Column:
     return raw
 
 
+def parse_date(raw: Column, pattern: str) -> Column:
+    """A string as date, or timestamp if the pattern has a time; null where it doesn't fit or names no day that exists."""
+    found = F.try_to_timestamp(F.when(raw.rlike(DATE_FORMATS[pattern]), raw), F.lit(pattern))
+    return found if "HH" in pattern else found.cast("date")
+
+
 def decide_type(b: int, i: int, i01: int, f: int, s: int) -> str:
     """The type of a column with so many boolean words, integers (of them 0 or 1), other floats and other strings."""
     n = b + i + f + s

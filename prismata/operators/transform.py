@@ -1,20 +1,22 @@
 """Rewrites: fixing and cleaning, as one lazy projection over the input.
 
 The statistics that fills and clips need come from exact quantiles, which no
-task holds as a whole, and counts; category codes come from a join with the
-ranked distinct values.
+task holds as a whole, and counts; category codes come from joins with the
+ranked distinct values, which one job finds for all columns.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import NUMERIC, as_number, quoted, type_name
 from ..plans.quantiles import exact_quantiles, mode
-from ..session import PrismataError
+from ..session import PrismataError, shared_dir
 from ..sources.readers import Dataset, file_bytes, resolve
 from ..sources.sinks import SINGLE_BYTES, backup, restore, write_audit, write_table
 from .issues import collect_warnings, is_outlier, quality_score
@@ -127,17 +129,36 @@ def ranks(values: DataFrame, per_bucket: int = BUCKET_VALUES, count: int | None
     return placed.select("value", (offset + at - 1).alias("code"))
 
 
-def encode(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Replaces values by their rank among the distinct ones (from 0, ascending), null by -1; and the number of values.
+def encode(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """Replaces the columns' values by their rank among the column's distinct ones (from 0, ascending), null by -1; and the numbers of values.
 
-    The codes of up to BUCKET_VALUES values are broadcast, so that a frequent
-    value is no hot key.
+    One scan and one shuffle make the dictionary of all columns of a type, a
+    table in the shared folder; ranks and joins read a column's part of it.  The
+    codes of up to BUCKET_VALUES values are broadcast, so that a frequent value
+    is no hot key.
     """
-    values = df.select(quoted(name).alias("value")).where("value IS NOT NULL").distinct()
-    count = values.count()
-    codes = ranks(values, count=count).select(F.col("value").alias("__value"), F.col("code").cast("int").alias("__code"))
-    joined = df.join(F.broadcast(codes) if count <= BUCKET_VALUES else codes, quoted(name) == F.col("__value"), "left")
-    return joined.select(*[F.coalesce("__code", F.lit(-1)).alias(c) if c == name else quoted(c) for c in df.columns]), count
+    spark = df.sparkSession
+    kinds: dict = {}
+    for f in df.schema.fields:
+        if f.name in names:
+            kinds.setdefault(f.dataType, []).append(f.name)
+    counts, codes = dict.fromkeys(names, 0), {}
+    for kind, own in kinds.items():
+        path = f"{shared_dir(spark)}/codes-{uuid.uuid4().hex}"
+        pair = F.explode(F.array(*[F.struct(F.lit(i).alias("number"), quoted(c).alias("value")) for i, c in enumerate(own)]))
+        df.select(pair.alias("pair")).select("pair.*").where("value IS NOT NULL").distinct().write.partitionBy("number").parquet(path)
+        whole = T.StructType([T.StructField("value", kind), T.StructField("number", T.IntegerType())])
+        for r in spark.read.schema(whole).parquet(path).groupBy("number").count().collect():
+            name, values = own[r[0]], spark.read.schema(T.StructType(whole.fields[:1])).parquet(f"{path}/number={r[0]}")
+            counts[name] = r[1]
+            codes[name] = ranks(values, count=r[1])
+    out = df.select(*[quoted(c).alias(f"__c{i}") for i, c in enumerate(df.columns)])
+    for i, name in enumerate(df.columns):
+        if name in codes:
+            side = codes[name].select(F.col("value").alias(f"__v{i}"), F.col("code").cast("int").alias(f"__n{i}"))
+            out = out.join(F.broadcast(side) if counts[name] <= BUCKET_VALUES else side, F.col(f"__c{i}") == F.col(f"__v{i}"), "left")
+    code = lambda i, name: F.coalesce(F.col(f"__n{i}"), F.lit(-1)) if name in codes else F.lit(-1)
+    return out.select(*[(code(i, c) if c in names else F.col(f"__c{i}")).alias(c) for i, c in enumerate(df.columns)]), counts
 
 
 def apply_plan(df: DataFrame, plan: Plan) -> tuple[DataFrame, list[dict]]:
@@ -168,9 +189,9 @@ def apply_plan(df: DataFrame, plan: Plan) -> tuple[DataFrame, list[dict]]:
         if "encode" in done:
             coded.append(name)
     out = df.select(*cols)
-    for name in coded:
-        out, values = encode(out, name)
-        actions.append({"column": name, "action": "encode", "unique_values": values})
+    if coded:
+        out, values = encode(out, coded)
+        actions += [{"column": name, "action": "encode", "unique_values": values[name]} for name in coded]
     return out, actions
 
 

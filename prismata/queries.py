@@ -281,6 +281,17 @@ def fix_encode(spark, sf_dir):
     return apply_plan(load(spark, sf_dir, "part").select("p_partkey", "p_type"), Plan({"p_type": [("encode", "")]}))[0]
 
 
+_CODED = ["o_orderstatus", "o_orderpriority", "tens", "custom", "day"]
+_CODED_SQL = "SELECT o_orderkey, o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 3 > 0 THEN concat('t', (o_orderkey // 10) % 1000) END AS tens, concat('c', o_custkey) AS custom, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders"
+
+
+@query(f"SELECT o_orderkey, {', '.join(f'CAST(CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY {c} NULLS LAST) - 1 END AS INTEGER) AS {c}' for c in _CODED)} FROM ({_CODED_SQL})")
+def fix_encode_many(spark, sf_dir):
+    """Five text columns by one dictionary."""
+    df = load(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderstatus", "o_orderpriority", "CASE WHEN o_orderkey % 3 > 0 THEN concat('t', (o_orderkey div 10) % 1000) END AS tens", "concat('c', o_custkey) AS custom", "CAST(CAST(o_orderdate AS DATE) AS STRING) AS day")
+    return apply_plan(df, Plan({c: [("encode", "")] for c in _CODED}))[0]
+
+
 @query("WITH t AS (SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS p, o_orderstatus FROM orders) SELECT o_custkey, coalesce(p, (SELECT median(p) FROM t)) AS o_totalprice, o_orderstatus FROM t")
 def clean_pipeline(spark, sf_dir):
     df = holes(load(spark, sf_dir, "orders"), {"o_totalprice": "o_orderkey % 3 = 0"}).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus").withColumn("fixed", F.lit(1))
@@ -556,3 +567,28 @@ def csv_infer_types(spark, sf_dir):
 def csv_split_scan(spark, sf_dir):
     """No field spans lines: the file is read by ranges."""
     return _csv_profile(spark, sf_dir, "' '")
+
+
+_DATED_SQL = """
+WITH t AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderkey % 11 = 0 AS none, o_orderkey % 97 = 5 AS other FROM orders)
+SELECT 'day' AS name, 'datetime' AS type_str, count(*) FILTER (none) AS null_count, count(*) FILTER (other AND NOT none) AS type_mismatch_count, count(DISTINCT d) FILTER (NOT none AND NOT other) AS unique_approx FROM t
+UNION ALL SELECT 'moment', 'datetime', 0, 0, count(DISTINCT (d, k % 24, k % 60)) FROM t
+UNION ALL SELECT 'iso', 'datetime', 0, 0, count(DISTINCT d) FROM t
+UNION ALL SELECT 'mixed', 'str', 0, 0, count(DISTINCT (d, k % 2)) FROM t
+"""
+
+
+@query(_DATED_SQL)
+def csv_infer_dates(spark, sf_dir):
+    """Columns of one date format with nulls and cells of another one, of times, of ISO dates, and of two formats in equal parts (text)."""
+    day = "CAST(o_orderdate AS DATE)"
+    cells = {
+        "day": f"CASE WHEN o_orderkey % 11 = 0 THEN 'NA' WHEN o_orderkey % 97 = 5 THEN date_format({day}, 'yyyy/MM/dd') ELSE date_format({day}, 'dd.MM.yyyy') END",
+        "moment": f"concat(CAST({day} AS STRING), 'T', lpad(o_orderkey % 24, 2, '0'), ':', lpad(o_orderkey % 60, 2, '0'), ':00')",
+        "iso": f"CAST({day} AS STRING)",
+        "mixed": f"CASE WHEN o_orderkey % 2 = 0 THEN date_format({day}, 'dd.MM.yyyy') ELSE CAST({day} AS STRING) END",
+    }
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}.csv"
+    write_table(load(spark, sf_dir, "orders").selectExpr(*[f"{x} AS {c}" for c, x in cells.items()]), path, single=False)
+    p = profile_dataset(read_csv(path, infer_dates=True), exact=True, parts=["distinct"])
+    return cols(p).select("name", "type_str", "null_count", "type_mismatch_count", "unique_approx")

@@ -15,7 +15,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import BOOLEAN_WORDS, FLOAT_PATTERN, INTEGER_PATTERN, decide_type, parse, quoted, without_markers
+from ..functions.columns import BOOLEAN_WORDS, DATE_FORMATS, DATE_SHARE, FLOAT_PATTERN, INTEGER_PATTERN, decide_type, parse, parse_date, quoted, without_markers
 from ..session import PrismataError, session
 
 EXTENSIONS = (".csv", ".parquet")
@@ -160,6 +160,26 @@ def infer_types(raw: DataFrame, rows: int = INFER_ROWS) -> dict[str, str]:
     return {c: decide_type(*(got[f"{k}{i}"] for k in "bizfs")) for i, c in enumerate(raw.columns)}
 
 
+def infer_date_formats(raw: DataFrame, names: list[str], rows: int = INFER_ROWS) -> dict[str, str]:
+    """The date pattern of those of the string columns that have one: each of the first rows votes for all that fit it.
+
+    The one with the most votes is a column's if it fits DATE_SHARE of its
+    cells; of equal ones, the first in DATE_FORMATS.
+    """
+    if not names:
+        return {}
+    counts = [F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)]
+    counts += [F.count(parse_date(quoted(c), p)).alias(f"v{i}_{k}") for i, c in enumerate(names) for k, p in enumerate(DATE_FORMATS)]
+    got = raw.limit(rows).agg(*counts).first()
+    out = {}
+    for i, c in enumerate(names):
+        votes = [got[f"v{i}_{k}"] for k in range(len(DATE_FORMATS))]
+        best = votes.index(max(votes))
+        if votes[best] and votes[best] >= DATE_SHARE * got[f"n{i}"]:
+            out[c] = list(DATE_FORMATS)[best]
+    return out
+
+
 def spans_lines(path: str) -> bool:
     """Whether a quoted field of the CSV file reaches over a line's end, or a line holds blanks only: one scan, split over the tasks.
 
@@ -170,10 +190,12 @@ def spans_lines(path: str) -> bool:
     return not session().read.text(path).where(odd | line.rlike(r"^\s+$")).isEmpty()
 
 
-def read_csv(path: str, sep: str = ",", null_string: str | None = None, header: bool = True, infer_rows: int = INFER_ROWS) -> Dataset:
+def read_csv(path: str, sep: str = ",", null_string: str | None = None, header: bool = True, infer_rows: int = INFER_ROWS, infer_dates: bool = False) -> Dataset:
     """A CSV file with types by majority of its first rows; cells that don't fit become null and are counted.
 
-    Many tasks read a file, unless its fields span lines.
+    Many tasks read a file, unless its fields span lines.  ``infer_dates`` looks
+    for dates and times in text columns, of one format a column; a cell of
+    another format doesn't fit.
     """
     spark = session()
     raw = spark.read.csv(path, header=header, sep=sep, quote='"', escape='"', multiLine=spans_lines(path), mode="PERMISSIVE", encoding="UTF-8", inferSchema=False, enforceSchema=True, emptyValue="")
@@ -181,11 +203,12 @@ def read_csv(path: str, sep: str = ",", null_string: str | None = None, header:
     raw = raw.toDF(*[f"__raw_{i}" for i in range(len(names))])
     raw = raw.select(*[without_markers(F.col(c), null_string).alias(c) for c in raw.columns])
     kinds = infer_types(raw, infer_rows)
+    dates = infer_date_formats(raw, [c for c in raw.columns if kinds[c] == "str"], infer_rows) if infer_dates else {}
     typed, misfits = [], {}
     for name, c in zip(names, raw.columns):
-        value = parse(F.col(c), kinds[c]) if kinds[c] != "unknown" else F.col(c)
+        value = parse_date(F.col(c), dates[c]) if c in dates else parse(F.col(c), kinds[c]) if kinds[c] != "unknown" else F.col(c)
         typed.append(value.alias(name))
-        if kinds[c] in ("int", "float", "bool"):
+        if kinds[c] in ("int", "float", "bool") or c in dates:
             typed.append((F.col(c).isNotNull() & value.isNull()).alias(f"__misfit_{name}"))
             misfits[name] = quoted(f"__misfit_{name}")
     return Dataset(raw.select(*typed), PurePath(path).name, path, misfits)

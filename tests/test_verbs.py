@@ -115,7 +115,7 @@ def test_exact_quantiles(spark, gathered, accuracy):
 
 def test_encode_ranks_and_nulls(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("a",)], "v string")
-    assert sorted(r.v for r in encode(df, "v")[0].collect()) == [-1, 0, 0, 1, 2]
+    assert sorted(r.v for r in encode(df, ["v"])[0].collect()) == [-1, 0, 0, 1, 2]
 
 
 def test_ranks_in_buckets(spark):
