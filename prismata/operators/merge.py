@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import NUMERIC, quoted
 from ..session import PrismataError
-from ..sources.readers import Dataset, file_bytes, resolve
-from ..sources.sinks import SINGLE_BYTES, write_table
+from ..sources.readers import Dataset, resolve
+from ..sources.sinks import is_folder, write_table
 from .profile import DatasetProfile, profile_dataset
 
 SOURCE = "prismata_source_file"
@@ -149,7 +149,7 @@ def merge(paths: list, output: str | None = "combined.csv", checks: bool = True,
 
     Inputs that can't be read are skipped with a message.  ``single`` tells
     whether the output is one file or a folder written in parallel; by default
-    it is one file if the input files come to at most SINGLE_BYTES.  ``on``
+    it is a folder if an input is one.  ``on``
     (columns, or "common" for those that all inputs have) tells by what rows
     are equal; by default by all columns.
     """
@@ -191,6 +191,6 @@ def merge(paths: list, output: str | None = "combined.csv", checks: bool = True,
         print(f"  {c}: mean of {name} is off by {pct:+.0f}%")
     if output:
         if single is None:
-            single = sum(file_bytes(d.path) for d in found if d.path) <= SINGLE_BYTES
+            single = not any(is_folder(d.path) for d in found if d.path)
         write_table(merged, output, single)
     return merged

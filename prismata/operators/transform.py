@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from ..functions.columns import NUMERIC, as_number, quoted, type_name
 from ..plans.quantiles import exact_quantiles, mode
 from ..session import PrismataError, shared_dir
-from ..sources.readers import Dataset, file_bytes, resolve
-from ..sources.sinks import SINGLE_BYTES, backup, restore, write_audit, write_table
+from ..sources.readers import Dataset, resolve
+from ..sources.sinks import backup, is_folder, restore, write_audit, write_table
 from .issues import collect_warnings, is_outlier, quality_score
 from .profile import DatasetProfile, profile_dataset
 
@@ -220,8 +220,8 @@ def clean(data, output: str | None = None, sample_size: int | None = None, singl
     Returns the cleaned frame, or None if nothing can be fixed.  A frame as
     input is written only if ``output`` is given.  ``sample_size`` bounds the
     rows that the decisions are made on.  ``single`` tells whether the output
-    is one file or a folder written in parallel; by default it is one file if
-    the input has at most SINGLE_BYTES.
+    is one file or a folder written in parallel; by default it is what the
+    input is (one file for a frame).
     """
     from .. import __version__
 
@@ -241,7 +241,7 @@ def clean(data, output: str | None = None, sample_size: int | None = None, singl
     goal = output or source.path
     if goal is not None:
         if single is None:
-            single = source.path is None or file_bytes(source.path) <= SINGLE_BYTES
+            single = source.path is None or not is_folder(source.path)
         if source.path is not None:
             backup(source.path)
         write_table(cleaned, goal, single)

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from ..session import PrismataError, session
 
 BACKUP = ".prismata-backup"
-#: Results of larger inputs are written in parallel, as a folder, unless told otherwise.
-SINGLE_BYTES = 1 << 30
+#: Bytes that are copied at once when parts are joined.
+COPY_BYTES = 1 << 20
 
 
 def _fs(path: str):
@@ -48,23 +48,64 @@ def _replace(fs, made, goal) -> None:
         fs.delete(aside, True)
 
 
+def is_folder(path: str) -> bool:
+    fs, at = _fs(path)
+    return fs.exists(at) and fs.getFileStatus(at).isDirectory()
+
+
+def _parts(fs, folder) -> list:
+    """The files that the tasks wrote, in the order of the frame's partitions."""
+    found = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    return sorted(found, key=lambda f: int(f.getName().split("-")[1]))
+
+
+def _joined(fs, parts: list, path: str, head: bytes):
+    """One file of the head and the parts' bytes, streamed from store to store by the JVM."""
+    jvm = session()._jvm
+    made = jvm.org.apache.hadoop.fs.Path(path)
+    stream = fs.create(made, True)
+    try:
+        stream.write(bytearray(head))
+        for part in parts:
+            source = fs.open(part)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, stream, COPY_BYTES, False)
+            finally:
+                source.close()
+    finally:
+        stream.close()
+    return made
+
+
+def _cell(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"' if any(x in name for x in ',"\r\n') else name
+
+
 def write_table(df: DataFrame, path: str, single: bool = True) -> str:
-    """CSV or Parquet by extension; ``single`` makes one file, else the folder that Spark writes in parallel."""
+    """CSV or Parquet by extension; ``single`` makes one file, else the folder that Spark writes in parallel.
+
+    One CSV file is written by many tasks too, and their parts are joined byte by
+    byte in the order of the frame; one Parquet file is written by one task.  What
+    was there stays until the new output is whole.
+    """
     work = f"{path}.{uuid.uuid4().hex}.part"
-    out = df.coalesce(1) if single else df
-    if path.lower().endswith((".parquet", ".arrow")):
-        out.write.parquet(work)
-    else:
-        out.write.csv(work, header=True, quote='"', escape='"')
-    fs, at = _fs(work)
-    _, goal = _fs(path)
-    if single:
-        part = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
-        _replace(fs, part, goal)
-        fs.delete(at, True)
-        _drop_checksum(fs, goal)
-    else:
-        _replace(fs, at, goal)
+    (fs, at), (_, goal) = _fs(work), _fs(path)
+    parquet = path.lower().endswith((".parquet", ".arrow"))
+    try:
+        if parquet:
+            (df.coalesce(1) if single else df).write.parquet(work)
+        else:
+            df.write.csv(work, header=not single, quote='"', escape='"')
+        if not single:
+            _replace(fs, at, goal)
+            return path
+        parts = _parts(fs, at)
+        head = (",".join(_cell(c) for c in df.columns) + "\n").encode()
+        _replace(fs, parts[0] if parquet else _joined(fs, parts, f"{work}/joined", head), goal)
+    finally:
+        if fs.exists(at):
+            fs.delete(at, True)
+    _drop_checksum(fs, goal)
     return path
 
 
